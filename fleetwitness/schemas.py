@@ -1,0 +1,29 @@
+"""Schemas of the tables the operators read, as DDL strings."""
+
+LOG_LINES = "bench_id STRING, boot_id STRING, run_id STRING, idx BIGINT, byte_off BIGINT, observed_at TIMESTAMP, text STRING"
+MARKERS = "run_id STRING, seq INT, at TIMESTAMP, note STRING, log_offset BIGINT"
+RUNS = "run_id STRING, scenario STRING, t0 TIMESTAMP"
+EXPECTATIONS = (
+    "scenario STRING, i INT, tokens ARRAY<STRING>, same_line ARRAY<STRING>, need INT, "
+    "extract STRING, min_value BIGINT, within_s INT"
+)
+FORBIDDEN = "scenario STRING, j INT, token STRING, after_token STRING"
+RADIO_EVENTS = (
+    "device_id STRING, cluster STRING, attr_name STRING, ts TIMESTAMP, tsn INT, value DOUBLE"
+)
+STIMULI = "device_id STRING, ts TIMESTAMP, timed BOOLEAN"
+COMMANDS = "cmd_id BIGINT, device_id STRING, cluster STRING, attr_name STRING, capability STRING, ts TIMESTAMP, target DOUBLE"
+ACKS = "device_id STRING, cluster STRING, ts TIMESTAMP, ack_id BIGINT, status STRING"
+REPORTS = "device_id STRING, cluster STRING, attr_name STRING, ts TIMESTAMP, report_id BIGINT, value DOUBLE"
+PROFILE = (
+    "capability STRING, mode STRING, tolerance DOUBLE, unit STRING, confirmability STRING, timeout_ms BIGINT"
+)
+API_READS = "run_id STRING, path STRING, poll_seq INT, observed_at TIMESTAMP, status INT, body STRING"
+RUN_ROWS = "scope STRING, poll_seq INT, list_pos INT, run_id STRING, triggered_at STRING, status STRING"
+CHAINS = (
+    "run_id STRING, status INT, matched_at STRING, "
+    "actions ARRAY<STRUCT<command: STRING, outcome: STRING, reason: STRING>>"
+)
+ANCHORS = "scope STRING, token STRING, m_observed TIMESTAMP"
+VERDICTS = "night STRING, idx BIGINT, scenario STRING, status STRING, reason STRING, bundle STRING"
+CAPTURES = "bundle STRING, idx INT, what STRING, status INT, body STRING"
