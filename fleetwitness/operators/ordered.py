@@ -71,6 +71,11 @@ def running_sum(expr: Column | str) -> Scan:
     return Scan("running_sum", _column(expr))
 
 
+def running_max(expr: Column | str) -> Scan:
+    """Largest value up to and including this row."""
+    return Scan("running_max", _column(expr))
+
+
 def row_index() -> Scan:
     """1 for the first row of the key."""
     return Scan("running_sum", F.lit(1).cast("bigint"))
@@ -176,6 +181,8 @@ def _in_window(s: Scan, keys: Sequence[str], order: Sequence[str]) -> Column:
         return F.last(s.expr, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     if s.kind == "running_sum":
         return F.sum(s.expr).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if s.kind == "running_max":
+        return F.max(s.expr).over(w.rowsBetween(Window.unboundedPreceding, 0))
     raise ValueError(s.kind)
 
 
@@ -190,7 +197,7 @@ def _summary(s: Scan, at: Column) -> Column:
         return F.max_by(boxed, known)
     if s.kind == "next_after":
         return F.min_by(boxed, known)
-    return F.struct(F.sum(s.expr).alias("v"))
+    return F.struct((F.max if s.kind == "running_max" else F.sum)(s.expr).alias("v"))
 
 
 def _carry(s: Scan, name: str, keys: Sequence[str]) -> Column:
@@ -205,7 +212,8 @@ def _carry(s: Scan, name: str, keys: Sequence[str]) -> Column:
     if s.kind == "next_after":
         back = Window.partitionBy(*keys).orderBy(F.col(SEG).desc())
         return F.last(value, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.max if s.kind == "running_max" else F.sum
+    return total(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _stitch(s: Scan, name: str) -> Column:
@@ -214,6 +222,8 @@ def _stitch(s: Scan, name: str) -> Column:
         return F.when(F.col("_first"), carry).otherwise(local)
     if s.kind == "following":
         return F.when(F.col("_last"), carry).otherwise(local)
+    if s.kind == "running_max":
+        return F.greatest(local, carry)
     if s.kind == "running_sum":
         return F.when(local.isNull(), carry).otherwise(local + F.coalesce(carry, F.lit(0)))
     return F.coalesce(local, carry)
