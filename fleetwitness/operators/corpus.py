@@ -142,8 +142,8 @@ def scrub(text: Column, patterns: Sequence[str], mark: str = "**REDACTED**") ->
     return functools.reduce(lambda t, p: F.regexp_replace(t, p, mark), patterns, text)
 
 
-# Network keys (16 hex octets) and extended addresses (8 hex octets).
-KEY_MATERIAL = r"\b(?:[0-9A-Fa-f]{2}[: ]){15}[0-9A-Fa-f]{2}\b|\b[0-9A-Fa-f]{32}\b"
+# Network keys (16 hex octets or a run of 32 hex digits and more) and extended addresses (8 hex octets).
+KEY_MATERIAL = r"\b(?:[0-9A-Fa-f]{2}[: ]){15}[0-9A-Fa-f]{2}\b|\b[0-9A-Fa-f]{32,}\b"
 EXTENDED_ADDRESS = r"\b(?:[0-9A-Fa-f]{2}:){7}[0-9A-Fa-f]{2}\b"
 
 

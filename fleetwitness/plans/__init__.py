@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables."""
+
+from fleetwitness.plans import sensor_queries  # noqa: F401
+from fleetwitness.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
