@@ -51,7 +51,7 @@ def chain_deadlines(run_exp: DataFrame, deciding: DataFrame, grace_s: float = 0.
     w = Window.partitionBy("run_id").orderBy("i")
     before = F.max("m_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
     start = F.greatest(F.col("t0_us"), F.coalesce(before, F.col("t0_us")))
-    deadline = start + F.col("within_s") * F.lit(1_000_000) + F.lit(int(grace_s * 1_000_000))
+    deadline = start + F.col("within_s").cast("bigint") * 1_000_000 + F.lit(int(grace_s * 1_000_000))
     return rows.withColumns({"start_us": start, "deadline_us": deadline}).withColumn(
         "ok", F.coalesce(F.col("m_us") <= F.col("deadline_us"), F.lit(False))
     )

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros_between
-from fleetwitness.operators.ordered import following, last_before, next_after, ordered, small_side
+from fleetwitness.operators.ordered import Ordered, following, last_before, next_after, ordered, small_side
 from fleetwitness.operators.sensors import exact_quantiles, first_after
 
 CHANNEL = ("device_id", "cluster")
 ATTRIBUTE = ("device_id", "attr_name")
+IS_COMMAND = F.expr("_side = 0")
 
 
 def match_command_ack(cmds: DataFrame, acks: DataFrame, keys: Sequence[str] = CHANNEL) -> DataFrame:
@@ -44,14 +45,13 @@ def within_tolerance(target: Column, value: Column, tolerance: Column, unit: Col
     return F.coalesce(distance <= F.coalesce(tolerance, F.lit(0.0)), F.lit(False))
 
 
-def reports_of_commands(
-    cmds: DataFrame, reports: DataFrame, keys: Sequence[str] = ATTRIBUTE
-) -> tuple[DataFrame, DataFrame]:
-    """(commands, reports): each report owned by the latest command before it on its attribute.
+def command_timeline(cmds: DataFrame, reports: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> Ordered:
+    """Commands and reports of each attribute on one time line.
 
-    A newer command cuts the interval of the older one, so a report has one owner
-    and no interval join is needed. A command row also gets the time of the next
-    command and the value last reported before it.
+    Every row sees the latest command before it (``_cmd``), the next command after
+    it (``_next``) and the value last reported before it (``_known``). A newer
+    command cuts the interval of the older one, so a report has one owner and no
+    interval join is needed.
     """
     a = cmds.select(
         *keys,
@@ -70,42 +70,40 @@ def reports_of_commands(
         F.lit(None).cast("string").alias("capability"),
     )
     both = ordered(a.unionByName(b), keys, ["ts", "_side", "_id"])
-    is_cmd = F.col("_side") == 0
     command = F.struct("ts", F.col("_id").alias("id"), F.col("value").alias("target"), "capability")
-    seq = both.scan(
-        _cmd=last_before(F.when(is_cmd, command)),
-        _next=next_after(F.when(is_cmd, F.struct("ts", F.col("_id").alias("id")))),
-        _known=last_before(F.when(~is_cmd, F.struct("value"))),
+    return both.scan(
+        _cmd=last_before(F.when(IS_COMMAND, command)),
+        _next=next_after(F.when(IS_COMMAND, F.col("ts"))),
+        _known=last_before(F.when(~IS_COMMAND, F.struct("value"))),
     )
-    commands = seq.where(is_cmd).frame().select(
-        *keys,
-        F.col("_id").alias("cmd_id"),
-        F.col("_next.ts").alias("next_ts"),
-        F.col("_next.id").alias("next_cmd_id"),
-        F.col("_known.value").alias("known_value"),
-    )
-    owned = seq.where(~is_cmd & F.col("_cmd").isNotNull()).frame().select(
+
+
+def owned_reports(timeline: Ordered) -> DataFrame:
+    """Reports with the command that owns them."""
+    return timeline.where(~IS_COMMAND & F.col("_cmd").isNotNull()).frame().select(
         F.col("_cmd.id").alias("cmd_id"),
         F.col("_cmd.target").alias("target"),
         F.col("_cmd.capability").alias("capability"),
         F.col("_id").alias("report_id"),
-        F.col("ts").alias("report_ts"),
         "value",
         micros_between(F.col("_cmd.ts"), F.col("ts")).alias("after_us"),
     )
-    return commands, owned
+
+
+def report_tests(target: Column, value: Column) -> tuple[Column, Column]:
+    """(exact, agrees) of a report under the mode of its profile row."""
+    exact = value == target
+    close = within_tolerance(target, value, F.col("tolerance"), F.col("unit"))
+    return exact, F.when(F.col("mode") == "TOLERANCE", close).otherwise(exact)
 
 
 def qualifying_reports(owned: DataFrame, profile: DataFrame, grace_ms: int = 0) -> DataFrame:
     """Owned reports inside the timeout of their command, with the tolerance test."""
-    exact = F.col("value") == F.col("target")
-    close = within_tolerance(F.col("target"), F.col("value"), F.col("tolerance"), F.col("unit"))
+    exact, agrees = report_tests(F.col("target"), F.col("value"))
     return (
         owned.join(small_side(profile), "capability")
         .where(F.col("after_us") <= (F.col("timeout_ms") + grace_ms) * 1000)
-        .withColumns(
-            {"exact": exact, "agrees": F.when(F.col("mode") == "TOLERANCE", close).otherwise(exact)}
-        )
+        .withColumns({"exact": exact, "agrees": agrees})
     )
 
 
@@ -125,24 +123,36 @@ def confirm_commands(
     command) · SUPERSEDED (a newer command came first) · TIMED_OUT. An
     acknowledgement alone never confirms. ``no_change`` says that the commanded
     value was already the reported one.
+
+    The time line is read once: a command row brings its own terms, a report row a
+    candidate for its owner, and both meet in one aggregation by command.
     """
-    commands, owned = reports_of_commands(cmds, reports, keys)
-    agreeing = qualifying_reports(owned, profile, grace_ms).where("agrees")
-    first = agreeing.groupBy("cmd_id").agg(
-        F.min_by(F.struct("report_id", "after_us", "value"), F.struct("after_us", "report_id")).alias("hit")
-    )
-    out = (
-        cmds.join(commands.drop(*keys), "cmd_id", "left")
-        .join(small_side(profile.select("capability", "confirmability", "timeout_ms")), "capability", "left")
-        .join(first, "cmd_id", "left")
-    )
+    own = F.struct(
+        *keys, "ts", "capability", F.col("value").alias("target"), F.col("_next").alias("next_ts"),
+        F.col("_known.value").alias("known_value"), "confirmability", "timeout_ms",
+    )
+    _, agrees = report_tests(F.col("_cmd.target"), F.col("value"))
+    after = micros_between(F.col("_cmd.ts"), F.col("ts"))
+    counts = ~IS_COMMAND & (after <= (F.col("timeout_ms") + grace_ms) * 1000) & agrees
+    rows = command_timeline(cmds, reports, keys).where(IS_COMMAND | F.col("_cmd").isNotNull()).frame()
+    rows = rows.withColumns(
+        {
+            "cmd_id": F.when(IS_COMMAND, F.col("_id")).otherwise(F.col("_cmd.id")),
+            "capability": F.when(IS_COMMAND, F.col("capability")).otherwise(F.col("_cmd.capability")),
+        }
+    ).join(small_side(profile), "capability", "left")
+    out = rows.where(IS_COMMAND | counts).groupBy("cmd_id").agg(
+        F.max(F.when(IS_COMMAND, own)).alias("own"),
+        F.min_by(
+            F.struct(F.col("_id").alias("report_id"), after.alias("after_us"), "value"),
+            F.when(~IS_COMMAND, F.struct(after, "_id")),
+        ).alias("hit"),
+    ).select("cmd_id", "own.*", "hit")
     if acks is not None:
         answered = match_command_ack(cmds, acks, ack_keys).select("cmd_id", "ack_status", "ack_us")
         out = out.join(answered, "cmd_id", "left")
     else:
-        out = out.withColumns(
-            {"ack_status": F.lit(None).cast("string"), "ack_us": F.lit(None).cast("bigint")}
-        )
+        out = out.withColumns({"ack_status": F.lit(None).cast("string"), "ack_us": F.lit(None).cast("bigint")})
     superseded = micros_between(F.col("ts"), F.col("next_ts")) <= (F.col("timeout_ms") + grace_ms) * 1000
     verdict = (
         F.when(F.col("ack_status") != "SUCCESS", "FAILED")
@@ -165,11 +175,9 @@ def confirm_commands(
 
 def no_change_commands(cmds: DataFrame, reports: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> DataFrame:
     """Commands whose target equals the value last reported before them."""
-    commands, _ = reports_of_commands(cmds, reports, keys)
-    return (
-        cmds.join(commands.select("cmd_id", "known_value"), "cmd_id")
-        .where(F.col("known_value") == F.col("target"))
-        .select(*cmds.columns, "known_value")
+    rows = command_timeline(cmds, reports, keys).where(IS_COMMAND & (F.col("_known.value") == F.col("value")))
+    return rows.frame().select(
+        *keys, F.col("_id").alias("cmd_id"), "ts", "capability", F.col("value").alias("target")
     )
 
 
@@ -185,8 +193,7 @@ def superseded(cmds: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> DataFrame:
 
 def value_drift(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> DataFrame:
     """Reports inside the tolerance that an exact comparison would reject."""
-    _, owned = reports_of_commands(cmds, reports, keys)
-    tested = qualifying_reports(owned, profile)
+    tested = qualifying_reports(owned_reports(command_timeline(cmds, reports, keys)), profile)
     return tested.where((F.col("mode") == "TOLERANCE") & F.col("agrees") & ~F.col("exact")).select(
         "cmd_id", "report_id", "target", "value", "after_us"
     )
@@ -194,7 +201,7 @@ def value_drift(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: S
 
 def false_confirms(verdicts: DataFrame, cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> DataFrame:
     """CONFIRMED verdicts without a supporting report."""
-    _, owned = reports_of_commands(cmds, reports, keys)
+    owned = owned_reports(command_timeline(cmds, reports, keys))
     support = qualifying_reports(owned, profile).where("agrees").select("cmd_id")
     return verdicts.where(F.col("verdict") == "CONFIRMED").join(support, "cmd_id", "left_anti")
 

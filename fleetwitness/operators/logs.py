@@ -77,7 +77,7 @@ def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:
 
 def captured(text: Column, pattern: Column) -> Column:
     """Capture group 1 of the expectation's pattern, NULL when it finds nothing."""
-    return F.when(F.regexp_like(text, pattern), F.regexp_extract(text, pattern, F.lit(1)))
+    return F.when(F.regexp_like(text, pattern), F.call_function("regexp_extract", text, pattern, F.lit(1)))
 
 
 def extract_min(matches: DataFrame, need: str = "need") -> DataFrame:

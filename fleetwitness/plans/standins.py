@@ -60,7 +60,7 @@ reports AS (
   SELECT event_id AS report_id, user_id AS device_id, us, floor(value / 50) AS value
   FROM ev WHERE event_type = 'purchase'),
 profile(capability, mode, tolerance, confirmability, timeout_ms) AS (VALUES
-  ('brightness', 'TOLERANCE', 1.0, 'CONFIRMABLE', 21600000),
+  ('brightness', 'TOLERANCE', 1.0, 'CONFIRMABLE', CAST(21600000 AS BIGINT)),
   ('on_off', 'EXACT_MATCH', 0.0, 'CONFIRMABLE', 43200000),
   ('effect', 'DISABLED', 0.0, 'UNCONFIRMABLE', 21600000))"""
 

@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", app: str = "fleetwitness", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
