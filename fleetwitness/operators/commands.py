@@ -13,7 +13,6 @@ from fleetwitness.operators.sensors import exact_quantiles, first_after
 
 CHANNEL = ("device_id", "cluster")
 ATTRIBUTE = ("device_id", "attr_name")
-IS_COMMAND = F.expr("_side = 0")
 
 
 def match_command_ack(cmds: DataFrame, acks: DataFrame, keys: Sequence[str] = CHANNEL) -> DataFrame:
@@ -45,6 +44,10 @@ def within_tolerance(target: Column, value: Column, tolerance: Column, unit: Col
     return F.coalesce(distance <= F.coalesce(tolerance, F.lit(0.0)), F.lit(False))
 
 
+def is_command() -> Column:
+    return F.col("_side") == 0
+
+
 def command_timeline(cmds: DataFrame, reports: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> Ordered:
     """Commands and reports of each attribute on one time line.
 
@@ -72,15 +75,15 @@ def command_timeline(cmds: DataFrame, reports: DataFrame, keys: Sequence[str] =
     both = ordered(a.unionByName(b), keys, ["ts", "_side", "_id"])
     command = F.struct("ts", F.col("_id").alias("id"), F.col("value").alias("target"), "capability")
     return both.scan(
-        _cmd=last_before(F.when(IS_COMMAND, command)),
-        _next=next_after(F.when(IS_COMMAND, F.col("ts"))),
-        _known=last_before(F.when(~IS_COMMAND, F.struct("value"))),
+        _cmd=last_before(F.when(is_command(), command)),
+        _next=next_after(F.when(is_command(), F.col("ts"))),
+        _known=last_before(F.when(~is_command(), F.struct("value"))),
     )
 
 
 def owned_reports(timeline: Ordered) -> DataFrame:
     """Reports with the command that owns them."""
-    return timeline.where(~IS_COMMAND & F.col("_cmd").isNotNull()).frame().select(
+    return timeline.where(~is_command() & F.col("_cmd").isNotNull()).frame().select(
         F.col("_cmd.id").alias("cmd_id"),
         F.col("_cmd.target").alias("target"),
         F.col("_cmd.capability").alias("capability"),
@@ -133,19 +136,19 @@ def confirm_commands(
     )
     _, agrees = report_tests(F.col("_cmd.target"), F.col("value"))
     after = micros_between(F.col("_cmd.ts"), F.col("ts"))
-    counts = ~IS_COMMAND & (after <= (F.col("timeout_ms") + grace_ms) * 1000) & agrees
-    rows = command_timeline(cmds, reports, keys).where(IS_COMMAND | F.col("_cmd").isNotNull()).frame()
+    counts = ~is_command() & (after <= (F.col("timeout_ms") + grace_ms) * 1000) & agrees
+    rows = command_timeline(cmds, reports, keys).where(is_command() | F.col("_cmd").isNotNull()).frame()
     rows = rows.withColumns(
         {
-            "cmd_id": F.when(IS_COMMAND, F.col("_id")).otherwise(F.col("_cmd.id")),
-            "capability": F.when(IS_COMMAND, F.col("capability")).otherwise(F.col("_cmd.capability")),
+            "cmd_id": F.when(is_command(), F.col("_id")).otherwise(F.col("_cmd.id")),
+            "capability": F.when(is_command(), F.col("capability")).otherwise(F.col("_cmd.capability")),
         }
     ).join(small_side(profile), "capability", "left")
-    out = rows.where(IS_COMMAND | counts).groupBy("cmd_id").agg(
-        F.max(F.when(IS_COMMAND, own)).alias("own"),
+    out = rows.where(is_command() | counts).groupBy("cmd_id").agg(
+        F.max(F.when(is_command(), own)).alias("own"),
         F.min_by(
             F.struct(F.col("_id").alias("report_id"), after.alias("after_us"), "value"),
-            F.when(~IS_COMMAND, F.struct(after, "_id")),
+            F.when(~is_command(), F.struct(after, "_id")),
         ).alias("hit"),
     ).select("cmd_id", "own.*", "hit")
     if acks is not None:
@@ -175,7 +178,7 @@ def confirm_commands(
 
 def no_change_commands(cmds: DataFrame, reports: DataFrame, keys: Sequence[str] = ATTRIBUTE) -> DataFrame:
     """Commands whose target equals the value last reported before them."""
-    rows = command_timeline(cmds, reports, keys).where(IS_COMMAND & (F.col("_known.value") == F.col("value")))
+    rows = command_timeline(cmds, reports, keys).where(is_command() & (F.col("_known.value") == F.col("value")))
     return rows.frame().select(
         *keys, F.col("_id").alias("cmd_id"), "ts", "capability", F.col("value").alias("target")
     )
