@@ -19,20 +19,28 @@ from fleetwitness.operators.logs import (
 from fleetwitness.operators.ordered import small_side
 
 
-def deciding_lines(matches: DataFrame, max_need: int) -> DataFrame:
+def deciding_lines(matches: DataFrame, max_need: int, max_numbered: int | None = None) -> DataFrame:
     """The line that satisfies each expectation as lines arrive.
 
     Without ``extract`` it is the N-th match; with it, the first match from the
-    N-th on whose number reaches the minimum.
+    N-th on whose number reaches the minimum. Only expectations that need more
+    than one match are ranked; the others are a plain minimum. ``max_numbered`` is
+    the largest need among the lines with ``extract``.
     """
-    nth = nth_match(matches, max_need).select("run_id", "i", F.col("idx").alias("nth_idx"))
     value = captured(F.col("text"), F.col("extract"))
-    number = whole_number(value)
-    reaches = value.isNotNull() & (F.col("min_value").isNull() | (number >= F.col("min_value")))
-    decides = F.when(F.col("extract").isNull(), F.col("idx") == F.col("nth_idx")).otherwise(
-        (F.col("idx") >= F.col("nth_idx")) & F.coalesce(reaches, F.lit(False))
-    )
-    hits = matches.join(nth, ["run_id", "i"]).where(decides)
+    reaches = value.isNotNull() & (F.col("min_value").isNull() | (whole_number(value) >= F.col("min_value")))
+    reaches = F.coalesce(reaches, F.lit(False))
+    numbered = F.col("extract").isNotNull()
+    hits = matches.where((F.col("need") == 1) & (~numbered | reaches))
+    if max_need > 1:
+        ranked = matches.where(F.col("need") > 1)
+        nth = nth_match(ranked, max_need)
+        hits = hits.unionByName(nth.where(~numbered))
+        if max_numbered is None or max_numbered > 1:
+            late = ranked.where(numbered & reaches).join(
+                nth.where(numbered).select("run_id", "i", F.col("idx").alias("_nth")), ["run_id", "i"]
+            )
+            hits = hits.unionByName(late.where(F.col("idx") >= F.col("_nth")).drop("_nth"))
     return hits.groupBy("run_id", "i").agg(
         F.min("idx").alias("idx"), F.min_by("observed_at", "idx").alias("m_at"), F.min_by(value, "idx").alias("value")
     )
@@ -72,8 +80,10 @@ def adjudicate(
     the end of the run (last match, or the missed deadline) decides before it.
     """
     run_exp = run_expectations(runs, expectations)
-    matches = match_tokens(lines, run_exp)
-    deciding = deciding_lines(matches, largest_need(expectations))
+    matches = match_tokens(lines, run_exp, expectations)
+    deciding = deciding_lines(
+        matches, largest_need(expectations), largest_need(expectations, F.col("extract").isNotNull())
+    )
     checked = chain_deadlines(run_exp, deciding, grace_s)
     ends = checked.groupBy("run_id").agg(
         F.min(F.when(~F.col("ok"), F.col("i"))).alias("failed_i"),
@@ -87,7 +97,7 @@ def adjudicate(
         F.col("failed_i").isNull() | (F.col("i") < F.col("failed_i"))
     )
     run_forbidden = runs.select("run_id", "scenario").join(small_side(forbidden), "scenario")
-    seen = forbidden_hits(lines, run_forbidden, satisfied_tokens(reached)).select(
+    seen = forbidden_hits(lines, run_forbidden, satisfied_tokens(reached), forbidden).select(
         "run_id", "j", "idx", "token", micros(F.col("observed_at")).alias("at_us")
     )
     hit = (
@@ -123,7 +133,7 @@ def adjudicate_window(
     ``extract`` only the last match is tested.
     """
     run_exp = run_expectations(runs, expectations)
-    matches = match_tokens(lines, run_exp)
+    matches = match_tokens(lines, run_exp, expectations)
     counted = at_least(matches, run_exp).select("run_id", "i", "seen", F.col("ok").alias("enough"))
     numbers = extract_min(matches).select("run_id", "i", "value", F.col("ok").alias("reaches"), F.col("idx").alias("last_idx"))
     nth = nth_match(matches, largest_need(expectations)).select("run_id", "i", F.col("idx").alias("nth_idx"))
@@ -137,7 +147,7 @@ def adjudicate_window(
     )
     run_forbidden = runs.select("run_id", "scenario").join(small_side(forbidden), "scenario")
     hit = (
-        forbidden_hits(lines, run_forbidden, satisfied_tokens(checked))
+        forbidden_hits(lines, run_forbidden, satisfied_tokens(checked), forbidden)
         .groupBy("run_id")
         .agg(F.min(F.struct("j", "idx", "token")).alias("hit"))
     )

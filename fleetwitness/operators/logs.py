@@ -32,6 +32,7 @@ FAILURE_TOKENS = (
 )
 
 MAX_PREFILTER_TOKENS = 512
+MAX_PATTERNS = 256
 
 
 def any_token(text: Column, tokens: Column) -> Column:
@@ -58,11 +59,40 @@ def run_expectations(runs: DataFrame, expectations: DataFrame) -> DataFrame:
     return runs.join(small_side(expectations), "scenario")
 
 
-def match_tokens(lines: DataFrame, run_exp: DataFrame) -> DataFrame:
-    """Lines that contain any token and every ``same_line`` text of an expectation of their run."""
-    mentioned = keep_mentioned(lines, run_exp.select(F.explode("tokens").alias("token")))
+def pattern_key() -> Column:
+    return F.to_json(F.struct("tokens", F.coalesce("same_line", F.array().cast("array<string>")).alias("same_line")))
+
+
+def pattern_test(text: Column, tokens: Sequence[str], same_line: Sequence[str]) -> Column:
+    def has(t: str) -> Column:
+        return F.contains(text, F.lit(t))
+
+    some = functools.reduce(lambda a, b: a | b, [has(t) for t in tokens], F.lit(False))
+    return functools.reduce(lambda a, b: a & b, [has(t) for t in same_line], some)
+
+
+def match_tokens(lines: DataFrame, run_exp: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Lines that contain any token and every ``same_line`` text of an expectation of their run.
+
+    With the ``catalogue`` behind ``run_exp`` (a few hundred distinct patterns at
+    most) the patterns become one column expression: each line is tested where it
+    is read, and only matching lines are shuffled, by (run, pattern). A larger
+    catalogue is joined by run and tested pair by pair.
+    """
+    if catalogue is not None:
+        found = catalogue.select("tokens", "same_line", pattern_key().alias("key")).distinct().limit(MAX_PATTERNS + 1).collect()
+        if 0 < len(found) <= MAX_PATTERNS:
+            found = sorted(found, key=lambda r: r["key"])
+            tests = [
+                F.when(pattern_test(F.col("text"), r["tokens"] or [], r["same_line"] or []), F.lit(n))
+                for n, r in enumerate(found)
+            ]
+            number = F.create_map(*[x for n, r in enumerate(found) for x in (F.lit(r["key"]), F.lit(n))])
+            marked = lines.withColumn("_pattern", F.explode(F.array_compact(F.array(*tests))))
+            wanted = run_exp.withColumn("_pattern", F.element_at(number, pattern_key()))
+            return marked.join(wanted, ["run_id", "_pattern"]).drop("_pattern")
     hit = any_token(F.col("text"), F.col("tokens")) & all_tokens(F.col("text"), F.col("same_line"))
-    return mentioned.join(run_exp, "run_id").where(hit)
+    return lines.join(run_exp, "run_id").where(hit)
 
 
 def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:
@@ -109,8 +139,10 @@ def nth_match(matches: DataFrame, max_need: int) -> DataFrame:
     return smallest(matches, keys, [F.col("idx")], max_need).where(F.col("_rank") == F.col("need")).drop("_rank")
 
 
-def largest_need(expectations: DataFrame) -> int:
-    return int(expectations.agg(F.max("need")).first()[0] or 1)
+def largest_need(expectations: DataFrame, where: Column | None = None) -> int:
+    """Largest needed number of matches in the catalogue, 0 when no line fits ``where``."""
+    rows = expectations if where is None else expectations.where(where)
+    return int(rows.agg(F.max("need")).first()[0] or 0)
 
 
 def first_observed(matches: DataFrame) -> DataFrame:
@@ -126,13 +158,15 @@ def first_observed(matches: DataFrame) -> DataFrame:
     )
 
 
-def forbidden_hits(lines: DataFrame, run_forbidden: DataFrame, satisfied: DataFrame) -> DataFrame:
+def forbidden_hits(
+    lines: DataFrame, run_forbidden: DataFrame, satisfied: DataFrame, catalogue: DataFrame | None = None
+) -> DataFrame:
     """Forbidden tokens; one with ``after_token`` counts strictly below its anchor's line.
 
     ``satisfied``: run_id, token, anchor_idx — an anchor that was not met leaves
     its forbidden line inactive.
     """
-    mentioned = keep_mentioned(lines, run_forbidden.select("token"))
+    mentioned = lines if catalogue is None else keep_mentioned(lines, catalogue.select("token"))
     anchors = satisfied.select("run_id", F.col("token").alias("after_token"), "anchor_idx")
     active = run_forbidden.join(anchors, ["run_id", "after_token"], "left").where(
         F.col("after_token").isNull() | F.col("anchor_idx").isNotNull()

@@ -32,7 +32,7 @@ def doc_run_exp(t):
 
 
 def doc_matches(t):
-    return logs.match_tokens(doc_lines(t), doc_run_exp(t))
+    return logs.match_tokens(doc_lines(t), doc_run_exp(t), doc_expectations(t))
 
 
 @query(
@@ -290,7 +290,7 @@ def forbidden_hits(t):
     lines = doc_lines(t)
     anchors = lines.where(F.contains("text", F.lit("the"))).groupBy("run_id").agg(F.min("idx").alias("anchor_idx"))
     specs = doc_runs(t).join(doc_forbidden(t), "scenario").select("run_id", "j", "token", "after_token")
-    return logs.forbidden_hits(lines, specs, anchors.withColumn("token", F.lit("the"))).select("run_id", "j", "idx")
+    return logs.forbidden_hits(lines, specs, anchors.withColumn("token", F.lit("the")), doc_forbidden(t)).select("run_id", "j", "idx")
 
 
 @query(
@@ -304,8 +304,9 @@ def forbidden_hits(t):
 )
 def outstanding(t):
     run_exp = doc_run_exp(t)
-    any_of = run_exp.withColumn("same_line", F.array().cast("array<string>"))
-    satisfied = logs.first_observed(logs.match_tokens(doc_lines(t), any_of))
+    none = F.array().cast("array<string>")
+    any_of, catalogue = run_exp.withColumn("same_line", none), doc_expectations(t).withColumn("same_line", none)
+    satisfied = logs.first_observed(logs.match_tokens(doc_lines(t), any_of, catalogue))
     return logs.outstanding(run_exp, satisfied).select("run_id", "i", "waiting_for")
 
 

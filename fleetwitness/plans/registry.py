@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fleetwitness.session import shared_dir
 
@@ -31,7 +34,12 @@ class Tables:
 
     def rows(self, ddl: str, *rows: tuple) -> DataFrame:
         """A literal catalogue (rules, profiles) that a query joins its tables with."""
-        return self.spark.createDataFrame(list(rows), ddl)
+        schema = StructType.fromDDL(ddl)
+        columns = list(zip(*rows, strict=True))
+        arrow = to_arrow_schema(schema)
+        return self.spark.createDataFrame(
+            pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema
+        )
 
 
 def query(name: str, sql: str | None = None) -> Callable:
