@@ -181,4 +181,4 @@ def as_number(text: Column) -> tuple[Column, Column]:
 
 def select_other(levels: Column, current: Column) -> Column:
     """First member of the list whose text differs from the current value; NULL when none does."""
-    return F.element_at(F.filter(levels, lambda x: x.cast("string") != current.cast("string")), 1)
+    return F.try_element_at(F.filter(levels, lambda x: x.cast("string") != current.cast("string")), F.lit(1))
