@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from fleetwitness.plans import command_queries, liveness_queries, log_queries, sensor_queries  # noqa: F401
+from fleetwitness.plans import command_queries, liveness_queries, log_queries, sensor_queries, suite_queries  # noqa: F401
 from fleetwitness.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
