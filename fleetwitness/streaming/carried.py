@@ -1,0 +1,89 @@
+"""Micro-batches that carry their open rows to the next one.
+
+A step gets the new rows together with the rows that were still open, and returns
+what is decided and what stays open. Both are written per epoch with overwrite, so
+a replayed epoch gives the same files. Steps are ordinary DataFrame code: a hot
+device is split by the same ordered scans as in batch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from fleetwitness.functions.scalars import micros
+from fleetwitness.session import scratch_path
+
+Step = Callable[[DataFrame, int], tuple[DataFrame, DataFrame]]
+
+
+@dataclass
+class CarriedBatches:
+    """``foreachBatch`` function; ``step(rows, watermark_us)`` gives (decided, open) rows.
+
+    Rows have a ``ts`` and a boolean ``is_new`` (false for carried ones).
+    """
+
+    folder: str
+    step: Step
+    delay_s: float = 0.0
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("is_new", F.lit(True))
+        if epoch > 0:
+            before = spark.read.schema(batch.schema).parquet(f"{self.folder}/open/epoch={epoch - 1}")
+            rows = rows.unionByName(before.withColumn("is_new", F.lit(False)))
+        rows = rows.persist()
+        try:
+            # One number: the newest instant seen, less the allowed delay.
+            newest = rows.agg(F.max(micros(F.col("ts")))).first()[0]
+            watermark = (newest or 0) - int(self.delay_s * 1_000_000)
+            decided, still_open = self.step(rows, watermark)
+            decided.write.mode("overwrite").parquet(f"{self.folder}/rows/epoch={epoch}")
+            still_open.select(*batch.columns).write.mode("overwrite").parquet(f"{self.folder}/open/epoch={epoch}")
+        finally:
+            rows.unpersist()
+
+
+def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", **options) -> DataFrame:
+    """A file stream; ``maxFilesPerTrigger`` bounds a micro-batch."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    df = reader.load(path)
+    stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({s: F.col(s).cast("timestamp") for s in stamps}) if stamps else df
+
+
+def run_to_table(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Process what is there, append to Parquet, and return the written rows."""
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, name)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_carried(stream: DataFrame, step: Step, name: str, delay_s: float = 0.0, folder: str | None = None) -> DataFrame:
+    """Process what is there with carried batches and return every decided row."""
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, name)
+    query = (
+        stream.writeStream.foreachBatch(CarriedBatches(folder, step, delay_s))
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").drop("epoch")
