@@ -1,23 +1,21 @@
-"""Ordered expectations and forbidden lines to one verdict per run."""
+"""Ordered expectations and forbidden lines to one verdict per run.
+
+Everything is keyed by ``run_id`` alone, so the matching lines are shuffled once. A
+run's part of the catalogue is a short array beside the run; the chain of deadlines
+is folded over it in one projection.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros, whole_number
-from fleetwitness.operators.logs import (
-    at_least,
-    captured,
-    extract_min,
-    forbidden_hits,
-    largest_need,
-    match_tokens,
-    nth_match,
-    run_expectations,
-)
+from fleetwitness.operators.logs import captured, keep_mentioned, largest_need, match_tokens, nth_match
 from fleetwitness.operators.ordered import small_side
 
+CHECKED = "array<struct<i: int, tokens: array<string>, idx: bigint, m_us: bigint, deadline_us: bigint, ok: boolean>>"
+
 
 def deciding_lines(matches: DataFrame, max_need: int, max_numbered: int | None = None) -> DataFrame:
     """The line that satisfies each expectation as lines arrive.
@@ -46,29 +44,78 @@ def deciding_lines(matches: DataFrame, max_need: int, max_numbered: int | None =
     )
 
 
-def chain_deadlines(run_exp: DataFrame, deciding: DataFrame, grace_s: float = 0.0) -> DataFrame:
-    """Start, deadline and result of every expectation of a run.
+def scenario_lines(expectations: DataFrame) -> DataFrame:
+    """The lines of each scenario as one ordered array: a catalogue entry, not data."""
+    line = F.struct("i", "tokens", "need", F.col("extract").isNotNull().alias("numbered"), "within_s")
+    return expectations.groupBy("scenario").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+
+def with_found(runs: DataFrame, found: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Runs with their scenario's lines and what was found for each (one entry per line)."""
+    per_run = found.groupBy("run_id").agg(
+        F.collect_list(F.struct(*[c for c in found.columns if c != "run_id"])).alias("found")
+    )
+    return runs.join(per_run, "run_id", "left").join(small_side(scenario_lines(expectations)), "scenario")
+
+
+def entry(found: Column, i: Column) -> Column:
+    return F.try_element_at(F.filter(found, lambda f: f["i"] == i), F.lit(1))
+
+
+def chain_deadlines(runs_found: DataFrame, grace_s: float = 0.0) -> DataFrame:
+    """Deadline and result of every expectation of a run, as ``checked``.
 
     A line's clock starts when the line before it was satisfied, so its start is
-    the running maximum of the earlier match times. The window of a run holds one
-    row per expectation of its scenario.
+    the running maximum of the earlier match times and the start of the run.
     """
-    rows = run_exp.select("run_id", "scenario", "i", "tokens", "within_s", micros(F.col("t0")).alias("t0_us")).join(
-        deciding.select("run_id", "i", "idx", "value", micros(F.col("m_at")).alias("m_us")), ["run_id", "i"], "left"
-    )
-    w = Window.partitionBy("run_id").orderBy("i")
-    before = F.max("m_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.greatest(F.col("t0_us"), F.coalesce(before, F.col("t0_us")))
-    deadline = start + F.col("within_s").cast("bigint") * 1_000_000 + F.lit(int(grace_s * 1_000_000))
-    return rows.withColumns({"start_us": start, "deadline_us": deadline}).withColumn(
-        "ok", F.coalesce(F.col("m_us") <= F.col("deadline_us"), F.lit(False))
-    )
+    grace_us = int(grace_s * 1_000_000)
+
+    def step(acc: Column, e: Column) -> Column:
+        m_us = e["hit"]["m_us"]
+        deadline = acc["start"] + e["line"]["within_s"].cast("bigint") * 1_000_000 + grace_us
+        row = F.struct(
+            e["line"]["i"].alias("i"),
+            e["line"]["tokens"].alias("tokens"),
+            e["hit"]["idx"].alias("idx"),
+            m_us.alias("m_us"),
+            deadline.alias("deadline_us"),
+            F.coalesce(m_us <= deadline, F.lit(False)).alias("ok"),
+        )
+        # greatest() passes over NULL: a line that was never met moves no clock.
+        return F.struct(F.greatest(acc["start"], m_us).alias("start"), F.array_append(acc["rows"], row).alias("rows"))
+
+    zero = F.struct(micros(F.col("t0")).alias("start"), F.array().cast(CHECKED).alias("rows"))
+    paired = F.transform("lines", lambda e: F.struct(e.alias("line"), entry(F.col("found"), e["i"]).alias("hit")))
+    checked = F.aggregate(paired, zero, step, lambda acc: acc["rows"])
+    return runs_found.select("run_id", "scenario", micros(F.col("t0")).alias("t0_us"), checked.alias("checked"))
+
+
+def first_failed(checked: Column) -> Column:
+    return F.try_element_at(F.filter(checked, lambda c: ~c["ok"]), F.lit(1))
+
+
+def anchored(judged: DataFrame, forbidden: DataFrame, satisfied: Column) -> DataFrame:
+    """Active forbidden lines per run, with the index below which they count.
+
+    ``satisfied`` are the met lines in order; the anchor is the last of them that
+    names the token (every member of an OR line counts). An unmet anchor leaves
+    its forbidden line inactive.
+    """
+    specs = judged.join(small_side(forbidden), "scenario")
+    anchor = F.try_element_at(F.filter(satisfied, lambda c: F.array_contains(c["tokens"], F.col("after_token"))), F.lit(-1))
+    specs = specs.withColumn("anchor_idx", F.when(F.col("after_token").isNotNull(), anchor["idx"]))
+    return specs.where(F.col("after_token").isNull() | F.col("anchor_idx").isNotNull())
+
 
+def below_anchor() -> Column:
+    return F.col("anchor_idx").isNull() | (F.col("idx") > F.col("anchor_idx"))
 
-def satisfied_tokens(checked: DataFrame) -> DataFrame:
-    """Every token of a satisfied line with the deciding index of its last such line."""
-    rows = checked.where("ok").select("run_id", "i", "idx", F.explode("tokens").alias("token"))
-    return rows.groupBy("run_id", "token").agg(F.max_by("idx", "i").alias("anchor_idx"))
+
+def found_times(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
+    matches = match_tokens(lines, runs, expectations)
+    numbered = largest_need(expectations, F.col("extract").isNotNull())
+    deciding = deciding_lines(matches, largest_need(expectations), numbered)
+    return deciding.select("run_id", "i", "idx", micros(F.col("m_at")).alias("m_us"))
 
 
 def adjudicate(
@@ -77,92 +124,109 @@ def adjudicate(
     """Verdict per run with chained deadlines.
 
     The first line that misses its deadline decides. A forbidden line seen up to
-    the end of the run (last match, or the missed deadline) decides before it.
+    the end of the run (last match, or the missed deadline) decides before it; the
+    earliest one is named.
     """
-    run_exp = run_expectations(runs, expectations)
-    matches = match_tokens(lines, run_exp, expectations)
-    deciding = deciding_lines(
-        matches, largest_need(expectations), largest_need(expectations, F.col("extract").isNotNull())
-    )
-    checked = chain_deadlines(run_exp, deciding, grace_s)
-    ends = checked.groupBy("run_id").agg(
-        F.min(F.when(~F.col("ok"), F.col("i"))).alias("failed_i"),
-        F.min_by("deadline_us", F.when(~F.col("ok"), F.col("i"))).alias("failed_us"),
-        F.max("m_us").alias("last_us"),
-        F.max("t0_us").alias("t0_us"),
-        F.count(F.lit(1)).alias("lines"),
-    )
-    ends = ends.withColumn("end_us", F.coalesce("failed_us", "last_us"))
-    reached = checked.join(ends.select("run_id", "failed_i"), "run_id").where(
-        F.col("failed_i").isNull() | (F.col("i") < F.col("failed_i"))
-    )
-    run_forbidden = runs.select("run_id", "scenario").join(small_side(forbidden), "scenario")
-    seen = forbidden_hits(lines, run_forbidden, satisfied_tokens(reached), forbidden).select(
-        "run_id", "j", "idx", "token", micros(F.col("observed_at")).alias("at_us")
+    checked = chain_deadlines(with_found(runs, found_times(lines, runs, expectations), expectations), grace_s)
+    failed = first_failed(F.col("checked"))
+    last = F.array_max(F.transform("checked", lambda c: c["m_us"]))
+    judged = checked.withColumns(
+        {"failed_i": failed["i"], "end_us": F.coalesce(failed["deadline_us"], last), "n": F.size("checked")}
     )
+    met = F.filter("checked", lambda c: F.col("failed_i").isNull() | (c["i"] < F.col("failed_i")))
+    specs = anchored(judged, forbidden, met).select("run_id", "j", "token", "anchor_idx", "end_us")
+    at_us = micros(F.col("observed_at"))
     hit = (
-        seen.join(ends.select("run_id", "end_us"), "run_id")
-        .where(F.col("at_us") <= F.col("end_us"))
+        keep_mentioned(lines, forbidden.select("token"))
+        .join(specs, "run_id")
+        .where(F.contains("text", F.col("token")) & below_anchor() & (at_us <= F.col("end_us")))
         .groupBy("run_id")
-        .agg(F.min(F.struct("at_us", "j", "idx", "token")).alias("hit"))
+        .agg(F.min(F.struct(at_us.alias("at_us"), "j", "idx", "token")).alias("hit"))
     )
-    status = F.when(F.col("hit").isNotNull() | F.col("failed_i").isNotNull(), "FAIL").otherwise("PASS")
+    bad = F.col("hit").isNotNull()
     reason = (
-        F.when(F.col("hit").isNotNull(), F.concat(F.lit("forbidden hit: "), F.col("hit.token")))
+        F.when(bad, F.concat(F.lit("forbidden hit: "), F.col("hit.token")))
         .when(F.col("failed_i").isNotNull(), F.concat(F.lit("expected-not-seen: line "), F.col("failed_i")))
-        .otherwise(F.concat(F.col("lines"), F.lit("/"), F.col("lines"), F.lit(" positive · 0 forbidden")))
+        .otherwise(F.concat(F.col("n"), F.lit("/"), F.col("n"), F.lit(" positive · 0 forbidden")))
     )
-    # Deadlines of a failed run end its clock; a passing run ends at its last match.
-    return ends.join(runs.select("run_id", "scenario"), "run_id").join(hit, "run_id", "left").select(
+    return judged.join(hit, "run_id", "left").select(
         "run_id",
         "scenario",
-        status.alias("status"),
+        F.when(bad | F.col("failed_i").isNotNull(), "FAIL").otherwise("PASS").alias("status"),
         reason.alias("reason"),
-        F.when(F.col("hit").isNull(), F.col("failed_i")).alias("failed_i"),
+        F.when(~bad, F.col("failed_i")).alias("failed_i"),
         F.col("hit.idx").alias("forbidden_idx"),
         (F.coalesce(F.col("hit.at_us"), F.col("end_us")) - F.col("t0_us")).alias("decided_after_us"),
     )
 
 
+def found_counts(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Per run and line: matches, N-th index, last index and the number in the last line."""
+    matches = match_tokens(lines, runs, expectations)
+    value = captured(F.col("text"), F.col("extract"))
+    columns = ["run_id", "i", "idx", F.lit(1).cast("bigint").alias("one")]
+    rows = matches.select(*columns, F.when(F.col("need") == 1, F.col("idx")).alias("nth"), value.alias("value"), "min_value")
+    max_need = largest_need(expectations)
+    if max_need > 1:
+        nth = nth_match(matches.where(F.col("need") > 1), max_need)
+        again = nth.select(
+            "run_id", "i", "idx", F.lit(0).cast("bigint").alias("one"), F.col("idx").alias("nth"),
+            F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("min_value"),
+        )
+        rows = rows.unionByName(again)
+    real = F.when(F.col("one") == 1, F.col("idx"))
+    last = rows.groupBy("run_id", "i").agg(
+        F.sum("one").alias("seen"), F.min("nth").alias("nth"), F.max("idx").alias("last"),
+        F.max_by("value", real).alias("value"), F.max("min_value").alias("min_value"),
+    )
+    number = whole_number(F.col("value"))
+    reaches = F.col("value").isNotNull() & (
+        F.col("min_value").isNull() | F.coalesce(number >= F.col("min_value"), F.lit(False))
+    )
+    return last.select("run_id", "i", "seen", "nth", "last", reaches.alias("reaches"))
+
+
 def adjudicate_window(
     runs: DataFrame, expectations: DataFrame, forbidden: DataFrame, lines: DataFrame
 ) -> DataFrame:
     """Verdict per run over a finished window, without deadlines.
 
-    Every line is evaluated; a forbidden hit outranks the first failed line. With
-    ``extract`` only the last match is tested.
+    Every line is evaluated; a forbidden hit (first in list order, then in file
+    order) outranks the first failed line. With ``extract`` only the last match is
+    tested.
     """
-    run_exp = run_expectations(runs, expectations)
-    matches = match_tokens(lines, run_exp, expectations)
-    counted = at_least(matches, run_exp).select("run_id", "i", "seen", F.col("ok").alias("enough"))
-    numbers = extract_min(matches).select("run_id", "i", "value", F.col("ok").alias("reaches"), F.col("idx").alias("last_idx"))
-    nth = nth_match(matches, largest_need(expectations)).select("run_id", "i", F.col("idx").alias("nth_idx"))
-    key = ["run_id", "i"]
-    ok = F.col("enough") & (F.col("extract").isNull() | F.coalesce(F.col("reaches"), F.lit(False)))
-    checked = (
-        run_exp.join(counted, key)
-        .join(numbers, key, "left")
-        .join(nth, key, "left")
-        .withColumns({"ok": ok, "idx": F.coalesce("last_idx", "nth_idx")})
+
+    def check(e: Column) -> Column:
+        hit = entry(F.col("found"), e["i"])
+        seen = F.coalesce(hit["seen"], F.lit(0).cast("bigint"))
+        ok = (seen >= e["need"]) & (~e["numbered"] | F.coalesce(hit["reaches"], F.lit(False)))
+        idx = F.when(e["numbered"], hit["last"]).otherwise(hit["nth"])
+        return F.struct(
+            e["i"].alias("i"), e["tokens"].alias("tokens"), e["need"].alias("need"), seen.alias("seen"),
+            idx.alias("idx"), ok.alias("ok"),
+        )
+
+    found = with_found(runs, found_counts(lines, runs, expectations), expectations)
+    judged = found.select("run_id", "scenario", F.transform("lines", check).alias("checked"))
+    judged = judged.withColumn("f", first_failed(F.col("checked")))
+    specs = anchored(judged, forbidden, F.filter("checked", lambda c: c["ok"])).select(
+        "run_id", "j", "token", "anchor_idx"
     )
-    run_forbidden = runs.select("run_id", "scenario").join(small_side(forbidden), "scenario")
     hit = (
-        forbidden_hits(lines, run_forbidden, satisfied_tokens(checked), forbidden)
+        keep_mentioned(lines, forbidden.select("token"))
+        .join(specs, "run_id")
+        .where(F.contains("text", F.col("token")) & below_anchor())
         .groupBy("run_id")
         .agg(F.min(F.struct("j", "idx", "token")).alias("hit"))
     )
-    per_run = checked.groupBy("run_id", "scenario").agg(
-        F.min_by(F.struct("i", "seen", "need"), F.when(~F.col("ok"), F.col("i"))).alias("f"),
-        F.count(F.lit(1)).alias("lines"),
-    )
     failed = F.format_string("expected-not-seen: line %d (saw %d/%d)", "f.i", "f.seen", "f.need")
-    return per_run.join(hit, "run_id", "left").select(
+    return judged.join(hit, "run_id", "left").select(
         "run_id",
         "scenario",
         F.when(F.col("hit").isNotNull() | F.col("f").isNotNull(), "FAIL").otherwise("PASS").alias("status"),
         F.when(F.col("hit").isNotNull(), F.concat(F.lit("forbidden hit: "), F.col("hit.token")))
         .when(F.col("f").isNotNull(), failed)
-        .otherwise(F.concat(F.col("lines"), F.lit(" log positive(s) satisfied")))
+        .otherwise(F.concat(F.size("checked"), F.lit(" log positive(s) satisfied")))
         .alias("reason"),
         F.col("f.i").alias("failed_i"),
         F.col("hit.idx").alias("forbidden_idx"),

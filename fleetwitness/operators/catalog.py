@@ -80,9 +80,11 @@ def validate_expectations(
     ]
     # L14: the anchor is a plain token of an earlier line of the same scenario.
     anchored = p.where(F.array_contains("assert_keys", "new_run_after")).select("scenario", "i", "anchor")
-    earlier = p.where(is_log).select(F.col("scenario").alias("_s"), F.col("i").alias("_i"), F.col("log").alias("_t"))
-    met = (F.col("scenario") == F.col("_s")) & (F.col("anchor") == F.col("_t")) & (F.col("_i") < F.col("i"))
-    out.append(_broken(anchored.join(earlier, met, "left_anti"), "L14", F.lit(True), 2, F.col("i"), F.col("anchor")))
+    first = p.where(is_log).groupBy("scenario", F.col("log").alias("anchor")).agg(F.min("i").alias("_first"))
+    unmet = ~F.coalesce(F.col("_first") < F.col("i"), F.lit(False))
+    out.append(
+        _broken(anchored.join(first, ["scenario", "anchor"], "left"), "L14", unmet, 2, F.col("i"), F.col("anchor"))
+    )
     both = p.groupBy("scenario").agg(
         F.max(F.array_contains("assert_keys", "new_run_after")).alias("_a"),
         F.max(F.array_contains("assert_keys", "new_confirmed_run")).alias("_b"),

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwitness.operators.ordered import small_side, smallest
+from fleetwitness.operators.ordered import smallest
 
 # Event types of the command verdict stream.
 COMMAND_EVENT_TYPES = (
@@ -37,18 +37,14 @@ def prunable_logs(logs: DataFrame, citations: DataFrame, keep: int = 2) -> DataF
     return older.where("copied").join(citations.select("boot_id"), "boot_id", "left_anti")
 
 
-def ordered_suite(suites: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Legs of each suite in list order; ``all`` stands for every scenario by name, without constants.
+def ordered_suite(suites: DataFrame) -> DataFrame:
+    """Legs of each suite in list order. ``suites``: suite, legs ARRAY."""
+    return suites.select("suite", F.posexplode("legs").alias("pos", "scenario"))
 
-    ``suites``: suite, legs ARRAY; ``scenarios``: scenario.
-    """
-    listed = suites.where(~F.array_contains("legs", "all")).select("suite", F.posexplode("legs").alias("pos", "scenario"))
-    names = small_side(scenarios.where(F.col("scenario") != "constants").select("scenario").distinct())
-    whole = suites.where(F.array_contains("legs", "all")).select("suite", F.lit("all").alias("_all"))
-    every = whole.join(names.withColumn("_all", F.lit("all")), "_all").select(
-        "suite", F.lit(None).cast("int").alias("pos"), "scenario"
-    )
-    return listed.unionByName(every)
+
+def whole_suite(scenarios: DataFrame) -> DataFrame:
+    """The suite ``all``: every scenario by name, without the constants file."""
+    return scenarios.where(F.col("scenario") != "constants").select("scenario").distinct().orderBy("scenario")
 
 
 def evidence_union(parts: dict[str, DataFrame]) -> DataFrame:

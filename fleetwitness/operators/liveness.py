@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import iso_instant, json_at, whole_number
+from fleetwitness.operators.ordered import small_side
 
 
 def new_runs(runs: DataFrame, snapshot: DataFrame, on: tuple[str, ...] = ("scope", "run_id")) -> DataFrame:
@@ -41,7 +42,7 @@ def new_run_after(
         fresh = fresh.join(snapshot_scopes.select("scope").distinct(), "scope", "left_semi")
     joined = fresh.join(
         chains.select("run_id", F.col("status").alias("chain_status"), "matched_at", "executed"), "run_id", "left"
-    ).join(anchors.select("scope", "m_observed"), "scope")
+    ).join(small_side(anchors.select("scope", "m_observed")), "scope")
     matched, triggered = iso_instant(F.col("matched_at")), iso_instant(F.col("triggered_at"))
     reason = (
         F.when(F.coalesce(F.col("chain_status"), F.lit(0)) != 200, "chain not 200")

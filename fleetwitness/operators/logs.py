@@ -71,28 +71,27 @@ def pattern_test(text: Column, tokens: Sequence[str], same_line: Sequence[str])
     return functools.reduce(lambda a, b: a & b, [has(t) for t in same_line], some)
 
 
-def match_tokens(lines: DataFrame, run_exp: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
     """Lines that contain any token and every ``same_line`` text of an expectation of their run.
 
-    With the ``catalogue`` behind ``run_exp`` (a few hundred distinct patterns at
-    most) the patterns become one column expression: each line is tested where it
-    is read, and only matching lines are shuffled, by (run, pattern). A larger
-    catalogue is joined by run and tested pair by pair.
+    The distinct patterns of the catalogue (a few hundred at most) become one column
+    expression: each line is tested where it is read, and only matching lines are
+    shuffled, by run. A larger catalogue is joined by scenario and tested pair by pair.
     """
-    if catalogue is not None:
-        found = catalogue.select("tokens", "same_line", pattern_key().alias("key")).distinct().limit(MAX_PATTERNS + 1).collect()
-        if 0 < len(found) <= MAX_PATTERNS:
-            found = sorted(found, key=lambda r: r["key"])
-            tests = [
-                F.when(pattern_test(F.col("text"), r["tokens"] or [], r["same_line"] or []), F.lit(n))
-                for n, r in enumerate(found)
-            ]
-            number = F.create_map(*[x for n, r in enumerate(found) for x in (F.lit(r["key"]), F.lit(n))])
-            marked = lines.withColumn("_pattern", F.explode(F.array_compact(F.array(*tests))))
-            wanted = run_exp.withColumn("_pattern", F.element_at(number, pattern_key()))
-            return marked.join(wanted, ["run_id", "_pattern"]).drop("_pattern")
-    hit = any_token(F.col("text"), F.col("tokens")) & all_tokens(F.col("text"), F.col("same_line"))
-    return lines.join(run_exp, "run_id").where(hit)
+    found = expectations.select("tokens", "same_line", pattern_key().alias("key")).distinct().limit(MAX_PATTERNS + 1).collect()
+    if not 0 < len(found) <= MAX_PATTERNS:
+        hit = any_token(F.col("text"), F.col("tokens")) & all_tokens(F.col("text"), F.col("same_line"))
+        return lines.join(runs, "run_id").join(expectations, "scenario").where(hit)
+    found = sorted(found, key=lambda r: r["key"])
+    tests = [
+        F.when(pattern_test(F.col("text"), r["tokens"] or [], r["same_line"] or []), F.lit(n))
+        for n, r in enumerate(found)
+    ]
+    number = F.create_map(*[x for n, r in enumerate(found) for x in (F.lit(r["key"]), F.lit(n))])
+    marked = lines.withColumn("_patterns", F.array_compact(F.array(*tests))).where(F.size("_patterns") > 0)
+    wanted = small_side(expectations.withColumn("_pattern", F.element_at(number, pattern_key())))
+    of_run = marked.join(runs, "run_id").withColumn("_pattern", F.explode("_patterns"))
+    return of_run.join(wanted, ["scenario", "_pattern"]).drop("_pattern", "_patterns")
 
 
 def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:

@@ -310,8 +310,13 @@ def calendar_of(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     return span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 DAY"))).alias(day))
 
 
-def failure_evidence(verdicts: DataFrame, evidence: DataFrame, key: str = "night") -> DataFrame:
-    """The night's quiesce reads beside every FAIL leg that has a bundle, and only those."""
+def failure_evidence(verdicts: DataFrame, reads: DataFrame, key: str = "night") -> DataFrame:
+    """The night's quiesce evidence beside every FAIL leg that has a bundle, and only those.
+
+    Each leg points at the night's one evidence record (how many reads, the last of
+    them); the reads themselves are not copied per leg.
+    """
+    evidence = reads.groupBy(key).agg(F.count(F.lit(1)).alias("reads"), F.max("read_seq").alias("last_read"))
     failed = verdicts.where((F.col("status") == "FAIL") & F.col("bundle").isNotNull())
     return failed.join(evidence, key)
 

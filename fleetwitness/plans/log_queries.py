@@ -32,7 +32,7 @@ def doc_run_exp(t):
 
 
 def doc_matches(t):
-    return logs.match_tokens(doc_lines(t), doc_run_exp(t), doc_expectations(t))
+    return logs.match_tokens(doc_lines(t), doc_runs(t), doc_expectations(t))
 
 
 @query(
@@ -186,15 +186,36 @@ def nth_match(t):
 
 
 # Runs on the event stream: one user day, three ordered expectations, two forbidden kinds.
-DAY_RUNS = """WITH lines AS (
+H6, H12 = 6 * HOUR_US, 12 * HOUR_US
+DAY_RUNS = f"""WITH lines AS (
   SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS run_id, event_id AS idx, event_type, epoch_us(ts) AS us,
     epoch_us(date_trunc('day', ts)) AS t0 FROM events),
-runs AS (SELECT run_id, min(t0) AS t0 FROM lines GROUP BY run_id),
+days AS (SELECT run_id, min(t0) AS t0, dayofweek(make_timestamp(min(t0))) IN (0, 6) AS weekend FROM lines GROUP BY run_id),
+runs AS (SELECT run_id, t0, CASE WHEN weekend THEN {H12} ELSE {10 * HOUR_US} END AS w0, {H12} AS w1,
+  CASE WHEN weekend THEN {H6} ELSE {8 * HOUR_US} END AS w2 FROM days),
 k0 AS (SELECT run_id, min(us) AS m FROM lines WHERE event_type IN ('click', 'view') GROUP BY run_id),
 k1 AS (SELECT run_id, us AS m FROM (
   SELECT run_id, us, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS r FROM lines WHERE event_type IN ('view', 'purchase', 'click')) WHERE r = 2),
 k2 AS (SELECT run_id, min_by(us, idx) AS m, min(idx) AS idx FROM lines WHERE event_type = 'signup' GROUP BY run_id)"""
-H6, H12 = 6 * HOUR_US, 12 * HOUR_US
+
+
+def day_scenario(day):
+    return F.when(F.dayofweek(day).isin(1, 7), "weekend").otherwise("weekday")
+
+
+def day_expectations(t, form=("", [])):
+    """Three ordered expectations per kind of day; ``form`` is the token's end and the same-line text."""
+    end, same = form
+    rows = []
+    for scenario, first, third in (("weekday", 36_000, 28_800), ("weekend", 43_200, 21_600)):
+        rows.append((scenario, 0, [f"click{end}", f"view{end}"], [], 1, None, None, first))
+        rows.append((scenario, 1, [f"view{end}", f"purchase{end}", f"click{end}"], same, 2, None, None, 43_200))
+        rows.append((scenario, 2, [f"signup{end}"], [], 1, None, None, third))
+    return t.rows(
+        "scenario STRING, i INT, tokens ARRAY<STRING>, same_line ARRAY<STRING>, need INT, extract STRING, "
+        "min_value BIGINT, within_s INT",
+        *rows,
+    )
 
 
 @query(
@@ -202,8 +223,8 @@ H6, H12 = 6 * HOUR_US, 12 * HOUR_US
     f"""{DAY_RUNS},
     timed AS (
       SELECT r.run_id, r.t0, k0.m AS m0, k1.m AS m1, k2.m AS m2, k2.idx AS anchor,
-        r.t0 + {H12} AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + {H12} AS d1,
-        greatest(r.t0, coalesce(k0.m, r.t0), coalesce(k1.m, r.t0)) + {H6} AS d2
+        r.t0 + w0 AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + w1 AS d1,
+        greatest(r.t0, coalesce(k0.m, r.t0), coalesce(k1.m, r.t0)) + w2 AS d2
       FROM runs r LEFT JOIN k0 USING (run_id) LEFT JOIN k1 USING (run_id) LEFT JOIN k2 USING (run_id)),
     ended AS (
       SELECT *, CASE WHEN NOT coalesce(m0 <= d0, false) THEN 0 WHEN NOT coalesce(m1 <= d1, false) THEN 1
@@ -230,20 +251,13 @@ def adjudicate(t):
         F.concat_ws(": ", "event_type", "props").alias("text"),
     )
     runs = lines.groupBy("run_id").agg(F.min(F.date_trunc("day", "observed_at")).alias("t0")).select(
-        "run_id", F.lit("user-day").alias("scenario"), "t0"
-    )
-    expectations = t.rows(
-        "scenario STRING, i INT, tokens ARRAY<STRING>, same_line ARRAY<STRING>, need INT, extract STRING, "
-        "min_value BIGINT, within_s INT",
-        ("user-day", 0, ["click:", "view:"], [], 1, None, None, 43_200),
-        ("user-day", 1, ["view:", "purchase:", "click:"], ["k"], 2, None, None, 43_200),
-        ("user-day", 2, ["signup:"], [], 1, None, None, 21_600),
+        "run_id", day_scenario(F.col("t0")).alias("scenario"), "t0"
     )
     forbidden = t.rows(
         "scenario STRING, j INT, token STRING, after_token STRING",
-        ("user-day", 0, "error:", "signup:"),
-        ("user-day", 1, '"k": 13', None),
+        *[(s, *f) for s in ("weekday", "weekend") for f in ((0, "error:", "signup:"), (1, '"k": 13', None))],
     )
+    expectations = day_expectations(t, (":", ["k"]))
     return judge.adjudicate(runs, expectations, forbidden, lines).drop("scenario", "reason")
 
 
@@ -305,8 +319,8 @@ def forbidden_hits(t):
 def outstanding(t):
     run_exp = doc_run_exp(t)
     none = F.array().cast("array<string>")
-    any_of, catalogue = run_exp.withColumn("same_line", none), doc_expectations(t).withColumn("same_line", none)
-    satisfied = logs.first_observed(logs.match_tokens(doc_lines(t), any_of, catalogue))
+    any_of = doc_expectations(t).withColumn("same_line", none)
+    satisfied = logs.first_observed(logs.match_tokens(doc_lines(t), doc_runs(t), any_of))
     return logs.outstanding(run_exp, satisfied).select("run_id", "i", "waiting_for")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros
 from fleetwitness.plans.command_queries import VERDICTS
-from fleetwitness.plans.log_queries import DAY_RUNS, H6, H12
+from fleetwitness.plans.log_queries import DAY_RUNS, day_expectations, day_scenario
 from fleetwitness.plans.registry import query
 from fleetwitness.plans.sensor_queries import LAGGED, TWIN_GAP_S
 from fleetwitness.plans.standins import (
@@ -70,8 +70,8 @@ def stream_forbidden(t):
     "r3_stream_deadlines",
     f"""{DAY_RUNS},
     timed AS (
-      SELECT r.run_id, k0.m AS m0, k1.m AS m1, k2.m AS m2, r.t0 + {H12} AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + {H12} AS d1,
-        greatest(r.t0, coalesce(k0.m, r.t0), coalesce(k1.m, r.t0)) + {H6} AS d2
+      SELECT r.run_id, k0.m AS m0, k1.m AS m1, k2.m AS m2, r.t0 + w0 AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + w1 AS d1,
+        greatest(r.t0, coalesce(k0.m, r.t0), coalesce(k1.m, r.t0)) + w2 AS d2
       FROM runs r LEFT JOIN k0 USING (run_id) LEFT JOIN k1 USING (run_id) LEFT JOIN k2 USING (run_id)),
     f AS (
       SELECT *, CASE WHEN NOT coalesce(m0 <= d0, false) THEN 0 WHEN NOT coalesce(m1 <= d1, false) THEN 1
@@ -94,20 +94,14 @@ def stream_deadlines(t):
     )
     rows = event_stream(t).select(
         F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
-        F.lit("user-day").alias("scenario"),
+        day_scenario(F.col("ts")).alias("scenario"),
         F.date_trunc("day", "ts").alias("t0"),
         "ts",
         F.explode_outer(met).alias("i"),
         F.col("event_id").alias("idx"),
         kind.alias("text"),
     )
-    expectations = t.rows(
-        "scenario STRING, i INT, tokens ARRAY<STRING>, need INT, extract STRING, min_value BIGINT, within_s INT",
-        ("user-day", 0, ["click", "view"], 1, None, None, 43_200),
-        ("user-day", 1, ["view", "purchase", "click"], 2, None, None, 43_200),
-        ("user-day", 2, ["signup"], 1, None, None, 21_600),
-    )
-    return run_carried(rows, live.deadline_step(expectations, 2, 0), "r3", delay_s=3600)
+    return run_carried(rows, live.deadline_step(day_expectations(t), 2, 0), "r3", delay_s=3600)
 
 
 def command_rows(t):

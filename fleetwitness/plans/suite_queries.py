@@ -267,15 +267,16 @@ def missing_nights(t):
 
 @query(
     "j22_failure_evidence",
-    f"""WITH {TRANSCRIPT} SELECT v.night, v.scenario, v.bundle, c.turn AS read_seq
-    FROM verdicts v JOIN conversations c ON c.conv_id = v.night
-    WHERE v.status = 'FAIL' AND v.bundle IS NOT NULL AND c.role = 'assistant'""",
+    f"""WITH {TRANSCRIPT}, e AS (SELECT conv_id AS night, count(*) AS reads, max(turn) AS last_read FROM conversations
+      WHERE role = 'assistant' GROUP BY 1)
+    SELECT v.night, v.scenario, v.bundle, reads, last_read FROM verdicts v JOIN e ON e.night = v.night
+    WHERE v.status = 'FAIL' AND v.bundle IS NOT NULL""",
 )
 def failure_evidence(t):
     reads = t.conversations.where(F.col("role") == "assistant").select(
         F.col("conv_id").alias("night"), F.col("turn").alias("read_seq")
     )
-    return suites.failure_evidence(verdicts(t), reads).select("night", "scenario", "bundle", "read_seq")
+    return suites.failure_evidence(verdicts(t), reads).select("night", "scenario", "bundle", "reads", "last_read")
 
 
 @query(
@@ -297,18 +298,20 @@ def latest_events(t):
 
 @query(
     "t2_ordered_suite",
-    """WITH names AS (SELECT DISTINCT p_type AS scenario FROM part WHERE p_type <> 'ECONOMY')
-    SELECT c_custkey AS suite, CAST(NULL AS INTEGER) AS pos, scenario FROM customer, names WHERE c_mktsegment = 'MACHINERY'
-    UNION ALL SELECT c_custkey, 0, c_mktsegment FROM customer WHERE c_mktsegment <> 'MACHINERY'
-    UNION ALL SELECT c_custkey, 1, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'MACHINERY'""",
+    """SELECT c_custkey AS suite, 0 AS pos, c_mktsegment AS scenario FROM customer
+    UNION ALL SELECT c_custkey, 1, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def ordered_suite(t):
-    legs = F.when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("all"))).otherwise(F.array("c_mktsegment", "n_name"))
     lists = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("suite"), legs.alias("legs")
+        F.col("c_custkey").alias("suite"), F.array("c_mktsegment", "n_name").alias("legs")
     )
-    names = t.part.select(F.when(F.col("p_type") == "ECONOMY", "constants").otherwise(F.col("p_type")).alias("scenario"))
-    return fleet.ordered_suite(lists, names)
+    return fleet.ordered_suite(lists)
+
+
+@query("t2_whole_suite", "SELECT DISTINCT p_name AS scenario FROM part WHERE p_type <> 'ECONOMY' ORDER BY 1")
+def whole_suite(t):
+    names = F.when(F.col("p_type") == "ECONOMY", "constants").otherwise(F.col("p_name"))
+    return fleet.whole_suite(t.part.select(names.alias("scenario")))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +37,11 @@ def append_digest(lines: DataFrame, folder: str) -> None:
 
     ``lines``: night, line, latency.
     """
-    spark = lines.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     fresh = lines
-    if known:
-        done = spark.read.schema(lines.schema).parquet(folder).select("night").distinct()
+    try:
+        done = lines.sparkSession.read.schema(lines.schema).parquet(folder).select("night").distinct()
         fresh = lines.join(done, "night", "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     fresh.write.mode("append").parquet(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros
-from fleetwitness.operators.adjudicate import chain_deadlines, deciding_lines
+from fleetwitness.operators.adjudicate import chain_deadlines, deciding_lines, first_failed, with_found
 from fleetwitness.operators.commands import command_timeline, confirm_commands, is_command
 from fleetwitness.operators.logs import mentions
 from fleetwitness.operators.ordered import ordered, small_side, smallest
@@ -53,22 +53,15 @@ def deadline_step(expectations: DataFrame, max_need: int, max_numbered: int) ->
 
     def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
         starts = rows.groupBy("run_id", "scenario").agg(F.min("t0").alias("t0"))
-        run_exp = starts.join(small_side(expectations), "scenario")
-        matches = rows.where(F.col("i").isNotNull()).withColumnRenamed("ts", "observed_at").drop("scenario", "t0", "is_new")
         terms = small_side(expectations.select("scenario", "i", "need", "extract", "min_value"))
-        matches = matches.join(starts.select("run_id", "scenario"), "run_id").join(terms, ["scenario", "i"])
-        checked = chain_deadlines(run_exp, deciding_lines(matches, max_need, max_numbered))
-        first_open = F.when(~F.col("ok"), F.col("i"))
-        per_run = checked.groupBy("run_id").agg(
-            F.min(first_open).alias("failed_i"),
-            F.min_by(F.struct("deadline_us", "m_us"), first_open).alias("f"),
-        )
-        passed = F.col("failed_i").isNull()
-        failed = F.col("f.m_us").isNotNull() | (F.col("f.deadline_us") < watermark_us)
-        judged = per_run.select(
-            "run_id",
-            F.when(passed, "PASS").when(failed, "FAIL").alias("status"),
-            F.when(~passed, F.col("failed_i")).alias("failed_i"),
+        matches = rows.where(F.col("i").isNotNull()).withColumnRenamed("ts", "observed_at").join(terms, ["scenario", "i"])
+        deciding = deciding_lines(matches.drop("scenario", "t0", "is_new"), max_need, max_numbered)
+        found = deciding.select("run_id", "i", "idx", micros(F.col("m_at")).alias("m_us"))
+        checked = chain_deadlines(with_found(starts, found, expectations))
+        f = first_failed(F.col("checked"))
+        late = f["m_us"].isNotNull() | (f["deadline_us"] < watermark_us)
+        judged = checked.select(
+            "run_id", F.when(f.isNull(), "PASS").when(late, "FAIL").alias("status"), f["i"].alias("failed_i")
         )
         waiting = judged.where(F.col("status").isNull()).select("run_id")
         # An open run needs at most the first matches of each line.
