@@ -7,6 +7,7 @@ from fleetwitness.plans import (  # noqa: F401
     log_queries,
     scalar_queries,
     sensor_queries,
+    source_queries,
     stream_queries,
     suite_queries,
 )

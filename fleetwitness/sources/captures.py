@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import iso_instant, json_at
@@ -16,17 +16,21 @@ RADIO_EVENT = (
 RADIO_FIXTURE = (
     "provenance MAP<STRING,STRING>, "
     "environment STRUCT<host: STRING, coordinator: STRING, referenceStack: STRING, network: STRING, device: MAP<STRING,STRING>>, "
-    f"events ARRAY<STRUCT<{RADIO_EVENT.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' MAP<', ': MAP<').replace(' STRUCT<', ': STRUCT<')}>>, "
-    f"sequences ARRAY<STRUCT<name: STRING, events: ARRAY<STRUCT<{RADIO_EVENT.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' MAP<', ': MAP<').replace(' STRUCT<', ': STRUCT<')}>>>>"
+    f"events ARRAY<STRUCT<{RADIO_EVENT}>>, "
+    f"sequences ARRAY<STRUCT<name: STRING, events: ARRAY<STRUCT<{RADIO_EVENT}>>>>"
 )
 
 
-def read_radio_fixture(spark: SparkSession, path: str, date: str | None = None, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+def read_radio_fixture(
+    spark: SparkSession, path: str, date: str | None = None, zone: str = "UTC", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(events, notes): one row per event and attribute; rows without a time are notes.
 
     A stamp with only a time of day takes ``date`` and ``zone`` from the provenance.
+    ``multi_line`` reads one capture per file; without it every line is a capture,
+    which lets Spark split large files.
     """
-    raw = spark.read.schema(RADIO_FIXTURE).option("multiLine", True).json(path)
+    raw = spark.read.schema(RADIO_FIXTURE).option("multiLine", multi_line).json(path)
     named = F.coalesce(
         F.col("sequences"), F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("events").alias("events")))
     )
@@ -57,21 +61,26 @@ def read_radio_fixture(spark: SparkSession, path: str, date: str | None = None,
     return events, notes
 
 
+def snapshot_of(multi_line: bool) -> Column:
+    """A file is a snapshot; where every line is one, the line names it."""
+    return F.col("_metadata.file_path") if multi_line else F.col("snapshot")
+
+
 CLUSTER = (
     "STRUCT<cluster_id: STRING, endpoint_attribute: STRING, attributes: ARRAY<STRUCT<id: STRING, name: STRING, "
     "zcl_type: STRING, value: VARIANT, unsupported: BOOLEAN>>>"
 )
 DIAGNOSTICS = (
-    "data STRUCT<nwk: STRING, manufacturer: STRING, model: STRING, manufacturer_code: INT, power_source: STRING, "
+    "snapshot STRING, data STRUCT<nwk: STRING, manufacturer: STRING, model: STRING, manufacturer_code: INT, power_source: STRING, "
     "lqi: INT, rssi: INT, last_seen: STRING, device_type: STRING, quirk_applied: BOOLEAN, "
     f"endpoints: MAP<STRING, STRUCT<profile_id: INT, in_clusters: ARRAY<{CLUSTER}>, out_clusters: ARRAY<{CLUSTER}>>>>"
 )
 
 
-def read_diagnostics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_diagnostics(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(devices, attributes) of device diagnostics files; values stay VARIANT."""
-    raw = spark.read.schema(DIAGNOSTICS).option("multiLine", True).json(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("snapshot_id"), "data.*")
+    raw = spark.read.schema(DIAGNOSTICS).option("multiLine", multi_line).json(path)
+    raw = raw.select(snapshot_of(multi_line).alias("snapshot_id"), "data.*")
     devices = raw.drop("endpoints").withColumn("last_seen", iso_instant(F.col("last_seen")))
     points = raw.select("snapshot_id", F.explode("endpoints").alias("endpoint", "p"))
     sides = F.array(
@@ -93,15 +102,15 @@ def read_diagnostics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 COORDINATOR = (
-    "data STRUCT<application_state: STRUCT<counters: MAP<STRING, MAP<STRING, STRUCT<repr: STRING>>>>, "
+    "snapshot STRING, data STRUCT<application_state: STRUCT<counters: MAP<STRING, MAP<STRING, STRUCT<repr: STRING>>>>, "
     "energy_scan: MAP<STRING, DOUBLE>>"
 )
 
 
-def read_coordinator(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_coordinator(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(counters, energy scan) of coordinator snapshots."""
-    raw = spark.read.schema(COORDINATOR).option("multiLine", True).json(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("snapshot_id"), "data.*")
+    raw = spark.read.schema(COORDINATOR).option("multiLine", multi_line).json(path)
+    raw = raw.select(snapshot_of(multi_line).alias("snapshot_id"), "data.*")
     named = raw.select("snapshot_id", F.explode("application_state.counters").alias("counter_group", "m")).select(
         "snapshot_id", "counter_group", F.explode("m").alias("name", "c")
     )

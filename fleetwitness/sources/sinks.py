@@ -26,8 +26,11 @@ def evidence_records(verdicts: DataFrame, slices: DataFrame, captures: DataFrame
 
 
 def write_evidence(manifest: DataFrame, slices: DataFrame, captures: DataFrame, markers: DataFrame, folder: str) -> None:
-    """Manifest partitioned by scenario and night, and the parts as tables beside it."""
-    manifest.write.mode("append").partitionBy("scenario", "night").parquet(f"{folder}/manifest")
+    """Manifest partitioned by scenario and night, and the parts as tables beside it.
+
+    The rebalance brings a night's rows together and splits a large night again.
+    """
+    manifest.hint("rebalance", "scenario", "night").write.mode("append").partitionBy("scenario", "night").parquet(f"{folder}/manifest")
     for name, df in (("log_lines", slices), ("api_reads", captures), ("markers", markers)):
         df.write.mode("append").parquet(f"{folder}/{name}")
 
