@@ -185,7 +185,7 @@ def outstanding(run_exp: DataFrame, satisfied: DataFrame) -> DataFrame:
 def scope_to_window(lines: DataFrame, markers: DataFrame) -> DataFrame:
     """Lines at or after the byte offset of the run's latest marker."""
     latest = markers.groupBy("run_id").agg(F.max_by("log_offset", "seq").alias("log_offset"))
-    return lines.join(latest, "run_id").where(F.col("byte_off") >= F.col("log_offset"))
+    return lines.join(small_side(latest), "run_id").where(F.col("byte_off") >= F.col("log_offset"))
 
 
 def time_of_day_slice(lines: DataFrame, runs: DataFrame, cap: int = 400) -> DataFrame:
@@ -196,7 +196,7 @@ def time_of_day_slice(lines: DataFrame, runs: DataFrame, cap: int = 400) -> Data
     """
     ahead = F.pmod(F.floor(F.col("tod_ms") / 1000) - F.floor(F.col("start_ms") / 1000), F.lit(86400))
     inside = F.col("tod_ms").isNotNull() & (ahead <= 43200)
-    rows = lines.join(runs.select("run_id", "start_ms"), "run_id").where(F.col("text") != "")
+    rows = lines.join(small_side(runs.select("run_id", "start_ms")), "run_id").where(F.col("text") != "")
     begin = rows.groupBy("run_id").agg(F.min(F.when(inside, F.col("idx"))).alias("begin"))
     kept = rows.join(begin, "run_id").where(F.col("idx") >= F.col("begin"))
     total = kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
@@ -249,11 +249,16 @@ def health_tokens(
     last_failure: int = 10,
 ) -> DataFrame:
     """Last health and last failure lines of each boot."""
-    out = []
-    for family, tokens, n in (("health", health, last_health), ("failure", failure, last_failure)):
-        rows = lines.where(mentions(F.col("text"), tokens))
-        out.append(smallest(rows, [key], [F.col("idx").desc()], n).drop("_rank").withColumn("family", F.lit(family)))
-    return out[0].unionByName(out[1])
+    families = F.array_compact(
+        F.array(
+            F.when(mentions(F.col("text"), health), F.lit("health")),
+            F.when(mentions(F.col("text"), failure), F.lit("failure")),
+        )
+    )
+    limit = F.when(F.col("family") == "health", last_health).otherwise(last_failure)
+    rows = lines.withColumn("family", F.explode(families))
+    last = smallest(rows, [key, "family"], [F.col("idx").desc()], max(last_health, last_failure))
+    return last.where(F.col("_rank") <= limit).drop("_rank")
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
