@@ -1,26 +1,24 @@
 """Ordered expectations and forbidden lines to one verdict per run.
 
-Everything is keyed by ``run_id`` alone, so the matching lines are shuffled once. A
-run's part of the catalogue is a short array beside the run; the chain of deadlines
-is folded over it in one projection.
+Matching lines are thinned out where they are read, reduced map-side to the one
+line that decides each expectation, and then folded per run. What is kept per run
+is one row per line of its scenario.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros, whole_number
-from fleetwitness.operators.logs import captured, keep_mentioned, largest_need, match_tokens, nth_match
+from fleetwitness.operators.logs import captured, keep_mentioned, match_tokens, needs, nth_match
 from fleetwitness.operators.ordered import small_side
 
-CHECKED = "array<struct<i: int, tokens: array<string>, idx: bigint, m_us: bigint, deadline_us: bigint, ok: boolean>>"
-
 
 def deciding_lines(matches: DataFrame, max_need: int, max_numbered: int | None = None) -> DataFrame:
-    """The line that satisfies each expectation as lines arrive.
+    """Lines that can satisfy an expectation as they arrive; the first by index does.
 
-    Without ``extract`` it is the N-th match; with it, the first match from the
+    Without ``extract`` that is the N-th match; with it, the first match from the
     N-th on whose number reaches the minimum. Only expectations that need more
     than one match are ranked; the others are a plain minimum. ``max_numbered`` is
     the largest need among the lines with ``extract``.
@@ -39,83 +37,92 @@ def deciding_lines(matches: DataFrame, max_need: int, max_numbered: int | None =
                 nth.where(numbered).select("run_id", "i", F.col("idx").alias("_nth")), ["run_id", "i"]
             )
             hits = hits.unionByName(late.where(F.col("idx") >= F.col("_nth")).drop("_nth"))
-    return hits.groupBy("run_id", "i").agg(
-        F.min("idx").alias("idx"), F.min_by("observed_at", "idx").alias("m_at"), F.min_by(value, "idx").alias("value")
-    )
+    return hits.select("run_id", "scenario", "i", "idx", micros(F.col("observed_at")).alias("m_us"))
 
 
-def scenario_lines(expectations: DataFrame) -> DataFrame:
-    """The lines of each scenario as one ordered array: a catalogue entry, not data."""
-    line = F.struct("i", "tokens", "need", F.col("extract").isNotNull().alias("numbered"), "within_s")
-    return expectations.groupBy("scenario").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+def expected_lines(runs: DataFrame, expectations: DataFrame, *columns: str) -> DataFrame:
+    """One row per run and line of its scenario."""
+    return runs.join(small_side(expectations.select("scenario", "i", *columns)), "scenario")
 
 
-def with_found(runs: DataFrame, found: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Runs with their scenario's lines and what was found for each (one entry per line)."""
-    per_run = found.groupBy("run_id").agg(
-        F.collect_list(F.struct(*[c for c in found.columns if c != "run_id"])).alias("found")
+def chain_deadlines(runs: DataFrame, expectations: DataFrame, deciding: DataFrame, grace_s: float = 0.0) -> DataFrame:
+    """Match time, deadline and result of every expectation of a run.
+
+    A line's clock starts when the line before it was satisfied, so its start is
+    the running maximum of the earlier match times and the start of the run. The
+    expected and the deciding lines meet in one aggregation, so a line that was
+    never met is a row too.
+    """
+    blank = F.lit(None).cast("bigint")
+    expected = expected_lines(runs, expectations, "within_s").select(
+        "run_id", "scenario", "i", micros(F.col("t0")).alias("t0_us"), "within_s", blank.alias("idx"), blank.alias("m_us")
+    )
+    rows = expected.unionByName(deciding, allowMissingColumns=True)
+    per_line = rows.groupBy("run_id", "scenario", "i").agg(
+        F.max("t0_us").alias("t0_us"), F.max("within_s").alias("within_s"),
+        F.min("idx").alias("idx"), F.min_by("m_us", "idx").alias("m_us"),
+    )
+    before = F.max("m_us").over(
+        Window.partitionBy("run_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return runs.join(per_run, "run_id", "left").join(small_side(scenario_lines(expectations)), "scenario")
+    # greatest() passes over NULL: a line that was never met moves no clock.
+    start = F.greatest("t0_us", before)
+    deadline = start + F.col("within_s").cast("bigint") * 1_000_000 + int(grace_s * 1_000_000)
+    return per_line.withColumn("deadline_us", deadline).withColumn(
+        "ok", F.coalesce(F.col("m_us") <= F.col("deadline_us"), F.lit(False))
+    )
+
 
+def with_anchors(forbidden: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Forbidden lines with the positions of the lines that name their anchor token.
 
-def entry(found: Column, i: Column) -> Column:
-    return F.try_element_at(F.filter(found, lambda f: f["i"] == i), F.lit(1))
+    Catalogue only: ``anchor_lines`` is NULL for a line without ``after_token``.
+    """
+    tokens = expectations.select("scenario", "i", F.explode("tokens").alias("after_token"))
+    named = forbidden.join(tokens, ["scenario", "after_token"], "left")
+    return named.groupBy("scenario", "j", "token", "after_token").agg(F.collect_set("i").alias("_lines")).select(
+        "scenario", "j", "token", F.when(F.col("after_token").isNotNull(), F.col("_lines")).alias("anchor_lines")
+    )
 
 
-def chain_deadlines(runs_found: DataFrame, grace_s: float = 0.0) -> DataFrame:
-    """Deadline and result of every expectation of a run, as ``checked``.
+def active_forbidden(judged: DataFrame, forbidden: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Forbidden lines per run, with the index below which they count.
 
-    A line's clock starts when the line before it was satisfied, so its start is
-    the running maximum of the earlier match times and the start of the run.
-    """
-    grace_us = int(grace_s * 1_000_000)
-
-    def step(acc: Column, e: Column) -> Column:
-        m_us = e["hit"]["m_us"]
-        deadline = acc["start"] + e["line"]["within_s"].cast("bigint") * 1_000_000 + grace_us
-        row = F.struct(
-            e["line"]["i"].alias("i"),
-            e["line"]["tokens"].alias("tokens"),
-            e["hit"]["idx"].alias("idx"),
-            m_us.alias("m_us"),
-            deadline.alias("deadline_us"),
-            F.coalesce(m_us <= deadline, F.lit(False)).alias("ok"),
-        )
-        # greatest() passes over NULL: a line that was never met moves no clock.
-        return F.struct(F.greatest(acc["start"], m_us).alias("start"), F.array_append(acc["rows"], row).alias("rows"))
-
-    zero = F.struct(micros(F.col("t0")).alias("start"), F.array().cast(CHECKED).alias("rows"))
-    paired = F.transform("lines", lambda e: F.struct(e.alias("line"), entry(F.col("found"), e["i"]).alias("hit")))
-    checked = F.aggregate(paired, zero, step, lambda acc: acc["rows"])
-    return runs_found.select("run_id", "scenario", micros(F.col("t0")).alias("t0_us"), checked.alias("checked"))
-
-
-def first_failed(checked: Column) -> Column:
-    return F.try_element_at(F.filter(checked, lambda c: ~c["ok"]), F.lit(1))
-
-
-def anchored(judged: DataFrame, forbidden: DataFrame, satisfied: Column) -> DataFrame:
-    """Active forbidden lines per run, with the index below which they count.
-
-    ``satisfied`` are the met lines in order; the anchor is the last of them that
-    names the token (every member of an OR line counts). An unmet anchor leaves
-    its forbidden line inactive.
+    ``judged`` has ``met``, the (i, idx) of satisfied lines. The anchor is the last
+    of them that names the token (every member of an OR line counts); an unmet
+    anchor leaves its forbidden line inactive.
     """
-    specs = judged.join(small_side(forbidden), "scenario")
-    anchor = F.try_element_at(F.filter(satisfied, lambda c: F.array_contains(c["tokens"], F.col("after_token"))), F.lit(-1))
-    specs = specs.withColumn("anchor_idx", F.when(F.col("after_token").isNotNull(), anchor["idx"]))
-    return specs.where(F.col("after_token").isNull() | F.col("anchor_idx").isNotNull())
+    specs = judged.join(small_side(with_anchors(forbidden, expectations)), "scenario")
+    anchor = F.array_max(F.filter("met", lambda m: F.array_contains(F.col("anchor_lines"), m["i"])))
+    specs = specs.withColumn("anchor_idx", F.when(F.col("anchor_lines").isNotNull(), anchor["idx"]))
+    return specs.where(F.col("anchor_lines").isNull() | F.col("anchor_idx").isNotNull())
 
 
-def below_anchor() -> Column:
-    return F.col("anchor_idx").isNull() | (F.col("idx") > F.col("anchor_idx"))
+def forbidden_lines(lines: DataFrame, specs: DataFrame, forbidden: DataFrame) -> DataFrame:
+    below = F.col("anchor_idx").isNull() | (F.col("idx") > F.col("anchor_idx"))
+    mentioned = keep_mentioned(lines, forbidden.select("token"))
+    return mentioned.join(specs, "run_id").where(F.contains("text", F.col("token")) & below)
 
 
-def found_times(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
-    matches = match_tokens(lines, runs, expectations)
-    numbered = largest_need(expectations, F.col("extract").isNotNull())
-    deciding = deciding_lines(matches, largest_need(expectations), numbered)
-    return deciding.select("run_id", "i", "idx", micros(F.col("m_at")).alias("m_us"))
+def verdict_rows(checked: DataFrame) -> DataFrame:
+    """First failed line, end, and satisfied lines of each run.
+
+    ``last_idx`` is the last line that counted; lines after the failed one do not.
+    """
+    failed_i = F.min(F.when(~F.col("ok"), F.col("i"))).over(Window.partitionBy("run_id"))
+    rows = checked.withColumn("failed_i", failed_i)
+    met = F.col("failed_i").isNull() | (F.col("i") < F.col("failed_i"))
+    return rows.groupBy("run_id", "scenario").agg(
+        F.max("t0_us").alias("t0_us"),
+        F.count(F.lit(1)).alias("n"),
+        F.max("failed_i").alias("failed_i"),
+        F.max(F.when(F.col("i") == F.col("failed_i"), F.col("m_us"))).alias("failed_m_us"),
+        F.coalesce(
+            F.max(F.when(F.col("i") == F.col("failed_i"), F.col("deadline_us"))), F.max("m_us")
+        ).alias("end_us"),
+        F.max(F.when(met, F.col("idx"))).alias("last_idx"),
+        F.collect_list(F.when(met, F.struct("i", "idx"))).alias("met"),
+    )
 
 
 def adjudicate(
@@ -127,19 +134,15 @@ def adjudicate(
     the end of the run (last match, or the missed deadline) decides before it; the
     earliest one is named.
     """
-    checked = chain_deadlines(with_found(runs, found_times(lines, runs, expectations), expectations), grace_s)
-    failed = first_failed(F.col("checked"))
-    last = F.array_max(F.transform("checked", lambda c: c["m_us"]))
-    judged = checked.withColumns(
-        {"failed_i": failed["i"], "end_us": F.coalesce(failed["deadline_us"], last), "n": F.size("checked")}
-    )
-    met = F.filter("checked", lambda c: F.col("failed_i").isNull() | (c["i"] < F.col("failed_i")))
-    specs = anchored(judged, forbidden, met).select("run_id", "j", "token", "anchor_idx", "end_us")
+    matches = match_tokens(lines, runs, expectations)
+    deciding = deciding_lines(matches, *needs(expectations))
+    checked = chain_deadlines(runs, expectations, deciding, grace_s)
+    judged = verdict_rows(checked)
+    specs = active_forbidden(judged, forbidden, expectations).select("run_id", "j", "token", "anchor_idx", "end_us")
     at_us = micros(F.col("observed_at"))
     hit = (
-        keep_mentioned(lines, forbidden.select("token"))
-        .join(specs, "run_id")
-        .where(F.contains("text", F.col("token")) & below_anchor() & (at_us <= F.col("end_us")))
+        forbidden_lines(lines, specs, forbidden)
+        .where(at_us <= F.col("end_us"))
         .groupBy("run_id")
         .agg(F.min(F.struct(at_us.alias("at_us"), "j", "idx", "token")).alias("hit"))
     )
@@ -156,34 +159,42 @@ def adjudicate(
         reason.alias("reason"),
         F.when(~bad, F.col("failed_i")).alias("failed_i"),
         F.col("hit.idx").alias("forbidden_idx"),
+        "last_idx",
         (F.coalesce(F.col("hit.at_us"), F.col("end_us")) - F.col("t0_us")).alias("decided_after_us"),
     )
 
 
-def found_counts(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Per run and line: matches, N-th index, last index and the number in the last line."""
+def count_lines(runs: DataFrame, expectations: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per run and line: matches, deciding index, and whether the line is satisfied."""
     matches = match_tokens(lines, runs, expectations)
     value = captured(F.col("text"), F.col("extract"))
-    columns = ["run_id", "i", "idx", F.lit(1).cast("bigint").alias("one")]
-    rows = matches.select(*columns, F.when(F.col("need") == 1, F.col("idx")).alias("nth"), value.alias("value"), "min_value")
-    max_need = largest_need(expectations)
+    rows = matches.select(
+        "run_id", "scenario", "i", "idx", F.lit(1).cast("bigint").alias("one"),
+        F.when(F.col("need") == 1, F.col("idx")).alias("nth"), value.alias("value"),
+    )
+    max_need, _ = needs(expectations)
     if max_need > 1:
         nth = nth_match(matches.where(F.col("need") > 1), max_need)
-        again = nth.select(
-            "run_id", "i", "idx", F.lit(0).cast("bigint").alias("one"), F.col("idx").alias("nth"),
-            F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("min_value"),
-        )
-        rows = rows.unionByName(again)
-    real = F.when(F.col("one") == 1, F.col("idx"))
-    last = rows.groupBy("run_id", "i").agg(
-        F.sum("one").alias("seen"), F.min("nth").alias("nth"), F.max("idx").alias("last"),
-        F.max_by("value", real).alias("value"), F.max("min_value").alias("min_value"),
+        rows = rows.unionByName(nth.select("run_id", "scenario", "i", F.col("idx").alias("nth")), allowMissingColumns=True)
+    numbered = F.col("extract").isNotNull().alias("numbered")
+    expected = expected_lines(runs, expectations, "need", "extract", "min_value").select(
+        "run_id", "scenario", "i", "need", numbered, "min_value"
+    )
+    per_line = rows.unionByName(expected, allowMissingColumns=True).groupBy("run_id", "scenario", "i").agg(
+        F.max("need").alias("need"), F.max("numbered").alias("numbered"),
+        F.max("min_value").alias("min_value"), F.coalesce(F.sum("one"), F.lit(0)).alias("seen"),
+        F.min("nth").alias("nth"), F.max("idx").alias("last"), F.max_by("value", "idx").alias("value"),
     )
     number = whole_number(F.col("value"))
     reaches = F.col("value").isNotNull() & (
         F.col("min_value").isNull() | F.coalesce(number >= F.col("min_value"), F.lit(False))
     )
-    return last.select("run_id", "i", "seen", "nth", "last", reaches.alias("reaches"))
+    return per_line.withColumns(
+        {
+            "ok": (F.col("seen") >= F.col("need")) & (~F.col("numbered") | reaches),
+            "at": F.when(F.col("numbered"), F.col("last")).otherwise(F.col("nth")),
+        }
+    )
 
 
 def adjudicate_window(
@@ -195,30 +206,14 @@ def adjudicate_window(
     order) outranks the first failed line. With ``extract`` only the last match is
     tested.
     """
-
-    def check(e: Column) -> Column:
-        hit = entry(F.col("found"), e["i"])
-        seen = F.coalesce(hit["seen"], F.lit(0).cast("bigint"))
-        ok = (seen >= e["need"]) & (~e["numbered"] | F.coalesce(hit["reaches"], F.lit(False)))
-        idx = F.when(e["numbered"], hit["last"]).otherwise(hit["nth"])
-        return F.struct(
-            e["i"].alias("i"), e["tokens"].alias("tokens"), e["need"].alias("need"), seen.alias("seen"),
-            idx.alias("idx"), ok.alias("ok"),
-        )
-
-    found = with_found(runs, found_counts(lines, runs, expectations), expectations)
-    judged = found.select("run_id", "scenario", F.transform("lines", check).alias("checked"))
-    judged = judged.withColumn("f", first_failed(F.col("checked")))
-    specs = anchored(judged, forbidden, F.filter("checked", lambda c: c["ok"])).select(
-        "run_id", "j", "token", "anchor_idx"
-    )
-    hit = (
-        keep_mentioned(lines, forbidden.select("token"))
-        .join(specs, "run_id")
-        .where(F.contains("text", F.col("token")) & below_anchor())
-        .groupBy("run_id")
-        .agg(F.min(F.struct("j", "idx", "token")).alias("hit"))
+    judged = count_lines(runs, expectations, lines).groupBy("run_id", "scenario").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct("i", "seen", "need"), F.when(~F.col("ok"), F.col("i"))).alias("f"),
+        F.max(F.when(F.col("ok"), F.col("at"))).alias("last_idx"),
+        F.collect_list(F.when(F.col("ok"), F.struct("i", F.col("at").alias("idx")))).alias("met"),
     )
+    specs = active_forbidden(judged, forbidden, expectations).select("run_id", "j", "token", "anchor_idx")
+    hit = forbidden_lines(lines, specs, forbidden).groupBy("run_id").agg(F.min(F.struct("j", "idx", "token")).alias("hit"))
     failed = F.format_string("expected-not-seen: line %d (saw %d/%d)", "f.i", "f.seen", "f.need")
     return judged.join(hit, "run_id", "left").select(
         "run_id",
@@ -226,8 +221,9 @@ def adjudicate_window(
         F.when(F.col("hit").isNotNull() | F.col("f").isNotNull(), "FAIL").otherwise("PASS").alias("status"),
         F.when(F.col("hit").isNotNull(), F.concat(F.lit("forbidden hit: "), F.col("hit.token")))
         .when(F.col("f").isNotNull(), failed)
-        .otherwise(F.concat(F.size("checked"), F.lit(" log positive(s) satisfied")))
+        .otherwise(F.concat(F.col("n"), F.lit(" log positive(s) satisfied")))
         .alias("reason"),
         F.col("f.i").alias("failed_i"),
         F.col("hit.idx").alias("forbidden_idx"),
+        "last_idx",
     )

@@ -33,6 +33,7 @@ FAILURE_TOKENS = (
 
 MAX_PREFILTER_TOKENS = 512
 MAX_PATTERNS = 256
+MAX_CATALOGUE_ROWS = 10_000
 
 
 def any_token(text: Column, tokens: Column) -> Column:
@@ -48,8 +49,9 @@ def keep_mentioned(lines: DataFrame, tokens: DataFrame) -> DataFrame:
 
     ``tokens`` has one column. A catalogue above the limit is left to the join.
     """
-    found = [r[0] for r in tokens.distinct().limit(MAX_PREFILTER_TOKENS + 1).collect() if r[0] is not None]
-    if not found or len(found) > MAX_PREFILTER_TOKENS:
+    rows = tokens.take(MAX_CATALOGUE_ROWS + 1)
+    found = sorted({r[0] for r in rows if r[0] is not None})
+    if not found or len(rows) > MAX_CATALOGUE_ROWS or len(found) > MAX_PREFILTER_TOKENS:
         return lines
     return lines.where(functools.reduce(lambda a, b: a | b, [F.contains(F.col("text"), F.lit(t)) for t in found]))
 
@@ -78,7 +80,10 @@ def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) ->
     expression: each line is tested where it is read, and only matching lines are
     shuffled, by run. A larger catalogue is joined by scenario and tested pair by pair.
     """
-    found = expectations.select("tokens", "same_line", pattern_key().alias("key")).distinct().limit(MAX_PATTERNS + 1).collect()
+    rows = expectations.select("tokens", "same_line", pattern_key().alias("key"))
+    if len(rows.take(MAX_CATALOGUE_ROWS + 1)) > MAX_CATALOGUE_ROWS:
+        rows = rows.distinct()
+    found = list({r["key"]: r for r in rows.take(MAX_CATALOGUE_ROWS + 1)}.values())
     if not 0 < len(found) <= MAX_PATTERNS:
         hit = any_token(F.col("text"), F.col("tokens")) & all_tokens(F.col("text"), F.col("same_line"))
         return lines.join(runs, "run_id").join(expectations, "scenario").where(hit)
@@ -88,10 +93,9 @@ def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) ->
         for n, r in enumerate(found)
     ]
     number = F.create_map(*[x for n, r in enumerate(found) for x in (F.lit(r["key"]), F.lit(n))])
-    marked = lines.withColumn("_patterns", F.array_compact(F.array(*tests))).where(F.size("_patterns") > 0)
+    marked = lines.withColumn("_pattern", F.explode(F.array_compact(F.array(*tests))))
     wanted = small_side(expectations.withColumn("_pattern", F.element_at(number, pattern_key())))
-    of_run = marked.join(runs, "run_id").withColumn("_pattern", F.explode("_patterns"))
-    return of_run.join(wanted, ["scenario", "_pattern"]).drop("_pattern", "_patterns")
+    return marked.join(runs, "run_id").join(wanted, ["scenario", "_pattern"]).drop("_pattern")
 
 
 def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:
@@ -138,10 +142,14 @@ def nth_match(matches: DataFrame, max_need: int) -> DataFrame:
     return smallest(matches, keys, [F.col("idx")], max_need).where(F.col("_rank") == F.col("need")).drop("_rank")
 
 
-def largest_need(expectations: DataFrame, where: Column | None = None) -> int:
-    """Largest needed number of matches in the catalogue, 0 when no line fits ``where``."""
-    rows = expectations if where is None else expectations.where(where)
-    return int(rows.agg(F.max("need")).first()[0] or 0)
+def needs(expectations: DataFrame) -> tuple[int, int]:
+    """Largest needed number of matches: over all lines, and over those with ``extract`` (0 if none)."""
+    rows = expectations.select("need", F.col("extract").isNotNull().alias("numbered")).take(MAX_CATALOGUE_ROWS + 1)
+    if len(rows) > MAX_CATALOGUE_ROWS:
+        numbered = F.max(F.when(F.col("extract").isNotNull(), F.col("need")))
+        largest = expectations.agg(F.max("need"), numbered).first()
+        return int(largest[0] or 0), int(largest[1] or 0)
+    return max((r.need for r in rows), default=0), max((r.need for r in rows if r.numbered), default=0)
 
 
 def first_observed(matches: DataFrame) -> DataFrame:

@@ -275,4 +275,4 @@ def smallest(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int) -
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """Broadcast hint for a catalogue after counting it; a larger one joins by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows else df

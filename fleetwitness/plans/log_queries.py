@@ -182,7 +182,7 @@ def first_observed(t):
     SELECT run_id, i, idx FROM ranked WHERE r = need""",
 )
 def nth_match(t):
-    return logs.nth_match(doc_matches(t), logs.largest_need(doc_expectations(t))).select("run_id", "i", "idx")
+    return logs.nth_match(doc_matches(t), logs.needs(doc_expectations(t))[0]).select("run_id", "i", "idx")
 
 
 # Runs on the event stream: one user day, three ordered expectations, two forbidden kinds.
@@ -193,9 +193,9 @@ DAY_RUNS = f"""WITH lines AS (
 days AS (SELECT run_id, min(t0) AS t0, dayofweek(make_timestamp(min(t0))) IN (0, 6) AS weekend FROM lines GROUP BY run_id),
 runs AS (SELECT run_id, t0, CASE WHEN weekend THEN {H12} ELSE {10 * HOUR_US} END AS w0, {H12} AS w1,
   CASE WHEN weekend THEN {H6} ELSE {8 * HOUR_US} END AS w2 FROM days),
-k0 AS (SELECT run_id, min(us) AS m FROM lines WHERE event_type IN ('click', 'view') GROUP BY run_id),
-k1 AS (SELECT run_id, us AS m FROM (
-  SELECT run_id, us, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS r FROM lines WHERE event_type IN ('view', 'purchase', 'click')) WHERE r = 2),
+k0 AS (SELECT run_id, min_by(us, idx) AS m, min(idx) AS idx FROM lines WHERE event_type IN ('click', 'view') GROUP BY run_id),
+k1 AS (SELECT run_id, us AS m, idx FROM (
+  SELECT run_id, us, idx, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS r FROM lines WHERE event_type IN ('view', 'purchase', 'click')) WHERE r = 2),
 k2 AS (SELECT run_id, min_by(us, idx) AS m, min(idx) AS idx FROM lines WHERE event_type = 'signup' GROUP BY run_id)"""
 
 
@@ -222,7 +222,7 @@ def day_expectations(t, form=("", [])):
     "w12_adjudicate",
     f"""{DAY_RUNS},
     timed AS (
-      SELECT r.run_id, r.t0, k0.m AS m0, k1.m AS m1, k2.m AS m2, k2.idx AS anchor,
+      SELECT r.run_id, r.t0, k0.m AS m0, k1.m AS m1, k2.m AS m2, k0.idx AS x0, k1.idx AS x1, k2.idx AS anchor,
         r.t0 + w0 AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + w1 AS d1,
         greatest(r.t0, coalesce(k0.m, r.t0), coalesce(k1.m, r.t0)) + w2 AS d2
       FROM runs r LEFT JOIN k0 USING (run_id) LEFT JOIN k1 USING (run_id) LEFT JOIN k2 USING (run_id)),
@@ -240,6 +240,7 @@ def day_expectations(t, form=("", [])):
     hit AS (SELECT run_id, min(us) AS us, min_by(idx, us) AS idx FROM bad GROUP BY run_id)
     SELECT b.run_id, CASE WHEN h.us IS NOT NULL OR failed_i IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS status,
       CASE WHEN h.us IS NULL THEN failed_i END AS failed_i, h.idx AS forbidden_idx,
+      CASE failed_i WHEN 0 THEN NULL WHEN 1 THEN x0 WHEN 2 THEN greatest(x0, x1) ELSE greatest(x0, x1, anchor) END AS last_idx,
       coalesce(h.us, end_us) - t0 AS decided_after_us
     FROM bounds b LEFT JOIN hit h USING (run_id)""",
 )
@@ -279,13 +280,13 @@ def adjudicate(t):
       SELECT l.run_id, f.j, l.idx FROM lines l CROSS JOIN forb f LEFT JOIN anchor a ON a.run_id = l.run_id
       WHERE contains(l.text, f.token) AND (f.after_token IS NULL OR l.idx > a.idx)),
     hit AS (SELECT run_id, min(j) AS j, min_by(idx, (j, idx)) AS idx FROM bad GROUP BY run_id),
-    failed AS (SELECT run_id, min(i) FILTER (NOT ok) AS i, min_by(seen, i) FILTER (NOT ok) AS seen,
+    failed AS (SELECT run_id, max(idx) FILTER (ok) AS last_idx, min(i) FILTER (NOT ok) AS i, min_by(seen, i) FILTER (NOT ok) AS seen,
       min_by(need, i) FILTER (NOT ok) AS need FROM checked GROUP BY run_id)
     SELECT f.run_id, CASE WHEN h.j IS NOT NULL OR f.i IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS status,
       CASE WHEN h.j IS NOT NULL THEN 'forbidden hit: ' || (SELECT token FROM forb WHERE j = h.j)
            WHEN f.i IS NOT NULL THEN 'expected-not-seen: line ' || f.i || ' (saw ' || f.seen || '/' || f.need || ')'
            ELSE '3 log positive(s) satisfied' END AS reason,
-      f.i AS failed_i, h.idx AS forbidden_idx
+      f.i AS failed_i, h.idx AS forbidden_idx, f.last_idx
     FROM failed f LEFT JOIN hit h ON f.run_id = h.run_id""",
 )
 def adjudicate_window(t):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros
-from fleetwitness.operators.adjudicate import chain_deadlines, deciding_lines, first_failed, with_found
+from fleetwitness.operators.adjudicate import chain_deadlines, deciding_lines, verdict_rows
 from fleetwitness.operators.commands import command_timeline, confirm_commands, is_command
 from fleetwitness.operators.logs import mentions
 from fleetwitness.operators.ordered import ordered, small_side, smallest
@@ -55,13 +55,11 @@ def deadline_step(expectations: DataFrame, max_need: int, max_numbered: int) ->
         starts = rows.groupBy("run_id", "scenario").agg(F.min("t0").alias("t0"))
         terms = small_side(expectations.select("scenario", "i", "need", "extract", "min_value"))
         matches = rows.where(F.col("i").isNotNull()).withColumnRenamed("ts", "observed_at").join(terms, ["scenario", "i"])
-        deciding = deciding_lines(matches.drop("scenario", "t0", "is_new"), max_need, max_numbered)
-        found = deciding.select("run_id", "i", "idx", micros(F.col("m_at")).alias("m_us"))
-        checked = chain_deadlines(with_found(starts, found, expectations))
-        f = first_failed(F.col("checked"))
-        late = f["m_us"].isNotNull() | (f["deadline_us"] < watermark_us)
-        judged = checked.select(
-            "run_id", F.when(f.isNull(), "PASS").when(late, "FAIL").alias("status"), f["i"].alias("failed_i")
+        deciding = deciding_lines(matches.drop("t0", "is_new"), max_need, max_numbered)
+        runs = verdict_rows(chain_deadlines(starts, expectations, deciding))
+        late = F.col("failed_m_us").isNotNull() | (F.col("end_us") < watermark_us)
+        judged = runs.select(
+            "run_id", F.when(F.col("failed_i").isNull(), "PASS").when(late, "FAIL").alias("status"), "failed_i"
         )
         waiting = judged.where(F.col("status").isNull()).select("run_id")
         # An open run needs at most the first matches of each line.
