@@ -45,9 +45,11 @@ def time_of_day_ms(line: Column) -> Column:
 
     Four-digit milliseconds are not a stamp.
     """
-    stamp = r"^(\d{2}):(\d{2}):(\d{2})\.(\d{3})\s"
-    part = [F.regexp_extract(line, stamp, i).try_cast("int") for i in (1, 2, 3, 4)]
-    return ((part[0] * 60 + part[1]) * 60 + part[2]) * 1000 + part[3]
+    def number(start: int, length: int) -> Column:
+        return F.substring(line, start, length).try_cast("int")
+
+    seconds = (number(1, 2) * 60 + number(4, 2)) * 60 + number(7, 2)
+    return F.when(line.rlike(r"^\d{2}:\d{2}:\d{2}\.\d{3}\s"), seconds * 1000 + number(10, 3))
 
 
 def hex_to_int(text: Column) -> Column:

@@ -21,7 +21,7 @@ from fleetwitness.plans.standins import (
     doc_lines,
     doc_runs,
 )
-from fleetwitness.sources.logs import carry_stamp, parse_log_line
+from fleetwitness.sources.logs import carry_stamp, parse_log_line, with_offsets
 
 MATCHES = f"WITH {DOC_LINES}, {DOC_EXPECTATIONS}"
 NUMBER = "regexp_extract(text, '([0-9]+)', 1)"
@@ -78,7 +78,7 @@ def scope_to_window(t):
             F.struct(F.lit(1).alias("seq"), F.floor(F.col("n_chars") / 2).alias("log_offset")),
         )).alias("m"),
     ).select("run_id", "m.*")
-    return logs.scope_to_window(doc_lines(t), markers).select("run_id", "idx", "byte_off")
+    return logs.scope_to_window(with_offsets(doc_lines(t), ["run_id"]), markers).select("run_id", "idx", "byte_off")
 
 
 START_MS = 64_800_000  # 18:00:00

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import message_pairs, message_token, time_of_day_ms
@@ -38,18 +38,24 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_log_line(lines: DataFrame) -> DataFrame:
-    """Add stamp, thread, level, logger, message, token and pairs; NULL where absent."""
-    part = [F.nullif(F.regexp_extract("text", LINE, i), F.lit("")) for i in range(1, 6)]
-    message = F.coalesce(part[4], F.col("text"))
-    return lines.withColumns(
+    """Add stamp, thread, level, logger, message, token and pairs; NULL where absent.
+
+    One regular expression per line cuts it into its parts.
+    """
+    cut = F.split(F.regexp_replace("text", LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", 5)
+    parts = lines.withColumn("_parts", F.when(F.col("text").rlike(r"^\d{2}:"), cut))
+
+    def part(n: int) -> Column:
+        return F.nullif(F.when(F.size("_parts") == 5, F.get("_parts", F.lit(n))), F.lit(""))
+
+    named = parts.withColumns(
+        {"thread": part(1), "level": part(2), "logger": part(3), "message": F.coalesce(part(4), F.col("text"))}
+    ).drop("_parts")
+    return named.withColumns(
         {
             "tod_ms": time_of_day_ms(F.col("text")),
-            "thread": part[1],
-            "level": part[2],
-            "logger": part[3],
-            "message": message,
-            "token": message_token(message),
-            "kv": message_pairs(message),
+            "token": message_token(F.col("message")),
+            "kv": message_pairs(F.col("message")),
         }
     )
 
@@ -61,21 +67,13 @@ def carry_stamp(lines: DataFrame | Ordered, key: str = "boot_id") -> DataFrame:
 
 
 def split_text(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Lines of a text column: ``key, idx, byte_off, text``.
+    """Lines of a text column in order: ``key, idx, text``."""
+    rows = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("idx", "text"))
+    return rows.withColumn("idx", F.col("idx").cast("bigint"))
 
-    One text value already fits a row, so its offsets come from the row itself.
-    """
-    parts = F.split(F.col(text), "\n")
-    offsets = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda acc, line: F.struct(
-            (acc["at"] + F.octet_length(line) + 1).cast("bigint").alias("at"),
-            F.array_append(acc["all"], acc["at"]).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-    rows = df.select(key, F.posexplode(F.arrays_zip(parts.alias("text"), offsets.alias("byte_off"))).alias("idx", "_l"))
-    return rows.select(
-        key, F.col("idx").cast("bigint"), F.col("_l.byte_off").alias("byte_off"), F.col("_l.text").alias("text")
-    )
+
+def with_offsets(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Byte offset of every line in its log, counting one byte for each line end."""
+    size = (F.octet_length("text") + 1).cast("bigint")
+    seq = ordered(lines, keys, ["idx"]).scan(_end=running_sum(size))
+    return seq.with_columns({"byte_off": F.col("_end") - size}).drop("_end").frame()
