@@ -124,8 +124,10 @@ def command_rows(t):
     "r4_stream_confirm",
     f"""{VERDICTS.replace("WHEN a.ack_status <> 'SUCCESS' THEN 'FAILED'", "WHEN false THEN 'FAILED'")},
     wm AS (SELECT max(us) - {HOUR_US} AS wm FROM ev WHERE event_type IN ('click', 'purchase'))
-    SELECT v.cmd_id, v.verdict, v.latency_us FROM verdicts v JOIN profile p ON v.capability = p.capability
-    WHERE v.verdict <> 'TIMED_OUT' OR v.us + p.timeout_ms * 1000 < (SELECT wm FROM wm)""",
+    SELECT v.cmd_id, v.verdict, v.latency_us
+    FROM verdicts v JOIN profile p ON v.capability = p.capability JOIN nexts n ON n.cmd_id = v.cmd_id
+    WHERE CASE v.verdict WHEN 'CONFIRMED' THEN v.us + v.latency_us WHEN 'SUPERSEDED' THEN n.next_us
+      WHEN 'TIMED_OUT' THEN v.us + p.timeout_ms * 1000 + 1 ELSE v.us END <= (SELECT wm FROM wm)""",
 )
 def stream_confirm(t):
     out = run_carried(command_rows(t), live.confirm_step(profile(t), KEYS), "r4", delay_s=3600)

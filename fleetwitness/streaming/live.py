@@ -62,8 +62,12 @@ def deadline_step(expectations: DataFrame, max_need: int, max_numbered: int) ->
             "run_id", F.when(F.col("failed_i").isNull(), "PASS").when(late, "FAIL").alias("status"), "failed_i"
         )
         waiting = judged.where(F.col("status").isNull()).select("run_id")
-        # An open run needs at most the first matches of each line.
+        # An open run needs the first matches of each line, and the one that decided it.
         kept = smallest(rows, ["run_id", "i"], [F.col("idx")], max(max_need, 1)).drop("_rank")
+        if max_numbered:
+            decided = deciding.groupBy("run_id", "i").agg(F.min("idx").alias("idx"))
+            deciders = rows.join(decided, ["run_id", "i", "idx"], "left_semi").select(*kept.columns)
+            kept = kept.unionByName(deciders).dropDuplicates(["run_id", "i", "idx"])
         return judged.where(F.col("status").isNotNull()), kept.join(waiting, "run_id", "left_semi")
 
     return step
@@ -72,22 +76,26 @@ def deadline_step(expectations: DataFrame, max_need: int, max_numbered: int) ->
 def confirm_step(profile: DataFrame, keys: Sequence[str]) -> Step:
     """R4: the verdict of a command as soon as it is certain.
 
-    Rows: kind (``command`` | ``report``), id, keys, ts, capability, value. A command
-    without a report stays open until the watermark passes its timeout.
+    Rows: kind (``command`` | ``report``), id, keys, ts, capability, value. A verdict is
+    given when the watermark has passed the event that decides it, so files may
+    arrive out of order within the allowed delay.
     """
 
     def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
         cmds = rows.where(F.col("kind") == "command").withColumnsRenamed({"id": "cmd_id", "value": "target"})
         reports = rows.where(F.col("kind") == "report").withColumnsRenamed({"id": "report_id"})
-        judged = confirm_commands(cmds, reports, profile, keys=keys).select(
-            "cmd_id", *keys, "ts", "verdict", "latency_us", "timeout_ms"
-        )
-        over = micros(F.col("ts")) + F.col("timeout_ms") * 1000 < watermark_us
-        closed = (F.col("verdict") != "TIMED_OUT") | over
+        judged = confirm_commands(cmds, reports, profile, keys=keys)
+        # The instant of the event that decides; an earlier one may come until the watermark.
+        at_us = micros(F.col("ts")) + F.when(F.col("verdict") == "CONFIRMED", F.col("latency_us")).when(
+            F.col("verdict") == "TIMED_OUT", F.col("timeout_ms") * 1000 + 1
+        ).otherwise(0)
+        decided_us = F.when(F.col("verdict") == "SUPERSEDED", micros(F.col("next_ts"))).otherwise(at_us)
+        judged = judged.select("cmd_id", *keys, "ts", "verdict", "latency_us", (decided_us <= watermark_us).alias("closed"))
+        closed = F.col("closed")
         waiting = judged.where(~closed).select(F.col("cmd_id").alias("id"))
         fresh = (F.col("kind") == "report") & (micros(F.col("ts")) >= watermark_us)
         still_open = rows.where(F.col("kind") == "command").join(waiting, "id", "left_semi")
-        return judged.where(closed).drop("timeout_ms"), still_open.unionByName(rows.where(fresh))
+        return judged.where(closed).drop("closed"), still_open.unionByName(rows.where(fresh))
 
     return step
 
