@@ -29,15 +29,22 @@ def unknown_keys(keys: Column, allowed: Sequence[str]) -> Column:
     return F.array_sort(F.array_except(keys, F.array(*[F.lit(a) for a in allowed])))
 
 
-def _broken(df: DataFrame, rule: str, test: Column, section: int, line: Column, detail: Column) -> DataFrame:
-    return df.where(test).select(
+def _broken(df: DataFrame, section: int, line: Column, *tests: tuple[str, Column, Column]) -> DataFrame:
+    """One row per broken rule; all tests of a section read their rows once."""
+    found = [
+        F.when(
+            test,
+            F.struct(F.lit(rule).alias("rule"), F.lit(int(rule[1:])).alias("rule_no"), detail.cast("string").alias("detail")),
+        )
+        for rule, test, detail in tests
+    ]
+    rows = df.select(
         "scenario",
-        F.lit(rule).alias("rule"),
         F.lit(section).alias("section"),
         line.cast("int").alias("line"),
-        F.lit(int(rule[1:])).alias("rule_no"),
-        detail.cast("string").alias("detail"),
+        F.explode(F.array_compact(F.array(*found))).alias("_b"),
     )
+    return rows.select("scenario", "_b.rule", "section", "line", "_b.rule_no", "_b.detail")
 
 
 def validate_expectations(
@@ -60,50 +67,54 @@ def validate_expectations(
     is_log = F.col("log").isNotNull()
     is_any = F.array_contains("kinds", "log_any")
     is_api = F.array_contains("kinds", "api")
+    unknown = unknown_keys(F.col("keys"), TOP_KEYS)
+    unknown_asserts = unknown_keys(F.col("assert_keys"), API_ASSERTS)
+    bad_api = (F.coalesce(F.size("assert_keys"), zero) <= 0) | (F.size(unknown_asserts) > 0)
+    empty = s.join(p.select("scenario").distinct(), "scenario", "left_anti")
     out = [
-        _broken(s, "L1", F.col("scenario") != F.col("file_stem"), 0, zero, F.col("file_stem")),
-        _broken(s, "L2", F.size(unknown_keys(F.col("keys"), TOP_KEYS)) > 0, 0, zero,
-                F.array_join(unknown_keys(F.col("keys"), TOP_KEYS), ",")),
-        _broken(s, "L3", ~F.coalesce(F.col("tier").isin("AUTO", "OPERATOR"), F.lit(False)), 0, zero, F.col("tier")),
-        _broken(s, "L4", ~F.col("requires_is_list"), 0, zero, none),
-        _broken(s, "L5", F.col("uses_exactly"), 0, zero, none),
-        _broken(s, "L6", ~F.coalesce("precondition", F.lit("any")).isin(*APP_STATES), 0, zero, F.col("precondition")),
-        _broken(s.join(p.select("scenario").distinct(), "scenario", "left_anti"), "L7", F.lit(True), 1, zero, none),
-        _broken(p, "L8", F.size("kinds") != 1, 2, F.col("i"), F.array_join("kinds", ",")),
-        _broken(p, "L9", duration_seconds(F.col("within")).isNull(), 2, F.col("i"), F.col("within")),
-        _broken(p, "L10", is_any & (F.coalesce(F.size("log_any"), zero) <= 0), 2, F.col("i"), none),
-        _broken(p, "L11", F.col("count").isNotNull() & (F.col("count") < 1), 2, F.col("i"), F.col("count")),
-        _broken(p, "L12", F.col("has_min") & ~F.col("has_extract"), 2, F.col("i"), none),
-        _broken(p, "L13", is_api & ((F.coalesce(F.size("assert_keys"), zero) <= 0)
-                                    | (F.size(unknown_keys(F.col("assert_keys"), API_ASSERTS)) > 0)),
-                2, F.col("i"), F.array_join(unknown_keys(F.col("assert_keys"), API_ASSERTS), ",")),
+        _broken(
+            s, 0, zero,
+            ("L1", F.col("scenario") != F.col("file_stem"), F.col("file_stem")),
+            ("L2", F.size(unknown) > 0, F.array_join(unknown, ",")),
+            ("L3", ~F.coalesce(F.col("tier").isin("AUTO", "OPERATOR"), F.lit(False)), F.col("tier")),
+            ("L4", ~F.col("requires_is_list"), none),
+            ("L5", F.col("uses_exactly"), none),
+            ("L6", ~F.coalesce("precondition", F.lit("any")).isin(*APP_STATES), F.col("precondition")),
+        ),
+        _broken(empty, 1, zero, ("L7", F.lit(True), none)),
+        _broken(
+            p, 2, F.col("i"),
+            ("L8", F.size("kinds") != 1, F.array_join("kinds", ",")),
+            ("L9", duration_seconds(F.col("within")).isNull(), F.col("within")),
+            ("L10", is_any & (F.coalesce(F.size("log_any"), zero) <= 0), none),
+            ("L11", F.col("count").isNotNull() & (F.col("count") < 1), F.col("count")),
+            ("L12", F.col("has_min") & ~F.col("has_extract"), none),
+            ("L13", is_api & bad_api, F.array_join(unknown_asserts, ",")),
+        ),
     ]
     # L14: the anchor is a plain token of an earlier line of the same scenario.
     anchored = p.where(F.array_contains("assert_keys", "new_run_after")).select("scenario", "i", "anchor")
     first = p.where(is_log).groupBy("scenario", F.col("log").alias("anchor")).agg(F.min("i").alias("_first"))
     unmet = ~F.coalesce(F.col("_first") < F.col("i"), F.lit(False))
-    out.append(
-        _broken(anchored.join(first, ["scenario", "anchor"], "left"), "L14", unmet, 2, F.col("i"), F.col("anchor"))
-    )
+    placed = anchored.join(first, ["scenario", "anchor"], "left")
+    out.append(_broken(placed, 2, F.col("i"), ("L14", unmet, F.col("anchor"))))
     both = p.groupBy("scenario").agg(
         F.max(F.array_contains("assert_keys", "new_run_after")).alias("_a"),
         F.max(F.array_contains("assert_keys", "new_confirmed_run")).alias("_b"),
     )
-    out.append(_broken(both, "L15", F.col("_a") & F.col("_b"), 3, zero, none))
+    out.append(_broken(both, 3, zero, ("L15", F.col("_a") & F.col("_b"), none)))
     tokens = p.select("scenario", F.explode(F.concat(
         F.when(is_log, F.array("log")).otherwise(F.array().cast("array<string>")),
         F.coalesce("log_any", F.array().cast("array<string>")),
     )).alias("after_token")).distinct()
     scoped = forbidden.where(F.col("after_token").isNotNull())
-    out.append(
-        _broken(scoped.join(tokens, ["scenario", "after_token"], "left_anti"), "L16", F.lit(True), 4, F.col("j"),
-                F.col("after_token"))
-    )
+    unnamed = scoped.join(tokens, ["scenario", "after_token"], "left_anti")
+    out.append(_broken(unnamed, 4, F.col("j"), ("L16", F.lit(True), F.col("after_token"))))
     for shapes, column, allowed, section in ((stimuli, "kinds", STIMULUS_KEYS, 5), (bindings, "forms", BINDING_FORMS, 6)):
         if shapes is not None:
             known = F.array_intersect(column, F.array(*[F.lit(a) for a in allowed]))
             wrong = (F.size(known) != 1) | (F.size(column) != 1)
-            out.append(_broken(shapes, "L17", wrong, section, F.col("i"), F.array_join(column, ",")))
+            out.append(_broken(shapes, section, F.col("i"), ("L17", wrong, F.array_join(column, ","))))
     return functools.reduce(DataFrame.unionByName, out)
 
 

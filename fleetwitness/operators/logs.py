@@ -196,16 +196,20 @@ def scope_to_window(lines: DataFrame, markers: DataFrame) -> DataFrame:
     return lines.join(small_side(latest), "run_id").where(F.col("byte_off") >= F.col("log_offset"))
 
 
+def in_time_window() -> Column:
+    """A stamped line 0–12 h after the start of the run, past midnight too."""
+    ahead = F.pmod(F.floor(F.col("tod_ms") / 1000) - F.floor(F.col("start_ms") / 1000), F.lit(86400))
+    return F.col("tod_ms").isNotNull() & (ahead <= 43200)
+
+
 def time_of_day_slice(lines: DataFrame, runs: DataFrame, cap: int = 400) -> DataFrame:
     """Lines from the first stamped line 0–12 h after the run start to the end of the log.
 
     ``runs``: run_id, start_ms (time of day). The last ``cap`` lines are kept and
     the label says so, as in the report this feeds.
     """
-    ahead = F.pmod(F.floor(F.col("tod_ms") / 1000) - F.floor(F.col("start_ms") / 1000), F.lit(86400))
-    inside = F.col("tod_ms").isNotNull() & (ahead <= 43200)
     rows = lines.join(small_side(runs.select("run_id", "start_ms")), "run_id").where(F.col("text") != "")
-    begin = rows.groupBy("run_id").agg(F.min(F.when(inside, F.col("idx"))).alias("begin"))
+    begin = rows.groupBy("run_id").agg(F.min(F.when(in_time_window(), F.col("idx"))).alias("begin"))
     kept = rows.join(begin, "run_id").where(F.col("idx") >= F.col("begin"))
     total = kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
     tail = smallest(kept, ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
@@ -221,27 +225,33 @@ def evidence_slice(lines: DataFrame, runs: DataFrame, markers: DataFrame, cap: i
     window (latest marker) → re-read (first marker) → time window when the run has
     no marker → no lines. A run without lines keeps one row with a NULL line.
     """
-    first = markers.groupBy("run_id").agg(F.min_by("log_offset", "seq").alias("log_offset"))
-    cols = ["run_id", "idx", "text"]
-    window = scope_to_window(lines, markers).where(F.col("text") != "").select(*cols)
-    has_window = window.select("run_id").distinct()
-    reread = (
-        lines.join(first.join(has_window, "run_id", "left_anti"), "run_id")
-        .where((F.col("byte_off") >= F.col("log_offset")) & (F.col("text") != ""))
-        .select(*cols)
+    offsets = markers.groupBy("run_id").agg(
+        F.max_by("log_offset", "seq").alias("_latest"), F.min_by("log_offset", "seq").alias("_first")
     )
-    unmarked = runs.join(first, "run_id", "left_anti")
-    timed = time_of_day_slice(lines, unmarked, cap).select(*cols)
-    found = (
-        window.withColumn("tier", F.lit("window"))
-        .unionByName(reread.withColumn("tier", F.lit("re-read")))
-        .unionByName(timed.withColumn("tier", F.lit("time-window")))
+    facts = runs.select("run_id", "start_ms").join(offsets, "run_id", "left")
+    rows = lines.join(small_side(facts), "run_id").where(F.col("text") != "")
+    tiers = rows.groupBy("run_id").agg(
+        F.max(F.col("byte_off") >= F.col("_latest")).alias("_window"),
+        F.max(F.col("byte_off") >= F.col("_first")).alias("_reread"),
+        F.min(F.when(F.col("_latest").isNull() & in_time_window(), F.col("idx"))).alias("_begin"),
     )
-    missing = runs.select("run_id").join(found.select("run_id").distinct(), "run_id", "left_anti")
-    none = missing.select(
-        "run_id", F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("string").alias("text"), F.lit("none").alias("tier")
+    tier = (
+        F.when(F.col("_window"), "window").when(F.col("_reread"), "re-read").when(F.col("_begin").isNotNull(), "time-window")
+    )
+    begin = tiers.select("run_id", tier.alias("tier"), "_begin").where(F.col("tier").isNotNull())
+    inside = (
+        F.when(F.col("tier") == "window", F.col("byte_off") >= F.col("_latest"))
+        .when(F.col("tier") == "re-read", F.col("byte_off") >= F.col("_first"))
+        .otherwise(F.col("idx") >= F.col("_begin"))
+    )
+    kept = rows.join(begin, "run_id").where(inside).select("run_id", "idx", "text", "tier")
+    timed = smallest(kept.where(F.col("tier") == "time-window"), ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
+    none = runs.select("run_id").join(begin, "run_id", "left_anti").withColumn("tier", F.lit("none"))
+    return (
+        kept.where(F.col("tier") != "time-window")
+        .unionByName(timed)
+        .unionByName(none, allowMissingColumns=True)
     )
-    return found.unionByName(none)
 
 
 def mentions(text: Column, tokens: Sequence[str]) -> Column:
