@@ -232,10 +232,9 @@ def post_window_state(fails: DataFrame, states: DataFrame, keys: Sequence[str] =
         F.min_by(F.struct(*[c for c in fails.columns if c != "run_id"]), F.struct("ts", "fail_id")).alias("f")
     )
     first = first.select("run_id", "f.*")
-    reads = first_after(first, states, keys, "fail_id", "state_id")
-    found = reads.select("fail_id", "hit_id", "wait_us")
-    values = states.select(F.col("state_id").alias("hit_id"), F.col("value").alias("state_value"))
-    return first.join(found, "fail_id", "left").join(values, "hit_id", "left")
+    reads = first_after(first, states, keys, "fail_id", "state_id", payload="value")
+    found = reads.select("fail_id", "hit_id", "wait_us", F.col("hit_value").alias("state_value"))
+    return first.join(found, "fail_id", "left")
 
 
 def phase_durations(lifecycle: DataFrame, phases: Sequence[str]) -> DataFrame:

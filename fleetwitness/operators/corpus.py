@@ -81,8 +81,10 @@ def inherit_templates(records: DataFrame, max_depth: int = 8) -> DataFrame:
     """
     parents = records.select(F.col("key").alias("_pk"), F.col("extends").alias("_pe"), F.col("deltas").alias("_pd"))
     out = records.select("key", F.col("extends").alias("_next"), "deltas", F.lit(0).alias("depth"))
+    # A resolved record joins on a text of its own, so the NULLs do not meet in one task.
+    wanted = F.coalesce("_next", F.concat(F.lit("\u0000"), "key"))
     for _ in range(max_depth):
-        out = out.join(parents, F.col("_next") == F.col("_pk"), "left").select(
+        out = out.join(parents, wanted == F.col("_pk"), "left").select(
             "key",
             F.col("_pe").alias("_next"),
             F.when(F.col("_pd").isNull(), F.col("deltas"))

@@ -15,6 +15,7 @@ from fleetwitness.functions.scalars import micros, micros_between
 from fleetwitness.operators.ordered import (
     Ordered,
     following,
+    last_before,
     next_after,
     ordered,
     previous,
@@ -144,11 +145,16 @@ def stream_keys(events: DataFrame | Ordered) -> list[str]:
     return events.keys if isinstance(events, Ordered) else list(STREAM)
 
 
-def _timeline(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
+def _timeline(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, payload: str | None = None
+) -> DataFrame:
     """Both inputs on one time line; at equal times the left row comes first."""
+    carried = F.lit(None) if payload is None else F.col(payload)
     a = left.select(*keys, F.col("ts"), F.lit(0).alias("_side"), F.col(left_id).cast("bigint").alias("_id"))
-    b = right.select(*keys, F.col("ts"), F.lit(1).alias("_side"), F.col(right_id).cast("bigint").alias("_id"))
-    return a.unionByName(b)
+    b = right.select(
+        *keys, F.col("ts"), F.lit(1).alias("_side"), F.col(right_id).cast("bigint").alias("_id"), carried.alias("_payload")
+    )
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def first_after(
@@ -158,23 +164,23 @@ def first_after(
     left_id: str,
     right_id: str,
     limit_s: float | None = None,
+    payload: str | None = None,
 ) -> DataFrame:
     """First right row at or after each left row of the same key (forward as-of join).
 
-    One union, one ordered scan: no pairs are formed.
+    One union, one ordered scan: no pairs are formed. ``payload`` names a column of
+    the right row to bring along as ``hit_value``.
     """
-    both = ordered(_timeline(left, right, keys, left_id, right_id), keys, ["ts", "_side", "_id"])
-    hit = F.when(F.col("_side") == 1, F.struct(F.col("ts").alias("ts"), F.col("_id").alias("id")))
-    out = both.scan(_hit=next_after(hit)).where(F.col("_side") == 0).frame()
+    both = ordered(_timeline(left, right, keys, left_id, right_id, payload), keys, ["ts", "_side", "_id"])
+    found = F.struct(F.col("ts").alias("ts"), F.col("_id").alias("id"), F.col("_payload").alias("value"))
+    out = both.scan(_hit=next_after(F.when(F.col("_side") == 1, found))).where(F.col("_side") == 0).frame()
     wait = micros_between(F.col("ts"), F.col("_hit.ts"))
     inside = F.lit(True) if limit_s is None else wait <= int(limit_s * 1_000_000)
+    columns = {"hit_id": F.col("_hit.id"), "hit_ts": F.col("_hit.ts"), "wait_us": wait}
+    if payload is not None:
+        columns["hit_value"] = F.col("_hit.value")
     return out.select(
-        *keys,
-        F.col("_id").alias(left_id),
-        "ts",
-        F.when(inside, F.col("_hit.id")).alias("hit_id"),
-        F.when(inside, F.col("_hit.ts")).alias("hit_ts"),
-        F.when(inside, wait).alias("wait_us"),
+        *keys, F.col("_id").alias(left_id), "ts", *[F.when(inside, c).alias(n) for n, c in columns.items()]
     )
 
 
@@ -188,8 +194,6 @@ def trigger_latency(
 
 def double_runs(edge_rows: DataFrame, runs: DataFrame, edge_id: str, run_id: str) -> DataFrame:
     """Runs started per detect edge (edge at or before the run); more than one is a finding."""
-    from fleetwitness.operators.ordered import last_before
-
     both = ordered(
         _timeline(edge_rows, runs, ["device_id"], edge_id, run_id), ["device_id"], ["ts", "_side", "_id"]
     )
