@@ -22,6 +22,7 @@ from fleetwitness.operators.ordered import (
     row_index,
     running_sum,
 )
+from fleetwitness.session import cut_lineage
 
 STREAM = ("device_id", "cluster", "attr_name")
 TIME = ("ts", "tsn")
@@ -108,9 +109,12 @@ def exact_quantiles(
     """Count, min, max and interpolated quantiles of an integer value per key.
 
     Equal values are counted map-side first; the running count then runs over
-    distinct values only, and a hot key is scanned in segments.
+    distinct values only, and a hot key is scanned in segments. The counts are
+    checkpointed, so the input is computed once for their three uses.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    )
     ranked = ordered(counted, keys, [value]).scan(_upto=running_sum("_n")).frame()
     totals = counted.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min(value).alias(f"min_{value}"), F.max(value).alias(f"max_{value}")
