@@ -14,8 +14,6 @@ STATUS_TAGS = {
     "DEFERRED": "DEFER",
 }
 
-MICROS_PER_DAY = 86_400_000_000
-
 
 def iso_instant(text: Column) -> Column:
     """ISO instant to a UTC timestamp, NULL when it does not parse; no zone means UTC."""

@@ -260,13 +260,6 @@ def in_segments(df: DataFrame, keys: Sequence[str], segment: str, order: Sequenc
     return Ordered(keys, order, None, df.withColumn(SEG, F.col(segment)))
 
 
-def runs_of(
-    seq: Ordered, starts: Column, name: str = "island"
-) -> Ordered:
-    """Number the islands of each key; ``starts`` marks the first row of an island."""
-    return seq.scan(**{name: running_sum(starts.cast("bigint"))})
-
-
 def smallest(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key; Spark cuts each task to ``n`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*by)

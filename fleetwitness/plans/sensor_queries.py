@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetwitness.functions.scalars import micros
 from fleetwitness.operators import sensors
 from fleetwitness.plans.registry import query
-from fleetwitness.plans.standins import HOUR_US, RADIO, k_of, radio, radio_stream
+from fleetwitness.plans.standins import HOUR_US, RADIO, k_of, radio_stream
 
 TWIN_GAP_S = 3600.0
 
