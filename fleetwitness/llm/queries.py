@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwitness.llm import exact_dedup, langid, url_filter
+from fleetwitness.llm import bpe, exact_dedup, langid, packing, token_counts, url_filter
+from fleetwitness.llm.common import reach_package
 from fleetwitness.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             shared_dir(spark)
+            reach_package(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
@@ -58,11 +61,36 @@ def op3(table) -> DataFrame:
     )
 
 
+@query("op4_byte_bpe")
+def op4(table) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.encode_texts(table("documents"), path, public_tokenizers.PATTERN, "text", ["doc_id"], decode=True)
+    return rows.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op6_url_filter")
 def op6(table) -> DataFrame:
     return url_filter.judge_urls(table("pages"), RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
 
 
+@query("op7_token_counts")
+def op7(table) -> DataFrame:
+    return token_counts.count_tokens(table("documents"), public_tokenizers.path("piece_bpe_32k.model"), "text", ["doc_id"])
+
+
+@query("op8_packing")
+def op8(table) -> DataFrame:
+    rows = packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("op9_language_id")
 def op9(table) -> DataFrame:
     return langid.language_of(table("documents")).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
