@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwitness.llm import bpe, exact_dedup, langid, packing, token_counts, url_filter
+from fleetwitness.llm import bpe, exact_dedup, langid, minhash, packing, token_counts, url_filter
 from fleetwitness.llm.common import reach_package
 from fleetwitness.session import shared_dir
 
@@ -94,3 +94,8 @@ def op8(table) -> DataFrame:
 @query("op9_language_id")
 def op9(table) -> DataFrame:
     return langid.language_of(table("documents")).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+@query("op10_minhash_dedup")
+def op10(table) -> DataFrame:
+    return minhash.near_duplicates(table("documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
