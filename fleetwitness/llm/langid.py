@@ -17,6 +17,7 @@ LEVEL = 5
 #: For texts whose sizes tie at ``LEVEL``.
 FINE_LEVEL = 19
 BLOCK_BYTES = 65536
+HASH_PLACES = 1 << 40
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -38,14 +39,20 @@ def fit_dictionaries(
 
     Bound: of every language the ``sample_docs`` rows with the smallest hash of their id give
     one slice of ``slice_chars`` characters each, from a place that the hash names as well.
-    Each task sends that many rows per language at most, however large a language is. Rows
-    without text or language teach nothing.
+    The languages are counted first, so that only about four times as many rows as are wanted
+    leave the scan, however large a language is. Rows without text or language teach nothing.
     """
     text, size = F.col(text_col), F.lit(slice_chars)
     room = F.greatest(F.char_length(text) - size, F.lit(0)) + 1
-    pick = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & (text != "")).select(
+    usable = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & (text != ""))
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(HASH_PLACES))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    limit = F.lit(HASH_PLACES)
+    for lang, count in counts.items():
+        limit = F.when(F.col(lang_col) == lang, max(1, HASH_PLACES * 4 * sample_docs // count)).otherwise(limit)
+    pick = usable.where(place <= limit).select(
         F.col(lang_col).alias("lang"),
-        F.xxhash64(F.col(id_col)).alias("h"),
+        place.alias("h"),
         F.substring(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), room) + 1).cast("int"), size).alias("part"),
     )
     order = Window.partitionBy("lang").orderBy("h", "part")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwitness.llm import bpe, exact_dedup, langid, minhash, packing, token_counts, url_filter
+from fleetwitness.llm import bpe, exact_dedup, langid, minhash, packing, substring_dedup, token_counts, url_filter
 from fleetwitness.llm.common import reach_package
 from fleetwitness.session import shared_dir
 
@@ -99,3 +99,10 @@ def op9(table) -> DataFrame:
 @query("op10_minhash_dedup")
 def op10(table) -> DataFrame:
     return minhash.near_duplicates(table("documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op2_substring_dedup")
+def op2(table) -> DataFrame:
+    return substring_dedup.repeated_passages(table("documents")).select(
+        F.col("id").alias("doc_id"), "start", "length", F.col("other_id").alias("other_doc_id"), "other_start", "other_length", "similarity"
+    )
