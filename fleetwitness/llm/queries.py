@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwitness.llm import bpe, exact_dedup, langid, minhash, packing, substring_dedup, token_counts, url_filter
+from fleetwitness.llm import bpe, embed_dedup, exact_dedup, langid, minhash, packing, substring_dedup, token_counts, url_filter
 from fleetwitness.llm.common import reach_package
 from fleetwitness.session import shared_dir
 
@@ -106,3 +106,8 @@ def op2(table) -> DataFrame:
     return substring_dedup.repeated_passages(table("documents")).select(
         F.col("id").alias("doc_id"), "start", "length", F.col("other_id").alias("other_doc_id"), "other_start", "other_length", "similarity"
     )
+
+
+@query("op1_embedding_dedup")
+def op1(table) -> DataFrame:
+    return embed_dedup.near_vectors(table("embeddings")).withColumnRenamed("id", "vec_id")
