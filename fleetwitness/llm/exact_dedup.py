@@ -65,10 +65,11 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    A kept id that occurs in several equal rows stays once per row; make ids unique beforehand
-    if that matters.
-    """
-    gone = exact_groups(docs, id_col, text_col).where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("__id"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("__id"), "left_anti")
+    """One row of ``docs`` for each group of equal texts, with all its columns."""
+    groups = exact_groups(docs, id_col, text_col)
+    gone = groups.where("NOT kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
+    rows = docs.withColumn("__sha", F.sha2(squeezed(whole_text(text_col)), 256))
+    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti")
+    if groups.where("kept").groupBy("id", "text_sha256").count().where("count > 1").take(1):  # one id in equal rows
+        rows = rows.dropDuplicates([id_col, "__sha"])
+    return rows.drop("__sha")

@@ -5,17 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 UNDETERMINED = "und"
 LEVEL = 5
-#: For texts whose sizes tie at ``LEVEL``.
+#: For texts whose sizes tie, as very short ones that no dictionary makes smaller: what they add
+#: to the end of each dictionary's content.
 FINE_LEVEL = 19
+FINE_BYTES = 16384
 BLOCK_BYTES = 65536
 HASH_PLACES = 1 << 40
 
@@ -68,29 +70,27 @@ class Sizes:
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.langs = sorted(lang for lang, data in dictionaries.items() if data)
-        self.dictionaries = dictionaries
-        self.by = {}
-
-    def compressors(self, level: int) -> list[zstandard.ZstdCompressor]:
-        if level not in self.by:
-            self.by[level] = [self._compressor(self.dictionaries[lang], level) for lang in self.langs]
-        return self.by[level]
+        self.by = [(lang, self._compressor(dictionaries[lang])) for lang in self.langs]
+        self.fine = zstandard.ZstdCompressor(level=FINE_LEVEL, write_content_size=False)
+        ends = [(lang, dictionaries[lang][-FINE_BYTES:]) for lang in self.langs]
+        self.ends = [(lang, end, len(self.fine.compress(end))) for lang, end in ends]
 
     @staticmethod
-    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(
-            level, dict_size=len(content), source_size=BLOCK_BYTES, write_content_size=False, write_checksum=False, write_dict_id=False
+            LEVEL, dict_size=len(content), source_size=BLOCK_BYTES, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         data.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
-    def ranked(self, text: str, level: int = LEVEL) -> list[tuple[int, str]]:
+    def ranked(self, text: str) -> list[tuple[int, str]]:
         data = letters(text)
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return sorted(
-            (sum(len(c.compress(b)) for b in blocks), lang) for lang, c in zip(self.langs, self.compressors(level), strict=True)
-        )
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.by)
+        if len(sizes) > 1 and sizes[0][0] == sizes[1][0]:
+            sizes = sorted((sum(len(self.fine.compress(end + b)) - alone for b in blocks), lang) for lang, end, alone in self.ends)
+        return sizes
 
     def best(self, text: str | None) -> tuple[str, float]:
         """(language, margin); the margin is the saving over the second language's size."""
@@ -99,9 +99,8 @@ class Sizes:
         ranked = self.ranked(text)
         if len(ranked) == 1:
             return ranked[0][1], 1.0
-        if ranked[0][0] == ranked[1][0]:
-            ranked = self.ranked(text, FINE_LEVEL)
-        return ranked[0][1], 1.0 - ranked[0][0] / ranked[1][0]
+        low, high = max(0, ranked[0][0]), max(1, ranked[1][0])
+        return ranked[0][1], 1.0 - low / high if low < high else 0.0
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, keep: list[str], min_margin: float = 0.0) -> DataFrame:
@@ -113,21 +112,21 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, kee
     dictionary all rows are ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    out = [rows.schema[c] for c in keep]
-    out += [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    out = StructType([rows.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(shared.value)
         for batch in batches:
-            found = [sizes.best(t) for t in batch["__text"]]
-            yield batch.drop(columns="__text").assign(
-                lang_pred=[f[0] for f in found],
-                score=[f[1] for f in found],
-                rejected=[f[0] == UNDETERMINED or f[1] < min_margin for f in found],
-            )
-
-    return rows.mapInPandas(judge, StructType(out))
+            found = [sizes.best(t.as_py()) for t in batch.column("__text")]
+            columns = [
+                pa.array([f[0] for f in found], pa.string()),
+                pa.array([f[1] for f in found], pa.float64()),
+                pa.array([f[0] == UNDETERMINED or f[1] < min_margin for f in found], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[f.name for f in out])
+
+    return rows.mapInArrow(judge, out)
 
 
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = 0.0) -> DataFrame:

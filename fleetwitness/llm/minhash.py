@@ -244,3 +244,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     return with_set.unionByName(without).select(
         "id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are linked to one with a smaller id, with all their
+    columns. Rows that share the kept id all stay."""
+    gone = near_duplicates(docs, size, percent, id_col, text_col).where("NOT kept").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwitness.llm import bpe, embed_dedup, exact_dedup, langid, minhash, packing, substring_dedup, token_counts, url_filter
+from fleetwitness.llm import bpe, embed_dedup, exact_dedup, langid, line_dedup, minhash, packing, substring_dedup, token_counts, url_filter
 from fleetwitness.llm.common import reach_package
 from fleetwitness.session import shared_dir
 
@@ -111,3 +111,10 @@ def op2(table) -> DataFrame:
 @query("op1_embedding_dedup")
 def op1(table) -> DataFrame:
     return embed_dedup.near_vectors(table("embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op5_line_dedup")
+def op5(table) -> DataFrame:
+    return line_dedup.near_lines(table("documents")).select(
+        F.col("id").alias("doc_id"), "line", F.col("first_id").alias("first_doc_id"), "first_line", "kept"
+    )

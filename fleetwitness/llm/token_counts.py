@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,9 +113,10 @@ def count_tokens(docs: DataFrame, path: str, text_col: str, keep: list[str]) ->
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     out = StructType([*(rows.schema[c] for c in keep), StructField("n_tokens", LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            yield batch.drop(columns="__text").assign(n_tokens=[own.count(t) for t in batch["__text"]])
+            counts = pa.array([own.count(t.as_py()) for t in batch.column("__text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), counts], names=[f.name for f in out])
 
-    return rows.mapInPandas(run, out)
+    return rows.mapInArrow(run, out)
