@@ -151,8 +151,3 @@ def micros(ts: Column) -> Column:
 
 def micros_between(start: Column, end: Column) -> Column:
     return micros(end) - micros(start)
-
-
-def plus_seconds(ts: Column, seconds: Column) -> Column:
-    """Timestamp plus a (fractional) number of seconds, exact to the microsecond."""
-    return F.timestamp_micros(micros(ts) + F.round(seconds * F.lit(1_000_000)).cast("bigint"))

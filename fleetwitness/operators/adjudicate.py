@@ -85,16 +85,18 @@ def with_anchors(forbidden: DataFrame, expectations: DataFrame) -> DataFrame:
     )
 
 
-def active_forbidden(judged: DataFrame, forbidden: DataFrame, expectations: DataFrame) -> DataFrame:
+def active_forbidden(judged: DataFrame, forbidden: DataFrame, expectations: DataFrame, earliest: bool) -> DataFrame:
     """Forbidden lines per run, with the index below which they count.
 
-    ``judged`` has ``met``, the (i, idx) of satisfied lines. The anchor is the last
-    of them that names the token (every member of an OR line counts); an unmet
-    anchor leaves its forbidden line inactive.
+    ``judged`` has ``met``, the (i, idx) of satisfied lines. Several of them may name
+    the token (every member of an OR line counts). With deadlines the forbidden line
+    is watched from the ``earliest`` of them on; over a finished window the last one
+    is the anchor. An unmet anchor leaves its forbidden line inactive.
     """
     specs = judged.join(small_side(with_anchors(forbidden, expectations)), "scenario")
-    anchor = F.array_max(F.filter("met", lambda m: F.array_contains(F.col("anchor_lines"), m["i"])))
-    specs = specs.withColumn("anchor_idx", F.when(F.col("anchor_lines").isNotNull(), anchor["idx"]))
+    naming = F.filter("met", lambda m: F.array_contains(F.col("anchor_lines"), m["i"]))
+    anchor = F.array_min(F.transform(naming, lambda m: m["idx"])) if earliest else F.array_max(naming)["idx"]
+    specs = specs.withColumn("anchor_idx", F.when(F.col("anchor_lines").isNotNull(), anchor))
     return specs.where(F.col("anchor_lines").isNull() | F.col("anchor_idx").isNotNull())
 
 
@@ -138,7 +140,7 @@ def adjudicate(
     deciding = deciding_lines(matches, *needs(expectations))
     checked = chain_deadlines(runs, expectations, deciding, grace_s)
     judged = verdict_rows(checked)
-    specs = active_forbidden(judged, forbidden, expectations).select("run_id", "j", "token", "anchor_idx", "end_us")
+    specs = active_forbidden(judged, forbidden, expectations, earliest=True).select("run_id", "j", "token", "anchor_idx", "end_us")
     at_us = micros(F.col("observed_at"))
     hit = (
         forbidden_lines(lines, specs, forbidden)
@@ -212,7 +214,7 @@ def adjudicate_window(
         F.max(F.when(F.col("ok"), F.col("at"))).alias("last_idx"),
         F.collect_list(F.when(F.col("ok"), F.struct("i", F.col("at").alias("idx")))).alias("met"),
     )
-    specs = active_forbidden(judged, forbidden, expectations).select("run_id", "j", "token", "anchor_idx")
+    specs = active_forbidden(judged, forbidden, expectations, earliest=False).select("run_id", "j", "token", "anchor_idx")
     hit = forbidden_lines(lines, specs, forbidden).groupBy("run_id").agg(F.min(F.struct("j", "idx", "token")).alias("hit"))
     failed = F.format_string("expected-not-seen: line %d (saw %d/%d)", "f.i", "f.seen", "f.need")
     return judged.join(hit, "run_id", "left").select(

@@ -118,14 +118,17 @@ def confirm_commands(
     keys: Sequence[str] = ATTRIBUTE,
     ack_keys: Sequence[str] = CHANNEL,
     grace_ms: int = 0,
+    quiet_s: float | None = None,
 ) -> DataFrame:
     """One verdict per command.
 
-    Order: FAILED (refused by the device) · UNCONFIRMED (the capability cannot be
-    confirmed) · CONFIRMED (a report agrees inside the timeout and before the next
+    Order: FAILED (refused by the device) · REFUSED (the profile has no row for the
+    capability) · UNCONFIRMED (the capability cannot be confirmed) · CONFIRMED (a report agrees inside the timeout and before the next
     command) · SUPERSEDED (a newer command came first) · TIMED_OUT. An
     acknowledgement alone never confirms. ``no_change`` says that the commanded
-    value was already the reported one.
+    value was already the reported one. With ``quiet_s`` only settled values count: a
+    report that another one follows within that time, before the next command, is a
+    step on the way and confirms nothing.
 
     The time line is read once: a command row brings its own terms, a report row a
     candidate for its owner, and both meet in one aggregation by command.
@@ -137,7 +140,12 @@ def confirm_commands(
     _, agrees = report_tests(F.col("_cmd.target"), F.col("value"))
     after = micros_between(F.col("_cmd.ts"), F.col("ts"))
     counts = ~is_command() & (after <= (F.col("timeout_ms") + grace_ms) * 1000) & agrees
-    rows = command_timeline(cmds, reports, keys).where(is_command() | F.col("_cmd").isNotNull()).frame()
+    timeline = command_timeline(cmds, reports, keys)
+    if quiet_s is not None:
+        timeline = timeline.scan(_later=next_after(F.when(~is_command(), F.col("ts"))))
+        pause = micros_between(F.col("ts"), F.col("_later")) > int(quiet_s * 1_000_000)
+        counts = counts & (F.col("_later").isNull() | pause | F.coalesce(F.col("_next") <= F.col("_later"), F.lit(False)))
+    rows = timeline.where(is_command() | F.col("_cmd").isNotNull()).frame()
     rows = rows.withColumns(
         {
             "cmd_id": F.when(is_command(), F.col("_id")).otherwise(F.col("_cmd.id")),
@@ -159,6 +167,7 @@ def confirm_commands(
     superseded = micros_between(F.col("ts"), F.col("next_ts")) <= (F.col("timeout_ms") + grace_ms) * 1000
     verdict = (
         F.when(F.col("ack_status") != "SUCCESS", "FAILED")
+        .when(F.col("confirmability").isNull(), "REFUSED")
         .when(F.col("confirmability") == "UNCONFIRMABLE", "UNCONFIRMED")
         .when(F.col("hit").isNotNull(), "CONFIRMED")
         .when(superseded, "SUPERSEDED")

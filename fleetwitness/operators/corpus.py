@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.operators.ordered import small_side, smallest
+from fleetwitness.session import cut_lineage
 
 
 def map_capabilities(attrs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -73,31 +74,43 @@ def merge_sources(upstream: DataFrame, bench: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def inherit_templates(records: DataFrame, max_depth: int = 8) -> DataFrame:
+def inherit_templates(records: DataFrame) -> DataFrame:
     """Resolve ``extends`` chains; a record's own deltas win over its templates'.
 
-    ``records``: key, extends, deltas MAP. One join per level; a chain longer than
-    ``max_depth`` or a cycle is reported as unresolved, never cut silently.
+    ``records``: key, extends, deltas MAP. Out: key, deltas, depth, resolved, problem. One
+    join per level, until no record is open: as many as the longest chain has links. A
+    template that does not exist and a cycle leave a record unresolved, with ``missing: key``
+    or ``cycle: key`` as the problem and the deltas found so far. Each level is written to the
+    shared folder, and a job counts the open records.
     """
     parents = records.select(F.col("key").alias("_pk"), F.col("extends").alias("_pe"), F.col("deltas").alias("_pd"))
-    out = records.select("key", F.col("extends").alias("_next"), "deltas", F.lit(0).alias("depth"))
-    # A resolved record joins on a text of its own, so the NULLs do not meet in one task.
-    wanted = F.coalesce("_next", F.concat(F.lit("\u0000"), "key"))
-    for _ in range(max_depth):
-        out = out.join(parents, wanted == F.col("_pk"), "left").select(
-            "key",
-            F.col("_pe").alias("_next"),
-            F.when(F.col("_pd").isNull(), F.col("deltas"))
-            .otherwise(
-                F.map_concat(
-                    F.map_filter(F.col("_pd"), lambda k, v: ~F.array_contains(F.map_keys("deltas"), k)),
-                    F.col("deltas"),
-                )
+    none = F.lit(None).cast("string")
+    open_rows = records.select(
+        "key", F.col("extends").alias("_next"), "deltas", F.lit(0).alias("depth"), F.array("key").alias("_seen"), none.alias("problem")
+    )
+    done = None
+    own = ["key", "deltas", "depth", "problem"]
+    while True:
+        closed = F.col("_next").isNull() | F.col("problem").isNotNull()
+        finished = open_rows.where(closed).select(*own)
+        done = finished if done is None else done.unionByName(finished)
+        open_rows = open_rows.where(~closed)
+        if not open_rows.take(1):
+            return done.select("key", "deltas", "depth", F.col("problem").isNull().alias("resolved"), "problem")
+        inherited = F.map_concat(F.map_filter("_pd", lambda k, v: ~F.array_contains(F.map_keys("deltas"), k)), F.col("deltas"))
+        found = F.col("_pk").isNotNull()
+        again = F.array_contains("_seen", F.col("_next"))
+        problem = F.when(again, F.concat(F.lit("cycle: "), "_next")).when(~found, F.concat(F.lit("missing: "), "_next"))
+        open_rows = cut_lineage(
+            open_rows.join(parents, F.col("_next") == F.col("_pk"), "left").select(
+                "key",
+                F.col("_pe").alias("_next"),
+                F.when(found & ~again & F.col("_pd").isNotNull(), inherited).otherwise(F.col("deltas")).alias("deltas"),
+                (F.col("depth") + (found & ~again).cast("int")).alias("depth"),
+                F.array_append("_seen", F.col("_next")).alias("_seen"),
+                problem.alias("problem"),
             )
-            .alias("deltas"),
-            (F.col("depth") + F.col("_pk").isNotNull().cast("int")).alias("depth"),
         )
-    return out.select("key", "deltas", "depth", F.col("_next").isNull().alias("resolved"))
 
 
 def cross_validate(capture: DataFrame, reference: DataFrame, keys: Sequence[str], per: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import iso_instant, json_at
-from fleetwitness.operators.ordered import small_side
+from fleetwitness.operators.ordered import last_before, ordered
 
 
 def new_runs(runs: DataFrame, snapshot: DataFrame, on: tuple[str, ...] = ("scope", "run_id")) -> DataFrame:
@@ -15,37 +15,48 @@ def new_runs(runs: DataFrame, snapshot: DataFrame, on: tuple[str, ...] = ("scope
 
 
 def confirmed_new_run(runs: DataFrame, snapshot: DataFrame, actions: DataFrame) -> DataFrame:
-    """New runs with at least one CONFIRMED action. ``actions``: run_id, outcome."""
-    confirmed = actions.where(F.col("outcome") == "CONFIRMED").select("run_id")
-    return new_runs(runs, snapshot).join(confirmed, "run_id", "left_semi")
+    """New runs with at least one CONFIRMED action in a chain that was read with status 200.
+
+    ``actions``: scope, run_id, status, outcome.
+    """
+    confirmed = actions.where((F.col("status") == 200) & (F.col("outcome") == "CONFIRMED")).select("scope", "run_id")
+    return new_runs(runs, snapshot).join(confirmed, ["scope", "run_id"], "left_semi")
 
 
-def chain_summary(actions: DataFrame) -> DataFrame:
-    """Executed actions per run: number of actions that name an outcome."""
-    done = F.col("outcome").isNotNull() & (F.col("outcome") != "")
-    return actions.groupBy("run_id").agg(F.count(F.when(done, 1)).alias("executed"))
+def chain_as_of(polls: DataFrame, chains: DataFrame) -> DataFrame:
+    """Every poll of a run with ``chain``, the newest chain read of that run up to the poll.
+
+    Polls and reads lie on one time line per run, so their numbers never multiply.
+    """
+    known = F.struct(F.col("status").alias("chain_status"), "matched_at", "executed")
+    reads = chains.select("scope", "run_id", "poll_seq", F.lit(0).alias("_side"), known.alias("_chain"))
+    rows = polls.withColumn("_side", F.lit(1)).unionByName(reads, allowMissingColumns=True)
+    # Reads of one poll number come in an order of their own, so that the scan is total.
+    rows = rows.withColumn("_nth", F.coalesce("list_pos", F.xxhash64("_chain")).cast("bigint"))
+    seq = ordered(rows, ["scope", "run_id"], ["poll_seq", "_side", "_nth"])
+    return seq.scan(chain=last_before("_chain")).where(F.col("_side") == 1).frame().select(*polls.columns, "chain")
 
 
 def new_run_after(
     runs: DataFrame, snapshot: DataFrame, chains: DataFrame, anchors: DataFrame, snapshot_scopes: DataFrame | None = None
 ) -> DataFrame:
-    """Every new run with the reason it is ignored, or ``accepted``.
-
-    Reasons in order: chain not readable, no trigger view, unparseable instant,
-    instant before the anchor observation, no executed action. The trigger instant
-    of the chain binds; the run's own ``triggered_at`` is compared but never used
-    instead. ``chains``: run_id, status, matched_at, executed. Without a snapshot
-    (scope not in ``snapshot_scopes``) or without an anchor a scope stays pending.
+    """Every poll of a new run with the reason it is ignored, or ``accepted``.
+
+    Reasons in order: the scope has no anchor (a refusal), chain not readable, no trigger
+    view, unparseable instant, instant before the anchor observation, no executed action.
+    The trigger instant of the chain, as of the poll, binds; the run's own ``triggered_at``
+    is compared but never used instead. ``runs``: scope, run_id, poll_seq, list_pos,
+    triggered_at; ``chains``: scope, run_id, poll_seq, status, matched_at, executed. Without
+    a snapshot (scope not in ``snapshot_scopes``) a scope stays pending.
     """
     fresh = new_runs(runs, snapshot)
     if snapshot_scopes is not None:
         fresh = fresh.join(snapshot_scopes.select("scope").distinct(), "scope", "left_semi")
-    joined = fresh.join(
-        chains.select("run_id", F.col("status").alias("chain_status"), "matched_at", "executed"), "run_id", "left"
-    ).join(small_side(anchors.select("scope", "m_observed")), "scope")
+    joined = chain_as_of(fresh, chains).select(*fresh.columns, "chain.*").join(anchors.select("scope", "m_observed"), "scope", "left")
     matched, triggered = iso_instant(F.col("matched_at")), iso_instant(F.col("triggered_at"))
     reason = (
-        F.when(F.coalesce(F.col("chain_status"), F.lit(0)) != 200, "chain not 200")
+        F.when(F.col("m_observed").isNull(), "refused: no anchor")
+        .when(F.coalesce(F.col("chain_status"), F.lit(0)) != 200, "chain not 200")
         .when(F.col("matched_at").isNull(), "trigger view absent")
         .when(matched.isNull(), "unparseable matchedAt")
         .when(matched < F.col("m_observed"), "predates")
@@ -56,17 +67,22 @@ def new_run_after(
     return joined.withColumns({"result": reason, "agree": agree})
 
 
-def liveness_verdict(scopes: DataFrame, judged: DataFrame) -> DataFrame:
-    """First accepted run in poll and list order per scope; otherwise the reasons, counted."""
+def liveness_verdict(scopes: DataFrame, judged: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """First accepted run in poll and list order per scope; otherwise FAIL with the number of new runs.
+
+    With ``anchors`` a scope that has none is REFUSED.
+    """
     order = F.struct("poll_seq", "list_pos", "run_id")
     per = judged.groupBy("scope").agg(
         F.min_by(F.struct("run_id", "agree"), F.when(F.col("result") == "accepted", order)).alias("won"),
         F.count_distinct("run_id").alias("new_runs"),
     )
-    out = scopes.select("scope").distinct().join(per, "scope", "left")
+    out = scopes.select("scope").distinct().join(per, "scope", "left").withColumn("_anchored", F.lit(True))
+    if anchors is not None:
+        out = out.drop("_anchored").join(anchors.select("scope", F.lit(True).alias("_anchored")).distinct(), "scope", "left")
     return out.select(
         "scope",
-        F.when(F.col("won").isNotNull(), "PASS").otherwise("FAIL").alias("status"),
+        F.when(F.col("_anchored").isNull(), "REFUSED").when(F.col("won").isNotNull(), "PASS").otherwise("FAIL").alias("status"),
         F.col("won.run_id").alias("run_id"),
         F.col("won.agree").alias("agree"),
         F.coalesce("new_runs", F.lit(0)).cast("bigint").alias("new_runs"),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros_between, whole_number
@@ -31,29 +32,46 @@ FAILURE_TOKENS = (
     "auto_detect_failed", "transport_failed", "reporting_ack_lies", "ERROR",
 )
 
-MAX_PREFILTER_TOKENS = 512
+# Up to here a catalogue is spelled out as a column expression; a larger one becomes an automaton.
 MAX_PATTERNS = 256
-MAX_CATALOGUE_ROWS = 10_000
 
 
-def any_token(text: Column, tokens: Column) -> Column:
-    return F.exists(tokens, lambda t: F.contains(text, t))
+def contained_tokens(tokens: Sequence[str]) -> Callable[[Column], Column]:
+    """Positions in ``tokens`` of all that a text contains, found in one pass over the text.
+
+    The automaton is made once per task from the catalogue's tokens, however many there are.
+    """
+    words = [(n, t) for n, t in enumerate(tokens) if t]
+    always = [n for n, t in enumerate(tokens) if not t]
+
+    @F.pandas_udf("array<int>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for n, word in words:
+            machine.add_word(word, n)
+        machine.make_automaton()
+        for texts in batches:
+            hits = [always + [n for _, n in machine.iter(x)] if words and x is not None else always for x in texts]
+            yield pd.Series([sorted(set(h)) for h in hits])
+
+    return find
 
 
-def all_tokens(text: Column, tokens: Column) -> Column:
-    return F.forall(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.contains(text, t))
+def mentions_any(text: Column, tokens: Sequence[str]) -> Column:
+    """Whether the text contains one of the tokens; never, without tokens."""
+    if len(tokens) <= MAX_PATTERNS:
+        return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens], F.lit(False))
+    return F.size(contained_tokens(tokens)(text)) > 0
 
 
 def keep_mentioned(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     """Drop lines that contain none of the catalogue's tokens, before any shuffle.
 
-    ``tokens`` has one column. A catalogue above the limit is left to the join.
+    ``tokens`` has one column; its distinct values are read when the plan is made.
     """
-    rows = tokens.take(MAX_CATALOGUE_ROWS + 1)
-    found = sorted({r[0] for r in rows if r[0] is not None})
-    if not found or len(rows) > MAX_CATALOGUE_ROWS or len(found) > MAX_PREFILTER_TOKENS:
-        return lines
-    return lines.where(functools.reduce(lambda a, b: a | b, [F.contains(F.col("text"), F.lit(t)) for t in found]))
+    return lines.where(mentions_any(F.col("text"), sorted({r[0] for r in tokens.distinct().collect() if r[0] is not None})))
 
 
 def run_expectations(runs: DataFrame, expectations: DataFrame) -> DataFrame:
@@ -76,28 +94,43 @@ def pattern_test(text: Column, tokens: Sequence[str], same_line: Sequence[str])
 def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
     """Lines that contain any token and every ``same_line`` text of an expectation of their run.
 
-    The distinct patterns of the catalogue (a few hundred at most) become one column
-    expression: each line is tested where it is read, and only matching lines are
-    shuffled, by run. A larger catalogue is joined by scenario and tested pair by pair.
+    The distinct patterns of the catalogue are read when the plan is made. Each line is
+    tested against all of them where it is read, by a column expression or, for a large
+    catalogue, by an automaton over its tokens; only matching lines are shuffled, by run.
     """
-    rows = expectations.select("tokens", "same_line", pattern_key().alias("key"))
-    if len(rows.take(MAX_CATALOGUE_ROWS + 1)) > MAX_CATALOGUE_ROWS:
-        rows = rows.distinct()
-    found = list({r["key"]: r for r in rows.take(MAX_CATALOGUE_ROWS + 1)}.values())
-    if not 0 < len(found) <= MAX_PATTERNS:
-        hit = any_token(F.col("text"), F.col("tokens")) & all_tokens(F.col("text"), F.col("same_line"))
-        return lines.join(runs, "run_id").join(expectations, "scenario").where(hit)
-    found = sorted(found, key=lambda r: r["key"])
+    rows = expectations.select("tokens", "same_line", pattern_key().alias("key")).dropDuplicates(["key"])
+    found = sorted(rows.collect(), key=lambda r: r["key"])
+    if len(found) > MAX_PATTERNS:
+        return _match_many(lines, runs, expectations, found)
     tests = [
         F.when(pattern_test(F.col("text"), r["tokens"] or [], r["same_line"] or []), F.lit(n))
         for n, r in enumerate(found)
     ]
-    number = F.create_map(*[x for n, r in enumerate(found) for x in (F.lit(r["key"]), F.lit(n))])
-    marked = lines.withColumn("_pattern", F.explode(F.array_compact(F.array(*tests))))
+    number = F.create_map(*[x for n, r in enumerate(found) for x in (F.lit(r["key"]), F.lit(n))]).cast("map<string,int>")
+    marked = lines.withColumn("_pattern", F.explode(F.array_compact(F.array(*tests).cast("array<int>"))))
     wanted = small_side(expectations.withColumn("_pattern", F.element_at(number, pattern_key())))
     return marked.join(runs, "run_id").join(wanted, ["scenario", "_pattern"]).drop("_pattern")
 
 
+def _match_many(lines: DataFrame, runs: DataFrame, expectations: DataFrame, found: list[Row]) -> DataFrame:
+    """A line and a pattern meet by the first of the pattern's tokens that the line contains."""
+    spark = lines.sparkSession
+    tokens = sorted({t for r in found for t in [*(r["tokens"] or []), *(r["same_line"] or [])]})
+    at = {t: n for n, t in enumerate(tokens)}
+    patterns = [
+        (at[t], r["key"], sorted(at[x] for x in r["tokens"]), sorted(at[x] for x in r["same_line"] or []))
+        for r in found
+        for t in sorted(set(r["tokens"] or []))
+    ]
+    table = spark.createDataFrame(patterns, "_token INT, _pattern STRING, _any ARRAY<INT>, _all ARRAY<INT>")
+    seen = lines.withColumn("_seen", contained_tokens(tokens)(F.col("text"))).where(F.size("_seen") > 0)
+    met = seen.withColumn("_token", F.explode("_seen")).join(small_side(table), "_token")
+    first = F.array_min(F.array_intersect("_any", "_seen")) == F.col("_token")
+    met = met.where(first & (F.size(F.array_except("_all", "_seen")) == 0)).drop("_token", "_any", "_all", "_seen")
+    wanted = expectations.withColumn("_pattern", pattern_key())
+    return met.join(runs, "run_id").join(wanted, ["scenario", "_pattern"]).drop("_pattern")
+
+
 def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:
     """Matches per expectation against the needed number; no match is a row with 0."""
     seen = matches.groupBy("run_id", "i").agg(F.count(F.lit(1)).alias("seen"))
@@ -144,12 +177,9 @@ def nth_match(matches: DataFrame, max_need: int) -> DataFrame:
 
 def needs(expectations: DataFrame) -> tuple[int, int]:
     """Largest needed number of matches: over all lines, and over those with ``extract`` (0 if none)."""
-    rows = expectations.select("need", F.col("extract").isNotNull().alias("numbered")).take(MAX_CATALOGUE_ROWS + 1)
-    if len(rows) > MAX_CATALOGUE_ROWS:
-        numbered = F.max(F.when(F.col("extract").isNotNull(), F.col("need")))
-        largest = expectations.agg(F.max("need"), numbered).first()
-        return int(largest[0] or 0), int(largest[1] or 0)
-    return max((r.need for r in rows), default=0), max((r.need for r in rows if r.numbered), default=0)
+    numbered = F.max(F.when(F.col("extract").isNotNull(), F.col("need")))
+    largest = expectations.agg(F.max("need"), numbered).first()
+    return int(largest[0] or 0), int(largest[1] or 0)
 
 
 def first_observed(matches: DataFrame) -> DataFrame:
@@ -202,28 +232,33 @@ def in_time_window() -> Column:
     return F.col("tod_ms").isNotNull() & (ahead <= 43200)
 
 
-def time_of_day_slice(lines: DataFrame, runs: DataFrame, cap: int = 400) -> DataFrame:
+def window_label(total: Column, cap: int | None) -> Column:
+    """Names the slice, and the cut if there was one."""
+    if cap is None:
+        return F.lit("time window")
+    return F.when(total > cap, F.format_string(f"time window, last {cap} of %d lines", total)).otherwise(F.lit("time window"))
+
+
+def time_of_day_slice(lines: DataFrame, runs: DataFrame, cap: int | None = None) -> DataFrame:
     """Lines from the first stamped line 0–12 h after the run start to the end of the log.
 
-    ``runs``: run_id, start_ms (time of day). The last ``cap`` lines are kept and
-    the label says so, as in the report this feeds.
+    ``runs``: run_id, start_ms (time of day). A report that wants no more than the last
+    ``cap`` lines says so; the label then names the cut.
     """
     rows = lines.join(small_side(runs.select("run_id", "start_ms")), "run_id").where(F.col("text") != "")
     begin = rows.groupBy("run_id").agg(F.min(F.when(in_time_window(), F.col("idx"))).alias("begin"))
     kept = rows.join(begin, "run_id").where(F.col("idx") >= F.col("begin"))
     total = kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    tail = smallest(kept, ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
-    label = F.when(
-        F.col("total") > cap, F.format_string(f"time window, last {cap} of %d lines", "total")
-    ).otherwise(F.lit("time window"))
-    return tail.join(total, "run_id").withColumn("label", label)
+    tail = kept if cap is None else smallest(kept, ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
+    return tail.join(total, "run_id").withColumn("label", window_label(F.col("total"), cap))
 
 
-def evidence_slice(lines: DataFrame, runs: DataFrame, markers: DataFrame, cap: int = 400) -> DataFrame:
+def evidence_slice(lines: DataFrame, runs: DataFrame, markers: DataFrame, cap: int | None = None) -> DataFrame:
     """Best available slice per run, with its source named.
 
     window (latest marker) → re-read (first marker) → time window when the run has
-    no marker → no lines. A run without lines keeps one row with a NULL line.
+    no marker → no lines. A run without lines keeps one row with a NULL line. ``cap``
+    bounds a time window only; the label then names the cut.
     """
     offsets = markers.groupBy("run_id").agg(
         F.max_by("log_offset", "seq").alias("_latest"), F.min_by("log_offset", "seq").alias("_first")
@@ -244,9 +279,13 @@ def evidence_slice(lines: DataFrame, runs: DataFrame, markers: DataFrame, cap: i
         .when(F.col("tier") == "re-read", F.col("byte_off") >= F.col("_first"))
         .otherwise(F.col("idx") >= F.col("_begin"))
     )
-    kept = rows.join(begin, "run_id").where(inside).select("run_id", "idx", "text", "tier")
-    timed = smallest(kept.where(F.col("tier") == "time-window"), ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
-    none = runs.select("run_id").join(begin, "run_id", "left_anti").withColumn("tier", F.lit("none"))
+    kept = rows.join(begin, "run_id").where(inside).select("run_id", "idx", "text", "tier", F.col("tier").alias("label"))
+    timed = kept.where(F.col("tier") == "time-window")
+    total = timed.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
+    if cap is not None:
+        timed = smallest(timed, ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
+    timed = timed.join(total, "run_id").withColumn("label", window_label(F.col("total"), cap)).drop("total")
+    none = runs.select("run_id").join(begin, "run_id", "left_anti").withColumns({"tier": F.lit("none"), "label": F.lit("none")})
     return (
         kept.where(F.col("tier") != "time-window")
         .unionByName(timed)

@@ -1,6 +1,6 @@
 """Sensor streams: twins, edges, intervals, gaps, cadence and trigger latency.
 
-Input rows: ``device_id, cluster, attr_name, ts, tsn, value`` (see ``schemas``).
+Input rows: ``device_id, cluster, attr_name, ts, tsn, value``.
 Each function accepts a DataFrame, or an ``Ordered`` to reuse a prepared order.
 """
 

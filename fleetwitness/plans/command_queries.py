@@ -79,6 +79,36 @@ def confirm_commands(t):
     )
 
 
+@query(
+    "j9_confirm_settled",
+    f"""{ACKED},
+    known_kinds AS (SELECT * FROM profile WHERE capability <> 'effect'),
+    later AS (SELECT *, lead(us) OVER (PARTITION BY device_id ORDER BY us, report_id) AS later_us FROM reports),
+    owned AS (
+      SELECT c.cmd_id, c.target, c.capability, r.report_id, r.value, r.us - c.us AS after_us
+      FROM later r ASOF JOIN nexts c ON r.device_id = c.device_id AND r.us >= c.us
+      WHERE r.later_us IS NULL OR r.later_us - r.us > {6 * HOUR_US} OR c.next_us <= r.later_us),
+    hits AS (
+      SELECT o.cmd_id, min(after_us) AS hit_us, min_by(report_id, after_us) AS hit_id
+      FROM owned o JOIN known_kinds p ON o.capability = p.capability
+      WHERE after_us <= timeout_ms * 1000
+        AND CASE WHEN mode = 'TOLERANCE' THEN abs(target - value) <= tolerance ELSE value = target END GROUP BY o.cmd_id),
+    judged AS (
+      SELECT c.cmd_id, CASE WHEN a.ack_status <> 'SUCCESS' THEN 'FAILED' WHEN p.capability IS NULL THEN 'REFUSED'
+        WHEN p.confirmability = 'UNCONFIRMABLE' THEN 'UNCONFIRMED' WHEN h.hit_id IS NOT NULL THEN 'CONFIRMED'
+        WHEN c.next_us - c.us <= p.timeout_ms * 1000 THEN 'SUPERSEDED' ELSE 'TIMED_OUT' END AS verdict, hit_us, hit_id
+      FROM nexts c LEFT JOIN known_kinds p ON c.capability = p.capability LEFT JOIN acked a ON c.cmd_id = a.cmd_id
+      LEFT JOIN hits h ON c.cmd_id = h.cmd_id)
+    SELECT cmd_id, verdict, CASE WHEN verdict = 'CONFIRMED' THEN hit_us END AS latency_us,
+      CASE WHEN verdict = 'CONFIRMED' THEN hit_id END AS confirmed_by FROM judged""",
+)
+def confirm_settled(t):
+    """Only settled values confirm, and a capability without a profile row is refused."""
+    known = profile(t).where(F.col("capability") != "effect")
+    out = ops.confirm_commands(commands(t), reports(t), known, acks(t), quiet_s=6 * 3600)
+    return out.select("cmd_id", "verdict", "latency_us", "confirmed_by")
+
+
 @query(
     "j10_no_change_commands",
     f"{VERDICTS} SELECT cmd_id, us, target FROM verdicts WHERE no_change",

@@ -116,11 +116,13 @@ def merge_sources(t):
 @query(
     "j16_inherit_templates",
     """WITH r AS (
-      SELECT c_name AS key, 2 AS depth, n_name AS zone, c_mktsegment AS tier, r_name AS area
+      SELECT c_name AS key, 2 AS depth, n_name AS zone, c_mktsegment AS tier, r_name AS area, NULL AS problem
       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-      UNION ALL SELECT n_name, 1, n_name, r_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-      UNION ALL SELECT r_name, 0, NULL, r_name, r_name FROM region)
-    SELECT key, depth, zone, tier, area, true AS resolved FROM r""",
+      UNION ALL SELECT n_name, 1, n_name, r_name, r_name, NULL FROM nation JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT r_name, 0, NULL, r_name, r_name, NULL FROM region
+      UNION ALL SELECT s_name, 0, NULL, 'own', NULL, 'missing: no such template' FROM supplier WHERE s_suppkey % 2 = 0
+      UNION ALL SELECT s_name, 0, NULL, 'own', NULL, 'cycle: ' || s_name FROM supplier WHERE s_suppkey % 2 = 1)
+    SELECT key, depth, zone, tier, area, problem IS NULL AS resolved, problem FROM r""",
 )
 def inherit_templates(t):
     def record(key, extends, **deltas):
@@ -134,9 +136,13 @@ def inherit_templates(t):
         .unionByName(nations.select(*record("n_name", F.col("r_name"), zone="n_name")))
         .unionByName(t.region.select(*record("r_name", F.lit(None).cast("string"), tier="r_name", area="r_name")))
     )
-    out = corpus.inherit_templates(records, max_depth=3)
+    # Suppliers extend what is not there, or themselves.
+    wrong = F.when(F.col("s_suppkey") % 2 == 0, "no such template").otherwise(F.col("s_name"))
+    suppliers = t.supplier.withColumn("own", F.lit("own"))
+    records = records.unionByName(suppliers.select(*record("s_name", wrong, tier="own")))
+    out = corpus.inherit_templates(records)
     value = {k: F.col("deltas")[k].alias(k) for k in ("zone", "tier", "area")}
-    return out.select("key", "depth", *value.values(), "resolved")
+    return out.select("key", "depth", *value.values(), "resolved", "problem")
 
 
 @query(
@@ -167,14 +173,16 @@ def anchor_check(t):
     "j19_prunable_logs",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders)
     SELECT o_custkey AS bench_id, o_orderkey AS boot_id FROM r
-    WHERE n > 2 AND o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_tax = 0.08)""",
+    WHERE n > 2 AND o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 3)""",
 )
 def prunable_logs(t):
     logs = t.orders.select(
         F.col("o_custkey").alias("bench_id"), F.col("o_orderkey").alias("boot_id"),
         F.col("o_orderkey").alias("boot_seq"), (F.col("o_orderstatus") == "F").alias("copied"),
     )
-    cited = t.lineitem.where(F.col("l_tax") == 0.08).select(F.col("l_orderkey").alias("boot_id"))
+    # A log that more than three lines point to is cited.
+    pointed = t.lineitem.groupBy(F.col("l_orderkey").alias("boot_id")).agg(F.count(F.lit(1)).alias("n"))
+    cited = pointed.where("n > 3").select("boot_id")
     return fleet.prunable_logs(logs, cited).select("bench_id", "boot_id")
 
 
@@ -196,17 +204,16 @@ def quiet_channels(t):
 
 @query(
     "u2_cluster_set_delta",
-    """WITH p AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_type <> 'SMALL'),
-    m AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_retailprice < 1050)
+    """WITH p AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 2 = 0),
+    m AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 2 = 1)
     (SELECT *, 'both' AS side FROM (SELECT * FROM p INTERSECT SELECT * FROM m))
     UNION ALL (SELECT *, 'predicted' FROM (SELECT * FROM p EXCEPT SELECT * FROM m))
     UNION ALL (SELECT *, 'measured' FROM (SELECT * FROM m EXCEPT SELECT * FROM p))""",
 )
 def cluster_set_delta(t):
     keys = ["p_brand", "p_size"]
-    return corpus.cluster_set_delta(
-        t.part.where(F.col("p_type") != "SMALL").select(*keys), t.part.where("p_retailprice < 1050").select(*keys)
-    )
+    predicted, measured = t.part.where("p_partkey % 2 = 0"), t.part.where("p_partkey % 2 = 1")  # every part has a role
+    return corpus.cluster_set_delta(predicted.select(*keys), measured.select(*keys))
 
 
 @query(

@@ -65,6 +65,22 @@ def match_tokens(t):
     return doc_matches(t).select("run_id", "i", "idx")
 
 
+@query(
+    "f1_large_catalogue",
+    f"""WITH {DOC_LINES}, ends AS (
+      SELECT doc_id AS i, lang AS scenario, left(text, 12) AS a, right(text, 12) AS b, left(text, 2) AS c FROM documents)
+    SELECT l.run_id, e.i, l.idx FROM lines l JOIN ends e ON l.scenario = e.scenario
+    WHERE (contains(l.text, e.a) OR contains(l.text, e.b)) AND contains(l.text, e.c)""",
+)
+def match_large_catalogue(t):
+    """As many expectations as documents: their first and last characters, wherever a line has them."""
+    expectations = t.documents.select(
+        F.col("lang").alias("scenario"), F.col("doc_id").alias("i"), F.array(F.expr("left(text, 12)"), F.expr("right(text, 12)")).alias("tokens"),
+        F.array(F.expr("left(text, 2)")).alias("same_line"),
+    )
+    return logs.match_tokens(doc_lines(t), doc_runs(t), expectations).select("run_id", "i", "idx")
+
+
 @query(
     "f2_scope_to_window",
     f"""WITH {DOC_LINES} SELECT l.run_id, l.idx, CAST(l.byte_off AS BIGINT) AS byte_off
@@ -116,16 +132,17 @@ def time_of_day_slice(t):
     f"""WITH {BOOT_LINES}, {TIMED},
     marks AS (SELECT boot_id, max_by(byte_off, idx) AS log_offset FROM boot_log
               WHERE event_type = 'signup' AND value >= 60 GROUP BY boot_id)
-    SELECT l.boot_id AS run_id, l.idx, 'window' AS tier FROM boot_log l JOIN marks m USING (boot_id) WHERE l.byte_off >= m.log_offset
+    SELECT l.boot_id AS run_id, l.idx, 'window' AS tier, 'window' AS label FROM boot_log l JOIN marks m USING (boot_id) WHERE l.byte_off >= m.log_offset
     UNION ALL
-    SELECT boot_id, idx, 'time-window' FROM kept WHERE back <= {CAP} AND boot_id NOT IN (SELECT boot_id FROM marks)""",
+    SELECT boot_id, idx, 'time-window', CASE WHEN total > {CAP} THEN 'time window, last {CAP} of ' || total || ' lines' ELSE 'time window' END
+    FROM kept WHERE back <= {CAP} AND boot_id NOT IN (SELECT boot_id FROM marks)""",
 )
 def evidence_slice(t):
     marked = boot_log(t).where((F.col("event_type") == "signup") & (F.col("value") >= 60))
     markers = marked.select(
         F.col("boot_id").alias("run_id"), F.col("idx").alias("seq"), F.col("byte_off").alias("log_offset")
     )
-    return logs.evidence_slice(parsed_boot_log(t), boot_runs(t), markers, cap=CAP).select("run_id", "idx", "tier")
+    return logs.evidence_slice(parsed_boot_log(t), boot_runs(t), markers, cap=CAP).select("run_id", "idx", "tier", "label")
 
 
 @query(
@@ -355,12 +372,12 @@ def boot_outcome(t):
     """WITH p AS (
       SELECT user_id AS bench_id, event_id AS boot_seq, CAST(round(value * 100) AS BIGINT) AS position,
         lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_position
-      FROM events WHERE event_type = 'signup'),
+      FROM events),
     f AS (SELECT *, coalesce(position < prev_position, false) AS fell, position < 1000 AS below_watermark FROM p)
     SELECT * FROM f WHERE fell OR below_watermark""",
 )
 def position_regressions(t):
-    positions = t.events.where(F.col("event_type") == "signup").select(
+    positions = t.events.select(
         F.col("user_id").alias("bench_id"),
         F.col("event_id").alias("boot_seq"),
         F.round(F.col("value") * 100).cast("bigint").alias("position"),
@@ -420,14 +437,14 @@ def profile_posture(t):
 
 @query(
     "a22_identity_continuity",
-    """WITH i AS (SELECT l_partkey AS address, count(DISTINCT l_suppkey) AS ids FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
-    p AS (SELECT l_partkey AS address, count(*) AS proposed FROM lineitem WHERE l_tax = 0.08 GROUP BY 1)
+    """WITH i AS (SELECT l_orderkey AS address, count(DISTINCT l_suppkey) AS ids FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+    p AS (SELECT l_orderkey AS address, count(*) AS proposed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
     SELECT coalesce(i.address, p.address) AS address, coalesce(ids, 0) AS ids, coalesce(proposed, 0) AS proposed,
       coalesce(ids, 0) = 1 AND coalesce(proposed, 0) = 0 AS continuous FROM i FULL JOIN p ON i.address = p.address""",
 )
 def identity_continuity(t):
-    links = t.lineitem.where(F.col("l_quantity") > 45).select(
-        F.col("l_partkey").alias("address"), F.col("l_suppkey").alias("device_id")
-    )
-    proposals = t.lineitem.where(F.col("l_tax") == 0.08).select(F.col("l_partkey").alias("address"))
+    # Every line has a role: a returned one is a proposal, the others are links.
+    rows = t.lineitem.select(F.col("l_orderkey").alias("address"), F.col("l_suppkey").alias("device_id"), "l_returnflag")
+    links = rows.where("l_returnflag <> 'R'").select("address", "device_id")
+    proposals = rows.where("l_returnflag = 'R'").select("address")
     return logs.identity_continuity(links, proposals)

@@ -163,16 +163,21 @@ def read_runs_and_chains(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     run_id = F.regexp_extract("path", r"^/api/v1/runs/([^/]+)/causal-chain$", 1)
     found = docs.withColumn("run_id", run_id).where(F.col("run_id") != "")
     actions = found.select(
-        "run_id", F.posexplode(F.try_variant_get("doc", "$.data.actions", "array<variant>")).alias("pos", "a")
+        "scope", "run_id", "poll_seq", "status", F.posexplode(F.try_variant_get("doc", "$.data.actions", "array<variant>")).alias("pos", "a")
     ).select(
+        "scope",
         "run_id",
+        "poll_seq",
+        "status",
         "pos",
         json_at(F.col("a"), "command").alias("command"),
         json_at(F.col("a"), "outcome").alias("outcome"),
         json_at(F.col("a"), "reason").alias("reason"),
     )
     chains = found.select(
+        "scope",
         "run_id",
+        "poll_seq",
         "status",
         json_at(F.col("doc"), "data.trigger.matchedAt").alias("matched_at"),
         F.size(

@@ -9,7 +9,9 @@ from fleetwitness.functions.scalars import message_pairs, message_token, time_of
 from fleetwitness.operators.ordered import Ordered, in_segments, last_upto, ordered, row_index, running_sum
 
 # Fixed value: the form of a stamped line.
-LINE = r"^(\d{2}:\d{2}:\d{2}\.\d+) \[([^\]]*)\] (\S+) (\S+) -- (.*)$"
+MARK = "\u0001"
+# The mark may stand in a message only.
+LINE = r"^(\d{2}:\d{2}:\d{2}\.\d+) \[([^\]\x01]*)\] ([^\s\x01]+) ([^\s\x01]+) -- (.*)$"
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,16 +42,22 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_log_line(lines: DataFrame) -> DataFrame:
     """Add stamp, thread, level, logger, message, token and pairs; NULL where absent.
 
-    One regular expression per line cuts it into its parts.
+    One regular expression per line cuts it into its parts. A line of that form keeps
+    its message even if that is empty; any other line is a message as a whole.
     """
-    cut = F.split(F.regexp_replace("text", LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", 5)
-    parts = lines.withColumn("_parts", F.when(F.col("text").rlike(r"^\d{2}:"), cut))
+    # No line of the form starts with the mark, so a cut line is told by it.
+    cut = F.regexp_replace("text", LINE, f"{MARK}$1{MARK}$2{MARK}$3{MARK}$4{MARK}$5")
+    formed = F.col("text").rlike(r"^\d{2}:") & cut.startswith(MARK)
+    parts = lines.withColumn("_parts", F.when(formed, F.split(cut, MARK, 6)))
 
     def part(n: int) -> Column:
-        return F.nullif(F.when(F.size("_parts") == 5, F.get("_parts", F.lit(n))), F.lit(""))
+        return F.get("_parts", F.lit(n + 1))
 
     named = parts.withColumns(
-        {"thread": part(1), "level": part(2), "logger": part(3), "message": F.coalesce(part(4), F.col("text"))}
+        {
+            **{name: F.nullif(part(n), F.lit("")) for n, name in enumerate(("thread", "level", "logger"), 1)},
+            "message": F.when(F.col("_parts").isNotNull(), part(4)).otherwise(F.col("text")),
+        }
     ).drop("_parts")
     return named.withColumns(
         {

@@ -38,8 +38,13 @@ def write_evidence(manifest: DataFrame, slices: DataFrame, captures: DataFrame,
 def append_digest(lines: DataFrame, folder: str) -> None:
     """Add the nights that have no line yet; a night is never written twice.
 
-    ``lines``: night, line, latency.
+    ``lines``: night, line, latency. Of several lines for one night in the input the
+    smallest, by its other columns, is taken.
     """
+    rest = [c for c in lines.columns if c != "night"]
+    lines = lines.groupBy("night").agg(F.min(F.struct(*rest)).alias("_one")).select(
+        *[F.col(f"_one.{c}").alias(c) if c != "night" else F.col(c) for c in lines.columns]
+    )
     fresh = lines
     try:
         done = lines.sparkSession.read.schema(lines.schema).parquet(folder).select("night").distinct()

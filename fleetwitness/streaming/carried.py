@@ -25,7 +25,9 @@ Step = Callable[[DataFrame, int], tuple[DataFrame, DataFrame]]
 class CarriedBatches:
     """``foreachBatch`` function; ``step(rows, watermark_us)`` gives (decided, open) rows.
 
-    Rows have a ``ts`` and a boolean ``is_new`` (false for carried ones).
+    Rows have a ``ts``, a boolean ``is_new`` (false for carried ones) and a boolean ``is_done``,
+    which a step may set on open rows that it has judged already. The watermark never goes
+    back; rows that come after it has passed them are written to ``late`` and not judged.
     """
 
     folder: str
@@ -34,18 +36,25 @@ class CarriedBatches:
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("is_new", F.lit(True))
+        fresh, last = batch.withColumns({"is_new": F.lit(True), "is_done": F.lit(False)}), None
         if epoch > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{self.folder}/open/epoch={epoch - 1}")
-            rows = rows.unionByName(before.withColumn("is_new", F.lit(False)))
-        rows = rows.persist()
+            last = spark.read.schema("us BIGINT").parquet(f"{self.folder}/mark/epoch={epoch - 1}").first()["us"]
+            too_late = F.coalesce(micros(F.col("ts")) < last, F.lit(False))
+            fresh.where(too_late).select(*batch.columns).write.mode("overwrite").parquet(f"{self.folder}/late/epoch={epoch}")
+            kept = StructType([*batch.schema.fields]).add("is_done", "boolean")
+            before = spark.read.schema(kept).parquet(f"{self.folder}/open/epoch={epoch - 1}")
+            fresh = fresh.where(~too_late).unionByName(before.withColumn("is_new", F.lit(False)))
+        rows = fresh.persist()
         try:
             # One number: the newest instant seen, less the allowed delay.
             newest = rows.agg(F.max(micros(F.col("ts")))).first()[0]
-            watermark = (newest or 0) - int(self.delay_s * 1_000_000)
+            watermark = max((newest or 0) - int(self.delay_s * 1_000_000), last or 0)
             decided, still_open = self.step(rows, watermark)
+            if "is_done" not in still_open.columns:
+                still_open = still_open.withColumn("is_done", F.lit(False))
             decided.write.mode("overwrite").parquet(f"{self.folder}/rows/epoch={epoch}")
-            still_open.select(*batch.columns).write.mode("overwrite").parquet(f"{self.folder}/open/epoch={epoch}")
+            still_open.select(*batch.columns, "is_done").write.mode("overwrite").parquet(f"{self.folder}/open/epoch={epoch}")
+            spark.range(1).select(F.lit(watermark).cast("bigint").alias("us")).write.mode("overwrite").parquet(f"{self.folder}/mark/epoch={epoch}")
         finally:
             rows.unpersist()
 

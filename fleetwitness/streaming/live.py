@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetwitness.functions.scalars import micros
 from fleetwitness.operators.adjudicate import chain_deadlines, deciding_lines, verdict_rows
 from fleetwitness.operators.commands import command_timeline, confirm_commands, is_command
-from fleetwitness.operators.logs import mentions
+from fleetwitness.operators.logs import mentions_any
 from fleetwitness.operators.ordered import ordered, small_side, smallest
 from fleetwitness.operators.sensors import mark_twins
 from fleetwitness.sources.logs import parse_log_line
@@ -28,20 +28,23 @@ def tail_logs(spark: SparkSession, path: str, max_files: int = 1000) -> DataFram
     return parse_log_line(lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
-def stream_forbidden(lines: DataFrame, runs: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """R2: alert on a forbidden token at first sight (forbidden lines without an anchor).
+def stream_forbidden(lines: DataFrame, runs: DataFrame, forbidden: DataFrame, satisfied: DataFrame | None = None) -> DataFrame:
+    """R2: alert on a forbidden token at first sight.
 
-    ``runs`` (run_id, scenario) is a static table; no state is kept.
+    ``runs`` (run_id, scenario) is a static table; no state is kept. A line with
+    ``after_token`` counts below its anchor: ``satisfied`` (run_id, token, anchor_idx) is a
+    static table of anchors met so far, and without an anchor such a line stays silent.
     """
-    specs = [(r["scenario"], r["j"], r["token"]) for r in forbidden.where(F.col("after_token").isNull()).limit(1000).collect()]
-    tokens = sorted({s[2] for s in specs})
-    rules = small_side(forbidden.where(F.col("after_token").isNull()).select("scenario", "j", "token"))
-    return (
-        lines.where(mentions(F.col("text"), tokens) if len(specs) < 1000 else F.lit(True))
-        .join(runs.select("run_id", "scenario"), "run_id")
-        .join(rules, "scenario")
-        .where(F.contains("text", F.col("token")))
-    )
+    tokens = sorted({r["token"] for r in forbidden.select("token").distinct().collect()})
+    rules = runs.select("run_id", "scenario").join(small_side(forbidden.select("scenario", "j", "token", "after_token")), "scenario")
+    if satisfied is None:
+        rules = rules.where(F.col("after_token").isNull()).withColumn("anchor_idx", F.lit(None).cast("bigint"))
+    else:
+        anchors = satisfied.select("run_id", F.col("token").alias("after_token"), "anchor_idx")
+        rules = rules.join(anchors, ["run_id", "after_token"], "left").where("after_token IS NULL OR anchor_idx IS NOT NULL")
+    below = F.col("anchor_idx").isNull() | (F.col("idx") > F.col("anchor_idx"))
+    mentioned = lines.where(mentions_any(F.col("text"), tokens))
+    return mentioned.join(rules, "run_id").where(F.contains("text", F.col("token")) & below)
 
 
 def deadline_step(expectations: DataFrame, max_need: int, max_numbered: int) -> Step:
@@ -104,16 +107,21 @@ def late_report_step(profile: DataFrame, keys: Sequence[str]) -> Step:
     """R8: every report with its command, and whether it came after the deadline.
 
     A late report is evidence of its own: it tells a slow device from one without an edge.
+    A report is judged when the watermark has passed it, for only then no command between
+    can come any more. Per attribute the commands after the watermark stay open and the
+    newest before it, which owns what comes next.
     """
 
     def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
         cmds = rows.where(F.col("kind") == "command").withColumnsRenamed({"id": "cmd_id", "value": "target"})
         reports = rows.where(F.col("kind") == "report").withColumnsRenamed({"id": "report_id"})
-        owned = command_timeline(cmds, reports, keys).where(~is_command() & F.col("_cmd").isNotNull()).frame()
+        passed = micros(F.col("ts")) <= watermark_us
+        owned = command_timeline(cmds, reports.where(passed), keys).where(~is_command() & F.col("_cmd").isNotNull()).frame()
         after = micros(F.col("ts")) - micros(F.col("_cmd.ts"))
         out = owned.withColumn("capability", F.col("_cmd.capability")).join(small_side(profile), "capability")
-        newest = cmds.groupBy(*keys).agg(F.max_by("cmd_id", F.struct("ts", "cmd_id")).alias("id")).select("id")
-        still_open = rows.where(F.col("kind") == "command").join(newest, "id", "left_semi")
+        newest = cmds.where(passed).groupBy(*keys).agg(F.max_by("cmd_id", F.struct("ts", "cmd_id")).alias("id")).select("id")
+        owners = rows.where(F.col("kind") == "command").where(passed).join(newest, "id", "left_semi")
+        still_open = rows.where(~passed).unionByName(owners.select(*rows.columns))
         return (
             out.select(
                 F.col("_cmd.id").alias("cmd_id"),
@@ -128,13 +136,20 @@ def late_report_step(profile: DataFrame, keys: Sequence[str]) -> Step:
 
 
 def twin_step(keys: Sequence[str], order: Sequence[str], max_gap_s: float) -> Step:
-    """R5: reports without their twins; the last report of each stream is carried."""
+    """R5: reports without their twins.
+
+    Rows wait until the watermark has passed them, so that files may come out of order
+    within the delay; the last report judged of each stream is carried beside them.
+    """
 
     def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
-        flagged = mark_twins(ordered(rows, keys, order), max_gap_s).frame()
-        columns = [c for c in rows.columns if c != "is_new"]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
-        return flagged.where(F.col("is_new") & ~F.col("is_twin")).select(*columns), last
+        passed = micros(F.col("ts")) <= watermark_us
+        ready = rows.where(passed)
+        flagged = mark_twins(ordered(ready, keys, order), max_gap_s).frame()
+        columns = [c for c in rows.columns if c not in ("is_new", "is_done")]
+        last = ready.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
+        waiting = rows.where(~passed).select(*columns, F.lit(False).alias("is_done"))
+        return flagged.where(~F.col("is_done") & ~F.col("is_twin")).select(*columns), waiting.unionByName(last.withColumn("is_done", F.lit(True)))
 
     return step
 

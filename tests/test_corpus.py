@@ -77,12 +77,22 @@ def test_snapshot_diff_and_merge(spark):
 
 def test_templates(spark):
     rows = [("a", None, {"x": "1", "y": "1"}), ("b", "a", {"y": "2"}), ("c", "b", {"z": "3"}), ("loop", "loop", {"q": "1"})]
-    out = corpus.inherit_templates(table(spark, "key STRING, extends STRING, deltas MAP<STRING,STRING>", rows), max_depth=4)
+    out = corpus.inherit_templates(table(spark, "key STRING, extends STRING, deltas MAP<STRING,STRING>", rows))
     got = {r.key: (r.deltas, r.resolved) for r in out.collect()}
     assert got["c"] == ({"x": "1", "y": "2", "z": "3"}, True)
     assert got["loop"][1] is False
 
 
+def test_templates_of_any_depth_and_those_that_are_missing(spark):
+    rows = [("t0", None, {"v": "0"})] + [(f"t{n}", f"t{n - 1}", {"v": str(n)}) for n in range(1, 13)]
+    rows += [("lost", "nowhere", {"q": "1"}), ("child", "lost", {}), ("x", "y", {}), ("y", "x", {})]
+    out = corpus.inherit_templates(table(spark, "key STRING, extends STRING, deltas MAP<STRING,STRING>", rows))
+    got = {r.key: (r.depth, r.resolved, r.problem) for r in out.collect()}
+    assert got["t12"] == (12, True, None) and len(got) == len(rows)
+    assert got["lost"] == (0, False, "missing: nowhere") and got["child"] == (1, False, "missing: nowhere")
+    assert got["x"] == (1, False, "cycle: x") and got["y"] == (1, False, "cycle: y")
+
+
 def test_scrub(spark):
     key = ":".join(["AB"] * 16)
     df = table(spark, "t STRING", [(f"key {key} at 00:12:4b:00:2f:a8:d1:c5 clock 09:02:11 id 0x0406",)])

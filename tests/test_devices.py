@@ -86,6 +86,27 @@ def test_a_newer_command_cuts_the_interval(spark):
     assert [r.verdict for r in out] == ["SUPERSEDED", "CONFIRMED"]
 
 
+def test_a_transient_confirms_nothing_and_an_unknown_capability_is_refused(spark):
+    from fixtures import DAY, at
+
+    cmds = table(
+        spark, "cmd_id BIGINT, device_id STRING, attr_name STRING, capability STRING, ts TIMESTAMP, target DOUBLE",
+        [(1, "d", "level", "level", at(DAY, "10:00:00"), 50.0), (2, "e", "level", "level", at(DAY, "10:00:00"), 50.0),
+         (3, "f", "level", "other", at(DAY, "10:00:00"), 50.0)],
+    )
+    reports = table(
+        spark, "report_id BIGINT, device_id STRING, attr_name STRING, ts TIMESTAMP, value DOUBLE",
+        [(1, "d", "level", at(DAY, "10:00:01"), 49.0), (2, "d", "level", at(DAY, "10:00:02"), 128.0),
+         (3, "e", "level", at(DAY, "10:00:01"), 20.0), (4, "e", "level", at(DAY, "10:00:02"), 49.0), (5, "f", "level", at(DAY, "10:00:01"), 50.0)],
+    )
+    profile = table(
+        spark, "capability STRING, mode STRING, tolerance DOUBLE, unit STRING, confirmability STRING, timeout_ms BIGINT",
+        [("level", "TOLERANCE", 2.0, "raw", "CONFIRMABLE", 15000)],
+    )
+    out = commands.confirm_commands(cmds, reports, profile, quiet_s=3).orderBy("cmd_id").collect()
+    assert [(r.verdict, r.confirmed_by) for r in out] == [("TIMED_OUT", None), ("CONFIRMED", 4), ("REFUSED", None)]
+
+
 def test_false_confirms(spark):
     cmds, reports, _, profile = lamp(spark)
     claims = cmds.withColumn("verdict", F.lit("CONFIRMED"))

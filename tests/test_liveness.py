@@ -52,10 +52,36 @@ def test_new_run_after(spark, case):
         assert (verdict.run_id, verdict.agree) == ("NEW", True)
 
 
+CHAINS = "scope STRING, run_id STRING, poll_seq INT, status INT, matched_at STRING, executed INT"
+
+
+def test_a_poll_sees_the_chain_of_its_time(spark):
+    """Five polls and five reads: one row per poll, none with a later read; no anchor, no verdict."""
+    runs = table(
+        spark, "scope STRING, poll_seq INT, list_pos INT, run_id STRING, triggered_at STRING",
+        [(s, n, 0, "N", LATE) for s in ("a", "b") for n in range(1, 6)],
+    )
+    chains = table(spark, CHAINS, [(s, "N", n, 200 if n > 2 else 404, LATE, int(n > 3)) for s in ("a", "b") for n in range(1, 6)])
+    anchors = table(spark, "scope STRING", [("a",)]).withColumn("m_observed", F.lit("2026-08-01").cast("timestamp"))
+    judged = ops.new_run_after(runs, runs.where("false"), chains, anchors)
+    got = {(r.scope, r.poll_seq): r.result for r in judged.collect()}
+    assert judged.count() == 10
+    assert [got["a", n] for n in range(1, 6)] == ["chain not 200"] * 2 + ["no executed action"] + ["accepted"] * 2
+    assert {got["b", n] for n in range(1, 6)} == {"refused: no anchor"}
+    assert {r.scope: r.status for r in ops.liveness_verdict(runs, judged, anchors).collect()} == {"a": "PASS", "b": "REFUSED"}
+
+
+def test_an_action_counts_only_from_a_readable_chain(spark):
+    runs = table(spark, "scope STRING, run_id STRING", [("a", "1"), ("b", "1"), ("a", "2")])
+    rows = [("a", "1", 503, "CONFIRMED"), ("b", "1", 200, "CONFIRMED"), ("a", "2", 200, "TIMED_OUT")]
+    actions = table(spark, "scope STRING, run_id STRING, status INT, outcome STRING", rows)
+    assert [tuple(r) for r in ops.confirmed_new_run(runs, runs.where("false"), actions).collect()] == [("b", "1")]
+
+
 def test_without_a_snapshot_nothing_is_accepted(spark):
     runs = table(spark, "scope STRING, poll_seq INT, list_pos INT, run_id STRING, triggered_at STRING", [("s", 1, 0, "N", LATE)])
     none = runs.where("false")
-    chains = table(spark, "run_id STRING, status INT, matched_at STRING, executed INT", [("N", 200, LATE, 1)])
+    chains = table(spark, CHAINS, [("s", "N", 1, 200, LATE, 1)])
     anchors = table(spark, "scope STRING", [("s",)]).withColumn("m_observed", F.lit("2026-08-01").cast("timestamp"))
     assert ops.new_run_after(runs, none, chains, anchors, none).count() == 0
 

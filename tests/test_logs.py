@@ -124,6 +124,36 @@ def test_a_large_catalogue_matches_pair_by_pair(spark, boots, monkeypatch):
     assert sorted(logs.match_tokens(boots, runs, boot_catalogue(spark)).select(*cols).collect()) == compiled
 
 
+@pytest.mark.parametrize(("earliest", "status"), [(True, "FAIL"), (False, "PASS")])
+def test_an_anchor_named_by_two_lines(spark, earliest, status):
+    """With deadlines the forbidden line is watched from the first of them on, over a window from the last."""
+    texts = ["reopened"] + ["bad" if n == 2 else "up" if n == 4 else "reopened done" if n == 7 else "x" for n in range(1, 8)]
+    lines = log_rows(spark, {"r": texts})
+    catalogue = table(
+        spark, EXPECTATION,
+        [("s", 0, ["reopened"], [], 1, None, None, 99), ("s", 1, ["up"], [], 1, None, None, 99), ("s", 2, ["reopened"], ["done"], 1, None, None, 99)],
+    )
+    forbidden = table(spark, "scenario STRING, j INT, token STRING, after_token STRING", [("s", 0, "bad", "reopened")])
+    judged = (judge.adjudicate if earliest else judge.adjudicate_window)(runs_of(spark, "s", "r"), catalogue, forbidden, lines)
+    assert judged.first().status == status
+
+
+def test_a_stamped_line_without_a_message(spark):
+    rows = [("12:00:00.000 [t] INFO x -- ",), ("12:00:00.000 [t] INFO x -- a\u0001b k=1",), ("12:00 no form",), ("tail \u0001",)]
+    out = parse_log_line(table(spark, "text STRING", rows)).collect()
+    assert [(r.message, r.logger) for r in out] == [("", "x"), ("a\u0001b k=1", "x"), ("12:00 no form", None), ("tail \u0001", None)]
+    assert not out[0].token and out[0].thread == "t" and out[0].tod_ms == 43_200_000
+
+
+def test_the_cap_is_named(spark):
+    lines = parse_log_line(log_rows(spark, {"t": ["00:00:01.000 a"] * 5})).withColumn("byte_off", F.col("idx") * 10)
+    runs = table(spark, "run_id STRING, start_ms BIGINT", [("t", 0)])
+    none = table(spark, "run_id STRING, seq INT, log_offset BIGINT", [("other", 0, 0)])
+    whole, cut = logs.evidence_slice(lines, runs, none).collect(), logs.evidence_slice(lines, runs, none, cap=2).collect()
+    assert len(whole) == 5 and {r.label for r in whole} == {"time window"}
+    assert len(cut) == 2 and {r.label for r in cut} == {"time window, last 2 of 5 lines"}
+
+
 def test_parse_and_carry(spark, boots):
     parsed = parse_log_line(boots.where("run_id = 'pass'").withColumnRenamed("run_id", "boot_id"))
     rows = carry_stamp(parsed).orderBy("idx").collect()

@@ -10,7 +10,7 @@ from fleetwitness.plans import standins as s
 from fleetwitness.plans.registry import Tables
 from fleetwitness.plans.stream_queries import KEYS, command_rows
 from fleetwitness.streaming import live
-from fleetwitness.streaming.carried import read_stream, run_carried
+from fleetwitness.streaming.carried import read_stream, run_carried, run_to_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,6 +121,69 @@ def test_replayed_epoch_gives_the_same_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/rows").count() == 18
 
 
+def test_twins_out_of_order_within_the_delay(spark, tmp_path):
+    """A twin that comes a file late is found; one that comes after the watermark goes to its own table."""
+    from fleetwitness.streaming.carried import CarriedBatches
+
+    rows = walk_events(spark).collect()
+    step = live.twin_step(["device_id", "cluster", "attr_name"], ["ts", "tsn"], 1.0)
+    sink = CarriedBatches(str(tmp_path), step, 600.0)
+    mixed = [rows[i : i + 9] for i in range(0, 35, 9)]
+    for n in range(3):  # the last row of a file changes places with the first of the next
+        mixed[n][-1], mixed[n + 1][0] = mixed[n + 1][0], mixed[n][-1]
+    end = rows[-1].asDict() | {"ts": rows[-1].ts.replace(year=2027), "device_id": "clock"}
+    for n, part in enumerate([*mixed, [end]]):
+        sink(spark.createDataFrame([tuple(r.values()) if isinstance(r, dict) else r for r in part], walk_events(spark).schema), n)
+    got = spark.read.parquet(f"{tmp_path}/rows").where("device_id = 'pir'").collect()
+    want = sensors.drop_twins(walk_events(spark)).frame().collect()
+    assert sorted(r.tsn for r in got) == sorted(r.tsn for r in want)
+    sink(spark.createDataFrame([rows[0]], walk_events(spark).schema), 5)
+    assert spark.read.parquet(f"{tmp_path}/late").count() == 1
+
+
+def test_a_report_of_the_older_command_in_the_next_file(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from fleetwitness.streaming.carried import CarriedBatches
+
+    start = datetime(2026, 7, 1)
+    ddl = "kind STRING, id BIGINT, device_id STRING, attr_name STRING, ts TIMESTAMP, capability STRING, value DOUBLE"
+    profile = table(
+        spark, "capability STRING, mode STRING, tolerance DOUBLE, unit STRING, confirmability STRING, timeout_ms BIGINT",
+        [("level", "EXACT", 0.0, "raw", "CONFIRMABLE", 5000)],
+    )
+
+    def row(kind, key, second, capability=None):
+        return (kind, key, "d", "level", start + timedelta(seconds=second), capability, 1.0)
+
+    sink = CarriedBatches(str(tmp_path), live.late_report_step(profile, KEYS), 60.0)
+    files = [[row("command", 1, 0, "level"), row("command", 2, 20, "level")], [row("report", 10, 8), row("report", 11, 30)], [row("report", 12, 900)], [row("report", 13, 2000)]]
+    for n, part in enumerate(files):
+        sink(table(spark, ddl, part), n)
+    got = {r.report_id: (r.cmd_id, r.late) for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert got == {10: (1, True), 11: (2, True), 12: (2, True)}
+
+
+def test_only_anchored_lines_are_forbidden(spark, tmp_path):
+    lines = table(spark, "run_id STRING, idx BIGINT, text STRING, ts TIMESTAMP", [("r", n, t, None) for n, t in enumerate(["bad", "up", "bad"])])
+    stream = in_files(spark, lines, tmp_path / "in", 2)
+    runs = table(spark, "run_id STRING, scenario STRING", [("r", "s")])
+    rules = table(spark, "scenario STRING, j INT, token STRING, after_token STRING", [("s", 0, "bad", "up")])
+    silent = run_to_table(live.stream_forbidden(stream, runs, rules), "r2", str(tmp_path / "a"))
+    assert silent.count() == 0
+    met = table(spark, "run_id STRING, token STRING, anchor_idx BIGINT", [("r", "up", 1)])
+    loud = run_to_table(live.stream_forbidden(stream, runs, rules, met), "r2", str(tmp_path / "b"))
+    assert [r.idx for r in loud.collect()] == [2]
+
+
+def test_a_night_given_twice_is_written_once(spark, tmp_path):
+    from fleetwitness.sources.sinks import append_digest
+
+    lines = table(spark, "night STRING, line STRING, latency STRING", [("n1", "b", "x"), ("n1", "a", None), ("n2", "c", "y")])
+    append_digest(lines, str(tmp_path / "d"))
+    assert sorted((r.night, r.line) for r in spark.read.parquet(str(tmp_path / "d")).collect()) == [("n1", "a"), ("n2", "c")]
+
+
 def test_digest_is_appended_once(spark, tmp_path):
     from fleetwitness.sources.sinks import append_digest
 
