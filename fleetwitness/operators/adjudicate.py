@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros, whole_number
+from fleetwitness.operators.liveness import read_states
 from fleetwitness.operators.logs import captured, keep_mentioned, match_tokens, needs, nth_match
 from fleetwitness.operators.ordered import small_side
 
@@ -51,16 +52,18 @@ def chain_deadlines(runs: DataFrame, expectations: DataFrame, deciding: DataFram
     A line's clock starts when the line before it was satisfied, so its start is
     the running maximum of the earlier match times and the start of the run. The
     expected and the deciding lines meet in one aggregation, so a line that was
-    never met is a row too.
+    never met is a row too. A read that can never right itself (``wrong_us``) fails its
+    line at once.
     """
     blank = F.lit(None).cast("bigint")
     expected = expected_lines(runs, expectations, "within_s").select(
-        "run_id", "scenario", "i", micros(F.col("t0")).alias("t0_us"), "within_s", blank.alias("idx"), blank.alias("m_us")
+        "run_id", "scenario", "i", micros(F.col("t0")).alias("t0_us"), "within_s", blank.alias("idx"), blank.alias("m_us"),
+        blank.alias("api_us"), blank.alias("wrong_us"),
     )
     rows = expected.unionByName(deciding, allowMissingColumns=True)
     per_line = rows.groupBy("run_id", "scenario", "i").agg(
-        F.max("t0_us").alias("t0_us"), F.max("within_s").alias("within_s"),
-        F.min("idx").alias("idx"), F.min_by("m_us", "idx").alias("m_us"),
+        F.max("t0_us").alias("t0_us"), F.max("within_s").alias("within_s"), F.min("idx").alias("idx"),
+        F.coalesce(F.min_by("m_us", "idx"), F.min("api_us")).alias("m_us"), F.min("wrong_us").alias("wrong_us"),
     )
     before = F.max("m_us").over(
         Window.partitionBy("run_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,26 +123,59 @@ def verdict_rows(checked: DataFrame) -> DataFrame:
         F.max("failed_i").alias("failed_i"),
         F.max(F.when(F.col("i") == F.col("failed_i"), F.col("m_us"))).alias("failed_m_us"),
         F.coalesce(
-            F.max(F.when(F.col("i") == F.col("failed_i"), F.col("deadline_us"))), F.max("m_us")
+            F.max(F.when(F.col("i") == F.col("failed_i"), F.least("deadline_us", "wrong_us"))), F.max("m_us")
         ).alias("end_us"),
         F.max(F.when(met, F.col("idx"))).alias("last_idx"),
         F.collect_list(F.when(met, F.struct("i", "idx"))).alias("met"),
     )
 
 
+def deciding_reads(reads: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
+    """The first read that decides each API line: ``api_us`` when it met it, ``wrong_us`` when it never will."""
+    decisive = read_states(reads, runs, expectations).where("state <> 'pending'")
+    first = decisive.groupBy("run_id", "scenario", "i").agg(
+        F.min_by(F.struct("state", micros(F.col("observed_at")).alias("us")), "poll_seq").alias("d")
+    )
+    at = lambda state: F.when(F.col("d.state") == state, F.col("d.us"))
+    return first.select("run_id", "scenario", "i", at("ok").alias("api_us"), at("fail").alias("wrong_us"))
+
+
+def check_lines(
+    runs: DataFrame, expectations: DataFrame, lines: DataFrame, reads: DataFrame | None = None, grace_s: float = 0.0
+) -> DataFrame:
+    """Every expectation of every run with its match time, deadline and result; log and API
+    lines on one chain of clocks. Lines of ``kind`` 'api' have asserts, the others tokens."""
+    of_log = expectations if "kind" not in expectations.columns else expectations.where("kind = 'log'")
+    matches = match_tokens(lines, runs, of_log)
+    deciding = deciding_lines(matches, *needs(of_log))
+    if reads is not None:
+        deciding = deciding.unionByName(deciding_reads(reads, runs, expectations), allowMissingColumns=True)
+    return chain_deadlines(runs, expectations, deciding, grace_s)
+
+
+def line_results(checked: DataFrame) -> DataFrame:
+    """One row per expectation of a run: ``mark`` is [ok], [X] for the line that failed, and
+    [ ] for those behind it, which were not waited for."""
+    failed_i = F.min(F.when(~F.col("ok"), F.col("i"))).over(Window.partitionBy("run_id"))
+    rows = checked.withColumn("_failed", failed_i)
+    mark = F.when(F.col("_failed").isNull() | (F.col("i") < F.col("_failed")), "[ok]").when(F.col("i") == F.col("_failed"), "[X]")
+    return rows.select(
+        "run_id", "scenario", "i", mark.alias("_mark"), "idx", (F.col("m_us") - F.col("t0_us")).alias("after_us"),
+        (F.col("deadline_us") - F.col("t0_us")).alias("deadline_after_us"),
+    ).withColumn("mark", F.coalesce("_mark", F.lit("[ ]"))).drop("_mark")
+
+
 def adjudicate(
-    runs: DataFrame, expectations: DataFrame, forbidden: DataFrame, lines: DataFrame, grace_s: float = 0.0
+    runs: DataFrame, expectations: DataFrame, forbidden: DataFrame, lines: DataFrame, grace_s: float = 0.0,
+    reads: DataFrame | None = None,
 ) -> DataFrame:
-    """Verdict per run with chained deadlines.
+    """Verdict per run with chained deadlines, over log lines and, with ``reads``, API lines.
 
     The first line that misses its deadline decides. A forbidden line seen up to
     the end of the run (last match, or the missed deadline) decides before it; the
     earliest one is named.
     """
-    matches = match_tokens(lines, runs, expectations)
-    deciding = deciding_lines(matches, *needs(expectations))
-    checked = chain_deadlines(runs, expectations, deciding, grace_s)
-    judged = verdict_rows(checked)
+    judged = verdict_rows(check_lines(runs, expectations, lines, reads, grace_s))
     specs = active_forbidden(judged, forbidden, expectations, earliest=True).select("run_id", "j", "token", "anchor_idx", "end_us")
     at_us = micros(F.col("observed_at"))
     hit = (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import iso_instant, json_at
-from fleetwitness.operators.ordered import last_before, ordered
+from fleetwitness.operators.ordered import last_before, ordered, small_side
 
 
 def new_runs(runs: DataFrame, snapshot: DataFrame, on: tuple[str, ...] = ("scope", "run_id")) -> DataFrame:
@@ -132,6 +134,52 @@ def all_asserts(states: list[Column]) -> Column:
     return F.when(F.size(first) == 0, "ok").otherwise(F.element_at(first, 1))
 
 
+def assert_state(doc: Column, check: Column, fields: Sequence[tuple[str, str]], run_state: Column) -> Column:
+    """ok, pending or fail of one assert of the catalogue on one readable body.
+
+    ``check``: name, field, value, type, ids, n. ``fields`` lists the (field, type) pairs of
+    the catalogue; ``run_state`` is what the run conditions said at this read.
+    """
+    equal = F.lit(False)
+    for field, kind in fields:
+        same = same_text(doc, field, check["value"], kind)
+        equal = F.when((check["field"] == field) & (check["type"] == kind), same).otherwise(equal)
+    rows = F.try_variant_get(doc, "$.data", "array<variant>")
+    ids = F.transform(rows, lambda r: F.try_variant_get(r, "$.id", "string"))
+    same_ids = F.sort_array(F.array_distinct(ids)) == F.sort_array(F.array_distinct(check["ids"]))
+    said = F.coalesce(run_state, F.lit("pending"))
+    met = (
+        F.when(check["name"] == "field_equals", equal)
+        .when(check["name"] == "rows", F.size(rows) == check["n"])
+        .when(check["name"] == "ulids", same_ids)
+    )
+    return (
+        F.when(check["name"] == "phase_terminal", terminal_state(doc, check["value"]))
+        .when(check["name"].isin("new_confirmed_run", "new_run_after"), said)
+        .when(F.coalesce(met, F.lit(False)), "ok")
+        .otherwise("pending")
+    )
+
+
+def read_states(reads: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
+    """``state`` of every read under all asserts of its API line, in their order.
+
+    ``reads``: run_id, i, poll_seq, observed_at, status, body, run_state — what the runner read
+    for that line, hence after its clock had started. A read without status 200 or with a
+    body that is no object is pending. The fields to compare are read from the catalogue
+    when the plan is made.
+    """
+    lines = expectations.where("kind = 'api'").select("scenario", "i", "asserts")
+    named = lines.select(F.explode("asserts").alias("a")).where("a.name = 'field_equals'").select("a.field", "a.type").distinct()
+    fields = sorted((r["field"], r["type"]) for r in named.collect())
+    rows = parse_body(reads.join(runs.select("run_id", "scenario"), "run_id").join(small_side(lines), ["scenario", "i"]))
+    states = F.transform("asserts", lambda a: assert_state(F.col("doc"), a, fields, F.col("run_state")))
+    first = F.get(F.filter(states, lambda s: s != "ok"), F.lit(0))
+    readable = (F.col("status") == 200) & is_object(F.col("doc"))
+    state = F.when(~F.coalesce(readable, F.lit(False)), "pending").otherwise(F.coalesce(first, F.lit("ok")))
+    return rows.withColumn("state", state).drop("doc", "asserts")
+
+
 def decide_api(reads: DataFrame, state: Column, keys: list[str]) -> DataFrame:
     """First decisive poll per key; without one the line stays pending (expected-not-seen).
 

@@ -201,6 +201,40 @@ def field_equals(t):
     )
 
 
+@query(
+    "w14_catalogue_asserts",
+    f"""WITH {READS} SELECT event_id AS poll_seq, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS i,
+      CASE WHEN event_type = 'error' THEN 'pending'
+        WHEN event_type = 'purchase' THEN CASE WHEN k < 50 THEN 'pending' WHEN k % 2 = 1 THEN 'fail' WHEN k = 90 THEN 'ok' ELSE 'pending' END
+        WHEN event_type = 'view' THEN CASE WHEN k % 3 = 2 THEN 'ok' ELSE 'pending' END
+        WHEN event_type = 'click' THEN CASE WHEN k % 3 = 2 THEN 'ok' ELSE 'pending' END
+        WHEN k >= 50 THEN 'ok' ELSE 'pending' END AS state FROM ev""",
+)
+def catalogue_asserts(t):
+    """Every assert of the catalogue, on reads of the event stream: one line per kind of event."""
+    check = "ARRAY<STRUCT<name: STRING, field: STRING, value: STRING, type: STRING, ids: ARRAY<STRING>, n: INT>>"
+    asserts = [
+        [("phase_terminal", None, "CONFIRMED", None, None, None), ("field_equals", "data.k", "90", "bigint", None, None)],
+        [("rows", None, None, None, None, 2)],
+        [("ulids", None, None, None, ["id1", "id0"], None)],
+        [("new_confirmed_run", None, None, None, None, None), ("new_run_after", None, None, None, None, None)],
+    ]
+    catalogue = t.rows(f"scenario STRING, i INT, kind STRING, asserts {check}", *[("s", i, "api", a) for i, a in enumerate(asserts)])
+    k, kind = k_of(F.col("props")), F.col("event_type")
+    phase = F.when(k % 2 == 0, "CONFIRMED").otherwise("TIMED_OUT")
+    items = F.slice(F.array(*[F.struct(F.lit(f"id{n}").alias("id")) for n in range(2)]), F.lit(1), (k % 3).cast("int"))
+    one = F.to_json(F.struct(F.struct((k >= 50).alias("terminal"), phase.alias("currentPhase"), k.alias("k")).alias("data")))
+    reads = t.events.select(
+        F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
+        F.when(kind == "purchase", 0).when(kind == "view", 1).when(kind == "click", 2).otherwise(3).alias("i"),
+        F.col("event_id").alias("poll_seq"), F.col("ts").alias("observed_at"), F.when(kind == "error", 503).otherwise(200).alias("status"),
+        F.when(kind.isin("view", "click"), F.to_json(F.struct(items.alias("data")))).otherwise(one).alias("body"),
+        F.when(k >= 50, "ok").otherwise("pending").alias("run_state"),
+    )
+    runs = reads.select("run_id", F.lit("s").alias("scenario")).distinct()
+    return ops.read_states(reads, runs, catalogue).select("poll_seq", "i", "state")
+
+
 @query(
     "s7_read_api_captures",
     f"""WITH {READS} SELECT event_id AS bundle, event_type <> 'view' AS readable,

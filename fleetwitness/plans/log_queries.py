@@ -20,6 +20,7 @@ from fleetwitness.plans.standins import (
     doc_forbidden,
     doc_lines,
     doc_runs,
+    k_of,
 )
 from fleetwitness.sources.logs import carry_stamp, parse_log_line, with_offsets
 
@@ -249,13 +250,15 @@ def day_expectations(t, form=("", [])):
     bounds AS (
       SELECT *, CASE failed_i WHEN 0 THEN d0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE greatest(m0, m1, m2) END AS end_us FROM ended),
     bad AS (
-      SELECT l.run_id, l.us, l.idx FROM lines l JOIN bounds b USING (run_id)
+      SELECT l.run_id, l.us, l.idx, 0 AS j, 'error:' AS token FROM lines l JOIN bounds b USING (run_id)
       WHERE l.event_type = 'error' AND failed_i IS NULL AND l.idx > b.anchor AND l.us <= b.end_us
       UNION ALL
-      SELECT l.run_id, l.us, l.idx FROM lines l JOIN bounds b USING (run_id) JOIN events e ON e.event_id = l.idx
+      SELECT l.run_id, l.us, l.idx, 1, '"k": 13' FROM lines l JOIN bounds b USING (run_id) JOIN events e ON e.event_id = l.idx
       WHERE contains(e.props, '"k": 13') AND l.us <= b.end_us),
-    hit AS (SELECT run_id, min(us) AS us, min_by(idx, us) AS idx FROM bad GROUP BY run_id)
+    hit AS (SELECT run_id, min(us) AS us, min_by(idx, (us, j, idx)) AS idx, min_by(token, (us, j, idx)) AS token FROM bad GROUP BY run_id)
     SELECT b.run_id, CASE WHEN h.us IS NOT NULL OR failed_i IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS status,
+      CASE WHEN h.us IS NOT NULL THEN 'forbidden hit: ' || h.token WHEN failed_i IS NOT NULL THEN 'expected-not-seen: line ' || failed_i
+           ELSE '3/3 positive · 0 forbidden' END AS reason,
       CASE WHEN h.us IS NULL THEN failed_i END AS failed_i, h.idx AS forbidden_idx,
       CASE failed_i WHEN 0 THEN NULL WHEN 1 THEN x0 WHEN 2 THEN greatest(x0, x1) ELSE greatest(x0, x1, anchor) END AS last_idx,
       coalesce(h.us, end_us) - t0 AS decided_after_us
@@ -276,7 +279,98 @@ def adjudicate(t):
         *[(s, *f) for s in ("weekday", "weekend") for f in ((0, "error:", "signup:"), (1, '"k": 13', None))],
     )
     expectations = day_expectations(t, (":", ["k"]))
-    return judge.adjudicate(runs, expectations, forbidden, lines).drop("scenario", "reason")
+    return judge.adjudicate(runs, expectations, forbidden, lines).drop("scenario")
+
+
+# The second line of a run is an API line: purchases are reads of a command's phase. Below 10
+# the read fails, from 50 on the phase is terminal, and an odd number is a wrong phase.
+MIXED = f"""{DAY_RUNS},
+reads AS (
+  SELECT run_id, idx, us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM lines l JOIN events e ON e.event_id = l.idx WHERE l.event_type = 'purchase'),
+said AS (SELECT run_id, min_by(us, idx) AS us, min_by(k % 2, idx) AS odd FROM reads WHERE k >= 50 GROUP BY run_id),
+timed AS (
+  SELECT r.run_id, r.t0, k0.m AS m0, CASE WHEN odd = 0 THEN s.us END AS m1, CASE WHEN odd = 1 THEN s.us END AS wrong, k2.m AS m2,
+    k0.idx AS x0, k2.idx AS x2, r.t0 + w0 AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + w1 AS d1,
+    greatest(r.t0, coalesce(k0.m, r.t0), coalesce(CASE WHEN odd = 0 THEN s.us END, r.t0)) + w2 AS d2
+  FROM runs r LEFT JOIN k0 USING (run_id) LEFT JOIN said s USING (run_id) LEFT JOIN k2 USING (run_id)),
+ended AS (
+  SELECT *, CASE WHEN NOT coalesce(m0 <= d0, false) THEN 0 WHEN NOT coalesce(m1 <= d1, false) THEN 1
+                 WHEN NOT coalesce(m2 <= d2, false) THEN 2 END AS failed_i FROM timed)"""
+
+
+def day_lines(t):
+    return t.events.select(
+        F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.col("event_id").alias("idx"),
+        F.col("ts").alias("observed_at"), F.concat_ws(": ", "event_type", "props").alias("text"), "event_type", "props",
+    )
+
+
+def mixed_parts(t):
+    """(runs, expectations, log lines, API reads) of the mixed scenarios."""
+    lines = day_lines(t)
+    runs = lines.groupBy("run_id").agg(F.min(F.date_trunc("day", "observed_at")).alias("t0")).select(
+        "run_id", day_scenario(F.col("t0")).alias("scenario"), "t0"
+    )
+    check = "ARRAY<STRUCT<name: STRING, field: STRING, value: STRING, type: STRING, ids: ARRAY<STRING>, n: INT>>"
+    asserts = [("phase_terminal", None, "CONFIRMED", None, None, None), ("field_equals", "data.kind", "command", "string", None, None)]
+    rows = []
+    for scenario, first, third in (("weekday", 36_000, 28_800), ("weekend", 43_200, 21_600)):
+        rows.append((scenario, 0, "log", ["click:", "view:"], [], 1, None, None, first, None))
+        rows.append((scenario, 1, "api", None, None, 1, None, None, 43_200, asserts))
+        rows.append((scenario, 2, "log", ["signup:"], [], 1, None, None, third, None))
+    catalogue = t.rows(
+        "scenario STRING, i INT, kind STRING, tokens ARRAY<STRING>, same_line ARRAY<STRING>, need INT, extract STRING, "
+        f"min_value BIGINT, within_s INT, asserts {check}",
+        *rows,
+    )
+    k = k_of(F.col("props"))
+    phase = F.when(k % 2 == 0, "CONFIRMED").otherwise("TIMED_OUT")
+    data = F.struct((k >= 50).alias("terminal"), phase.alias("currentPhase"), F.lit("command").alias("kind"))
+    reads = lines.where("event_type = 'purchase'").select(
+        "run_id", F.lit(1).alias("i"), F.col("idx").alias("poll_seq"), "observed_at", F.when(k < 10, 503).otherwise(200).alias("status"),
+        F.to_json(F.struct(data.alias("data"))).alias("body"), F.lit(None).cast("string").alias("run_state"),
+    )
+    return runs, catalogue, lines.drop("event_type", "props"), reads
+
+
+@query(
+    "w12_adjudicate_mixed",
+    f"""{MIXED},
+    bounds AS (
+      SELECT *, CASE failed_i WHEN 0 THEN d0 WHEN 1 THEN least(d1, coalesce(wrong, d1)) WHEN 2 THEN d2 ELSE greatest(m0, m1, m2) END AS end_us FROM ended),
+    bad AS (
+      SELECT l.run_id, l.us, l.idx FROM lines l JOIN bounds b USING (run_id)
+      WHERE l.event_type = 'error' AND failed_i IS NULL AND l.idx > b.x2 AND l.us <= b.end_us),
+    hit AS (SELECT run_id, min(us) AS us, min_by(idx, (us, idx)) AS idx FROM bad GROUP BY run_id)
+    SELECT b.run_id, CASE WHEN h.us IS NOT NULL OR failed_i IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS status,
+      CASE WHEN h.us IS NOT NULL THEN 'forbidden hit: error:' WHEN failed_i IS NOT NULL THEN 'expected-not-seen: line ' || failed_i
+           ELSE '3/3 positive · 0 forbidden' END AS reason,
+      CASE WHEN h.us IS NULL THEN failed_i END AS failed_i, h.idx AS forbidden_idx,
+      CASE WHEN failed_i = 0 THEN NULL WHEN failed_i IN (1, 2) THEN x0 ELSE greatest(x0, x2) END AS last_idx,
+      coalesce(h.us, end_us) - t0 AS decided_after_us
+    FROM bounds b LEFT JOIN hit h USING (run_id)""",
+)
+def adjudicate_mixed(t):
+    """Log, API, log: each clock starts when the line before was met."""
+    runs, catalogue, lines, reads = mixed_parts(t)
+    forbidden = t.rows(
+        "scenario STRING, j INT, token STRING, after_token STRING", *[(s, 0, "error:", "signup:") for s in ("weekday", "weekend")]
+    )
+    return judge.adjudicate(runs, catalogue, forbidden, lines, reads=reads).drop("scenario")
+
+
+@query(
+    "w12_line_results",
+    f"""{MIXED}
+    SELECT run_id, v.i, CASE WHEN failed_i IS NULL OR v.i < failed_i THEN '[ok]' WHEN v.i = failed_i THEN '[X]' ELSE '[ ]' END AS mark,
+      CASE v.i WHEN 0 THEN x0 WHEN 2 THEN x2 END AS idx, CASE v.i WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END - t0 AS after_us,
+      CASE v.i WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END - t0 AS deadline_after_us
+    FROM ended, (VALUES (0), (1), (2)) v(i)""",
+)
+def line_results(t):
+    runs, catalogue, lines, reads = mixed_parts(t)
+    return judge.line_results(judge.check_lines(runs, catalogue, lines, reads)).drop("scenario")
 
 
 @query(
