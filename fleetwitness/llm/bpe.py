@@ -5,7 +5,7 @@ way (its node in the trie of tokens), and the tokens that lead to that place and
 certain. For each prefix of a text there is exactly one token with which its encoding ends: the
 one that fits behind the last token of the place where it starts. Two tokens fit when merging
 their bytes by rank gives these two again. A transition extends all open places by one byte,
-emits the tokens on which all of them agree, and is remembered. As no token is longer than the
+emits the tokens on which all of them agree, and is remembered from the second time on. As no token is longer than the
 longest word of the vocabulary, the lookahead is bounded.
 """
 
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fleetwitness.llm.spans import Memory, segments
+from fleetwitness.llm.spans import Memory, only, segments
 
 MOST_STATES = 150_000
 NOTHING: tuple[int, ...] = ()
+#: Stands for a transition that was taken once; it is made when it is taken again.
+AGAIN: tuple = ()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,7 +70,7 @@ class Transducer:
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if self._reachable(token, rank):
                 self._add(token, rank)
-        self.fits_memory: dict[tuple[int, int], bool] = {}
+        self.fits_memory: dict[int, bool] = {}
         self._forget()
 
     def _reachable(self, token: bytes, rank: int) -> bool:
@@ -114,7 +116,7 @@ class Transducer:
         """
         if left < 0:
             return True
-        key = (left, right)
+        key = left << 32 | right
         got = self.fits_memory.get(key)
         if got is None:
             got = self._fits(left, right)
@@ -155,11 +157,14 @@ class Transducer:
             if child is not None and self.children[child]:
                 grown.append((child, path))
         grown.append((0, self._last(state, byte)))
-        first = grown[0][1]
-        same = len(first) if len(grown) == 1 else min(len(path) for _, path in grown)
-        agreed = 0
-        while agreed < same and all(path[agreed] == first[agreed] for _, path in grown[1:]):
-            agreed += 1
+        first, agreed = grown[0][1], 0
+        if len(grown) == 1:
+            agreed = len(first)
+        else:
+            for at, token in enumerate(first):
+                if any(len(path) <= at or path[at] != token for _, path in grown):
+                    break
+                agreed = at + 1
         certain = first[agreed - 1] if agreed else state.certain
         if len(self.states) >= MOST_STATES:
             self._forget()
@@ -172,13 +177,40 @@ class Transducer:
         if whole is not None:
             return [whole]
         state, out = self.start, []
-        for byte in piece[:-1]:
-            state, tokens = state.next.get(byte) or self._step(state, byte)
+        for at, byte in enumerate(piece[:-1]):
+            step = state.next.get(byte)
+            if step is None:
+                # The first time this way: follow it without keeping it.
+                state.next[byte] = AGAIN
+                return out + self._rest(state, piece[at:])
+            state, tokens = self._step(state, byte) if step is AGAIN else step
             if tokens:
                 out += tokens
         out += self._last(state, piece[-1])
         return out
 
+    def _rest(self, state: State, rest: bytes) -> list[int]:
+        """The open tokens of a state and what follows on ``rest``, by the places alone."""
+        places = [(node, path[-1] if path else state.certain, path) for node, path in state.places]
+        children, tokens, fits = self.children, self.token, self.fits
+        for byte in rest:
+            grown, last = [], None
+            for node, end, path in places:
+                child = children[node].get(byte)
+                if child is None:
+                    continue
+                if last is None:
+                    token = tokens[child]
+                    if token >= 0 and fits(end, token):
+                        last = (0, token, (*path, token))
+                if children[child]:
+                    grown.append((child, end, path))
+            if last is None:
+                raise ValueError(f"the vocabulary has no token for byte {byte}")
+            grown.append(last)
+            places = grown
+        return list(places[-1][2])
+
 
 class Codec:
     """Whole texts to packed ids (little-endian unsigned 32 bit) and back."""
@@ -187,9 +219,9 @@ class Codec:
         self.machine = Transducer(read_ranks(path))
         self.split = regex.compile(pattern)
         self.words = [self.machine.words.get(i, b"") for i in range(max(self.machine.words, default=-1) + 1)]
-        self.piece = Memory(self._ids, 200_000)
-        self.plain = Memory(self._pack, 200_000)
-        self.blank = Memory(lambda part: self._pack(" " + part), 300_000)
+        self.piece = Memory(self._ids, 400_000)
+        self.plain = Memory(self._pack, 100_000)
+        self.blank = Memory(self._after_blank, 600_000)
 
     def _ids(self, piece: str) -> bytes:
         ids = self.machine.encode(piece.encode())
@@ -198,6 +230,14 @@ class Codec:
     def _pack(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.split.findall(text)))
 
+    def _after_blank(self, part: str) -> bytes:
+        """A word after a blank; letters alone, or with one mark at the end, need no splitting."""
+        if part.isalpha():
+            return self._ids(" " + part)
+        if part[:-1].isalpha() and part[-1] in ".,;:!?":
+            return self.piece[" " + part[:-1]] + self.piece[part[-1]]
+        return self._pack(" " + part)
+
     def encode(self, text: str) -> bytes:
         """Where a blank or a line end stands alone between other characters a piece begins for
         sure, so words are looked up by themselves; a text with longer runs is split as a whole."""
@@ -234,7 +274,9 @@ def codec(path: str, pattern: str) -> Codec:
     """One per worker process, so that what was learned serves the next task."""
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    own = _CODECS[path, pattern]
+    only(own.piece, own.plain, own.blank)
+    return own
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str, keep: list[str], decode: bool = False) -> DataFrame:

@@ -26,12 +26,22 @@ def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
 class Memory(dict):
     """Answers of ``make`` by part; forgets all when it holds ``entries``."""
 
+    everyone: list[Memory] = []
+
     def __init__(self, make: Callable[[str], object], entries: int = MEMORY_ENTRIES) -> None:
         super().__init__()
         self.make, self.entries = make, entries
+        self.everyone.append(self)
 
     def __missing__(self, part: str) -> object:
         if len(self) >= self.entries:
             self.clear()
         got = self[part] = self.make(part)
         return got
+
+
+def only(*memories: Memory) -> None:
+    """What other operators have learned in this worker process is forgotten."""
+    for memory in Memory.everyone:
+        if not any(memory is m for m in memories):
+            memory.clear()
