@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,52 +20,111 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs only its running tasks.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).keep(df, name)
 
 
 def reach_package(spark: SparkSession) -> None:
     """Let Python workers find this package where the executors run on the driver's machine; a
-    cluster has it installed."""
+    cluster has it installed. Long texts travel in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+class Steps:
+    """Tables between the steps of one operator, dropped when nothing to come reads them.
+
+    ``keep`` writes a table like ``stored``; ``drop`` deletes tables whose every reader has been
+    written itself by then.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            for path in self.paths.pop(name, ()):
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
+
+
 def whole_text(name: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def _same(a: tuple | None, b: tuple | None) -> bool:
-    return a is not None and a == b
+#: So many edges are left to one task; more go through star passes.
+TASK_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of the edges and the smallest node it is connected with, inside one task."""
+    parent: dict = {}
+
+    def find(node):
+        while parent[node] != node:
+            parent[node] = parent[parent[node]]
+            node = parent[node]
+        return node
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(parent)
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(n) for n in part], kind)], names=["node", "root"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: one row ``(node, root)`` per node, root the smallest.
 
-    Alternating large-star and small-star passes: every pass is one aggregation (combined
-    before its shuffle) and one join, whose both sides are plain tables so that a node with
-    very many links is split by the adaptive skew join. Any orderable type works; self links
-    and null ends are left out. The number of passes grows with the logarithm of the longest
-    path.
+    Up to ``TASK_EDGES`` edges are joined up by one task. More go through alternating large-star
+    and small-star passes: every pass is one aggregation (combined before its shuffle) and one
+    join, whose both sides are plain tables so that a node with very many links is split by the
+    adaptive skew join; the number of passes grows with the logarithm of the longest path. Both
+    ways give the same. Any orderable type works; self links and null ends are left out.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    steps = Steps(edges.sparkSession)
+    now = steps.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "now")
+    count = now.count()
+    if not count:
+        return now.toDF("node", "root")
+    if count <= TASK_EDGES:
+        kind = now.schema["u"].dataType.simpleString()
+        roots = stored(now.repartition(1).mapInArrow(_forest, f"node {kind}, root {kind}"), "cc")
+        steps.drop("now")
+        return roots
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        low = steps.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         # Large star: every larger neighbour of u points to the smallest of u's star.
-        large = stored(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc"
+        large = steps.keep(
+            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
         )
+        steps.drop("now", "low")
         # Small star: u and its smaller neighbours point to the smallest of them.
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        least = steps.keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = stored(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "cc")
+        now = steps.keep(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "now")
+        steps.drop("large", "least")
         sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if _same(before, sign):
+        if sign == before:
             break
         before = sign
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,10 +3,12 @@
 Documents with equal shingle sets are one class. In each of several independent trees the
 classes branch again and again by the smallest hash of their set under the function of that
 tree and level; two similar sets take the same branch with a probability equal to their Jaccard
-similarity. A node that is small is compared exhaustively. A large node is compared with one
-pivot and then branches on, unless all its classes are connected by then. Nodes that stay large
-and unconnected to the last level are compared exhaustively in blocks. Links are confirmed on
-full sets.
+similarity. A small node is compared exhaustively by the minima of its classes; of a large one
+all classes are compared with one of them, and unless that joins them up, it branches on. Nodes
+that stay large and apart to the last level are compared exhaustively in blocks. What is likely
+to be similar, over all trees, forms clusters; inside these the full sets decide, each set
+moving once. A task gives a spanning forest of what it finds, so that a crowd of near copies
+costs links in proportion to its size.
 """
 
 from __future__ import annotations
@@ -15,19 +17,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwitness.llm.common import components, stored
-from fleetwitness.llm.words import mix, shingles, word_hashes
+from fleetwitness.llm.common import Steps, components, stored
+from fleetwitness.llm.spans import only
+from fleetwitness.llm.words import WORD, mix, shingles, word_hashes
 
 TREES, LEVELS = 10, 4
-#: Classes of a node that are compared pair by pair.
-SMALL_NODE = 64
-#: Pairs whose share of equal minima is so far below the threshold are not confirmed. With 40
-#: minima a pair at the threshold of 0.85 falls under it about once in ten million.
-SLACK = 0.35
+#: Smallest hashes kept of each set; the trees use the first of them.
+FUNCTIONS = 128
+#: Classes of a node or cluster that are compared pair by pair in one task.
+SMALL_NODE = 512
+#: Pairs whose share of equal minima is so far below the threshold are not likely. With 128
+#: minima a pair at the threshold of 0.85 falls under it about twice in a million.
+SLACK = 0.14
+#: Columns of the membership matrix at a time.
+COLUMNS = 4096
 
 
 def _multipliers(count: int) -> np.ndarray:
@@ -35,30 +43,41 @@ def _multipliers(count: int) -> np.ndarray:
 
 
 def minima(members: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The smallest hash of a set under each function."""
-    if len(members) * len(multipliers) <= 1 << 20:
-        return np.multiply.outer(multipliers, members).min(axis=1)
-    return np.array([(members * m).min() for m in multipliers], np.uint64)
+    """The upper half of the smallest hash of a set under each function."""
+    step = max(1, (1 << 20) // len(multipliers))
+    low = np.full(len(multipliers), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(members), step):
+        np.minimum(low, np.multiply.outer(multipliers, members[at : at + step]).min(axis=1), out=low)
+    return (low >> np.uint64(32)).astype(">u4")
 
 
-def _sketch(docs: DataFrame, size: int, functions: int) -> DataFrame:
-    """``id, key, n, minima``: the key names the shingle set."""
+def _sketch(docs: DataFrame, size: int) -> DataFrame:
+    """``id, key, n, minima, nodes``: the key names the shingle set, nodes are those of the first level."""
+    trees, levels = TREES, LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers = _multipliers(functions)
+        only(WORD)
+        multipliers = _multipliers(FUNCTIONS)
         for batch in batches:
-            keys, counts, lows = [], [], []
+            keys, counts, lows, nodes = [], [], [], []
             for text in batch.column("text"):
                 members = np.unique(shingles(word_hashes(text.as_py()), size))
+                low = minima(members, multipliers)
                 keys.append(xxhash.xxh3_128_digest(members.tobytes()))
                 counts.append(len(members))
-                lows.append(minima(members, multipliers).astype(">u8").tobytes() if len(members) else b"")
+                lows.append(low.tobytes())
+                first = low[: trees * levels : levels].astype(np.uint64) + (np.arange(trees, dtype=np.uint64) << np.uint64(32))
+                nodes.append(mix(first).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(lows, pa.binary())],
-                names=["id", "key", "n", "minima"],
-            )
+                [
+                    batch.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(lows, pa.binary()),
+                    pa.array(nodes, pa.list_(pa.int64())),
+                ],
+                names=["id", "key", "n", "minima", "nodes"],
+            )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, n bigint, minima binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, key binary, n bigint, minima binary, nodes array<bigint>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -74,56 +93,46 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, members binary")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes that still allow the similarity."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
+def _need(percent: int) -> int:
+    return max(1, int(FUNCTIONS * (percent / 100 - SLACK)))
 
-def _node_pairs(rows: DataFrame, by: list[str], percent: int, functions: int) -> DataFrame:
-    """``a, b`` (a < b) inside each group of ``by`` whose sizes, roots and minima allow a new link.
 
-    ``rows``: ``by..., side, key, n, minima, root``; a group holds at most two small nodes' rows.
-    Rows are dealt and sorted by group; each group is compared as one matrix.
-    """
-    need = max(1, int(functions * (percent / 100 - SLACK)))
-    columns = [*by, "side", "key", "n", "minima", "root"]
-
-    def of_group(rows: pa.Table) -> tuple[list, list]:
-        left, right = [], []
-        lows = np.frombuffer(b"".join(rows.column("minima").to_pylist()), ">u8").reshape(rows.num_rows, functions)
-        keys, roots = rows.column("key").to_pylist(), rows.column("root").to_pylist()
-        sizes, side = rows.column("n").to_numpy(), rows.column("side").to_numpy()
-        for i in range(len(keys) - 1):
-            equal = (lows[i + 1 :] == lows[i]).sum(axis=1)
-            small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            for j in np.nonzero((equal >= need) & (small * 100 >= large * percent) & ((side[i + 1 :] != side[i]) | (side[i] == 0)))[0] + i + 1:
-                if roots[i] != roots[j]:
-                    left.append(min(keys[i], keys[j]))
-                    right.append(max(keys[i], keys[j]))
-        return left, right
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose minima agree often enough."""
+    need = _need(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in _and_none(batches):
-            if batch is not None:
-                rows = pa.Table.from_batches([batch])
-                kept = rows if kept is None else pa.concat_tables([kept, rows])
-            if kept is None or not kept.num_rows:
-                continue
-            marks = np.stack([kept.column(c).to_numpy() for c in by], axis=1)
-            starts = np.concatenate([[0], np.nonzero((marks[1:] != marks[:-1]).any(axis=1))[0] + 1, [len(marks)]])
-            done = len(starts) - 1 if batch is None else len(starts) - 2
-            left, right = [], []
-            for g in range(done):
-                if starts[g + 1] - starts[g] > 1:
-                    a, b = of_group(kept.slice(starts[g], starts[g + 1] - starts[g]))
-                    left += a
-                    right += b
-            kept = kept.slice(starts[done])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    dealt = rows.select(*columns).repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(run, "a binary, b binary")
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, FUNCTIONS) for c in ("x", "y"))
+            mask = pa.array((x == y).sum(axis=1) >= need)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+
+    left = sketches.select(F.col("key").alias("a"), F.col("minima").alias("x"))
+    right = sketches.select(F.col("key").alias("b"), F.col("minima").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of one group of ``by`` after another, of rows sorted by group."""
+    kept = None
+    for batch in _and_none(batches):
+        if batch is not None:
+            rows = pa.Table.from_batches([batch])
+            kept = rows if kept is None else pa.concat_tables([kept, rows])
+        if kept is None or not kept.num_rows:
+            continue
+        marks = [kept.column(c).combine_chunks() for c in by]
+        new = np.zeros(kept.num_rows, bool)
+        new[0] = True
+        for mark in marks:
+            new[1:] |= pc.not_equal(mark.slice(1), mark.slice(0, len(mark) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.append(np.nonzero(new)[0], kept.num_rows)
+        done = len(starts) - 1 if batch is None else len(starts) - 2
+        for g in range(done):
+            if starts[g + 1] - starts[g] > 1:
+                yield kept.slice(starts[g], starts[g + 1] - starts[g])
+        kept = kept.slice(starts[done])
 
 
 def _and_none(items: Iterator) -> Iterator:
@@ -131,89 +140,162 @@ def _and_none(items: Iterator) -> Iterator:
     yield None
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+def _forest(keys: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Links enough to connect what the links (by position) connect."""
+    parent, a, b = list(range(len(keys))), [], []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        p, q = root(i), root(j)
+        if p != q:
+            parent[p] = q
+            a.append(keys[i])
+            b.append(keys[j])
+    return a, b
+
+
+def _links_in_groups(rows: DataFrame, by: list[str], links_of) -> DataFrame:
+    """``a, b``: a forest of ``links_of`` (a table to positions) in each group of ``by``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+        for group in _groups(batches, by):
+            a, b = _forest(group.column("key").to_pylist(), *links_of(group))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
+
+
+def _likely_in(percent: int):
+    """Pairs of a group whose sizes allow the similarity and whose minima agree often enough."""
+    need = _need(percent)
+
+    def links_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lows = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32).reshape(group.num_rows, FUNCTIONS)
+        sizes, left, right = group.column("n").to_numpy(), [], []
+        for i in range(len(sizes) - 1):
+            later = sizes[i + 1 :]
+            fits = (later * 100 >= sizes[i] * percent) & (sizes[i] * 100 >= later * percent)
+            if fits.any():
+                hits = np.nonzero(fits)[0] + i + 1
+                hits = hits[(lows[hits] == lows[i]).sum(axis=1) >= need]
+                left.append(np.full(len(hits), i))
+                right.append(hits)
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+    return links_of
+
+
+def _similar_in(percent: int):
+    """Pairs of a group whose full sets reach the similarity: all intersections at once, as the
+    product of the membership matrix with itself, some columns at a time."""
+
+    def links_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()]
+        sizes = np.array([len(m) for m in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        width = int((count > 1).sum())
+        for start in range(0, width, COLUMNS):
+            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, width - start)), np.float32)
+            part[owner[lo:hi], column[lo:hi] - start] = 1
+            both += part @ part.T
+        left, right = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+        return left, right
 
-    left = sets.select(F.col("key").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return links_of
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
-    at = (F.col("tree") * LEVELS + level) * 8 + 1
-    low = F.substring(F.col("minima"), at, F.lit(8))
-    return rows.withColumn("node", F.xxhash64("node", "tree", low))
+def _in_nodes(steps: Steps, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of nodes that hold more than one class, with the number of ``rows`` and a ``pivot``.
 
+    ``rows``: tree, node, key, n. The pivot depends on the tree."""
+    first = F.min(F.struct(F.xxhash64("tree", "key").alias("h"), F.col("key")))
+    nodes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), first.alias("first")).where("rows > 1")
+    nodes = steps.keep(nodes.select(*by, "rows", F.col("first.key").alias("pivot")), "nodes")
+    inside = steps.keep(rows.join(nodes, by), "inside")
+    steps.drop("nodes")
+    return inside
 
-def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links ``a, b`` between classes, enough of them to connect whatever is linked."""
-    functions = TREES * LEVELS
-    rows = classes.where("n > 0").select(
-        F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), F.lit(0).cast("bigint").alias("node"),
-        F.lit(0).alias("side"), "key", "n", "minima", F.col("key").alias("root"),
-    )
-    links = sets = None
-    by = ["tree", "node"]
+
+def likely_links(sketch: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: a forest that connects classes whose minima agree, found in the nodes of the trees."""
+    steps, by = Steps(classes.sparkSession), ["tree", "node"]
+    inside = _in_nodes(steps, classes.select(F.posexplode("nodes").alias("tree", "node"), "key", "n"), by)
+    sketches = sketch.select("key", "minima").join(inside.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    sketches = steps.keep(sketches, "sketches")
+    found = None
     for level in range(LEVELS):
-        rows = _branch(rows, level)
-        nodes = stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("pivot")).where("rows > 1"), "cps-nodes")
-        inside = stored(rows.join(nodes, by), "cps-rows")
-        large = inside.where(F.col("rows") > SMALL_NODE)
-        pairs = _node_pairs(inside.where(F.col("rows") <= SMALL_NODE), by, percent, functions)
-        pivots = stored(
-            large.where("key = pivot").select(*by, F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root")), "cps-pivots"
-        )
-        more = bool(pivots.take(1))
+        small = inside.where(F.col("rows") <= SMALL_NODE).select(*by, "key", "n").join(sketches, "key")
+        large = inside.where((F.col("rows") > SMALL_NODE) & (F.col("key") != F.col("pivot")))
+        star = large.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        more = bool(large.take(1))
+        new = _links_in_groups(small, by, _likely_in(percent))
         if more:
-            star = large.join(pivots, by).where((F.col("key") != F.col("pivot")) & _alike("n", "pivot_n", percent) & (F.col("root") != F.col("pivot_root")))
-            pairs = pairs.unionByName(star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
-        pairs = stored(pairs.distinct(), "cps-pairs")
-        if sets is None:
-            wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-            if more:
-                wanted = wanted.unionByName(large.select("key"))
-            wanted = stored(wanted.distinct().join(classes, "key").select("key", "id"), "cps-wanted")
-            of = docs.join(wanted.select("id").distinct().withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-            sets = stored(_sets(of, size).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "cps-sets")
-        found = _confirm(pairs, sets, percent)
-        links = stored(found if links is None else links.unionByName(found), "cps-links")
+            new = new.unionByName(_likely(star, sketches, percent))
+        found = stored(new if found is None else found.unionByName(new), "cps-likely")
         if not more:
-            return links
-        roots = stored(components(links), "cps-roots")
-        rows = large.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rows = stored(rows.select(*by, "side", "key", "n", "minima", "root"), "cps-large")
-        mixed = rows.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
-        rows = rows.join(stored(mixed, "cps-mixed"), by)
-        if not mixed.take(1):
-            return links
-    pairs = stored(_blocks(rows, by, percent, functions).distinct(), "cps-blocks")
-    return links.unionByName(_confirm(pairs, sets, percent))
-
-
-def _blocks(rows: DataFrame, by: list[str], percent: int, functions: int) -> DataFrame:
-    """All pairs of the given nodes, in blocks of bounded size: each block meets itself and every
-    later block of its node in a group of its own."""
-    hashed = rows.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(1 << 16)))
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+            break
+        roots = components(found).withColumnRenamed("node", "key")
+        whole = inside.where(F.col("rows") > SMALL_NODE).select(*by, "key", "n", "rows").join(roots, "key", "left")
+        whole = steps.keep(whole.withColumn("root", F.coalesce("root", "key")), "whole")
+        apart = whole.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
+        apart = steps.keep(apart, "apart")
+        if not apart.take(1):
+            break
+        rest = steps.keep(whole.join(apart, by).select(*by, "key", "n", "rows").join(sketches, "key"), "rest")
+        steps.drop("inside", "whole", "apart")
+        if level == LEVELS - 1:
+            blocks = _blocks(rest, by)
+            found = stored(found.unionByName(_links_in_groups(blocks, [*by, "i", "j"], _likely_in(percent))), "cps-likely")
+            break
+        low = F.substring(F.col("minima"), (F.col("tree") * LEVELS + level + 1) * 4 + 1, F.lit(4))
+        inside = _in_nodes(steps, rest.select("tree", F.xxhash64("node", low).alias("node"), "key", "n"), by)
+        steps.drop("rest")
+    steps.drop("inside", "whole", "apart", "rest", "sketches")
+    return found
+
+
+def confirmed_links(docs: DataFrame, classes: DataFrame, likely: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: a forest of the links that the full sets confirm, inside the clusters of likely ones."""
+    steps = Steps(docs.sparkSession)
+    clusters = components(likely).withColumnRenamed("node", "key")
+    wanted = steps.keep(clusters.join(classes.select("key", "id"), "key"), "wanted")
+    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
+    sets = _sets(docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi"), size)
+    counts = steps.keep(wanted.groupBy("root").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    sized = steps.keep(wanted.select("key", "root").join(counts, "root"), "sized")
+    rows = steps.keep(sets.join(sized, "key").dropDuplicates(["key"]), "members")
+    small = rows.where(F.col("rows") <= SMALL_NODE)
+    links = _links_in_groups(small, ["root"], _similar_in(percent))
+    if rows.where(F.col("rows") > SMALL_NODE).take(1):
+        blocks = _blocks(rows.where(F.col("rows") > SMALL_NODE), ["root"])
+        links = links.unionByName(_links_in_groups(blocks, ["root", "i", "j"], _similar_in(percent)))
+    links = stored(links, "cps-links")
+    steps.drop("wanted", "counts", "sized", "members")
+    return links
+
+
+def _blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of groups of ``by`` dealt into pairs of blocks ``i, j`` of bounded size: each block
+    meets itself and every other block of its group in a group of its own."""
     blocks = F.ceil(F.col("rows") * 2 / SMALL_NODE).cast("int")
-    sized = hashed.join(stored(counts, "cps-counts"), by).withColumn("of", blocks).withColumn("block", F.pmod(F.col("cell"), F.col("of")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-    spread = sized.select(*by, "key", "n", "minima", "root", "block", other)
-    spread = spread.select(
-        *by, F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "key", "n", "minima", "root",
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    return _node_pairs(spread, [*by, "i", "j"], percent, functions)
+    block = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    spread = rows.withColumn("block", block).select("*", other)
+    return spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "rows")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,25 +304,27 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     Links join documents whose sets of ``size``-word shingles have a Jaccard similarity of at
     least ``percent`` per cent. The component id is the smallest id that links reach. Recall: a
     pair at the threshold is missed by one tree with a probability of 1 - threshold per level
-    it needs, so by ten trees about once in 10**8 where nodes are small at once.
+    it needs, so by ten trees about once in 10**8 where its nodes are compared on the first level.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing.
     Rows with equal sets are linked whatever their ids; a null id is never a component's id
     unless all its members' are null. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = stored(_sketch(docs, size, TREES * LEVELS), "cps-sketch")
-    classes = stored(
-        sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima")), "cps-classes"
-    )
-    links = link_classes(docs, classes, size, percent)
-    roots = components(links)
+    steps = Steps(docs.sparkSession)
+    sketch = steps.keep(_sketch(docs, size), "sketch")
+    classes = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    classes = steps.keep(classes, "classes")
+    rows = stored(sketch.select("id", "key", "n"), "cps-rows")
+    likely = likely_links(sketch.where("n > 0"), classes, percent)
+    roots = components(confirmed_links(docs, classes, likely, size, percent))
     owned = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    owned = stored(owned, "cps-owned")
-    smallest = stored(owned.groupBy("root").agg(F.min("id").alias("component_id")), "cps-smallest")
+    owned = steps.keep(owned, "owned")
+    smallest = steps.keep(owned.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     named = stored(owned.join(smallest, "root").select("key", "component_id"), "cps-named")
-    with_set = sketch.where("n > 0").join(named, "key").select("id", "n", "component_id")
-    without = sketch.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    steps.drop("sketch", "classes", "owned", "smallest")
+    with_set = rows.where("n > 0").join(named, "key").select("id", "n", "component_id")
+    without = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return with_set.unionByName(without).select(
         "id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
