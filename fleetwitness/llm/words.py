@@ -19,9 +19,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One hash per word ``[^\\x20\\x09-\\x0D]+`` in order, A-Z in lower case."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` in order, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hashes(text: str | list[bytes] | None) -> np.ndarray:
+    """One hash per word of a text, or of words."""
+    words = text if isinstance(text, list) else words_of(text)
     return np.fromiter(map(WORD.__getitem__, words), np.uint64, len(words))
 
 
