@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from fleetwitness.llm.spans import only
+
 UNDETERMINED = "und"
 LEVEL = 5
 #: For texts whose sizes tie, as very short ones that no dictionary makes smaller: what they add
@@ -71,7 +73,8 @@ class Sizes:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.langs = sorted(lang for lang, data in dictionaries.items() if data)
         self.by = [(lang, self._compressor(dictionaries[lang])) for lang in self.langs]
-        self.fine = zstandard.ZstdCompressor(level=FINE_LEVEL, write_content_size=False)
+        small = zstandard.ZstdCompressionParameters.from_level(FINE_LEVEL, source_size=FINE_BYTES + BLOCK_BYTES, write_content_size=False)
+        self.fine = zstandard.ZstdCompressor(compression_params=small)
         ends = [(lang, dictionaries[lang][-FINE_BYTES:]) for lang in self.langs]
         self.ends = [(lang, end, len(self.fine.compress(end))) for lang, end in ends]
 
@@ -116,6 +119,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, kee
     out = StructType([rows.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         sizes = Sizes(shared.value)
         for batch in batches:
             found = [sizes.best(t.as_py()) for t in batch.column("__text")]

@@ -8,6 +8,7 @@ driver, and the rests find their place by their rank among the rests of their le
 from __future__ import annotations
 
 import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from fleetwitness.llm.common import stored
-from fleetwitness.llm.spans import Memory, segments
+from fleetwitness.llm.spans import Memory, only, segments
 
 #: Rows per cell of the rank count.
 CELL_ROWS = 50_000
@@ -30,7 +31,7 @@ class WordIds:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.part = Memory(self._pack, 600_000)
+        self.part = Memory(self._pack, 500_000)
 
     def _pack(self, part: str) -> bytes:
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids
@@ -49,16 +50,17 @@ _IDS: dict[str, WordIds] = {}
 def word_ids(path: str) -> WordIds:
     if path not in _IDS:
         _IDS[path] = WordIds(path)
+    only(_IDS[path].part)
     return _IDS[path]
 
 
 def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, start, length, doc_tokens, ids``: full pieces and the rest of every document.
+    """``id, start, length, doc_tokens, ids_crc32, ids``: full pieces and the rest of every document.
 
     ``ids`` are packed, little-endian unsigned 32 bit; the document ends with ``end_id``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = f"id {rows.schema['id'].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, ids binary"
+    out = f"id {rows.schema['id'].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint, ids binary"
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,17 +68,18 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, t
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found: list[list] = [[], [], [], [], []]
+                found: list[list] = [[] for _ in range(6)]
                 for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                     ids = own.encode(text.as_py()) + end
                     total = len(ids) // 4
                     for start in range(0, total, size):
                         length = min(size, total - start)
-                        for column, value in zip(found, (key, start, length, total, ids[4 * start : 4 * (start + length)]), strict=True):
+                        piece = ids[4 * start : 4 * (start + length)]
+                        for column, value in zip(found, (key, start, length, total, zlib.crc32(piece), piece), strict=True):
                             column.append(value)
-                types = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                types = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(found, types, strict=True)], names=["id", "start", "length", "doc_tokens", "ids"]
+                    [pa.array(v, t) for v, t in zip(found, types, strict=True)], names=["id", "start", "length", "doc_tokens", "ids_crc32", "ids"]
                 )
 
     return rows.mapInArrow(run, out)
@@ -128,7 +131,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 def pack(
     docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id, start, length, doc_tokens, ids, sequence_id, offset``: one row per piece.
+    """``id, start, length, doc_tokens, ids_crc32, ids, sequence_id, offset``: one row per piece.
 
     A full piece is a sequence of its own. Rests are ranked inside their length in cells of
     bounded size (length and hash, counted first), so one length that holds a third of all rests
@@ -143,23 +146,23 @@ def pack(
     rests = pieces.where(F.col("length") < size)
     rows = rests.count()
     cells = max(1, -(-rows // CELL_ROWS))
-    rests = rests.withColumn("cell", F.pmod(F.xxhash64("id", "start", "ids"), F.lit(cells)))
+    rests = rests.withColumn("cell", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(cells)))
     counts = stored(rests.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n")), "pack-cells")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cell_starts = counts.select("length", "cell", before.alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # < size rows
     patterns = pack_patterns(histogram, size)
     packs = sum(n for _, n in patterns)
-    inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("id", "start"))
+    inside = F.row_number().over(Window.partitionBy("length", "cell").orderBy("id", "start", "ids_crc32"))
     ranked = rests.withColumn("inside", inside).join(cell_starts, ["length", "cell"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("inside") - 1).withColumnRenamed("length", "len")
     table = spark.createDataFrame(places(patterns) or [(0, 0, 0, 0, 0)], "length bigint, first bigint, last bigint, sequence bigint, offset bigint")
     hit = (F.col("len") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
     placed = ranked.join(F.broadcast(table), hit).select(
-        "id", "start", "length", "doc_tokens", "ids", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset"
+        "id", "start", "length", "doc_tokens", "ids_crc32", "ids", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset"
     )
     full = pieces.where(F.col("length") == size).select(
-        "id", "start", "length", "doc_tokens", "ids",
+        "id", "start", "length", "doc_tokens", "ids_crc32", "ids",
         (F.monotonically_increasing_id() + packs).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
     )
     return placed.unionByName(full)

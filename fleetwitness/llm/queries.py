@@ -87,7 +87,7 @@ def op7(table) -> DataFrame:
 def op8(table) -> DataFrame:
     rows = packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select(
-        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
 

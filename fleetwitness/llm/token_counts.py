@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fleetwitness.llm.spans import Memory, segments
+from fleetwitness.llm.spans import Memory, only, segments
 
 UNKNOWN_PENALTY = 10.0
 WORD_START = "▁"
@@ -100,6 +100,7 @@ _COUNTERS: dict[str, Counter] = {}
 def counter(path: str) -> Counter:
     if path not in _COUNTERS:
         _COUNTERS[path] = Counter(*read_vocabulary(path))
+    only(_COUNTERS[path].word)
     return _COUNTERS[path]
 
 

@@ -90,18 +90,19 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 def threshold(bins: list[tuple[int, int, int]]) -> float:
     """The score with the best mean of both classes' hit rates; ``bins``: (bin, accepted, rejected).
 
-    Without calibration rows of both classes it is 0. Of equal limits the one nearest 0 counts.
+    Limits lie in the middle between two bins that hold rows. Without calibration rows of both
+    classes it is 0. Of equally good limits the one nearest 0 counts.
     """
     yes, no = sum(b[1] for b in bins), sum(b[2] for b in bins)
     if not yes or not no:
         return 0.0
-    best, at, below_yes, below_no = (-1.0, 0.0), 0.0, 0, 0
-    for edge, y, n in [*sorted(bins), (MOST_BIN + 1, 0, 0)]:
-        limit = edge * BIN
+    best, at, below_yes, below_no, last = (-1.0, 0.0), 0.0, 0, 0, None
+    for edge, y, n in [*sorted(bins), (None, 0, 0)]:
+        limit = (last + 1 if edge is None else edge if last is None else (last + 1 + edge) / 2) * BIN
         quality = (round((yes - below_yes) / yes + below_no / no, 9), -abs(limit))
         if quality > best:
             best, at = quality, limit
-        below_yes, below_no = below_yes + y, below_no + n
+        below_yes, below_no, last = below_yes + y, below_no + n, edge
     return at
 
 
