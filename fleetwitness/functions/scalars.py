@@ -98,9 +98,13 @@ def flag(mask: Column, bit: int) -> Column:
     return F.getbit(mask.cast("bigint"), F.lit(bit)) == 1
 
 
+# Fixed value: a reason names capabilities in square brackets.
+CAPABILITY = r"\[([^\]]+)\]"
+
+
 def capability_group(reason: Column) -> Column:
     """Names in square brackets joined with ``+``; ``?`` when the reason names none."""
-    names = F.regexp_extract_all(reason, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    names = F.regexp_extract_all(reason, F.lit(CAPABILITY), F.lit(1))
     return F.when(F.size(names) > 0, F.array_join(names, "+")).otherwise(F.lit("?"))
 
 

@@ -26,13 +26,22 @@ def evidence_records(verdicts: DataFrame, slices: DataFrame, captures: DataFrame
 
 
 def write_evidence(manifest: DataFrame, slices: DataFrame, captures: DataFrame, markers: DataFrame, folder: str) -> None:
-    """Manifest partitioned by scenario and night, and the parts as tables beside it.
+    """Manifest and parts as tables side by side, all partitioned by scenario and night.
 
-    The rebalance brings a night's rows together and splits a large night again.
+    What is written for a scenario and night replaces what was there, so a repeated call
+    changes nothing. The parts come first and the manifest last: a manifest row never stands
+    without its parts. The rebalance brings a night's rows together and splits a large night
+    again.
     """
-    manifest.hint("rebalance", "scenario", "night").write.mode("append").partitionBy("scenario", "night").parquet(f"{folder}/manifest")
+    where = manifest.select("run_id", "scenario", "night").distinct()
+
+    def put(rows: DataFrame, name: str) -> None:
+        writer = rows.hint("rebalance", "scenario", "night").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("scenario", "night").parquet(f"{folder}/{name}")
+
     for name, df in (("log_lines", slices), ("api_reads", captures), ("markers", markers)):
-        df.write.mode("append").parquet(f"{folder}/{name}")
+        put(df.join(where, "run_id"), name)
+    put(manifest, "manifest")
 
 
 def append_digest(lines: DataFrame, folder: str) -> None:

@@ -41,7 +41,7 @@ def walk_stimuli(spark):
     return table(spark, "device_id STRING, stimulus_id BIGINT, ts TIMESTAMP, timed BOOLEAN", rows)
 
 
-# Commands and reports of one lamp, with the recorded verdicts.
+# Commands, reports and acknowledgements of one lamp, whose verdicts were recorded.
 DAY = "2026-07-01"
 COMMANDS = [
     (1, "20:04:35.113", "current_level", "0x0008", "brightness", 128.0),
@@ -93,7 +93,8 @@ def lamp(spark):
     return cmds, reports, acks, profile
 
 
-# Boot logs in the bench's line form; relinks after the second carry a four-digit stamp.
+# The line form and the tokens of a boot log. Devices, ports and clocks are made up;
+# relinks after the second carry a four-digit stamp.
 def boot_text(relinks: int, proposed: bool = False) -> list[str]:
     def line(clock, who, message):
         return f"{clock} [main] INFO bench.{who} -- {message}"

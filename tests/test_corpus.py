@@ -10,6 +10,7 @@ from fleetwitness.operators import catalog, corpus, fleet
 from fleetwitness.sources import captures
 
 
+# Fixed values of this file: field names of the captures and the counter's text form. Readings are made up.
 def test_radio_fixture_with_time_of_day(spark, tmp_path):
     doc = {
         "environment": {"host": "h", "device": {"model": "m"}},

@@ -9,28 +9,29 @@ from pyspark.sql import functions as F
 from fleetwitness.functions.scalars import seconds_text, verdict_line
 from fleetwitness.operators import suites
 
-LEGS = ["boot-health", "command-confirm", "command-confirm-s31", "command-timeout-absent", "command-supersession",
-        "command-identify-honest", "usb-reenumeration", "timeout-honesty-no-change", "command-s31-settle"]
-S31 = "/b/command-confirm-s31-20260801T083200Z"
-SKIP = "[SKIP] command-confirm — SKIPPED: [hue-online] — reset pending"
+# Legs are made up; the forms of the lines and of the texts below are fixed values.
+LEGS = ["boot-ok", "lamp-answers", "plug-answers", "absent-lamp", "newer-wins",
+        "blink-unproven", "stick-replug", "same-value", "plug-settles"]
+S31 = "/b/plug-answers-20260801T083200Z"
+SKIP = "[SKIP] lamp-answers — SKIPPED: [lamp-online] — reset pending"
 
 
 def night(replace=None):
     out = ["runner", "[--] suite auto: 9 legs"]
     for leg in LEGS:
         out.append((replace or {}).get(leg, f"[PASS] {leg}"))
-        if leg == "command-confirm-s31":
+        if leg == "plug-answers":
             out.append(f"  [--] bundle: {S31}")
     return [*out, "ran 9/9"]
 
 
-FAIL = "[FAIL] command-confirm-s31 — expected-not-seen: terminal CONFIRMED within 20s"
+FAIL = "[FAIL] plug-answers — expected-not-seen: terminal CONFIRMED within 20s"
 NIGHTS = {
     "pass": night(),
-    "skip": night({"command-confirm": SKIP}),
-    "fail": night({"command-confirm": SKIP, "command-confirm-s31": FAIL}),
-    "down": night({"command-confirm-s31": "[SKIP] command-confirm-s31 — SKIPPED: [command-api] — down"}),
-    "refused": ["[REFUSED] rejoin-race-operator — OPERATOR-tier scenario", "[PASS] boot-health"],
+    "skip": night({"lamp-answers": SKIP}),
+    "fail": night({"lamp-answers": SKIP, "plug-answers": FAIL}),
+    "down": night({"plug-answers": "[SKIP] plug-answers — SKIPPED: [api-up] — down"}),
+    "refused": ["[REFUSED] hands-on-rejoin — OPERATOR-tier scenario", "[PASS] boot-ok"],
     "empty": ["", "crashed"],
 }
 
@@ -54,16 +55,16 @@ def calendar(spark):
 def test_floor(verdicts, calendar):
     floor = {r.night: r.floor for r in suites.floor_text(verdicts, calendar).collect()}
     assert floor["pass"] == "9/9 PASS"
-    assert floor["skip"] == "8/9 PASS · 1 SKIP(hue-online)"
-    assert floor["fail"] == f"7/9 · FAIL command-confirm-s31 · bundle {S31} · 1 SKIP(hue-online)"
-    assert "REFUSED rejoin-race-operator" in floor["refused"]
+    assert floor["skip"] == "8/9 PASS · 1 SKIP(lamp-online)"
+    assert floor["fail"] == f"7/9 · FAIL plug-answers · bundle {S31} · 1 SKIP(lamp-online)"
+    assert "REFUSED hands-on-rejoin" in floor["refused"]
     assert floor["empty"] == "no verdicts (suite output unparseable — treat as red)"
 
 
 def test_coverage(verdicts):
     lines = {r.night: r.line for r in suites.coverage(verdicts).collect()}
     assert lines["pass"] == "ran 9/9"
-    assert lines["fail"] == "ran 8/9 — 1 SKIPPED: [hue-online]"
+    assert lines["fail"] == "ran 8/9 — 1 SKIPPED: [lamp-online]"
     assert lines["refused"] == "ran 1/2 — 1 REFUSED"
 
 
