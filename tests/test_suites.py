@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from fleetwitness.functions.scalars import seconds_text, verdict_line
 from fleetwitness.operators import suites
 
-# Legs are made up; the forms of the lines and of the texts below are fixed values.
-LEGS = ["boot-ok", "lamp-answers", "plug-answers", "absent-lamp", "newer-wins",
+# The leg whose latency is reported, and the forms of the lines and texts. Other legs are made up.
+LEGS = ["boot-ok", "lamp-answers", "command-confirm-s31", "absent-lamp", "newer-wins",
         "blink-unproven", "stick-replug", "same-value", "plug-settles"]
-S31 = "/b/plug-answers-20260801T083200Z"
+S31 = "/b/command-confirm-s31-20260801T083200Z"
 SKIP = "[SKIP] lamp-answers — SKIPPED: [lamp-online] — reset pending"
 
 
@@ -20,17 +20,17 @@ def night(replace=None):
     out = ["runner", "[--] suite auto: 9 legs"]
     for leg in LEGS:
         out.append((replace or {}).get(leg, f"[PASS] {leg}"))
-        if leg == "plug-answers":
+        if leg == "command-confirm-s31":
             out.append(f"  [--] bundle: {S31}")
     return [*out, "ran 9/9"]
 
 
-FAIL = "[FAIL] plug-answers — expected-not-seen: terminal CONFIRMED within 20s"
+FAIL = "[FAIL] command-confirm-s31 — expected-not-seen: terminal CONFIRMED within 20s"
 NIGHTS = {
     "pass": night(),
     "skip": night({"lamp-answers": SKIP}),
-    "fail": night({"lamp-answers": SKIP, "plug-answers": FAIL}),
-    "down": night({"plug-answers": "[SKIP] plug-answers — SKIPPED: [api-up] — down"}),
+    "fail": night({"lamp-answers": SKIP, "command-confirm-s31": FAIL}),
+    "down": night({"command-confirm-s31": "[SKIP] command-confirm-s31 — SKIPPED: [api-up] — down"}),
     "refused": ["[REFUSED] hands-on-rejoin — OPERATOR-tier scenario", "[PASS] boot-ok"],
     "empty": ["", "crashed"],
 }
@@ -56,7 +56,7 @@ def test_floor(verdicts, calendar):
     floor = {r.night: r.floor for r in suites.floor_text(verdicts, calendar).collect()}
     assert floor["pass"] == "9/9 PASS"
     assert floor["skip"] == "8/9 PASS · 1 SKIP(lamp-online)"
-    assert floor["fail"] == f"7/9 · FAIL plug-answers · bundle {S31} · 1 SKIP(lamp-online)"
+    assert floor["fail"] == f"7/9 · FAIL command-confirm-s31 · bundle {S31} · 1 SKIP(lamp-online)"
     assert "REFUSED hands-on-rejoin" in floor["refused"]
     assert floor["empty"] == "no verdicts (suite output unparseable — treat as red)"
 
