@@ -2,8 +2,8 @@
 
 A line is the set of its tokens, put in order of rarity. Two similar sets share a token in
 their first few places (prefix filter), have sizes that allow the similarity (length filter),
-and enough places behind the shared token (positional filter). What passes is verified on the
-full sets. Rarity comes from counts over all lines, by hash of the token; any fixed order gives
+and enough places behind the shared token (positional filter). What passes, and whose 128 bits leave room for
+the overlap, is verified on the full sets. Rarity comes from counts over all lines, by hash of the token; any fixed order gives
 right results, a good one gives few candidates. All of it is column expressions and joins.
 """
 
@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwitness.llm.common import stored, whole_text
+from fleetwitness.llm.common import Steps, stored, whole_text
 
 #: Counters of token hashes; the rarity table has this many entries however many tokens there are.
 COUNTERS = 1 << 16
 #: A line with more than one in this many of all occurrences is known to every task: there are
 #: no more such lines than this.
 HOT_SHARE = 1000
+#: Up to so many hashes of lines (a few megabytes) are sent to all tasks, so that the texts need not move.
+FEW_LINES = 500_000
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,6 +45,18 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
+def bits_of(part: int) -> Column:
+    """64 of the 128 bits that the tokens of a line set, by their hashes."""
+    return F.expr(
+        f"aggregate(tokens, 0L, (a, h) -> a | CASE WHEN (h & 64) = {64 * part} THEN shiftleft(1L, cast(h & 63 AS INT)) ELSE 0L END)"
+    )
+
+
+def _missing(a: str, b: str) -> Column:
+    """At least so many tokens of a are not in b: the bits that b has not set."""
+    return sum((F.bit_count(F.expr(f"{a}_bits{k} & ~{b}_bits{k}")) for k in (0, 1)), F.lit(0))
+
+
 def _needed(n: Column, share: str) -> Column:
     """Leading places that must hold a shared token: n less the least overlap, plus one."""
     return (n - F.expr(share) + 1).cast("int")
@@ -87,10 +101,19 @@ def near_lines(
     enough = lambda o: o * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") > F.col("y")))
     pairs = x.join(y, "key").where(larger & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap))
-    pairs = stored(pairs.select("x", "y", "x_n", "y_n").distinct(), "line-pairs")
+    # Bits of the sets bound the overlap from above; what passes is fetched in full.
+    steps = Steps(docs.sparkSession)
+    pairs = steps.keep(pairs.select("x", "y", "x_n", "y_n").distinct(), "pairs")
+    bits = steps.keep(sets.select("sid", bits_of(0).alias("bits0"), bits_of(1).alias("bits1")).dropDuplicates(["sid"]), "bits")
+    named = lambda side: bits.select(F.col("sid").alias(side), *[F.col(f"bits{k}").alias(f"{side}_bits{k}") for k in (0, 1)])
+    most = F.least(F.col("x_n") - _missing("x", "y"), F.col("y_n") - _missing("y", "x"))
+    pairs = stored(pairs.join(named("x"), "x").join(named("y"), "y").where(enough(most)).select("x", "y", "x_n", "y_n"), "line-pairs")
+    steps.drop("pairs", "bits")
     wanted = stored(pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct(), "line-wanted")
+    if wanted.count() <= FEW_LINES:
+        wanted = F.broadcast(wanted)
     full = stored(
-        one_each.select("sid", "text").join(wanted, "sid").dropDuplicates(["sid"]).select("sid", token_hashes(F.col("text")).alias("tokens")), "line-sets"
+        one_each.join(wanted, "sid").select("sid", token_hashes(F.col("text")).alias("tokens")).dropDuplicates(["sid"]), "line-sets"
     )
     checked = pairs.join(full.select(F.col("sid").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
         full.select(F.col("sid").alias("y"), F.col("tokens").alias("y_tokens")), "y"
