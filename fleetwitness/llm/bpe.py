@@ -81,6 +81,8 @@ class Transducer:
         lower = {k: self.ranks[k] for i in range(len(token)) for k in (token[i:j] for j in range(i + 2, len(token) + 1)) if self.ranks.get(k, rank) < rank}
         parts = merge_by_rank(token, lower)
         if len(parts) != 2:
+            if merge_by_rank(token, self.ranks) == [token]:
+                raise ValueError(f"token {token!r} is made of tokens of a higher rank; ranks must be in the order of merges")
             return False
         self.halves[rank] = (self.ranks[parts[0]], self.ranks[parts[1]])
         return True
