@@ -105,6 +105,24 @@ def test_odd_rows_keep_their_texts(odd_docs, no_docs):
     assert substring_dedup.repeated_passages(no_docs).count() == substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("others", [5, 150])
+def test_passages_around_a_common_line(spark, others):
+    """Two documents alone share a passage; most of it is a line that many others hold, too."""
+    rng = random.Random(17)
+    line = words(rng, 44)
+    rows = []
+    for i in range(others):
+        rows.append((i, " ".join(words(rng, 60, 10**7) + line + words(rng, 60, 10**7)), "en", "a", 1))
+    need = {}
+    for k in range(20):
+        passage = words(rng, 8, 10**7) + line + words(rng, 8, 10**7)
+        for i in (1000 + 2 * k, 1001 + 2 * k):
+            rows.append((i, " ".join(words(rng, 40, 10**7) + passage + words(rng, 40, 10**7)), "en", "a", 1))
+        need[frozenset((1000 + 2 * k, 1001 + 2 * k))] = 60
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {frozenset((r["id"], r["other_id"])): r["length"] for r in found} == need
+
+
 def brute_lines(rows, percent):
     places = defaultdict(list)
     for key, text in rows:
