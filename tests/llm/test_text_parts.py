@@ -123,6 +123,20 @@ def test_passages_around_a_common_line(spark, others):
     assert {frozenset((r["id"], r["other_id"])): r["length"] for r in found} == need
 
 
+def test_nearly_equal_passages_are_all_found(spark):
+    """300 pairs of passages of 60 words with one changed word, at a similarity of 0.82 to 0.84."""
+    rng = random.Random(23)
+    rows = []
+    for k in range(300):
+        passage = words(rng, 60, 10**8)
+        changed = [*passage]
+        changed[rng.randrange(12, 48)] = f"changed{k}"
+        for i, part in enumerate((passage, changed)):
+            rows.append((2 * k + i, " ".join(words(rng, 40, 10**8) + part + words(rng, 40, 10**8)), "en", "a", 1))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["id"] // 2 for r in found if r["length"] == 60 and r["id"] // 2 == r["other_id"] // 2} == set(range(300))
+
+
 def brute_lines(rows, percent):
     places = defaultdict(list)
     for key, text in rows:
