@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros_between, whole_number
 from fleetwitness.operators.ordered import (
+    cut_lineage,
     last_before,
     next_after,
     ordered,
@@ -34,6 +35,10 @@ FAILURE_TOKENS = (
 
 # Up to here a catalogue is spelled out as a column expression; a larger one becomes an automaton.
 MAX_PATTERNS = 256
+# Up to here (a few megabytes) the patterns are read into the plan; a larger catalogue stays a table.
+MAX_COLLECTED = 20_000
+# Characters by which lines and the tokens of such a catalogue are joined.
+GRAM = 16
 
 
 def contained_tokens(tokens: Sequence[str]) -> Callable[[Column], Column]:
@@ -96,10 +101,13 @@ def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) ->
 
     The distinct patterns of the catalogue are read when the plan is made. Each line is
     tested against all of them where it is read, by a column expression or, for a large
-    catalogue, by an automaton over its tokens; only matching lines are shuffled, by run.
+    catalogue, by an automaton over its tokens; only matching lines are shuffled, by run. A
+    catalogue beyond ``MAX_COLLECTED`` patterns is never read; it is joined with the lines.
     """
     rows = expectations.select("tokens", "same_line", pattern_key().alias("key")).dropDuplicates(["key"])
-    found = sorted(rows.collect(), key=lambda r: r["key"])
+    found = sorted(rows.take(MAX_COLLECTED + 1), key=lambda r: r["key"])
+    if len(found) > MAX_COLLECTED:
+        return _match_joined(lines, runs, expectations)
     if len(found) > MAX_PATTERNS:
         return _match_many(lines, runs, expectations, found)
     tests = [
@@ -131,6 +139,33 @@ def _match_many(lines: DataFrame, runs: DataFrame, expectations: DataFrame, foun
     return met.join(runs, "run_id").join(wanted, ["scenario", "_pattern"]).drop("_pattern")
 
 
+def _grams(lengths: Sequence[int]) -> Callable[[Column], Column]:
+    """All different parts of a text that have one of the lengths."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([list({x[i : i + n] for n in lengths for i in range(len(x) - n + 1)}) for x in texts])
+
+    return cut
+
+
+def _match_joined(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Lines and tokens meet by the first characters of the token, in the scenario of the run; of the
+    tokens of an expectation the first one that the line contains counts. Lines go without their
+    texts until then."""
+    own = lines.where("text IS NOT NULL").join(runs, "run_id")
+    own = cut_lineage(own.withColumn("_line", F.monotonically_increasing_id()))
+    gram = F.expr(f"left(_token, {GRAM})")
+    wanted = expectations.withColumn("_token", F.explode(F.array_distinct("tokens"))).withColumn("_gram", gram)
+    lengths = [r[0] for r in wanted.where("_gram IS NOT NULL").select(F.char_length("_gram")).distinct().collect()]
+    seen = own.select("scenario", "_line", F.explode(_grams(lengths)(F.col("text"))).alias("_gram"))
+    met = own.join(seen.join(wanted, ["scenario", "_gram"]).drop("scenario", "_gram"), "_line")
+    has = lambda t: F.contains(F.col("text"), t)
+    first = F.element_at(F.filter(F.col("tokens"), has), 1) == F.col("_token")
+    every = F.forall(F.coalesce("same_line", F.array().cast("array<string>")), has)
+    return met.where(has(F.col("_token"))).where(first & every).drop("_line", "_token")
+
+
 def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:
     """Matches per expectation against the needed number; no match is a row with 0."""
     seen = matches.groupBy("run_id", "i").agg(F.count(F.lit(1)).alias("seen"))

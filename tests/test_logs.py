@@ -124,6 +124,29 @@ def test_a_large_catalogue_matches_pair_by_pair(spark, boots, monkeypatch):
     assert sorted(logs.match_tokens(boots, runs, boot_catalogue(spark)).select(*cols).collect()) == compiled
 
 
+def test_a_catalogue_beyond_the_bound_stays_a_table(spark, monkeypatch):
+    """Tokens of all lengths, several in one line, empty, repeated, and scenarios apart; the patterns are not read."""
+    rng = random.Random(3)
+    texts = {f"r{n}": ["".join(rng.choices("abé", k=rng.randint(0, 40))) for _ in range(30)] + [None, ""] for n in range(4)}
+    token = lambda: "".join(rng.choices("abé", k=rng.choice([1, 2, 3, 5, 18])))
+    rows = [(f"s{n % 2}", n, [token() for _ in range(rng.randint(0, 3))], [token()[:2]], 1, None, None, 9) for n in range(60)]
+    text = next(t for t in texts["r0"] if t and len(t) > 25)
+    rows += [("s0", 60, ["b", "a", "b"], None, 1, None, None, 9), ("s1", 61, [""], [], 1, None, None, 9), ("s0", 62, [text[3:24]], [], 1, None, None, 9)]
+    lines = log_rows(spark, texts)
+    runs = runs_of(spark, "s0", "r0", "r1").unionByName(runs_of(spark, "s1", "r2", "r3"))
+    scenario = {"r0": "s0", "r1": "s0", "r2": "s1", "r3": "s1"}
+    want = sorted(
+        (run, i, idx) for run, parts in texts.items() for idx, x in enumerate(parts) for s, i, any_of, all_of, *_ in rows
+        if s == scenario[run] and x is not None and any(t in x for t in any_of) and all(t in x for t in all_of or [])
+    )
+    catalogue = table(spark, EXPECTATION, rows)
+    monkeypatch.setattr(logs, "MAX_PATTERNS", 2)
+    monkeypatch.setattr(logs, "MAX_COLLECTED", 10, raising=False)
+    monkeypatch.setattr(logs, "contained_tokens", None)
+    found = logs.match_tokens(lines, runs, catalogue).select("run_id", "i", "idx").collect()
+    assert sorted(tuple(r) for r in found) == want and any(i == 62 for _, i, _ in want)
+
+
 @pytest.mark.parametrize(("earliest", "status"), [(True, "FAIL"), (False, "PASS")])
 def test_an_anchor_named_by_two_lines(spark, earliest, status):
     """With deadlines the forbidden line is watched from the first of them on, over a window from the last."""
