@@ -331,7 +331,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are linked to one with a smaller id, with all their
-    columns. Rows that share the kept id all stay."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).where("NOT kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each group of linked documents, with all its columns: the one with the
+    smallest id, null after all others, then with the smallest hash of its text. Rows are told apart
+    by id and text; documents without words all stay."""
+    mark = F.md5(F.col(text_col).cast("string"))
+    row = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), mark.alias("mark"))
+    judged = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), size, percent, "row", "text")
+    same = F.col(id_col).eqNullSafe(F.col("__row.id")) & (F.col("__mark") == F.col("__row.mark"))
+    rows = docs.withColumn("__mark", mark)
+    out = rows.join(judged.where("NOT kept").select(F.col("id").alias("__row")).distinct(), same, "left_anti")
+    twice = judged.where("kept AND n_shingles > 0").groupBy(F.col("id").alias("__row")).count().where("count > 1").select("__row")
+    if twice.take(1):  # one id in equal rows
+        equal = out.join(twice, same, "left_semi").dropDuplicates([id_col, "__mark"])
+        out = out.join(twice, same, "left_anti").unionByName(equal)
+    return out.drop("__mark")

@@ -83,6 +83,21 @@ def test_one_of_each_group_stays(crowd):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(w[0] for w in want if w[3])
 
 
+def test_rows_go_by_id_and_text(spark):
+    """One id in two texts, null ids beside others and alone, equal rows: one row of each group stays."""
+    rng = random.Random(31)
+    parts = [words(rng, 300) for _ in range(5)]
+    text = [" ".join(p) for p in parts]
+    near = [" ".join([*p[:-1], "changed"]) for p in parts]
+    rows = [(1, text[0]), (5, near[0]), (5, text[1]), (7, text[2]), (None, near[2]), (None, text[3]), (None, near[3]), (8, text[4]), (8, text[4]), (9, None), (9, None)]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(frame).collect()]
+    of_nulls = [t for i, t in kept if i is None]
+    assert len(of_nulls) == 1 and of_nulls[0] in (text[3], near[3])
+    want = [(1, text[0]), (5, text[1]), (7, text[2]), (8, text[4]), (9, None), (9, None)]
+    assert sorted([k for k in kept if k[0] is not None], key=repr) == sorted(want, key=repr)
+
+
 def vectors(rng, crowds):
     out = []
     for size, spread in crowds:
