@@ -13,6 +13,7 @@ costs links in proportion to its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from fleetwitness.llm.common import Steps, components, stored
 from fleetwitness.llm.spans import only
 from fleetwitness.llm.words import WORD, mix, shingles, word_hashes
 
-TREES, LEVELS = 10, 4
-#: Smallest hashes kept of each set; the trees use the first of them.
+LEVELS = 4
+#: The share of pairs at the threshold that may be missed where all their nodes are large to the last level.
+MISSED = 1e-5
+#: Smallest hashes kept of each set, or as many as the trees use; they use the first of them.
 FUNCTIONS = 128
 #: Classes of a node or cluster that are compared pair by pair in one task.
 SMALL_NODE = 512
@@ -38,6 +41,15 @@ SLACK = 0.14
 COLUMNS = 4096
 
 
+def trees_for(percent: int) -> int:
+    """Trees enough that a pair at the threshold stays together through all levels of one of them."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-min((percent / 100) ** LEVELS, 1 - MISSED))))
+
+
+def functions_for(percent: int) -> int:
+    return max(FUNCTIONS, trees_for(percent) * LEVELS)
+
+
 def _multipliers(count: int) -> np.ndarray:
     return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -51,13 +63,13 @@ def minima(members: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(">u4")
 
 
-def _sketch(docs: DataFrame, size: int) -> DataFrame:
+def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``id, key, n, minima, nodes``: the key names the shingle set, nodes are those of the first level."""
-    trees, levels = TREES, LEVELS
+    trees, levels, functions = trees_for(percent), LEVELS, functions_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(WORD)
-        multipliers = _multipliers(FUNCTIONS)
+        multipliers = _multipliers(functions)
         for batch in batches:
             keys, counts, lows, nodes = [], [], [], []
             for text in batch.column("text"):
@@ -95,16 +107,16 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _need(percent: int) -> int:
-    return max(1, int(FUNCTIONS * (percent / 100 - SLACK)))
+    return max(1, int(functions_for(percent) * (percent / 100 - SLACK)))
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose minima agree often enough."""
-    need = _need(percent)
+    need, functions = _need(percent), functions_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, FUNCTIONS) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, functions) for c in ("x", "y"))
             mask = pa.array((x == y).sum(axis=1) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
@@ -173,10 +185,10 @@ def _links_in_groups(rows: DataFrame, by: list[str], links_of) -> DataFrame:
 
 def _likely_in(percent: int):
     """Pairs of a group whose sizes allow the similarity and whose minima agree often enough."""
-    need = _need(percent)
+    need, functions = _need(percent), functions_for(percent)
 
     def links_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        lows = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32).reshape(group.num_rows, FUNCTIONS)
+        lows = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32).reshape(group.num_rows, functions)
         sizes, left, right = group.column("n").to_numpy(), [], []
         for i in range(len(sizes) - 1):
             later = sizes[i + 1 :]
@@ -303,8 +315,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
 
     Links join documents whose sets of ``size``-word shingles have a Jaccard similarity of at
     least ``percent`` per cent. The component id is the smallest id that links reach. Recall: a
-    pair at the threshold is missed by one tree with a probability of 1 - threshold per level
-    it needs, so by ten trees about once in 10**8 where its nodes are compared on the first level.
+    pair at the threshold stays together in one tree with a probability of the threshold per level
+    it needs. There are as many trees as it takes to miss it once in 10**5 where all its nodes are
+    large and apart to the last level (16 at 85 per cent, 22 at 80), and far less often in small nodes.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing.
     Rows with equal sets are linked whatever their ids; a null id is never a component's id
@@ -312,7 +325,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     steps = Steps(docs.sparkSession)
-    sketch = steps.keep(_sketch(docs, size), "sketch")
+    sketch = steps.keep(_sketch(docs, size, percent), "sketch")
     classes = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
     classes = steps.keep(classes, "classes")
     rows = stored(sketch.select("id", "key", "n"), "cps-rows")

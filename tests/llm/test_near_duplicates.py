@@ -98,6 +98,15 @@ def test_rows_go_by_id_and_text(spark):
     assert sorted([k for k in kept if k[0] is not None], key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_trees_give_the_stated_recall_in_crowded_nodes(spark, percent):
+    """A pair at the threshold shares the minima of all levels in one of the trees that a row really has."""
+    docs = spark.createDataFrame([(1, "some words of a text")], "id bigint, text string")
+    row = minhash._sketch(docs, 3, percent).first()
+    assert (1 - (percent / 100) ** minhash.LEVELS) ** len(row["nodes"]) <= 1e-5
+    assert len(row["minima"]) >= 4 * len(row["nodes"]) * minhash.LEVELS
+
+
 def vectors(rng, crowds):
     out = []
     for size, spread in crowds:
