@@ -1,4 +1,9 @@
-"""Streaming queries R1–R9: a file stream over the table, run until it is drained."""
+"""Streaming queries R1–R9: a file stream over the table, run until it is drained.
+
+The stateful ones read the events in four rolled files, one per micro-batch, in which rows come up to
+fifty minutes out of order; the allowed delay is an hour, so none is too late. Their SQL twins see
+what the last watermark has passed.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +29,7 @@ from fleetwitness.plans.suite_queries import DIGEST_SQL, digests
 from fleetwitness.session import scratch_path
 from fleetwitness.sources.logs import split_text
 from fleetwitness.streaming import live
-from fleetwitness.streaming.carried import read_stream, run_carried, run_to_table
+from fleetwitness.streaming.drain import read_stream, run_to_table
 
 KEYS = ["device_id", "attr_name"]
 
@@ -39,6 +44,32 @@ def event_stream(t):
     return table_stream(t, "events")
 
 
+ROLLED = 4
+DELAY = "1 hour"
+#: The last watermark over all events, in microseconds; Spark keeps milliseconds.
+MARK_SQL = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {HOUR_US} FROM events)"
+
+
+def rolled_events(t):
+    """The events as a stream of rolled files, one per micro-batch, out of order within the delay."""
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3000)) * 1_000_000
+    arrival = micros(F.col("ts")) + late
+    rows = t.events.withColumn("_arrival", arrival)
+    first, last = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+    folder = scratch_path(t.spark, "rolled-events")
+    width = ((last or 0) - (first or 0)) // ROLLED + 1
+    for n in range(ROLLED):
+        part = F.floor((F.col("_arrival") - F.lit(first)) / width) == n
+        # A file takes its place in the stream by its time of writing.
+        rows.where(part).drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
+    return read_stream(t.spark, folder, t.events.schema, maxFilesPerTrigger=1)
+
+
+def passed(sql):
+    """The same question about the events that the last watermark has passed."""
+    return f"WITH passed AS (SELECT * FROM events WHERE epoch_us(ts) <= {MARK_SQL}), " + sql.replace("FROM events", "FROM passed").removeprefix("WITH ")
+
+
 @query(
     "r1_tail_logs",
     f"""WITH {BOOT_LINES} SELECT event_type AS token, CAST(event_id AS VARCHAR) AS pair_id,
@@ -66,86 +97,123 @@ def stream_forbidden(t):
     return run_to_table(hits.select("run_id", "j", "idx"), "r2")
 
 
+def day_lines(rows):
+    return rows.select(
+        F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
+        day_scenario(F.col("ts")).alias("scenario"), F.date_trunc("day", "ts").alias("t0"), "ts",
+        F.col("event_id").alias("idx"), F.concat_ws(": ", "event_type", "props").alias("text"),
+    )
+
+
 @query(
-    "r3_stream_deadlines",
-    f"""{DAY_RUNS},
-    timed AS (
-      SELECT r.run_id, k0.m AS m0, k1.m AS m1, k2.m AS m2, r.t0 + w0 AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + w1 AS d1,
+    "r2_stream_anchored",
+    passed(f"""{DAY_RUNS}
+    SELECT l.run_id, 0 AS j, l.idx FROM lines l JOIN k2 USING (run_id) WHERE l.event_type = 'error' AND l.idx > k2.idx"""),
+)
+def stream_anchored(t):
+    """Forbidden below an anchor that the same stream brings."""
+    rules = t.rows(
+        "scenario STRING, j INT, token STRING, after_token STRING",
+        *[(s, *f) for s in ("weekday", "weekend") for f in ((0, "error:", "signup:"), (1, '"k": 13', None))],
+    )
+    hits = live.stream_anchored(day_lines(rolled_events(t)), day_expectations(t, (":", ["k"])), rules, DELAY, keep="2 days")
+    return run_to_table(hits.select("run_id", "j", "idx"), "r2a")
+
+
+TIMED = """timed AS (
+      SELECT r.run_id, r.t0, k0.m AS m0, k1.m AS m1, k2.m AS m2, k2.idx AS anchor, r.t0 + w0 AS d0, greatest(r.t0, coalesce(k0.m, r.t0)) + w1 AS d1,
         greatest(r.t0, coalesce(k0.m, r.t0), coalesce(k1.m, r.t0)) + w2 AS d2
       FROM runs r LEFT JOIN k0 USING (run_id) LEFT JOIN k1 USING (run_id) LEFT JOIN k2 USING (run_id)),
     f AS (
       SELECT *, CASE WHEN NOT coalesce(m0 <= d0, false) THEN 0 WHEN NOT coalesce(m1 <= d1, false) THEN 1
-                     WHEN NOT coalesce(m2 <= d2, false) THEN 2 END AS failed_i FROM timed),
-    wm AS (SELECT max(us) - {HOUR_US} AS wm FROM lines),
+                     WHEN NOT coalesce(m2 <= d2, false) THEN 2 END AS failed_i FROM timed)"""
+
+
+@query(
+    "r3_stream_deadlines",
+    passed(f"""{DAY_RUNS}, {TIMED},
     s AS (
       SELECT run_id, failed_i, CASE WHEN failed_i IS NULL THEN 'PASS'
         WHEN CASE failed_i WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END IS NOT NULL THEN 'FAIL'
-        WHEN CASE failed_i WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END < (SELECT wm FROM wm) THEN 'FAIL' END AS status FROM f)
-    SELECT * FROM s WHERE status IS NOT NULL""",
+        WHEN CASE failed_i WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END < {MARK_SQL.replace("FROM events", "FROM  events")} THEN 'FAIL' END AS status FROM f)
+    SELECT * FROM s WHERE status IS NOT NULL"""),
 )
 def stream_deadlines(t):
-    kind = F.col("event_type")
-    met = F.array_compact(
-        F.array(
-            F.when(kind.isin("click", "view"), F.lit(0)),
-            F.when(kind.isin("view", "purchase", "click"), F.lit(1)),
-            F.when(kind == "signup", F.lit(2)),
-        )
-    )
-    rows = event_stream(t).select(
-        F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
-        day_scenario(F.col("ts")).alias("scenario"),
-        F.date_trunc("day", "ts").alias("t0"),
-        "ts",
-        F.explode_outer(met).alias("i"),
-        F.col("event_id").alias("idx"),
-        kind.alias("text"),
+    rows = live.stream_verdicts(day_lines(rolled_events(t)), day_expectations(t, (":", ["k"])), DELAY, keep="3 days")
+    return run_to_table(rows.select("run_id", "failed_i", "status"), "r3")
+
+
+@query(
+    "r3_stream_verdicts",
+    passed(f"""{DAY_RUNS}, {TIMED},
+    mark AS (SELECT {MARK_SQL.replace("FROM events", "FROM  events")} AS us),
+    ended AS (
+      SELECT *, CASE WHEN failed_i IS NULL THEN greatest(m0, m1, m2)
+        WHEN CASE failed_i WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END IS NOT NULL OR CASE failed_i WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END < mark.us
+        THEN CASE failed_i WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END END AS end_us FROM f, mark),
+    bad AS (
+      SELECT l.run_id, l.us, l.idx, 'error:' AS token FROM lines l JOIN ended b USING (run_id)
+      WHERE l.event_type = 'error' AND l.idx > b.anchor AND m0 <= d0 AND m1 <= d1 AND m2 <= d2 AND l.us <= end_us
+      UNION ALL
+      SELECT l.run_id, l.us, l.idx, '"k": 13' FROM lines l JOIN ended b USING (run_id) JOIN events e ON e.event_id = l.idx
+      WHERE contains(e.props, '"k": 13') AND l.us <= coalesce(b.end_us, l.us)),
+    hit AS (SELECT run_id, min(us) AS us, min_by(idx, us) AS idx, min_by(token, us) AS token FROM bad GROUP BY run_id)
+    SELECT b.run_id, CASE WHEN h.us IS NOT NULL OR failed_i IS NOT NULL THEN 'FAIL' ELSE 'PASS' END AS status,
+      CASE WHEN h.us IS NOT NULL THEN 'forbidden hit: ' || h.token WHEN failed_i IS NOT NULL THEN 'expected-not-seen: line ' || failed_i
+           ELSE '3/3 positive · 0 forbidden' END AS reason,
+      CASE WHEN h.us IS NULL THEN failed_i END AS failed_i, h.idx AS forbidden_idx, coalesce(h.us, end_us) - t0 AS decided_after_us
+    FROM ended b LEFT JOIN hit h USING (run_id) WHERE h.us IS NOT NULL OR end_us IS NOT NULL"""),
+)
+def stream_verdicts(t):
+    """Deadlines and forbidden lines, one with an anchor in the same stream."""
+    rules = t.rows(
+        "scenario STRING, j INT, token STRING, after_token STRING",
+        *[(s, *f) for s in ("weekday", "weekend") for f in ((0, "error:", "signup:"), (1, '"k": 13', None))],
     )
-    return run_carried(rows, live.deadline_step(day_expectations(t), 2, 0), "r3", delay_s=3600)
+    rows = live.stream_verdicts(day_lines(rolled_events(t)), day_expectations(t, (":", ["k"])), DELAY, rules, keep="3 days")
+    return run_to_table(rows.select("run_id", "status", "reason", "failed_i", "forbidden_idx", "decided_after_us"), "r3v")
 
 
-def command_rows(t):
-    """Commands and reports of the event stream, as one stream."""
+#: Commands and reports have a watermark each; the lesser one counts.
+COMMAND_MARK = f"""(SELECT min(us) FROM (SELECT max(epoch_us(ts)) // 1000 * 1000 - {HOUR_US} AS us FROM events
+    WHERE event_type IN ('click', 'purchase') GROUP BY event_type))"""
+
+
+def live_commands(t):
+    """Commands and reports of the event stream, with their watermarks."""
+    rows = rolled_events(t).withWatermark("ts", DELAY)
     k = k_of(F.col("props"))
-    kind = F.when(F.col("event_type") == "click", "command").otherwise("report")
+    own = [F.col("user_id").alias("device_id"), F.lit("current_level").alias("attr_name"), "ts"]
     capability = F.when(k < 50, "brightness").when(k < 85, "on_off").otherwise("effect")
-    return event_stream(t).where(F.col("event_type").isin("click", "purchase")).select(
-        kind.alias("kind"),
-        F.col("event_id").alias("id"),
-        F.col("user_id").alias("device_id"),
-        F.lit("current_level").alias("attr_name"),
-        "ts",
-        F.when(kind == "command", capability).alias("capability"),
-        F.floor(F.col("value") / 50).cast("double").alias("value"),
-    )
+    level = F.floor(F.col("value") / 50).cast("double")
+    cmds = rows.where("event_type = 'click'").select(F.col("event_id").alias("cmd_id"), *own, capability.alias("capability"), level.alias("target"))
+    reports = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("report_id"), *own, level.alias("value"))
+    return cmds, reports
 
 
 @query(
     "r4_stream_confirm",
-    f"""{VERDICTS.replace("WHEN a.ack_status <> 'SUCCESS' THEN 'FAILED'", "WHEN false THEN 'FAILED'")},
-    wm AS (SELECT max(us) - {HOUR_US} AS wm FROM ev WHERE event_type IN ('click', 'purchase'))
-    SELECT v.cmd_id, v.verdict, v.latency_us
-    FROM verdicts v JOIN profile p ON v.capability = p.capability JOIN nexts n ON n.cmd_id = v.cmd_id
-    WHERE CASE v.verdict WHEN 'CONFIRMED' THEN v.us + v.latency_us WHEN 'SUPERSEDED' THEN n.next_us
-      WHEN 'TIMED_OUT' THEN v.us + p.timeout_ms * 1000 + 1 ELSE v.us END <= (SELECT wm FROM wm)""",
+    f"""{VERDICTS.replace("WHEN a.ack_status <> 'SUCCESS' THEN 'FAILED'", "WHEN false THEN 'FAILED'")}
+    SELECT cmd_id, verdict, latency_us FROM verdicts WHERE us + {12 * HOUR_US} < {COMMAND_MARK}""",
 )
 def stream_confirm(t):
-    out = run_carried(command_rows(t), live.confirm_step(profile(t), KEYS), "r4", delay_s=3600)
+    """Commands whose longest timeout, twelve hours, has passed."""
+    out = run_to_table(live.stream_confirm(*live_commands(t), profile(t), KEYS), "r4")
     return out.select("cmd_id", "verdict", "latency_us")
 
 
 @query(
     "r5_stream_drop_twins",
-    f"{LAGGED} SELECT device_id, event_id, tsn, value FROM kept",
+    f"{LAGGED} SELECT device_id, event_id, tsn, value FROM kept WHERE us <= {MARK_SQL}",
 )
 def stream_drop_twins(t):
-    rows = event_stream(t).select(
+    rows = rolled_events(t).select(
         F.col("user_id").alias("device_id"), F.lit("0x0406").alias("cluster"), F.lit("occupancy").alias("attr_name"),
         "ts", "event_id", F.pmod(F.col("event_id"), F.lit(256)).alias("tsn"),
         F.when(F.col("event_type").isin("click", "view"), 1).otherwise(0).alias("value"),
     )
-    step = live.twin_step(["device_id", "cluster", "attr_name"], ["ts", "event_id"], TWIN_GAP_S)
-    return run_carried(rows, step, "r5").select("device_id", "event_id", "tsn", "value")
+    out = live.stream_drop_twins(rows, ["device_id", "cluster", "attr_name"], ["ts", "event_id"], TWIN_GAP_S, DELAY)
+    return run_to_table(out, "r5").select("device_id", "event_id", "tsn", "value")
 
 
 @query(
@@ -170,15 +238,30 @@ def stream_tumbling(t):
     return out.select("user_id", micros(F.col("start")).alias("start_us"), "n")
 
 
+OWNED_SQL = f"""{COMMAND_TABLES},
+    owned AS (SELECT c.cmd_id, c.capability, c.us, r.report_id, r.us AS report_us, r.us - c.us AS after_us
+      FROM reports r ASOF JOIN cmds c ON r.device_id = c.device_id AND r.us >= c.us)"""
+
+
 @query(
     "r8_late_reports",
-    f"""WITH {COMMAND_TABLES},
-    owned AS (SELECT c.cmd_id, c.capability, r.report_id, r.us - c.us AS after_us
-      FROM reports r ASOF JOIN cmds c ON r.device_id = c.device_id AND r.us >= c.us)
-    SELECT cmd_id, report_id, after_us, after_us > timeout_ms * 1000 AS late FROM owned JOIN profile USING (capability)""",
+    f"""WITH {OWNED_SQL}
+    SELECT cmd_id, report_id, after_us, after_us > timeout_ms * 1000 AS late FROM owned JOIN profile USING (capability) WHERE report_us <= {COMMAND_MARK}""",
 )
 def late_reports(t):
-    return run_carried(command_rows(t), live.late_report_step(profile(t), KEYS), "r8")
+    return run_to_table(live.late_reports(*live_commands(t), profile(t), KEYS), "r8")
+
+
+@query(
+    "r8_command_outcomes",
+    f"""WITH {OWNED_SQL},
+    near AS (SELECT cmd_id, count(*) AS n_reports, min(after_us) AS first_after_us FROM owned WHERE after_us <= {48 * HOUR_US} GROUP BY cmd_id)
+    SELECT cmd_id, CASE WHEN n_reports IS NULL THEN 'no_edge' WHEN first_after_us > timeout_ms * 1000 THEN 'late' ELSE 'in_time' END AS outcome,
+      coalesce(n_reports, 0) AS n_reports, first_after_us
+    FROM cmds JOIN profile USING (capability) LEFT JOIN near USING (cmd_id) WHERE us + {48 * HOUR_US} < {COMMAND_MARK}""",
+)
+def command_outcomes(t):
+    return run_to_table(live.command_outcomes(*live_commands(t), profile(t), KEYS, "48 hours"), "r8o")
 
 
 @query("r9_stream_digest", DIGEST_SQL)

@@ -4,154 +4,279 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fleetwitness.functions.scalars import micros
-from fleetwitness.operators.adjudicate import chain_deadlines, deciding_lines, verdict_rows
-from fleetwitness.operators.commands import command_timeline, confirm_commands, is_command
-from fleetwitness.operators.logs import mentions_any
-from fleetwitness.operators.ordered import ordered, small_side, smallest
-from fleetwitness.operators.sensors import mark_twins
+from fleetwitness.functions.scalars import micros, micros_between, whole_number
+from fleetwitness.operators.commands import report_tests
+from fleetwitness.operators.logs import captured
+from fleetwitness.operators.ordered import small_side
 from fleetwitness.sources.logs import parse_log_line
 from fleetwitness.sources.sinks import append_digest
-from fleetwitness.streaming.carried import Step
+from fleetwitness.streaming.keyed import AnchoredHits, InOrder, Owners, OwnersUntil, Runs, Twins
+
+CMD_SIDE, REPORT_SIDE = 0, 1
+OPEN, LINE, READ = range(3)
 
 
 def tail_logs(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """R1: parsed lines of rolled log files as they appear.
 
-    The file source takes whole files, so a partial last line is never seen:
-    writers roll a file when it is complete.
+    The file source takes whole files, so a partial last line is never seen: writers roll a file
+    when it is complete. Files that still grow are read by ``sources.tail``.
     """
     lines = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(path)
     return parse_log_line(lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
-def stream_forbidden(lines: DataFrame, runs: DataFrame, forbidden: DataFrame, satisfied: DataFrame | None = None) -> DataFrame:
-    """R2: alert on a forbidden token at first sight.
+def catalogue_rows(expectations: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
+    """One row per scenario: its lines (``exps``), its forbidden specs (``forbs``) and both as ``plan``.
 
-    ``runs`` (run_id, scenario) is a static table; no state is kept. A line with
-    ``after_token`` counts below its anchor: ``satisfied`` (run_id, token, anchor_idx) is a
-    static table of anchors met so far, and without an anchor such a line stays silent.
+    A scenario's lines are a page of a catalogue, so one row holds them.
     """
-    tokens = sorted({r["token"] for r in forbidden.select("token").distinct().collect()})
-    rules = runs.select("run_id", "scenario").join(small_side(forbidden.select("scenario", "j", "token", "after_token")), "scenario")
-    if satisfied is None:
-        rules = rules.where(F.col("after_token").isNull()).withColumn("anchor_idx", F.lit(None).cast("bigint"))
+    named = set(expectations.columns)
+    kind = F.col("kind") if "kind" in named else F.lit("log")
+    line = F.struct("i", "tokens", "same_line", "need", "extract", "min_value", "within_s", kind.alias("kind"))
+    rows = expectations.groupBy("scenario").agg(F.sort_array(F.collect_list(line)).alias("exps"))
+    if forbidden is None:
+        rows = rows.withColumn("forbs", F.array().cast("array<struct<j:int,token:string,after_token:string>>"))
     else:
-        anchors = satisfied.select("run_id", F.col("token").alias("after_token"), "anchor_idx")
-        rules = rules.join(anchors, ["run_id", "after_token"], "left").where("after_token IS NULL OR anchor_idx IS NOT NULL")
-    below = F.col("anchor_idx").isNull() | (F.col("idx") > F.col("anchor_idx"))
-    mentioned = lines.where(mentions_any(F.col("text"), tokens))
-    return mentioned.join(rules, "run_id").where(F.contains("text", F.col("token")) & below)
+        specs = forbidden.groupBy("scenario").agg(F.sort_array(F.collect_list(F.struct("j", "token", "after_token"))).alias("forbs"))
+        rows = rows.join(specs, "scenario", "left")
 
+    def naming(f: Column) -> Column:
+        lines = F.filter("exps", lambda e: F.coalesce(F.array_contains(e["tokens"], f["after_token"]), F.lit(False)))
+        return F.when(f["after_token"].isNotNull(), F.transform(lines, lambda e: e["i"]))
 
-def deadline_step(expectations: DataFrame, max_need: int, max_numbered: int) -> Step:
-    """R3: PASS when every line of a run was met in time, FAIL once a deadline has passed.
+    lines = F.transform("exps", lambda e: F.struct(e["i"].alias("i"), e["need"].alias("need"), e["within_s"].alias("within_s"), e["kind"].alias("kind")))
+    specs = F.transform(
+        F.coalesce("forbs", F.array()), lambda f: F.struct(f["j"].alias("j"), f["token"].alias("token"), naming(f).alias("anchors"))
+    )
+    return rows.withColumn("plan", F.to_json(F.struct(lines.alias("lines"), specs.alias("forbidden"))))
 
-    Rows: run_id, scenario, t0, ts, i (NULL for the row that opens the run), idx,
-    text. A run stays open while a missing line can still come before the watermark.
-    """
 
-    def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
-        starts = rows.groupBy("run_id", "scenario").agg(F.min("t0").alias("t0"))
-        terms = small_side(expectations.select("scenario", "i", "need", "extract", "min_value"))
-        matches = rows.where(F.col("i").isNotNull()).withColumnRenamed("ts", "observed_at").join(terms, ["scenario", "i"])
-        deciding = deciding_lines(matches.drop("t0", "is_new"), max_need, max_numbered)
-        runs = verdict_rows(chain_deadlines(starts, expectations, deciding))
-        late = F.col("failed_m_us").isNotNull() | (F.col("end_us") < watermark_us)
-        judged = runs.select(
-            "run_id", F.when(F.col("failed_i").isNull(), "PASS").when(late, "FAIL").alias("status"), "failed_i"
-        )
-        waiting = judged.where(F.col("status").isNull()).select("run_id")
-        # An open run needs the first matches of each line, and the one that decided it.
-        kept = smallest(rows, ["run_id", "i"], [F.col("idx")], max(max_need, 1)).drop("_rank")
-        if max_numbered:
-            decided = deciding.groupBy("run_id", "i").agg(F.min("idx").alias("idx"))
-            deciders = rows.join(decided, ["run_id", "i", "idx"], "left_semi").select(*kept.columns)
-            kept = kept.unionByName(deciders).dropDuplicates(["run_id", "i", "idx"])
-        return judged.where(F.col("status").isNotNull()), kept.join(waiting, "run_id", "left_semi")
-
-    return step
-
-
-def confirm_step(profile: DataFrame, keys: Sequence[str]) -> Step:
-    """R4: the verdict of a command as soon as it is certain.
-
-    Rows: kind (``command`` | ``report``), id, keys, ts, capability, value. A verdict is
-    given when the watermark has passed the event that decides it, so files may
-    arrive out of order within the allowed delay.
+def tag_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Lines (scenario, text, …) with what they meet, in one pass and without reading the catalogue
+    at the driver: ``hits`` (i, reaches) and ``bad`` (j), and the ``plan`` of the scenario."""
+    text = F.col("text")
+    has = lambda t: F.coalesce(F.contains(text, t), F.lit(False))
+
+    def reaches(e: Column) -> Column:
+        value = captured(text, e["extract"])
+        number = e["min_value"].isNull() | (whole_number(value) >= e["min_value"])
+        return e["extract"].isNull() | F.coalesce(value.isNotNull() & number, F.lit(False))
+
+    met = F.filter(
+        "exps",
+        lambda e: F.coalesce(F.exists(e["tokens"], has), F.lit(False))
+        & F.coalesce(F.forall(F.coalesce(e["same_line"], F.array().cast("array<string>")), has), F.lit(True)),
+    )
+    bad = F.filter(F.coalesce("forbs", F.array()), lambda f: has(f["token"]))
+    return lines.join(small_side(catalogue), "scenario").withColumns(
+        {
+            "hits": F.transform(met, lambda e: F.struct(e["i"].alias("i"), reaches(e).alias("reaches"))),
+            "bad": F.transform(bad, lambda f: f["j"]),
+        }
+    ).drop("exps", "forbs")
+
+
+def _keyed(rows: DataFrame, keys: Sequence[str], processor: InOrder, out: str | StructType, event_time: str = "") -> DataFrame:
+    return rows.groupBy(*keys).transformWithState(processor, out, "append", "eventTime", eventTimeColumnName=event_time)
+
+
+def _fields(rows: DataFrame, *names: str) -> StructType:
+    return StructType([rows.schema[n] for n in names])
+
+
+def stream_forbidden(lines: DataFrame, runs: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """R2: alert on a forbidden token at first sight.
+
+    ``runs`` (run_id, scenario) and ``forbidden`` are static tables; no state is kept and nothing is
+    collected. Specs with ``after_token`` need their anchor: see ``stream_anchored``.
     """
+    specs = forbidden.where("after_token IS NULL").groupBy("scenario").agg(F.collect_list(F.struct("j", "token")).alias("_specs"))
+    rules = runs.select("run_id", "scenario").join(small_side(specs), "scenario")
+    found = F.filter("_specs", lambda f: F.coalesce(F.contains(F.col("text"), f["token"]), F.lit(False)))
+    hits = lines.join(rules, "run_id").withColumn("_hit", F.explode(found))
+    return hits.select(*lines.columns, "scenario", F.col("_hit.j").alias("j"), F.col("_hit.token").alias("token"))
+
+
+def stream_anchored(
+    lines: DataFrame, expectations: DataFrame, forbidden: DataFrame, delay: str, keep: str = "1 day"
+) -> DataFrame:
+    """R2 with ``after_token``: forbidden lines below the line that satisfies their anchor.
+
+    ``lines``: run_id, scenario, ts, idx, text. Anchors are found in the same stream: the first line
+    that completes an expectation naming the token. Lines may come out of order within ``delay``; a
+    run is forgotten when nothing of it was seen for ``keep`` of event time. Every hit is a row:
+    run_id, j, token, idx.
+    """
+    catalogue = catalogue_rows(expectations, forbidden.where("after_token IS NOT NULL"))
+    tagged = tag_lines(lines.withWatermark("ts", delay).where("ts IS NOT NULL"), catalogue)
+    rows = tagged.where((F.size("hits") > 0) | (F.size("bad") > 0)).select(
+        "run_id", "ts", micros(F.col("ts")).alias("us"), F.col("idx").cast("bigint").alias("seq"), "plan",
+        F.to_json(F.struct("hits", "bad")).alias("what"),
+    )
+    kind = rows.schema["run_id"].dataType.simpleString()
+    processor = AnchoredHits(_fields(rows, "us", "seq", "plan", "what"), _interval_us(lines, keep))
+    return _keyed(rows, ["run_id"], processor, f"run_id {kind}, j int, token string, idx bigint")
+
+
+def _interval_us(df: DataFrame, interval: str) -> int:
+    """An interval in microseconds, as Spark reads it."""
+    at = df.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL '{interval}') AS us")
+    return int(at.first()["us"])
+
+
+def stream_verdicts(
+    lines: DataFrame,
+    expectations: DataFrame,
+    delay: str,
+    forbidden: DataFrame | None = None,
+    reads: DataFrame | None = None,
+    grace_s: float = 0.0,
+    keep: str = "1 day",
+) -> DataFrame:
+    """R3: the verdict of every run as soon as it is certain, over log, API and forbidden lines.
+
+    ``lines``: run_id, scenario, t0, ts, idx, text (NULL text opens a run without counting); with
+    ``reads``: run_id, scenario, t0, ts, poll_seq, i, state (see ``read_states``). State and timers
+    are keyed by run: a timer waits for the deadline of the line that is due, and when the watermark
+    has passed it the run fails without another line. Rows may come out of order within ``delay``.
+    A verdict does not depend on how the rows are cut into micro-batches. It is that of the batch
+    ``adjudicate`` with file order in the order of time; ``last_idx`` is the last line that counted
+    before the verdict. A decided run is remembered for ``keep``.
+    """
+    catalogue = catalogue_rows(expectations, forbidden)
+    tagged = tag_lines(lines.withWatermark("ts", delay).where("ts IS NOT NULL"), catalogue)
+    counts = (F.size("hits") > 0) | (F.size("bad") > 0)
+    rows = tagged.select(
+        "run_id", "scenario", "ts", micros(F.col("ts")).alias("us"), micros(F.col("t0")).alias("t0_us"), "plan",
+        F.when(counts, LINE).otherwise(OPEN).alias("side"), F.col("idx").cast("bigint").alias("seq"),
+        F.when(counts, F.to_json(F.struct("hits", "bad"))).alias("what"),
+    )
+    if reads is not None:
+        plans = small_side(catalogue.select("scenario", "plan"))
+        polled = reads.withWatermark("ts", delay).where("ts IS NOT NULL").join(plans, "scenario").select(
+            "run_id", "scenario", "ts", micros(F.col("ts")).alias("us"), micros(F.col("t0")).alias("t0_us"), "plan",
+            F.lit(READ).alias("side"), F.col("poll_seq").cast("bigint").alias("seq"),
+            F.to_json(F.struct("i", "state")).alias("what"),
+        )
+        rows = rows.unionByName(polled)
+    kind = rows.schema["run_id"].dataType.simpleString()
+    fields = _fields(rows, "scenario", "us", "t0_us", "plan", "side", "seq", "what")
+    out = f"run_id {kind}, scenario string, status string, reason string, failed_i int, forbidden_idx bigint, last_idx bigint, decided_after_us bigint"
+    return _keyed(rows, ["run_id"], Runs(fields, int(grace_s * 1_000_000), _interval_us(lines, keep)), out)
+
+
+def stream_confirm(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], delay: str | None = None) -> DataFrame:
+    """R4: one verdict per command when its longest timeout has passed the watermark.
+
+    A left outer interval join of commands with what follows them inside the timeout (agreeing
+    reports and newer commands), and behind it an aggregation that takes the first of them: a report
+    confirms, a command supersedes, nothing times out. The join forgets a command, and emits it
+    without a partner, when the largest timeout of the profile has passed; so the state holds one
+    timeout and one delay. Streams that have a watermark already are given without ``delay``.
+    """
+    if delay is not None:
+        cmds, reports = cmds.withWatermark("ts", delay), reports.withWatermark("ts", delay)
+    longest = profile.agg(F.max("timeout_ms")).first()[0] or 0
+    left = cmds.select(
+        F.col("cmd_id").alias("_cmd"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("ts").alias("_ts"),
+        F.col("target").cast("double").alias("_target"), "capability",
+    ).join(small_side(profile), "capability", "left")
+    newer = cmds.select(*keys, "ts", F.lit(CMD_SIDE).alias("_side"), F.col("cmd_id").alias("_id"), F.lit(None).cast("double").alias("value"))
+    follows = newer.unionByName(
+        reports.select(*keys, "ts", F.lit(REPORT_SIDE).alias("_side"), F.col("report_id").alias("_id"), F.col("value").cast("double"))
+    )
+    _, agrees = report_tests(F.col("_target"), F.col("value"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_k_{k}").eqNullSafe(F.col(k))
+    after = micros_between(F.col("_ts"), F.col("ts"))
+    behind = (F.col("ts") > F.col("_ts")) | (F.col("_side") == REPORT_SIDE) | (F.col("_id") > F.col("_cmd"))
+    counts = behind & (after <= F.col("timeout_ms") * 1000) & ((F.col("_side") == CMD_SIDE) | agrees)
+    open_ = F.coalesce(F.col("confirmability") != "UNCONFIRMABLE", F.lit(False))
+    inside = (F.col("ts") >= F.col("_ts")) & (F.col("ts") <= F.col("_ts") + F.expr(f"INTERVAL '{longest / 1000:.3f}' SECOND"))
+    pairs = left.join(follows, same & inside & counts & open_, "leftOuter")
+    first = F.min(F.when(F.col("_id").isNotNull(), F.struct(after.alias("us"), "_side", "_id")))
+    verdicts = pairs.groupBy("_cmd", "_ts", *[f"_k_{k}" for k in keys], "capability", "confirmability").agg(first.alias("first"))
+    confirmed = F.col("first._side") == REPORT_SIDE
+    verdict = (
+        F.when(F.col("confirmability").isNull(), "REFUSED")
+        .when(F.col("confirmability") == "UNCONFIRMABLE", "UNCONFIRMED")
+        .when(confirmed, "CONFIRMED")
+        .when(F.col("first").isNotNull(), "SUPERSEDED")
+        .otherwise("TIMED_OUT")
+    )
+    return verdicts.select(
+        F.col("_cmd").alias("cmd_id"), *[F.col(f"_k_{k}").alias(k) for k in keys], F.col("_ts").alias("ts"), "capability",
+        verdict.alias("verdict"), F.when(confirmed, F.col("first.us")).alias("latency_us"),
+        F.when(confirmed, F.col("first._id")).alias("confirmed_by"),
+    )
+
+
+def _owned(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], delay: str | None) -> tuple[DataFrame, Owners]:
+    if delay is not None:
+        cmds, reports = cmds.withWatermark("ts", delay), reports.withWatermark("ts", delay)
+    timed = cmds.join(small_side(profile.select("capability", "timeout_ms")), "capability", "left")
+    a = timed.select(*keys, "ts", F.lit(CMD_SIDE).alias("side"), F.col("cmd_id").alias("id"), (F.col("timeout_ms") * 1000).alias("timeout_us"))
+    b = reports.select(*keys, "ts", F.lit(REPORT_SIDE).alias("side"), F.col("report_id").alias("id"), F.lit(None).cast("bigint").alias("timeout_us"))
+    rows = a.unionByName(b).where("ts IS NOT NULL").withColumn("us", micros(F.col("ts")))
+    return rows, Owners(_fields(rows, "us", "side", "id", "timeout_us"))
+
 
-    def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
-        cmds = rows.where(F.col("kind") == "command").withColumnsRenamed({"id": "cmd_id", "value": "target"})
-        reports = rows.where(F.col("kind") == "report").withColumnsRenamed({"id": "report_id"})
-        judged = confirm_commands(cmds, reports, profile, keys=keys)
-        # The instant of the event that decides; an earlier one may come until the watermark.
-        at_us = micros(F.col("ts")) + F.when(F.col("verdict") == "CONFIRMED", F.col("latency_us")).when(
-            F.col("verdict") == "TIMED_OUT", F.col("timeout_ms") * 1000 + 1
-        ).otherwise(0)
-        decided_us = F.when(F.col("verdict") == "SUPERSEDED", micros(F.col("next_ts"))).otherwise(at_us)
-        judged = judged.select("cmd_id", *keys, "ts", "verdict", "latency_us", (decided_us <= watermark_us).alias("closed"))
-        closed = F.col("closed")
-        waiting = judged.where(~closed).select(F.col("cmd_id").alias("id"))
-        fresh = (F.col("kind") == "report") & (micros(F.col("ts")) >= watermark_us)
-        still_open = rows.where(F.col("kind") == "command").join(waiting, "id", "left_semi")
-        return judged.where(closed).drop("closed"), still_open.unionByName(rows.where(fresh))
-
-    return step
-
-
-def late_report_step(profile: DataFrame, keys: Sequence[str]) -> Step:
+OWNED = "cmd_id bigint, cmd_us bigint, timeout_us bigint, report_id bigint, after_us bigint"
+
+
+def late_reports(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], delay: str | None = None) -> DataFrame:
     """R8: every report with its command, and whether it came after the deadline.
 
-    A late report is evidence of its own: it tells a slow device from one without an edge.
-    A report is judged when the watermark has passed it, for only then no command between
-    can come any more. Per attribute the commands after the watermark stay open and the
-    newest before it, which owns what comes next.
+    A late report is evidence of its own: it tells a slow device from one without an edge. A report
+    is judged when the watermark has passed it, for only then no command between can come any more.
+    Per attribute the newest command is kept, which owns what comes next, however late.
     """
+    rows, processor = _owned(cmds, reports, profile, keys, delay)
+    owned = _keyed(rows, keys, processor, OWNED).where("report_id IS NOT NULL AND timeout_us IS NOT NULL")
+    return owned.select("cmd_id", "report_id", "after_us", (F.col("after_us") > F.col("timeout_us")).alias("late"))
+
+
+def command_outcomes(
+    cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], horizon: str, delay: str | None = None
+) -> DataFrame:
+    """R8 per command: reported in time, late, or without an edge, when ``horizon`` has passed.
 
-    def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
-        cmds = rows.where(F.col("kind") == "command").withColumnsRenamed({"id": "cmd_id", "value": "target"})
-        reports = rows.where(F.col("kind") == "report").withColumnsRenamed({"id": "report_id"})
-        passed = micros(F.col("ts")) <= watermark_us
-        owned = command_timeline(cmds, reports.where(passed), keys).where(~is_command() & F.col("_cmd").isNotNull()).frame()
-        after = micros(F.col("ts")) - micros(F.col("_cmd.ts"))
-        out = owned.withColumn("capability", F.col("_cmd.capability")).join(small_side(profile), "capability")
-        newest = cmds.where(passed).groupBy(*keys).agg(F.max_by("cmd_id", F.struct("ts", "cmd_id")).alias("id")).select("id")
-        owners = rows.where(F.col("kind") == "command").where(passed).join(newest, "id", "left_semi")
-        still_open = rows.where(~passed).unionByName(owners.select(*rows.columns))
-        return (
-            out.select(
-                F.col("_cmd.id").alias("cmd_id"),
-                F.col("_id").alias("report_id"),
-                after.alias("after_us"),
-                (after > F.col("timeout_ms") * 1000).alias("late"),
-            ),
-            still_open,
-        )
-
-    return step
-
-
-def twin_step(keys: Sequence[str], order: Sequence[str], max_gap_s: float) -> Step:
-    """R5: reports without their twins.
-
-    Rows wait until the watermark has passed them, so that files may come out of order
-    within the delay; the last report judged of each stream is carried beside them.
+    Two stateful operators: the owner of each report by attribute, and behind it an aggregation by
+    command that closes when the watermark passes the command's horizon. Its event time is that
+    instant, which no report inside the horizon comes after. Reports beyond it are left to
+    ``late_reports``.
     """
+    rows, processor = _owned(cmds, reports, profile, keys, delay)
+    processor = OwnersUntil(processor.fields, _interval_us(cmds, horizon))
+    owned = _keyed(rows, keys, processor, f"{OWNED}, closes_at timestamp", "closes_at").where("timeout_us IS NOT NULL")
+    per = owned.groupBy("closes_at", "cmd_id").agg(
+        F.count("report_id").alias("n_reports"), F.min("after_us").alias("first_after_us"), F.max("timeout_us").alias("timeout_us")
+    )
+    outcome = F.when(F.col("n_reports") == 0, "no_edge").when(F.col("first_after_us") > F.col("timeout_us"), "late").otherwise("in_time")
+    return per.select("cmd_id", outcome.alias("outcome"), "n_reports", "first_after_us")
+
 
-    def step(rows: DataFrame, watermark_us: int) -> tuple[DataFrame, DataFrame]:
-        passed = micros(F.col("ts")) <= watermark_us
-        ready = rows.where(passed)
-        flagged = mark_twins(ordered(ready, keys, order), max_gap_s).frame()
-        columns = [c for c in rows.columns if c not in ("is_new", "is_done")]
-        last = ready.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
-        waiting = rows.where(~passed).select(*columns, F.lit(False).alias("is_done"))
-        return flagged.where(~F.col("is_done") & ~F.col("is_twin")).select(*columns), waiting.unionByName(last.withColumn("is_done", F.lit(True)))
+def stream_drop_twins(events: DataFrame, keys: Sequence[str], order: Sequence[str], max_gap_s: float, delay: str) -> DataFrame:
+    """R5: reports without their twins, for any order of arrival within ``delay``.
 
-    return step
+    ``events``: keys, ts, tsn, value and more; ``order`` sorts the reports of a key and starts with
+    ``ts``. A key's state is its reports of one delay, in a list, and the last report judged, which is
+    forgotten when the gap has passed. The result is that of ``drop_twins`` on what the watermark has
+    passed.
+    """
+    stamps = [f.name for f in events.schema.fields if f.dataType.typeName() == "timestamp" and f.name != "ts"]
+    rows = events.withWatermark("ts", delay).where("ts IS NOT NULL").withColumns({"us": micros(F.col("ts")), **{s: micros(F.col(s)) for s in stamps}})
+    names = ["us", *[c for c in events.columns if c != "ts"]]
+    processor = Twins(_fields(rows, *names), ["us", *[o for o in order if o != "ts"]], int(max_gap_s * 1_000_000))
+    out = _keyed(rows, keys, processor, _fields(rows, *names))
+    back = {"ts": F.timestamp_micros("us"), **{s: F.timestamp_micros(s) for s in stamps}}
+    return out.withColumns(back).select(*events.columns)
 
 
 def stream_sessions(events: DataFrame, keys: Sequence[str], gap: str, delay: str) -> DataFrame:
