@@ -28,7 +28,6 @@ RESTORE_WORDS = {
     "NEVER-SWAPPED-PRESENT": "PRESENT ✓ (never swapped)",
     "NEVER-SWAPPED-UNVERIFIED": "PRESENT-UNVERIFIED (never swapped)",
 }
-LATENCY_LEG = "command-confirm-s31"
 
 
 def lookup(words: dict[str, str], key: Column) -> Column:
@@ -173,7 +172,7 @@ def phase_latency_us(captures: DataFrame, keys: Sequence[str], start: str = "DIS
     )
 
 
-def night_latency(verdicts: DataFrame, captures: DataFrame, calendar: DataFrame, leg: str = LATENCY_LEG, key: str = "night") -> DataFrame:
+def night_latency(verdicts: DataFrame, captures: DataFrame, calendar: DataFrame, leg: str, key: str = "night") -> DataFrame:
     """Latency of the leg of record per night, or ``n/a(reason)``.
 
     ``captures``: bundle, idx, body, readable (false when the file is not a capture list).

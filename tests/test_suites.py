@@ -9,31 +9,20 @@ from pyspark.sql import functions as F
 from fleetwitness.functions.scalars import seconds_text, verdict_line
 from fleetwitness.operators import suites
 
-# The leg whose latency is reported, and the forms of the lines and texts. Other legs are made up.
-LEGS = ["boot-ok", "lamp-answers", "command-confirm-s31", "absent-lamp", "newer-wins",
-        "blink-unproven", "stick-replug", "same-value", "plug-settles"]
-S31 = "/b/command-confirm-s31-20260801T083200Z"
-SKIP = "[SKIP] lamp-answers — SKIPPED: [lamp-online] — reset pending"
-
-
-def night(replace=None):
-    out = ["runner", "[--] suite auto: 9 legs"]
-    for leg in LEGS:
-        out.append((replace or {}).get(leg, f"[PASS] {leg}"))
-        if leg == "command-confirm-s31":
-            out.append(f"  [--] bundle: {S31}")
-    return [*out, "ran 9/9"]
-
-
-FAIL = "[FAIL] command-confirm-s31 — expected-not-seen: terminal CONFIRMED within 20s"
+# Nights of a made-up bench: a greenhouse with a valve, a fan and two probes.
+TIMED = "valve-opens"
+FOLDER = "/evidence/2031/valve-opens-0007"
+SHORT = ["[PASS] probes-report", "[PASS] valve-opens", f"    [--] bundle: {FOLDER}", "[PASS] fan-follows"]
 NIGHTS = {
-    "pass": night(),
-    "skip": night({"lamp-answers": SKIP}),
-    "fail": night({"lamp-answers": SKIP, "command-confirm-s31": FAIL}),
-    "down": night({"command-confirm-s31": "[SKIP] command-confirm-s31 — SKIPPED: [api-up] — down"}),
-    "refused": ["[REFUSED] hands-on-rejoin — OPERATOR-tier scenario", "[PASS] boot-ok"],
-    "empty": ["", "crashed"],
-}
+    "calm": ["greenhouse bench", *SHORT, "done"],
+    "one-out": ["[PASS] probes-report", "[SKIP] mist-cycle — SKIPPED: [mister] — tank empty", *SHORT[1:]],
+    "two-out": ["[SKIP] mist-cycle — SKIPPED: [mister] — tank empty", "[SKIP] drain — SKIPPED: [pump], [mister] — off", "[PASS] valve-opens",
+                f"  [--] bundle: {FOLDER}-old", f"  [--] bundle: {FOLDER}"],
+    "stuck": ["[FAIL] valve-opens — stuck at 40 %", f"  [--] bundle: {FOLDER}", "[PASS] fan-follows"],
+    "dark": ["[SKIP] valve-opens — SKIPPED: [power] — breaker", "[PASS] fan-follows"],
+    "barred": ["[PASS] fan-follows", "[REFUSED] prune-roots — needs a gardener", "[PASS] probes-report"],
+    "silent": ["", "Segmentation fault"],
+}
 
 
 @pytest.fixture
@@ -54,78 +43,83 @@ def calendar(spark):
 
 def test_floor(verdicts, calendar):
     floor = {r.night: r.floor for r in suites.floor_text(verdicts, calendar).collect()}
-    assert floor["pass"] == "9/9 PASS"
-    assert floor["skip"] == "8/9 PASS · 1 SKIP(lamp-online)"
-    assert floor["fail"] == f"7/9 · FAIL command-confirm-s31 · bundle {S31} · 1 SKIP(lamp-online)"
-    assert "REFUSED hands-on-rejoin" in floor["refused"]
-    assert floor["empty"] == "no verdicts (suite output unparseable — treat as red)"
+    assert floor["calm"] == "3/3 PASS"
+    assert floor["one-out"] == "3/4 PASS · 1 SKIP(mister)"
+    assert floor["stuck"] == f"1/2 · FAIL valve-opens · bundle {FOLDER}"
+    assert floor["two-out"] == "1/3 PASS · 1 SKIP(mister) · 1 SKIP(pump+mister)"
+    assert "REFUSED prune-roots" in floor["barred"]
+    assert floor["silent"] == "no verdicts (suite output unparseable — treat as red)"
 
 
 def test_coverage(verdicts):
     lines = {r.night: r.line for r in suites.coverage(verdicts).collect()}
-    assert lines["pass"] == "ran 9/9"
-    assert lines["fail"] == "ran 8/9 — 1 SKIPPED: [lamp-online]"
-    assert lines["refused"] == "ran 1/2 — 1 REFUSED"
+    assert lines["calm"] == "ran 3/3"
+    assert lines["one-out"] == "ran 3/4 — 1 SKIPPED: [mister]"
+    assert lines["barred"] == "ran 2/3 — 1 REFUSED"
+
+
+def test_the_last_bundle_below_a_verdict(verdicts):
+    assert {(r.night, r.bundle) for r in verdicts.where("bundle IS NOT NULL").collect()} == {(n, FOLDER) for n in ("calm", "one-out", "two-out", "stuck")}
 
 
 def test_digest_line(spark):
-    row = table(spark, "n STRING", [("2026-08-01",)])
-    line = lambda e, f, r, x: row.select(
-        suites.digest(F.col("n"), F.lit(e), F.lit(f), F.lit(r), F.lit(x))
-    ).first()[0]
-    assert line("quiesced", "9/9 PASS", "RESTORED", "0.11s") == (
-        "2026-08-01 quiesced AUTO floor: 9/9 PASS · bench-hero RESTORED ✓ · ON-latency 0.11s"
-    )
-    assert "bench-hero RESTORE-FAILED ⛔ ·" in line("quiesced", "9/9 PASS", "RESTORE-FAILED", "0.11s")
-    assert "bench-hero PRESENT ✓ (never swapped) ·" in line("x", "y", "NEVER-SWAPPED-PRESENT", "n/a(FAIL)")
-    assert "bench-hero odd ·" in line("x", "y", "odd", "z")
+    row = table(spark, "n STRING", [("2031-05-14",)])
+    line = lambda *parts: row.select(suites.digest(F.col("n"), *[F.lit(p) for p in parts])).first()[0]
+    assert line("quiesced", "3/3 PASS", "RESTORED", "1.20s") == "2031-05-14 quiesced AUTO floor: 3/3 PASS · bench-hero RESTORED ✓ · ON-latency 1.20s"
+    assert "bench-hero RESTORE-FAILED ⛔ ·" in line("quiesced", "3/3 PASS", "RESTORE-FAILED", "1.20s")
+    assert "bench-hero PRESENT ✓ (never swapped) ·" in line("p", "q", "NEVER-SWAPPED-PRESENT", "r")
+    assert "bench-hero unheard ·" in line("p", "q", "unheard", "r")
 
 
 def body(*phases):
-    return json.dumps({"data": {"lifecycle": {p: {"at": f"2026-08-01T08:31:02.{ms}Z"} for p, ms in phases}}})
+    return json.dumps({"data": {"lifecycle": {p: {"at": f"2031-05-14T22:{at}Z"} for p, at in phases}}})
 
 
 def test_night_latency(spark, verdicts, calendar):
-    full = body(("DISPATCHED", 100), ("CONFIRMED", 211))
-    rows = [(S31, 0, body(("ACCEPTED", "050")), True), (S31, 1, full, True), (S31, 2, full[:30], True)]
-    captures = table(spark, "bundle STRING, idx INT, body STRING, readable BOOLEAN", rows)
-    out = {r.night: r.latency for r in suites.night_latency(verdicts, captures, calendar).collect()}
+    ddl = "bundle STRING, idx INT, body STRING, readable BOOLEAN"
+    whole = body(("DISPATCHED", "07:59.300"), ("CONFIRMED", "08:00.500"))
+    captures = table(spark, ddl, [(FOLDER, 3, body(("ACCEPTED", "07:59.100")), True), (FOLDER, 4, whole[:40], True), (FOLDER, 5, whole, True)])
+    out = {r.night: r.latency for r in suites.night_latency(verdicts, captures, calendar, TIMED).collect()}
     assert out == {
-        "pass": "0.11s", "skip": "0.11s", "fail": "n/a(FAIL)", "down": "n/a(SKIP)", "refused": "n/a(no-verdict)",
-        "empty": "n/a(no-verdict)",
+        "calm": "1.20s", "one-out": "1.20s", "two-out": "1.20s", "stuck": "n/a(FAIL)", "dark": "n/a(SKIP)", "barred": "n/a(no-verdict)",
+        "silent": "n/a(no-verdict)",
     }
-    broken = table(spark, "bundle STRING, idx INT, body STRING, readable BOOLEAN", [(S31, 0, None, False)])
-    out = {r.night: r.latency for r in suites.night_latency(verdicts, broken, calendar).collect()}
-    assert out["pass"] == "n/a(captures-unreadable)"
+    broken = table(spark, ddl, [(FOLDER, 0, None, False)])
+    out = {r.night: r.latency for r in suites.night_latency(verdicts, broken, calendar, TIMED).collect()}
+    assert out["calm"] == "n/a(captures-unreadable)"
 
 
 def test_exit_codes(spark, verdicts):
     codes = {r.night: r.exit_code for r in suites.suite_exit(verdicts).collect()}
-    assert codes == {"pass": 0, "skip": 0, "fail": 1, "down": 0, "refused": 2}
+    assert codes == {"calm": 0, "one-out": 0, "two-out": 0, "stuck": 1, "dark": 0, "barred": 2}
     nights = table(
         spark, "restore STRING, suite_exit INT, signal STRING",
-        [("RESTORED", 0, None), ("RESTORE-FAILED", 0, None), ("RESTORED", None, None), ("RESTORED", 124, "timeout")],
+        [("RESTORED", None, None), ("RESTORED", 137, "timeout"), ("RESTORE-FAILED", 0, None), ("RESTORED", 0, None)],
     )
     assert [(r.exit_code, r.exit_path) for r in suites.night_exit(nights).collect()] == [
-        (0, "normal"), (3, "restore-failed"), (1, "pre-suite-crash"), (124, "timeout"),
+        (1, "pre-suite-crash"), (137, "timeout"), (3, "restore-failed"), (0, "normal"),
     ]
 
 
 def test_presence_pair(spark):
-    days = table(spark, "night STRING", [(n,) for n in "abcdef"])
-    reads = table(
-        spark,
-        "night STRING, phase STRING, read_seq BIGINT, status INT, body STRING",
-        [("a", "quiesce", 0, 200, "[]"), ("a", "restore", 1, 200, "hero"), ("b", "quiesce", 0, 200, "hero"),
-         ("b", "restore", 1, 200, ""), ("c", "quiesce", 0, 200, ""), ("c", "restore", 1, 500, "hero"),
-         ("d", "end", 0, 200, "hero"), ("e", "end", 0, 500, None)],
-    )
-    out = {r.night: (r.evidence_class, r.restore) for r in suites.presence_pair(days, reads, "hero").collect()}
-    assert out["a"] == ("quiesced", "RESTORED")
-    assert out["b"] == ("UNQUIESCED(QUIESCE-ASSERT-FAILED)", "RESTORE-FAILED")
-    assert out["c"] == ("QUIESCE-UNVERIFIED(read-failed)", "RESTORE-FAILED")
-    assert out["d"] == ("QUIESCE-UNVERIFIED(early-exit)", "NEVER-SWAPPED-PRESENT")
-    assert out["e"][1] == out["f"][1] == "NEVER-SWAPPED-UNVERIFIED"
+    """Nights named by what their reads say: there, away, failed, or not read."""
+    reads = {
+        "away-there": [("quiesce", 200, "{}"), ("restore", 200, "fern")],
+        "there-away": [("quiesce", 200, "fern"), ("restore", 200, "{}")],
+        "away-failed": [("quiesce", 200, "{}"), ("restore", 503, "fern")],
+        "end-there": [("end", 200, "fern")],
+        "end-failed": [("end", 503, None)],
+        "none": [],
+    }
+    days = table(spark, "night STRING", [(n,) for n in reads])
+    rows = [(night, phase, n, status, text) for night, own in reads.items() for n, (phase, status, text) in enumerate(own)]
+    frame = table(spark, "night STRING, phase STRING, read_seq BIGINT, status INT, body STRING", rows)
+    out = {r.night: (r.evidence_class, r.restore) for r in suites.presence_pair(days, frame, "fern").collect()}
+    assert out["away-there"] == ("quiesced", "RESTORED")
+    assert out["there-away"] == ("UNQUIESCED(QUIESCE-ASSERT-FAILED)", "RESTORE-FAILED")
+    assert out["away-failed"] == ("QUIESCE-UNVERIFIED(read-failed)", "RESTORE-FAILED")
+    assert out["end-there"] == ("QUIESCE-UNVERIFIED(early-exit)", "NEVER-SWAPPED-PRESENT")
+    assert out["end-failed"][1] == out["none"][1] == "NEVER-SWAPPED-UNVERIFIED"
 
 
 def test_seconds_text(spark):
