@@ -106,7 +106,7 @@ def test_presence_pair(spark):
     reads = {
         "away-there": [("quiesce", 200, "{}"), ("restore", 200, "fern")],
         "there-away": [("quiesce", 200, "fern"), ("restore", 200, "{}")],
-        "away-failed": [("quiesce", 200, "{}"), ("restore", 503, "fern")],
+        "away-failed": [("quiesce", 200, ""), ("restore", 503, "fern")],
         "end-there": [("end", 200, "fern")],
         "end-failed": [("end", 503, None)],
         "none": [],
