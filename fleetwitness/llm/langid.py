@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from fleetwitness.llm.spans import only
+from fleetwitness.operators.ordered import small_side
 
 UNDETERMINED = "und"
 LEVEL = 5
@@ -50,15 +51,14 @@ def fit_dictionaries(
     room = F.greatest(F.char_length(text) - size, F.lit(0)) + 1
     usable = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & (text != ""))
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(HASH_PLACES))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
-    limit = F.lit(HASH_PLACES)
-    for lang, count in counts.items():
-        limit = F.when(F.col(lang_col) == lang, max(1, HASH_PLACES * 4 * sample_docs // count)).otherwise(limit)
-    pick = usable.where(place <= limit).select(
+    known = usable.select(
         F.col(lang_col).alias("lang"),
         place.alias("h"),
         F.substring(text, (F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), room) + 1).cast("int"), size).alias("part"),
     )
+    # A language's share of the places, from its count; no language is named at the driver.
+    limits = known.groupBy("lang").agg(F.greatest(F.lit(1), (F.lit(HASH_PLACES * 4.0 * sample_docs) / F.count(F.lit(1))).cast("bigint")).alias("limit"))
+    pick = known.join(small_side(limits), "lang").where(F.col("h") <= F.col("limit"))
     order = Window.partitionBy("lang").orderBy("h", "part")
     rows = pick.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).collect()
     parts: dict[str, list[tuple[int, str]]] = {}
@@ -106,8 +106,14 @@ class Sizes:
         return ranked[0][1], 1.0 - low / high if low < high else 0.0
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, keep: list[str], min_margin: float = 0.0) -> DataFrame:
-    """``keep`` columns of every row with ``lang_pred, score, rejected``; the text alone decides.
+JUDGED = ("lang_pred", "score", "rejected")
+
+
+def identify(
+    docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, keep: list[str], min_margin: float = 0.0, names: tuple[str, str, str] = JUDGED
+) -> DataFrame:
+    """``keep`` columns of every row with language, score and rejection under ``names``; the text
+    alone decides. Where ``keep`` has a column of such a name, give other ``names``.
 
     Each row is judged where it lies, in blocks, with no shuffle. Null text, empty text and text
     without a letter give ``und`` with score 0 and are rejected. So is a text whose margin is
@@ -116,7 +122,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, kee
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    out = StructType([rows.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    out = StructType([rows.schema[c] for c in keep]).add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
@@ -134,7 +140,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str, kee
 
 
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_margin: float = 0.0) -> DataFrame:
-    """Fit on the rows that are not held out, then judge every row: ``id, held_out, lang_pred, score, rejected``."""
+    """Fit on the rows that are not held out, then judge every row: ``id, held_out, lang_pred, score, rejected``.
+
+    Columns other than the three named are not read, whatever their names.
+    """
     learned = fit_dictionaries(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return identify(rows, learned, "text", ["id", "held_out"], min_margin)

@@ -107,7 +107,8 @@ def op8(table) -> DataFrame:
 
 @query("op9_language_id")
 def op9(table) -> DataFrame:
-    return langid.language_of(table("documents")).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+    rows = langid.language_of(table("documents"), min_margin=0.001)
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
 
 @query("op10_minhash_dedup")
@@ -198,8 +199,10 @@ numbered AS (
     count(*) OVER (PARTITION BY conv_id) AS n, role[1] AS i FROM rows),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again,
     lag(i) OVER (PARTITION BY conv_id ORDER BY r) || i AS pair FROM numbered),
-faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again THEN 2
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS f FROM seen),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN again THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS f FROM seen),
 counts AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank,
     count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,

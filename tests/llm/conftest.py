@@ -20,7 +20,7 @@ def odd_docs(spark):
         (7, "42 17", "en", "a", 5), (8, "x" * 200_000, "fr", "a", 200_000), (9, f"one {shared} two", "de", "a", 1), (10, f"{shared} three", "de", "a", 1),
         (None, "alone here", "fr", "b", 10), (11, "mot de la fin é ü ß 漢 \U0001f600 ́", "fr", "a", 9),
     ]
-    names = ["kept", "id", "key", "hash", "n", "root", "component_id", "x", "block", "rank"]
+    names = ["kept", "id", "key", "hash", "n", "root", "component_id", "x", "block", "rank", "score", "rejected", "lang_pred"]
     frame = spark.createDataFrame(rows, DOCS)
     return frame.selectExpr("*", *[f"'c' AS {n}" for n in names])
 

@@ -120,8 +120,38 @@ def test_languages_of_odd_rows(odd_docs, no_docs):
         else:
             assert r["lang_pred"] in ("en", "fr", "de")
     assert len(got) == odd_docs.count() and langid.language_of(no_docs).count() == 0
-    kept = langid.identify(odd_docs, {}, "text", odd_docs.columns)
-    assert {r["lang_pred"] for r in kept.collect()} == {"und"} and kept.columns[: len(odd_docs.columns)] == odd_docs.columns
+    kept = langid.identify(odd_docs, {}, "text", odd_docs.columns, names=("p", "q", "r"))
+    assert {r["p"] for r in kept.collect()} == {"und"} and kept.columns[: len(odd_docs.columns)] == odd_docs.columns
+
+
+def test_languages_like_plain_compression(spark):
+    """Prediction, score and rejection as by a plain loop over the same dictionaries."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    usable = docs.where(~langid.held_out("doc_id"))
+    learned = langid.fit_dictionaries(usable, "doc_id", "text", "lang")
+    # The sample itself: the rows of least hash of each language.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(langid.HASH_PLACES))
+    ranks = {}
+    for lang, _ in sorted((r["lang"], r["h"]) for r in usable.where("text <> '' AND lang IS NOT NULL").select("lang", place.alias("h")).collect()):
+        ranks[lang] = min(400, ranks.get(lang, 0) + 1)
+    assert sorted(learned) == sorted(ranks)
+    got = {r["doc_id"]: r for r in QUERIES["op9_language_id"](spark, SF).collect()}
+    for row in docs.limit(60).collect():
+        text = langid.letters(row["text"] or "")
+        sizes = []
+        for lang, content in learned.items():
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=len(content), source_size=65536, write_content_size=False, write_checksum=False, write_dict_id=False)
+            data.precompute_compress(compression_params=params)
+            plain = zstandard.ZstdCompressor(dict_data=data, compression_params=params)
+            sizes.append((sum(len(plain.compress(text[i : i + 65536])) for i in range(0, len(text), 65536)), lang))
+        sizes.sort()
+        found = got[row["doc_id"]]
+        if text.strip() and sizes[0][0] < sizes[1][0]:
+            assert found["lang_pred"] == sizes[0][1] and found["score"] == pytest.approx(1 - sizes[0][0] / sizes[1][0])
+            assert found["rejected"] == (found["score"] < 0.001)
 
 
 def test_ties_and_margins():
