@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros_between, whole_number
+from fleetwitness.operators.grams import gram_counts, key_map, keys_in, lengths_of, rarest_key
 from fleetwitness.operators.ordered import (
     cut_lineage,
     last_before,
@@ -33,50 +33,28 @@ FAILURE_TOKENS = (
     "auto_detect_failed", "transport_failed", "reporting_ack_lies", "ERROR",
 )
 
-# Up to here a catalogue is spelled out as a column expression; a larger one becomes an automaton.
+# Up to here a catalogue is spelled out as a column expression; a larger one is met by its rarest grams.
 MAX_PATTERNS = 256
-# Up to here (a few megabytes) the patterns are read into the plan; a larger catalogue stays a table.
-MAX_COLLECTED = 20_000
-# Characters by which lines and the tokens of such a catalogue are joined.
-GRAM = 16
-
-
-def contained_tokens(tokens: Sequence[str]) -> Callable[[Column], Column]:
-    """Positions in ``tokens`` of all that a text contains, found in one pass over the text.
-
-    The automaton is made once per task from the catalogue's tokens, however many there are.
-    """
-    words = [(n, t) for n, t in enumerate(tokens) if t]
-    always = [n for n, t in enumerate(tokens) if not t]
-
-    @F.pandas_udf("array<int>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for n, word in words:
-            machine.add_word(word, n)
-        machine.make_automaton()
-        for texts in batches:
-            hits = [always + [n for _, n in machine.iter(x)] if words and x is not None else always for x in texts]
-            yield pd.Series([sorted(set(h)) for h in hits])
-
-    return find
 
 
 def mentions_any(text: Column, tokens: Sequence[str]) -> Column:
-    """Whether the text contains one of the tokens; never, without tokens."""
-    if len(tokens) <= MAX_PATTERNS:
-        return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens], F.lit(False))
-    return F.size(contained_tokens(tokens)(text)) > 0
+    """Whether the text contains one of a few tokens; never, without tokens."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens], F.lit(False))
 
 
 def keep_mentioned(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     """Drop lines that contain none of the catalogue's tokens, before any shuffle.
 
-    ``tokens`` has one column; its distinct values are read when the plan is made.
+    ``tokens`` has one column. Up to ``MAX_PATTERNS`` distinct ones are spelled out; of more, lines
+    are kept that have a key of one, so a few without a token stay.
     """
-    return lines.where(mentions_any(F.col("text"), sorted({r[0] for r in tokens.distinct().collect() if r[0] is not None})))
+    own = tokens.toDF("token").where("token IS NOT NULL").distinct()
+    found = sorted(r[0] for r in own.take(MAX_PATTERNS + 1))
+    if len(found) <= MAX_PATTERNS:
+        return lines.where(mentions_any(F.col("text"), found))
+    lengths = lengths_of(own)
+    keyed = own.select(rarest_key(gram_counts(lines, lengths))(F.col("token")).alias("key"))
+    return lines.where(F.size(keys_in(key_map(keyed), lengths)(F.col("text"))) > 0)
 
 
 def run_expectations(runs: DataFrame, expectations: DataFrame) -> DataFrame:
@@ -99,17 +77,15 @@ def pattern_test(text: Column, tokens: Sequence[str], same_line: Sequence[str])
 def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
     """Lines that contain any token and every ``same_line`` text of an expectation of their run.
 
-    The distinct patterns of the catalogue are read when the plan is made. Each line is
-    tested against all of them where it is read, by a column expression or, for a large
-    catalogue, by an automaton over its tokens; only matching lines are shuffled, by run. A
-    catalogue beyond ``MAX_COLLECTED`` patterns is never read; it is joined with the lines.
+    Up to ``MAX_PATTERNS`` distinct patterns are one column expression, tested where a line is read.
+    A larger catalogue stays a table: a line meets a token by the token's rarest gram (see
+    ``grams``). Both ways give the same; only lines that can match are shuffled, by run. A NULL line
+    matches nothing, an empty token every other line.
     """
     rows = expectations.select("tokens", "same_line", pattern_key().alias("key")).dropDuplicates(["key"])
-    found = sorted(rows.take(MAX_COLLECTED + 1), key=lambda r: r["key"])
-    if len(found) > MAX_COLLECTED:
-        return _match_joined(lines, runs, expectations)
+    found = sorted(rows.take(MAX_PATTERNS + 1), key=lambda r: r["key"])
     if len(found) > MAX_PATTERNS:
-        return _match_many(lines, runs, expectations, found)
+        return _match_by_grams(lines, runs, expectations)
     tests = [
         F.when(pattern_test(F.col("text"), r["tokens"] or [], r["same_line"] or []), F.lit(n))
         for n, r in enumerate(found)
@@ -120,50 +96,23 @@ def match_tokens(lines: DataFrame, runs: DataFrame, expectations: DataFrame) ->
     return marked.join(runs, "run_id").join(wanted, ["scenario", "_pattern"]).drop("_pattern")
 
 
-def _match_many(lines: DataFrame, runs: DataFrame, expectations: DataFrame, found: list[Row]) -> DataFrame:
-    """A line and a pattern meet by the first of the pattern's tokens that the line contains."""
-    spark = lines.sparkSession
-    tokens = sorted({t for r in found for t in [*(r["tokens"] or []), *(r["same_line"] or [])]})
-    at = {t: n for n, t in enumerate(tokens)}
-    patterns = [
-        (at[t], r["key"], sorted(at[x] for x in r["tokens"]), sorted(at[x] for x in r["same_line"] or []))
-        for r in found
-        for t in sorted(set(r["tokens"] or []))
-    ]
-    table = spark.createDataFrame(patterns, "_token INT, _pattern STRING, _any ARRAY<INT>, _all ARRAY<INT>")
-    seen = lines.withColumn("_seen", contained_tokens(tokens)(F.col("text"))).where(F.size("_seen") > 0)
-    met = seen.withColumn("_token", F.explode("_seen")).join(small_side(table), "_token")
-    first = F.array_min(F.array_intersect("_any", "_seen")) == F.col("_token")
-    met = met.where(first & (F.size(F.array_except("_all", "_seen")) == 0)).drop("_token", "_any", "_all", "_seen")
-    wanted = expectations.withColumn("_pattern", pattern_key())
-    return met.join(runs, "run_id").join(wanted, ["scenario", "_pattern"]).drop("_pattern")
-
-
-def _grams(lengths: Sequence[int]) -> Callable[[Column], Column]:
-    """All different parts of a text that have one of the lengths."""
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([list({x[i : i + n] for n in lengths for i in range(len(x) - n + 1)}) for x in texts])
-
-    return cut
-
-
-def _match_joined(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Lines and tokens meet by the first characters of the token, in the scenario of the run; of the
-    tokens of an expectation the first one that the line contains counts. Lines go without their
-    texts until then."""
-    own = lines.where("text IS NOT NULL").join(runs, "run_id")
-    own = cut_lineage(own.withColumn("_line", F.monotonically_increasing_id()))
-    gram = F.expr(f"left(_token, {GRAM})")
-    wanted = expectations.withColumn("_token", F.explode(F.array_distinct("tokens"))).withColumn("_gram", gram)
-    lengths = [r[0] for r in wanted.where("_gram IS NOT NULL").select(F.char_length("_gram")).distinct().collect()]
-    seen = own.select("scenario", "_line", F.explode(_grams(lengths)(F.col("text"))).alias("_gram"))
-    met = own.join(seen.join(wanted, ["scenario", "_gram"]).drop("scenario", "_gram"), "_line")
+def _match_by_grams(lines: DataFrame, runs: DataFrame, expectations: DataFrame) -> DataFrame:
+    """A line and an expectation meet by the key of each of its tokens; the first token that the line
+    contains counts, so that they meet once. Join keys are rare grams; a hot one is split by the
+    adaptive skew join, as both sides are plain tables."""
+    tokens = expectations.select(F.explode("tokens").alias("token")).distinct()
+    lengths = lengths_of(tokens)
+    key = rarest_key(gram_counts(lines, lengths))
+    wanted = expectations.withColumn("_token", F.explode(F.array_distinct("tokens"))).where("_token IS NOT NULL")
+    # Kept, so that the bitmap and the join see the same keys and they are made once.
+    wanted = cut_lineage(wanted.withColumn("_key", key(F.col("_token"))))
+    bitmap = key_map(wanted.select(F.col("_key").alias("key")))
+    met = lines.withColumn("_key", F.explode(keys_in(bitmap, lengths)(F.col("text"))))
+    both = met.join(runs, "run_id").join(wanted, ["scenario", "_key"]).where(F.contains(F.col("text"), F.col("_token")))
     has = lambda t: F.contains(F.col("text"), t)
     first = F.element_at(F.filter(F.col("tokens"), has), 1) == F.col("_token")
     every = F.forall(F.coalesce("same_line", F.array().cast("array<string>")), has)
-    return met.where(has(F.col("_token"))).where(first & every).drop("_line", "_token")
+    return both.where(first & every).drop("_key", "_token")
 
 
 def at_least(matches: DataFrame, run_exp: DataFrame) -> DataFrame:

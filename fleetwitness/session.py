@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: rows survive the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where executors run on the driver's machine; a cluster
+    has it installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))

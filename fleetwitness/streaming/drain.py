@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetwitness.session import scratch_path
+from fleetwitness.session import scratch_path, share_package
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,12 +23,9 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """State in RocksDB, which keyed state and timers need, and workers that find this package.
-
-    A cluster has the package installed; the path serves executors on the driver's machine.
-    """
+    """State in RocksDB, which keyed state and timers need, and workers that find this package."""
     spark.conf.set(STATE_STORE, ROCKS_DB)
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    share_package(spark)
 
 
 def run_to_table(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from fixtures import (
 from pyspark.sql import functions as F
 
 from fleetwitness.operators import adjudicate as judge
-from fleetwitness.operators import logs
+from fleetwitness.operators import grams, logs
 from fleetwitness.sources.logs import carry_stamp, parse_log_line, read_log_lines, split_text, with_offsets
 
 
@@ -124,6 +124,23 @@ def test_a_large_catalogue_matches_pair_by_pair(spark, boots, monkeypatch):
     assert sorted(logs.match_tokens(boots, runs, boot_catalogue(spark)).select(*cols).collect()) == compiled
 
 
+def test_tokens_with_one_prefix_meet_by_their_own_grams(spark, monkeypatch):
+    """Every token and line starts alike: candidates are about as many as matches."""
+    monkeypatch.setattr(logs, "MAX_PATTERNS", 2)
+    prefix = "com.example.service.valve."
+    catalogue = table(spark, EXPECTATION, [("s", n, [f"{prefix}{n:05d}x"], [], 1, None, None, 9) for n in range(400)])
+    lines = log_rows(spark, {"r": [f"at {prefix}{n:05d}x here" for n in range(400)] + [prefix] * 50})
+    tokens = catalogue.select(F.explode("tokens").alias("token"))
+    key = grams.rarest_key(grams.gram_counts(lines, [8]))
+    keyed = tokens.select("token", key(F.col("token")).alias("key"))
+    found = lines.select(F.explode(grams.keys_in(grams.key_map(keyed), [8])(F.col("text"))).alias("key"))
+    assert found.join(keyed, "key").count() < 3 * 400
+    got = logs.match_tokens(lines, runs_of(spark, "s", "r"), catalogue).select("i", "idx").collect()
+    assert sorted(tuple(r) for r in got) == [(n, n) for n in range(400)]
+    kept = logs.keep_mentioned(lines, tokens)
+    assert {r.idx for r in kept.collect()} == set(range(400))
+
+
 def test_a_catalogue_beyond_the_bound_stays_a_table(spark, monkeypatch):
     """Tokens of all lengths, several in one line, empty, repeated, and scenarios apart; the patterns are not read."""
     rng = random.Random(3)
@@ -141,8 +158,6 @@ def test_a_catalogue_beyond_the_bound_stays_a_table(spark, monkeypatch):
     )
     catalogue = table(spark, EXPECTATION, rows)
     monkeypatch.setattr(logs, "MAX_PATTERNS", 2)
-    monkeypatch.setattr(logs, "MAX_COLLECTED", 10, raising=False)
-    monkeypatch.setattr(logs, "contained_tokens", None)
     found = logs.match_tokens(lines, runs, catalogue).select("run_id", "i", "idx").collect()
     assert sorted(tuple(r) for r in found) == want and any(i == 62 for _, i, _ in want)
 
