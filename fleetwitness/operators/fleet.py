@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwitness.operators.ordered import smallest
+from fleetwitness.operators.ordered import ordered, row_index, smallest
 
 # Event types of the command verdict stream.
 COMMAND_EVENT_TYPES = (
@@ -53,6 +53,18 @@ def evidence_union(parts: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labeled)
 
 
+def evidence_timeline(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The parts on one ordered time line per key: ``place`` from 1.
+
+    Every part has the keys, ``at_us`` and ``seq``, its own order (line number, poll, frame). Order:
+    instant, then the order in which the parts are named, then ``seq``; rows without an instant come
+    first. A key with very many rows is numbered in segments.
+    """
+    named = {kind: df.withColumn("kind_order", F.lit(n)) for n, (kind, df) in enumerate(parts.items())}
+    rows = evidence_union(named)
+    return ordered(rows, keys, ["at_us", "kind_order", "seq"]).scan(place=row_index()).frame()
+
+
 def labeled_tuples(verdicts: DataFrame, matches: DataFrame, latencies: DataFrame) -> DataFrame:
     """One row per run: verdict, matched positions, latency, ready to append by scenario.
 

@@ -15,7 +15,9 @@ from fleetwitness.operators.ordered import (
     last_before,
     next_after,
     ordered,
+    TASK_RANKS,
     previous,
+    ranked_upto,
     running_sum,
     small_side,
     smallest,
@@ -156,7 +158,11 @@ def extract_min(matches: DataFrame, need: str = "need") -> DataFrame:
 def nth_match(matches: DataFrame, max_need: int) -> DataFrame:
     """The line that completes the needed number of matches."""
     keys = ["run_id", "i"]
-    return smallest(matches, keys, [F.col("idx")], max_need).where(F.col("_rank") == F.col("need")).drop("_rank")
+    if max_need > TASK_RANKS:
+        rows = ranked_upto(matches, keys, F.col("idx"), F.col("need"), only_limit=True)
+    else:
+        rows = smallest(matches, keys, [F.col("idx")], max_need)
+    return rows.where(F.col("_rank") == F.col("need")).drop("_rank")
 
 
 def needs(expectations: DataFrame) -> tuple[int, int]:
@@ -233,7 +239,7 @@ def time_of_day_slice(lines: DataFrame, runs: DataFrame, cap: int | None = None)
     begin = rows.groupBy("run_id").agg(F.min(F.when(in_time_window(), F.col("idx"))).alias("begin"))
     kept = rows.join(begin, "run_id").where(F.col("idx") >= F.col("begin"))
     total = kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    tail = kept if cap is None else smallest(kept, ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
+    tail = kept if cap is None else smallest(kept, ["run_id"], [F.col("idx").desc()], cap, -F.col("idx")).drop("_rank")
     return tail.join(total, "run_id").withColumn("label", window_label(F.col("total"), cap))
 
 
@@ -267,7 +273,7 @@ def evidence_slice(lines: DataFrame, runs: DataFrame, markers: DataFrame, cap: i
     timed = kept.where(F.col("tier") == "time-window")
     total = timed.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
     if cap is not None:
-        timed = smallest(timed, ["run_id"], [F.col("idx").desc()], cap).drop("_rank")
+        timed = smallest(timed, ["run_id"], [F.col("idx").desc()], cap, -F.col("idx")).drop("_rank")
     timed = timed.join(total, "run_id").withColumn("label", window_label(F.col("total"), cap)).drop("total")
     none = runs.select("run_id").join(begin, "run_id", "left_anti").withColumns({"tier": F.lit("none"), "label": F.lit("none")})
     return (
@@ -298,13 +304,13 @@ def health_tokens(
     )
     limit = F.when(F.col("family") == "health", last_health).otherwise(last_failure)
     rows = lines.withColumn("family", F.explode(families))
-    last = smallest(rows, [key, "family"], [F.col("idx").desc()], max(last_health, last_failure))
+    last = smallest(rows, [key, "family"], [F.col("idx").desc()], max(last_health, last_failure), -F.col("idx"))
     return last.where(F.col("_rank") <= limit).drop("_rank")
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """The last ``n`` rows per key."""
-    return smallest(df, keys, [F.col(order).desc()], n).drop("_rank")
+    """The last ``n`` rows per key; ``order`` is a whole number, unique per key."""
+    return smallest(df, keys, [F.col(order).desc()], n, -F.col(order)).drop("_rank")
 
 
 def boot_outcome(

@@ -26,6 +26,9 @@ HOT_ROWS_CONF = "spark.fleetwitness.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
 MAX_SEGMENTS = 10_000
 MAX_BROADCAST_KEYS = 100_000
+# Spark limits ranks per task before the shuffle up to here.
+TASK_RANKS = 1_000
+RANGE = 65_536
 SEG = "_seg"
 
 
@@ -260,12 +263,40 @@ def in_segments(df: DataFrame, keys: Sequence[str], segment: str, order: Sequenc
     return Ordered(keys, order, None, df.withColumn(SEG, F.col(segment)))
 
 
-def smallest(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows per key; Spark cuts each task to ``n`` rows before the shuffle."""
+def smallest(df: DataFrame, keys: Sequence[str], by: Sequence[Column], n: int, place: Column | None = None) -> DataFrame:
+    """The first ``n`` rows per key with their ``_rank``.
+
+    Up to ``TASK_RANKS`` Spark cuts each task to ``n`` rows before the shuffle. More, where ``place``
+    gives the order as a whole number, are found by counts per range (see ``ranked_upto``).
+    """
+    if n > TASK_RANKS and place is not None:
+        return ranked_upto(df, keys, place, F.lit(n)).where(F.col("_rank") <= n)
     w = Window.partitionBy(*keys).orderBy(*by)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
 
 
+def ranked_upto(df: DataFrame, keys: Sequence[str], place: Column, limit: Column, only_limit: bool = False) -> DataFrame:
+    """Rows up to about the ``limit``-th of their key by ``place`` (a whole number, unique per key),
+    with ``_rank``; the limit is one per key. No task ranks more than a range of ``RANGE`` places.
+
+    Rows are counted per range first, map-side, and the counts of a key's ranges are added up in
+    order; only ranges that start below the limit are ranked, with ``only_limit`` only the one that
+    holds it.
+    """
+    ranged = df.withColumns({"_place": place.cast("bigint"), "_limit": limit}).withColumn("_range", F.floor(F.col("_place") / RANGE))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_upto"))
+    before = ordered(counts, keys, ["_range"]).scan(_sum=running_sum("_n")).frame()
+    wanted = before.withColumn("_skip", F.col("_sum") - F.col("_n")).where(F.col("_skip") < F.col("_upto"))
+    if only_limit:
+        wanted = wanted.where(F.col("_sum") >= F.col("_upto"))
+    names = [f"_w_{k}" for k in keys]
+    wanted = wanted.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_range").alias("_w_range"), "_skip")
+    match = _null_safe(dict(zip(keys, names, strict=True))) & (F.col("_range") == F.col("_w_range"))
+    rows = ranged.join(wanted, match).drop(*names, "_w_range")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_place"))
+    return rows.withColumn("_rank", F.col("_skip") + inside).drop("_place", "_limit", "_range", "_skip")
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """Broadcast hint for a catalogue after counting it; a larger one joins by shuffle."""
     return F.broadcast(df) if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows else df

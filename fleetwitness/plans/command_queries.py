@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros
 from fleetwitness.operators import commands as ops
-from fleetwitness.operators import suites
+from fleetwitness.operators import drift, suites
 from fleetwitness.plans.registry import query
 from fleetwitness.plans.standins import COMMAND_TABLES, HOUR_US, acks, commands, profile, reports
 
@@ -250,3 +250,28 @@ def latency_series(t):
     )
     out = suites.latency_series(nights, ["device_id"], 6 * HOUR_US)
     return out.withColumn("mean_us", F.round("mean_us", 3))
+
+
+@query(
+    "p2_latency_drift",
+    f"""{VERDICTS},
+    lat AS (SELECT device_id % 3 AS bench, us // {7 * 86_400_000_000} AS week, latency_us AS v FROM verdicts WHERE latency_us IS NOT NULL),
+    per AS (SELECT bench, week, count(*) AS n, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95,
+      quantile_disc(v, {drift.grid(drift.GRID)}) AS own FROM lat GROUP BY 1, 2),
+    base AS (
+      SELECT p.bench, p.week, count(l.v) AS base_n, quantile_disc(l.v, 0.5) AS base_p50, quantile_disc(l.v, 0.95) AS base_p95,
+        quantile_disc(l.v, {drift.grid(drift.PAST_GRID)}) AS past
+      FROM per p LEFT JOIN lat l ON l.bench = p.bench AND l.week < p.week AND l.week >= p.week - 4 GROUP BY 1, 2),
+    gaps AS (SELECT bench, week, unnest(own) AS v, generate_subscripts(own, 1) AS i, past FROM per JOIN base USING (bench, week)),
+    d AS (SELECT bench, week, max(abs(len(list_filter(past, lambda b: b <= v)) / {drift.PAST_GRID} - (i - {drift.SHIFT}) / {drift.GRID})) AS d FROM gaps GROUP BY 1, 2),
+    j AS (SELECT *, n >= 8 AND base_n >= 8 AS judged FROM per JOIN base USING (bench, week) LEFT JOIN d USING (bench, week))
+    SELECT bench, week, n, base_n, p50, p95, base_p50, base_p95, CASE WHEN judged THEN round(d, 9) END AS distance,
+      CASE WHEN judged THEN round(1.628 * sqrt((n + base_n) / (n * base_n)), 9) END AS bound,
+      CASE WHEN NOT judged THEN 'too_few' WHEN round(d, 9) <= round(1.628 * sqrt((n + base_n) / (n * base_n)), 9) THEN 'steady'
+        WHEN p50 > base_p50 THEN 'slower' WHEN p50 < base_p50 THEN 'faster' ELSE 'steady' END AS drift
+    FROM j""",
+)
+def latency_drift(t):
+    """Benches of many devices; up to 200 latencies a sketch is exact."""
+    rows = verdicts(t).select((F.col("device_id") % 3).alias("bench"), "ts", "latency_us")
+    return drift.latency_drift(rows, "bench", k=4096)

@@ -245,6 +245,27 @@ def evidence_union(t):
     )
 
 
+@query(
+    "u4_evidence_timeline",
+    """WITH rows AS (
+      SELECT 'log' AS kind, 0 AS kind_order, epoch_us(ts) AS at_us, event_id AS seq FROM events
+      UNION ALL SELECT 'api', 1, epoch_us(o_orderdate), o_orderkey FROM orders
+      UNION ALL SELECT 'radio', 2, epoch_us(l_shipdate), l_orderkey * 8 + l_linenumber FROM lineitem),
+    days AS (SELECT *, at_us // 2592000000000 AS month FROM rows)
+    SELECT month, kind, at_us, seq, row_number() OVER (PARTITION BY month ORDER BY at_us, kind_order, seq) AS place FROM days""",
+)
+def evidence_timeline(t):
+    """Log, API and radio rows of thirty days are one time line."""
+    month = F.floor(F.col("at_us") / 2_592_000_000_000).alias("month")
+    parts = {
+        "log": t.events.select(micros(F.col("ts")).alias("at_us"), F.col("event_id").alias("seq")),
+        "api": t.orders.select(micros(F.col("o_orderdate")).alias("at_us"), F.col("o_orderkey").alias("seq")),
+        "radio": t.lineitem.select(micros(F.col("l_shipdate")).alias("at_us"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")),
+    }
+    rows = fleet.evidence_timeline({k: df.select("*", month) for k, df in parts.items()}, ["month"])
+    return rows.select("month", "kind", "at_us", "seq", F.col("place").cast("bigint").alias("place"))
+
+
 KEY_SQL = corpus.KEY_MATERIAL
 ADDRESS_SQL = corpus.EXTENDED_ADDRESS
 

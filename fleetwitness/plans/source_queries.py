@@ -10,7 +10,7 @@ from fleetwitness.plans.standins import k_of
 from fleetwitness.session import scratch_path
 from fleetwitness.sources import captures
 from fleetwitness.sources.logs import read_log_lines
-from fleetwitness.sources.sinks import evidence_records, write_evidence
+from fleetwitness.sources.sinks import evidence_manifest, evidence_records, publish_evidence, read_evidence, resolved_values, write_evidence
 
 
 @query(
@@ -199,3 +199,36 @@ def evidence_written(t):
     return manifest.join(counted, "run_id", "left").groupBy("scenario", F.col("day").alias("night")).agg(
         F.count(F.lit(1)).alias("runs"), F.sum("log_lines").alias("log_lines"), F.coalesce(F.sum("part_rows"), F.lit(0)).alias("parts")
     )
+
+
+@query(
+    "s11_publish_evidence",
+    """SELECT o_orderkey AS run_id, o_orderpriority AS scenario, strftime(o_orderdate, '%Y') AS night,
+      CASE WHEN o_orderpriority = '1-URGENT' THEN 'second' ELSE 'first' END AS edition,
+      count(l_orderkey) FILTER (l_returnflag <> 'R') AS log_lines, 3 AS resolved,
+      CASE WHEN count(l_orderkey) FILTER (l_returnflag <> 'R') = 0 THEN 'log_lines' ELSE '' END AS absent,
+      string_agg(l_linenumber || l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag <> 'R') AS lines,
+      'constant:state=' || o_orderstatus || ',extracted:total=' || CAST(o_totalprice AS DECIMAL(20, 2)) || ',let:customer=' || o_custkey AS named
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderdate, o_orderstatus, o_totalprice, o_custkey""",
+)
+def evidence_published(t):
+    """All runs, then one scenario again: readers see the second edition of it and the first of the others."""
+    folder = scratch_path(t.spark, "published")
+    verdicts = t.orders.select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("scenario"), F.date_format("o_orderdate", "yyyy").alias("night")
+    )
+    runs = t.orders.withColumnRenamed("o_orderkey", "run_id")
+    value = lambda name, column: runs.select("run_id", F.lit(name).alias("name"), column.cast("string").alias("value"))
+    resolved = resolved_values(value("state", F.col("o_orderstatus")), value("customer", F.col("o_custkey")), value("total", F.col("o_totalprice").cast("decimal(20,2)")))
+    lines = t.lineitem.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("idx"), F.col("l_linestatus").alias("text"))
+    parts = {"log_lines": lines, "resolved": resolved}
+    whole = evidence_manifest(verdicts, parts)
+    publish_evidence(whole.withColumn("edition", F.lit("first")), parts, folder)
+    publish_evidence(whole.where("scenario = '1-URGENT'").withColumn("edition", F.lit("second")), parts, folder)
+    manifest, log_lines, values = (read_evidence(t.spark, folder, name) for name in ("manifest", "log_lines", "resolved"))
+    text = lambda entries, sep: F.array_join(F.transform(F.array_sort(entries), lambda e: e["t"]), sep)
+    seen = log_lines.groupBy("run_id").agg(text(F.collect_list(F.struct("idx", F.concat("idx", "text").alias("t"))), ",").alias("lines"))
+    label = F.concat("kind", F.lit(":"), "name", F.lit("="), "value")
+    named = values.groupBy("run_id").agg(text(F.collect_list(F.struct("kind", label.alias("t"))), ",").alias("named"))
+    rows = manifest.join(seen, "run_id", "left").join(named, "run_id", "left")
+    return rows.select("run_id", "scenario", "night", "edition", "log_lines", F.col("resolved").cast("int").alias("resolved"), "absent", "lines", "named")

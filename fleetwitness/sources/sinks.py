@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetwitness.operators.ordered import small_side
+
 
 def evidence_records(verdicts: DataFrame, slices: DataFrame, captures: DataFrame, markers: DataFrame) -> DataFrame:
     """One manifest row per run, PASS or FAIL, that names every absence.
@@ -44,6 +48,98 @@ def write_evidence(manifest: DataFrame, slices: DataFrame, captures: DataFrame,
     put(manifest, "manifest")
 
 
+COMMITS, VERSIONS = "commits", "versions"
+
+
+def resolved_values(constants: DataFrame, bindings: DataFrame, extracted: DataFrame) -> DataFrame:
+    """What a run was judged with, one row per value: ``run_id, kind, name, value``.
+
+    Each input: run_id, name, value (as text).
+    """
+    kinds = (("constant", constants), ("let", bindings), ("extracted", extracted))
+    rows = [df.select("run_id", F.lit(kind).alias("kind"), "name", F.col("value").cast("string").alias("value")) for kind, df in kinds]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def evidence_manifest(verdicts: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """One row per run with the number of rows of every part; parts without rows are named ``absent``.
+
+    ``verdicts``: run_id, scenario, night and more; every part has a run_id.
+    """
+    counted = [df.groupBy("run_id").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name, df in parts.items()]
+    rows = counted[0]
+    for more in counted[1:]:
+        rows = rows.unionByName(more)
+    wide = rows.groupBy("run_id").pivot("part", list(parts)).agg(F.max("n"))
+    zero = {name: F.coalesce(F.col(name), F.lit(0)).cast("bigint") for name in parts}
+    absent = F.array_join(F.array_compact(F.array(*[F.when(F.col(n) == 0, F.lit(n)) for n in parts])), ",")
+    return verdicts.join(wide, "run_id", "left").withColumns(zero).withColumn("absent", absent)
+
+
+def _store(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def committed(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Versions that readers see, by number."""
+    store, path = _store(spark, f"{folder}/{COMMITS}")
+    if not store.exists(path):
+        return {}
+    names = [status.getPath().getName() for status in store.listStatus(path)]
+    return {int(n.split("-", 1)[0]): n.split("-", 1)[1] for n in names if n[:1].isdigit()}
+
+
+def publish_evidence(manifest: DataFrame, parts: dict[str, DataFrame], folder: str) -> int:
+    """Write manifest and parts as one version that readers see whole or not at all; gives its number.
+
+    The tables lie below a name of their own, where nobody looks. The last step renames an empty
+    file to the next free number and that name: a rename happens or does not, and of two writers who
+    want one number one fails and takes the next. What was published before for a scenario and night
+    is replaced for readers, not touched on disk; a writer that dies leaves nothing visible.
+    """
+    spark = manifest.sparkSession
+    version = uuid.uuid4().hex
+    at = f"{folder}/{VERSIONS}/{version}"
+    where = manifest.select("run_id", "scenario", "night").distinct()
+    for name, df in parts.items():
+        rows = df.join(where, "run_id").hint("rebalance", "scenario", "night")
+        rows.write.partitionBy("scenario", "night").parquet(f"{at}/{name}")
+    manifest.hint("rebalance", "scenario", "night").write.partitionBy("scenario", "night").parquet(f"{at}/manifest")
+    where.select("scenario", "night").distinct().write.parquet(f"{at}/covers")
+    store, commits = _store(spark, f"{folder}/{COMMITS}")
+    store.mkdirs(commits)
+    draft = _store(spark, f"{at}/draft")[1]
+    store.create(draft).close()
+    number = max(committed(spark, folder), default=0)
+    while True:
+        number += 1
+        # The number alone is claimed; the name behind it is found again by every reader.
+        claim = _store(spark, f"{folder}/{COMMITS}/claim-{number:09d}")[1]
+        if store.createNewFile(claim) and store.rename(draft, _store(spark, f"{folder}/{COMMITS}/{number:09d}-{version}")[1]):
+            return number
+
+
+def read_evidence(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Rows of one table (``manifest`` or a part) as published last for their scenario and night."""
+    versions = committed(spark, folder)
+    if not versions:
+        raise FileNotFoundError(f"no evidence is published below {folder}")
+    covers = None
+    for number, version in sorted(versions.items()):
+        rows = spark.read.parquet(f"{folder}/{VERSIONS}/{version}/covers").withColumn("_commit", F.lit(number))
+        covers = rows if covers is None else covers.unionByName(rows)
+    newest = covers.groupBy("scenario", "night").agg(F.max("_commit").alias("_commit"))
+    out = None
+    for number, version in sorted(versions.items()):
+        base = f"{folder}/{VERSIONS}/{version}/{name}"
+        rows = spark.read.option("basePath", base).parquet(base).withColumn("_commit", F.lit(number))
+        rows = rows.withColumns({c: F.col(c).cast("string") for c in ("scenario", "night")})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    newest = newest.withColumns({c: F.col(c).cast("string") for c in ("scenario", "night")})
+    return out.join(small_side(newest), ["scenario", "night", "_commit"]).drop("_commit")
+
+
 def append_digest(lines: DataFrame, folder: str) -> None:
     """Add the nights that have no line yet; a night is never written twice.
 

@@ -109,3 +109,23 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_ranks_by_counts_like_a_sort(spark, monkeypatch):
+    """Any number of ranks, over ranges of a few places, null and hot keys, gaps in the order."""
+    import random
+
+    from fleetwitness.operators import ordered as o
+
+    rng = random.Random(6)
+    rows = [(k, at, 3 if k == "a" else 40) for k in ("a", "b", None) for at in rng.sample(range(-200, 900), 150)] + [("c", 5, 40)]
+    df = spark.createDataFrame(rows, "k string, at bigint, want int")
+    monkeypatch.setattr(o, "TASK_RANKS", 1)
+    monkeypatch.setattr(o, "RANGE", 16)
+    own = {k: sorted(at for x, at, _ in rows if x == k) for k in ("a", "b", None, "c")}
+    got = o.smallest(df, ["k"], [F.col("at")], 40, F.col("at")).collect()
+    assert sorted(((r.k, r["_rank"], r["at"]) for r in got), key=repr) == sorted(((k, n, at) for k, v in own.items() for n, at in enumerate(v[:40], 1)), key=repr)
+    last = o.smallest(df, ["k"], [F.col("at").desc()], 7, -F.col("at")).collect()
+    assert sorted(((r.k, r["at"]) for r in last), key=repr) == sorted(((k, at) for k, v in own.items() for at in v[-7:]), key=repr)
+    nth = o.ranked_upto(df, ["k"], F.col("at"), F.col("want"), only_limit=True).where("_rank = want").collect()
+    assert {r.k: r["at"] for r in nth} == {"a": own["a"][2], "b": own["b"][39], None: own[None][39]}
