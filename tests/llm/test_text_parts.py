@@ -177,3 +177,59 @@ def test_counts_are_of_all_lines(spark):
     lines = spark.createDataFrame([(0, "a b a"), (1, "a\nc")], "doc_id bigint, text string")
     table = line_dedup.rarity(line_dedup.lines_of(lines, "doc_id", "text"))
     assert sum(spark.range(1).select(table.alias("t")).first()["t"]) == sum(n.bit_length() for n in Counter("abaac").values())
+
+
+def edited(rng, passage):
+    """One to three insertions, deletions or replacements of up to ten words each."""
+    out = list(passage)
+    for _ in range(rng.randrange(1, 4)):
+        at, n, kind = rng.randrange(2, len(out) - 2), rng.randrange(1, 11), rng.randrange(3)
+        if kind == 0:
+            out[at:at] = words(rng, n, 10**7)
+        elif kind == 1:
+            del out[at : at + n]
+        else:
+            out[at : at + n] = words(rng, len(out[at : at + n]), 10**7)
+    return out
+
+
+def planted(seed, count):
+    """Pairs of passages of 54 to 140 words at a similarity of 0.8 or more, by the definition itself."""
+    rng, out = random.Random(seed), []
+    while len(out) < count:
+        p = words(rng, rng.randrange(54, 141), 10**7)
+        q = edited(rng, p)
+        a, b = runs(p), runs(q)
+        if len(q) >= 50 and len(a & b) / len(a | b) >= 0.8:
+            out.append((p, q))
+    return out
+
+
+def test_passages_with_edits_are_verified():
+    """Insertions and replacements in the middle are bridged: of 2,000 similar pairs 99.8 % are found."""
+    rng, missed = random.Random(7), 0
+    tokens = lambda w: substring_dedup.shingles(substring_dedup.word_hashes([t.encode() for t in w]), 5)
+    for p, q in planted(71, 2000):
+        x, y = (tokens(words(rng, rng.randrange(5, 60), 10**7) + w + words(rng, rng.randrange(5, 60), 10**7)) for w in (p, q))
+        found = substring_dedup.passages(x, y, 46, 0.8)
+        for a, b, c, d, j in found:
+            mine, theirs = set(x[a : b + 1].tolist()), set(y[c : d + 1].tolist())
+            assert j == pytest.approx(len(mine & theirs) / len(mine | theirs)) and j >= 0.8 and min(b - a, d - c) >= 45
+        missed += not found
+    assert missed <= 4
+    middle = words(rng, 45, 10**7), words(rng, 45, 10**7)
+    x, y = tokens(middle[0] + middle[1]), tokens(middle[0] + words(rng, 8, 10**7) + middle[1])
+    assert substring_dedup.passages(x, y, 46, 0.8)
+
+
+def test_passages_with_edits_are_found(spark):
+    """Windows, hulls and verification together on 250 similar pairs in other text."""
+    rng, rows = random.Random(29), []
+    pairs = planted(72, 250)
+    for k, pair in enumerate(pairs):
+        for n, part in enumerate(pair):
+            text = words(rng, rng.randrange(30, 80), 10**7) + part + words(rng, rng.randrange(30, 80), 10**7)
+            rows.append((2 * k + n, " ".join(text), "en", "a", 1))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    hit = {min(r["id"], r["other_id"]) // 2 for r in found if abs(r["id"] - r["other_id"]) == 1 and min(r["id"], r["other_id"]) % 2 == 0}
+    assert len(hit) >= 247 and all(r["id"] // 2 == r["other_id"] // 2 for r in found)
