@@ -7,6 +7,8 @@ driver, and the rests find their place by their rank among the rests of their le
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -25,13 +27,59 @@ from fleetwitness.llm.spans import Memory, only, segments
 CELL_ROWS = 50_000
 
 
+#: Latin letters and the marks behind them, which such a tokenizer treats apart.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: The steps before the merges for which that holds.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte: itself where it can be seen, else the next one from 256 on."""
+    seen = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in seen]
+    return {**{b: chr(b) for b in seen}, **{b: chr(256 + n) for n, b in enumerate(hidden)}}
+
+
+def _splits_letters(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, and takes a run of letters and one of marks as a word each."""
+    steps = json.loads(tokenizer.to_str())
+    normalizers = [n["type"] for n in (steps.get("normalizer") or {}).get("normalizers", [])]
+    before = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = before[0].get("pattern", {}).get("Regex") if len(before) == 2 else None
+    return normalizers == _NORMALIZERS and split == _SPLIT and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"]
+
+
 class WordIds:
-    """Ids of whole texts for a tokenizer that drops blanks: words between blanks are looked up."""
+    """Ids of whole texts for a tokenizer that drops blanks: words between blanks are looked up.
+
+    A word that is not known yet and has only Latin letters and marks is known by its letters, in
+    whatever case and with whatever marks; only new runs of letters are merged, and they skip the
+    steps before the merges, which change nothing in them.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.part = Memory(self._pack, 500_000)
+        self.model = self.tokenizer.model if _splits_letters(self.tokenizer) else None
+        self.signs = _byte_signs()
+        self.part = Memory(self._part, 500_000)
+        self.letters = Memory(self._letters, 300_000)
+        self.marks = Memory(self._pack, 10_000)
+
+    def memories(self) -> tuple[Memory, ...]:
+        return self.part, self.letters, self.marks
+
+    def _part(self, part: str) -> bytes:
+        plain = _PLAIN.match(part) if self.model is not None else None
+        if plain is None:
+            return self._pack(part)
+        ids = self.letters[plain[1].lower()]
+        return ids + self.marks[plain[2]] if plain[2] else ids
+
+    def _letters(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize("".join([self.signs[b] for b in letters.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pack(self, part: str) -> bytes:
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids
@@ -50,7 +98,7 @@ _IDS: dict[str, WordIds] = {}
 def word_ids(path: str) -> WordIds:
     if path not in _IDS:
         _IDS[path] = WordIds(path)
-    only(_IDS[path].part)
+    only(*_IDS[path].memories())
     return _IDS[path]
 
 
