@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros_between, whole_number
-from fleetwitness.operators.grams import gram_counts, key_map, keys_in, lengths_of, rarest_key
+from fleetwitness.operators.grams import gram_counts, key_maps, keys_in, lengths_of, rarest_key
 from fleetwitness.operators.ordered import (
     cut_lineage,
     last_before,
@@ -56,7 +56,7 @@ def keep_mentioned(lines: DataFrame, tokens: DataFrame) -> DataFrame:
         return lines.where(mentions_any(F.col("text"), found))
     lengths = lengths_of(own)
     keyed = own.select(rarest_key(gram_counts(lines, lengths))(F.col("token")).alias("key"))
-    return lines.where(F.size(keys_in(key_map(keyed), lengths)(F.col("text"))) > 0)
+    return lines.where(F.size(keys_in(key_maps(keyed), lengths)(F.col("text"))) > 0)
 
 
 def run_expectations(runs: DataFrame, expectations: DataFrame) -> DataFrame:
@@ -106,10 +106,10 @@ def _match_by_grams(lines: DataFrame, runs: DataFrame, expectations: DataFrame)
     lengths = lengths_of(tokens)
     key = rarest_key(gram_counts(lines, lengths))
     wanted = expectations.withColumn("_token", F.explode(F.array_distinct("tokens"))).where("_token IS NOT NULL")
-    # Kept, so that the bitmap and the join see the same keys and they are made once.
+    # Kept, so that the bitmaps and the join see the same keys and they are made once.
     wanted = cut_lineage(wanted.withColumn("_key", key(F.col("_token"))))
-    bitmap = key_map(wanted.select(F.col("_key").alias("key")))
-    met = lines.withColumn("_key", F.explode(keys_in(bitmap, lengths)(F.col("text"))))
+    maps = key_maps(wanted.select(F.col("_key").alias("key")))
+    met = lines.withColumn("_key", F.explode(keys_in(maps, lengths)(F.col("text"))))
     both = met.join(runs, "run_id").join(wanted, ["scenario", "_key"]).where(F.contains(F.col("text"), F.col("_token")))
     has = lambda t: F.contains(F.col("text"), t)
     first = F.element_at(F.filter(F.col("tokens"), has), 1) == F.col("_token")

@@ -133,7 +133,7 @@ def test_tokens_with_one_prefix_meet_by_their_own_grams(spark, monkeypatch):
     tokens = catalogue.select(F.explode("tokens").alias("token"))
     key = grams.rarest_key(grams.gram_counts(lines, [8]))
     keyed = tokens.select("token", key(F.col("token")).alias("key"))
-    found = lines.select(F.explode(grams.keys_in(grams.key_map(keyed), [8])(F.col("text"))).alias("key"))
+    found = lines.select(F.explode(grams.keys_in(grams.key_maps(keyed), [8])(F.col("text"))).alias("key"))
     assert found.join(keyed, "key").count() < 3 * 400
     got = logs.match_tokens(lines, runs_of(spark, "s", "r"), catalogue).select("i", "idx").collect()
     assert sorted(tuple(r) for r in got) == [(n, n) for n in range(400)]
