@@ -198,7 +198,7 @@ def live_commands(t):
 )
 def stream_confirm(t):
     """Commands whose longest timeout, twelve hours, has passed."""
-    out = run_to_table(live.stream_confirm(*live_commands(t), profile(t), KEYS), "r4")
+    out = run_to_table(live.stream_confirm(*live_commands(t), profile(t), KEYS), "r4", keyed=False)
     return out.select("cmd_id", "verdict", "latency_us")
 
 
@@ -224,7 +224,7 @@ def stream_drop_twins(t):
     SELECT * FROM a WHERE end_us <= (SELECT (max(epoch_us(ts)) - {HOUR_US}) // 1000 * 1000 FROM events)""",
 )
 def stream_sessions(t):
-    out = run_to_table(live.stream_sessions(event_stream(t), ["user_id"], "12 hours", "1 hour"), "r6")
+    out = run_to_table(live.stream_sessions(event_stream(t), ["user_id"], "12 hours", "1 hour"), "r6", keyed=False)
     return out.select("user_id", micros(F.col("start")).alias("start_us"), micros(F.col("end")).alias("end_us"), "n")
 
 
@@ -234,7 +234,7 @@ def stream_sessions(t):
     SELECT * FROM w WHERE start_us + {24 * HOUR_US} <= (SELECT (max(epoch_us(ts)) - {HOUR_US}) // 1000 * 1000 FROM events)""",
 )
 def stream_tumbling(t):
-    out = run_to_table(live.stream_tumbling(event_stream(t), ["user_id"], "1 day", "1 hour"), "r7")
+    out = run_to_table(live.stream_tumbling(event_stream(t), ["user_id"], "1 day", "1 hour"), "r7", keyed=False)
     return out.select("user_id", micros(F.col("start")).alias("start_us"), "n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from fleetwitness.session import scratch_path, share_package
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORES = "org.apache.spark.sql.execution.streaming.state."
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -22,16 +22,18 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return df.withColumns({s: F.col(s).cast("timestamp") for s in stamps}) if stamps else df
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """State in RocksDB, which keyed state and timers need, and workers that find this package."""
-    spark.conf.set(STATE_STORE, ROCKS_DB)
+def use_state_store(spark: SparkSession, keyed: bool = True) -> None:
+    """Where state is held: ``keyed`` state and timers need RocksDB, of which every partition opens one
+    for every table; joins and aggregations have the plain store, whose few files suit short
+    windows. Workers find this package."""
+    spark.conf.set(STATE_STORE, f"{STORES}{'RocksDB' if keyed else 'HDFSBacked'}StateStoreProvider")
     share_package(spark)
 
 
-def run_to_table(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, folder: str | None = None, keyed: bool = True) -> DataFrame:
     """Process what is there, append to Parquet, and return the written rows."""
     spark = stream.sparkSession
-    use_state_store(spark)
+    use_state_store(spark, keyed)
     folder = folder or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")

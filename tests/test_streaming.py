@@ -90,7 +90,7 @@ def command_files(spark, tmp_path_factory):
 
 def test_confirmation_over_batches(command_files, tmp_path):
     t, cmds, reports, streams = command_files
-    got = run_to_table(live.stream_confirm(*streams, s.profile(t), KEYS, "1 hour"), "confirm", str(tmp_path / "out"))
+    got = run_to_table(live.stream_confirm(*streams, s.profile(t), KEYS, "1 hour"), "confirm", str(tmp_path / "out"), keyed=False)
     want = commands.confirm_commands(cmds, reports, s.profile(t))
     names = ["cmd_id", "verdict", "latency_us", "confirmed_by"]
     assert sorted(tuple(r) for r in got.select(names).collect() if r.cmd_id >= 0) == sorted(tuple(r) for r in want.select(names).collect())
