@@ -163,3 +163,22 @@ def find_unset(required: DataFrame, constants: DataFrame, on: Sequence[str] = ("
     wrong = F.col("is_duration") & ~F.trim(value).rlike(r"^\d+[smhd]?$")
     problem = F.when(unset, "unset").when(wrong, "not a duration")
     return rows.withColumn("problem", problem).where(F.col("problem").isNotNull())
+
+
+def branch_problems(required: DataFrame, constants: DataFrame, branch_path: str, branches: Sequence[str], key: str = "config_id") -> DataFrame:
+    """Problems of many configurations, each with the settings that its own branch requires.
+
+    ``required``: path, is_duration, branch (NULL: in every branch); ``constants``: key, path, value.
+    The value at ``branch_path`` must be one of ``branches``, as it stands; else that is a problem of
+    its own, and only what every branch requires is looked for. A configuration is known by any of
+    its rows. Required settings are a page, so a configuration's rows are as many.
+    """
+    chosen = constants.groupBy(key).agg(F.max(F.when(F.col("path") == branch_path, F.col("value"))).alias("chosen"))
+    known = F.coalesce(F.col("chosen").isin(*branches), F.lit(False))
+    # One row holds the page; a configuration takes its settings out of it.
+    page = required.groupBy().agg(F.collect_list(F.struct("path", "is_duration", "branch")).alias("page"))
+    mine = F.filter("page", lambda r: r["branch"].isNull() | (known & (r["branch"] == F.col("chosen"))))
+    wanted = chosen.join(F.broadcast(page)).select(key, F.explode(mine).alias("r")).select(key, "r.path", "r.is_duration")
+    found = find_unset(wanted, constants, (key, "path")).select(key, "path", "problem")
+    wrong = chosen.where(~known).select(key, F.lit(branch_path).alias("path"), F.lit("not a branch").alias("problem"))
+    return found.where(F.col("path") != branch_path).unionByName(wrong)

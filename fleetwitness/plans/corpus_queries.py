@@ -411,3 +411,23 @@ def find_unset(t):
     value = F.when(F.col("st") == "P", "PLACEHOLDER").when(F.col("st") == "O", "soon").when(F.col("n") > 1, "45m").otherwise(" ")
     constants = seen.select(F.concat(F.lit("bench."), F.col("o_custkey")).alias("path"), value.alias("value"))
     return catalog.find_unset(required, constants).select("path", "problem")
+
+
+@query(
+    "f8_branch_problems",
+    """WITH c AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'A' WHEN 'MACHINERY' THEN 'B' WHEN 'FURNITURE' THEN 'b' END AS mode,
+      CASE WHEN c_nationkey % 3 = 0 THEN '45m' WHEN c_nationkey % 3 = 1 THEN 'soon' END AS bound, CASE WHEN c_acctbal > 0 THEN 'x' ELSE ' ' END AS variant FROM customer)
+    SELECT c_custkey AS config_id, 'mode' AS path, 'not a branch' AS problem FROM c WHERE mode IS NULL OR mode = 'b'
+    UNION ALL SELECT c_custkey, 'limit', CASE WHEN bound IS NULL THEN 'unset' ELSE 'not a duration' END FROM c WHERE bound IS NULL OR bound = 'soon'
+    UNION ALL SELECT c_custkey, 'variant', 'unset' FROM c WHERE mode = 'B' AND variant = ' '""",
+)
+def branch_problems(t):
+    """A customer is a configuration; its segment names the branch, which asks for a variant in one case."""
+    segment, nation = F.col("c_mktsegment"), F.col("c_nationkey") % 3
+    mode = F.when(segment == "BUILDING", "A").when(segment == "MACHINERY", "B").when(segment == "FURNITURE", "b")
+    bound = F.when(nation == 0, "45m").when(nation == 1, "soon")
+    entries = [("mode", mode), ("limit", bound), ("variant", F.when(F.col("c_acctbal") > 0, "x").otherwise(" "))]
+    pairs = F.array(*[F.struct(F.lit(path).alias("path"), value.alias("value")) for path, value in entries])
+    constants = t.customer.select(F.col("c_custkey").alias("config_id"), F.explode(pairs).alias("p")).select("config_id", "p.path", "p.value")
+    required = t.rows("path STRING, is_duration BOOLEAN, branch STRING", ("mode", False, None), ("limit", True, None), ("variant", False, "B"))
+    return catalog.branch_problems(required, constants, "mode", ["A", "B"])

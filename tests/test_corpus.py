@@ -125,6 +125,16 @@ def test_required_settings(spark):
     assert out == {"c": "not a duration", "d": "unset", "e": "unset"}
 
 
+def test_settings_by_branch(spark):
+    """A branch asks for its own settings; no branch, or another word, is a problem itself."""
+    required = table(spark, "path STRING, is_duration BOOLEAN, branch STRING", [("mode", False, None), ("wait", True, None), ("pump", False, "wet")])
+    rows = [(1, "mode", "dry"), (1, "wait", "9s"), (2, "mode", "wet"), (2, "wait", "9s"), (3, "mode", "damp"), (4, "wait", "long"), (5, "mode", "wet"), (5, "wait", "9"), (5, "pump", "on")]
+    out = catalog.branch_problems(required, table(spark, "config_id INT, path STRING, value STRING", rows), "mode", ["dry", "wet"])
+    assert sorted((r.config_id, r.path, r.problem) for r in out.collect()) == [
+        (2, "pump", "unset"), (3, "mode", "not a branch"), (3, "wait", "unset"), (4, "mode", "not a branch"), (4, "wait", "not a duration"),
+    ]
+
+
 def test_scalars(spark):
     df = spark.range(1)
     one = lambda c: df.select(c).first()[0]
