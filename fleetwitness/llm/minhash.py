@@ -6,9 +6,10 @@ tree and level; two similar sets take the same branch with a probability equal t
 similarity. A small node is compared exhaustively by the minima of its classes; of a large one
 all classes are compared with one of them, and unless that joins them up, it branches on. Nodes
 that stay large and apart to the last level are compared exhaustively in blocks. What is likely
-to be similar, over all trees, forms clusters; inside these the full sets decide, each set
-moving once. A task gives a spanning forest of what it finds, so that a crowd of near copies
-costs links in proportion to its size.
+to be similar, over all trees, forms clusters; inside these the full sets decide. Rows of the
+trees hold numbers of classes; one byte of each minimum joins them where classes are compared. A
+task gives a spanning forest of what it finds, and in a crowd only those meet all others that its
+pivots have not joined up, so that a crowd of near copies costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ SMALL_NODE = 512
 SLACK = 0.14
 #: Columns of the membership matrix at a time.
 COLUMNS = 4096
+#: Classes of a large cluster with which all its classes are compared before blocks meet.
+PIVOTS = 4
+#: Sets of pivots up to so many bytes are sent to all tasks, so that the other sets need not move.
+PIVOT_BYTES = 16 << 20
 
 
 def trees_for(percent: int) -> int:
@@ -64,14 +69,15 @@ def minima(members: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``id, key, n, minima, nodes``: the key names the shingle set, nodes are those of the first level."""
+    """``id, key, n, minima, nodes, signature``: the key names the shingle set, nodes are those of the
+    first level, the signature has the last byte of each minimum."""
     trees, levels, functions = trees_for(percent), LEVELS, functions_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(WORD)
         multipliers = _multipliers(functions)
         for batch in batches:
-            keys, counts, lows, nodes = [], [], [], []
+            keys, counts, lows, nodes, signs = [], [], [], [], []
             for text in batch.column("text"):
                 members = np.unique(shingles(word_hashes(text.as_py()), size))
                 low = minima(members, multipliers)
@@ -80,16 +86,17 @@ def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 lows.append(low.tobytes())
                 first = low[: trees * levels : levels].astype(np.uint64) + (np.arange(trees, dtype=np.uint64) << np.uint64(32))
                 nodes.append(mix(first).astype(np.int64))
+                signs.append(low.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(lows, pa.binary()),
-                    pa.array(nodes, pa.list_(pa.int64())),
+                    pa.array(nodes, pa.list_(pa.int64())), pa.array(signs, pa.binary()),
                 ],
-                names=["id", "key", "n", "minima", "nodes"],
+                names=["id", "key", "n", "minima", "nodes", "signature"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, key binary, n bigint, minima binary, nodes array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, key binary, n bigint, minima binary, nodes array<bigint>, signature binary")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -110,19 +117,19 @@ def _need(percent: int) -> int:
     return max(1, int(functions_for(percent) * (percent / 100 - SLACK)))
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose minima agree often enough."""
     need, functions = _need(percent), functions_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, functions) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, functions) for c in ("x", "y"))
             mask = pa.array((x == y).sum(axis=1) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
-    left = sketches.select(F.col("key").alias("a"), F.col("minima").alias("x"))
-    right = sketches.select(F.col("key").alias("b"), F.col("minima").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    left = signatures.select(F.col("c").alias("a"), F.col("signature").alias("x"))
+    right = signatures.select(F.col("c").alias("b"), F.col("signature").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -152,7 +159,7 @@ def _and_none(items: Iterator) -> Iterator:
     yield None
 
 
-def _forest(keys: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def _forest(keys: list[int], left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
     """Links enough to connect what the links (by position) connect."""
     parent, a, b = list(range(len(keys))), [], []
 
@@ -176,11 +183,11 @@ def _links_in_groups(rows: DataFrame, by: list[str], links_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, by):
-            a, b = _forest(group.column("key").to_pylist(), *links_of(group))
+            a, b = _forest(group.column("c").to_pylist(), *links_of(group))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint")
 
 
 def _likely_in(percent: int):
@@ -188,7 +195,7 @@ def _likely_in(percent: int):
     need, functions = _need(percent), functions_for(percent)
 
     def links_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        lows = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint32).reshape(group.num_rows, functions)
+        lows = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(group.num_rows, functions)
         sizes, left, right = group.column("n").to_numpy(), [], []
         for i in range(len(sizes) - 1):
             later = sizes[i + 1 :]
@@ -233,81 +240,140 @@ def _similar_in(percent: int):
 def _in_nodes(steps: Steps, rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows of nodes that hold more than one class, with the number of ``rows`` and a ``pivot``.
 
-    ``rows``: tree, node, key, n. The pivot depends on the tree."""
-    first = F.min(F.struct(F.xxhash64("tree", "key").alias("h"), F.col("key")))
+    ``rows``: tree, node, c, n. The pivot depends on the tree."""
+    first = F.min(F.struct(F.xxhash64("tree", "c").alias("h"), F.col("c")))
     nodes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), first.alias("first")).where("rows > 1")
-    nodes = steps.keep(nodes.select(*by, "rows", F.col("first.key").alias("pivot")), "nodes")
+    nodes = steps.keep(nodes.select(*by, "rows", F.col("first.c").alias("pivot")), "nodes")
     inside = steps.keep(rows.join(nodes, by), "inside")
     steps.drop("nodes")
     return inside
 
 
-def likely_links(sketch: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def likely_links(classes: DataFrame, percent: int) -> DataFrame:
     """``a, b``: a forest that connects classes whose minima agree, found in the nodes of the trees."""
     steps, by = Steps(classes.sparkSession), ["tree", "node"]
-    inside = _in_nodes(steps, classes.select(F.posexplode("nodes").alias("tree", "node"), "key", "n"), by)
-    sketches = sketch.select("key", "minima").join(inside.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sketches = steps.keep(sketches, "sketches")
-    found = None
+    inside = _in_nodes(steps, classes.select(F.posexplode("nodes").alias("tree", "node"), "c", "n"), by)
+    signatures = classes.select("c", "signature")
+    found = []
     for level in range(LEVELS):
-        small = inside.where(F.col("rows") <= SMALL_NODE).select(*by, "key", "n").join(sketches, "key")
-        large = inside.where((F.col("rows") > SMALL_NODE) & (F.col("key") != F.col("pivot")))
-        star = large.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        small = inside.where(F.col("rows") <= SMALL_NODE).select(*by, "c", "n").join(signatures, "c")
+        large = inside.where((F.col("rows") > SMALL_NODE) & (F.col("c") != F.col("pivot")))
         more = bool(large.take(1))
         new = _links_in_groups(small, by, _likely_in(percent))
         if more:
-            new = new.unionByName(_likely(star, sketches, percent))
-        found = stored(new if found is None else found.unionByName(new), "cps-likely")
+            star = large.select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b")).distinct()
+            new = new.unionByName(_likely(star, signatures, percent))
+        found.append(stored(new, "cps-likely"))
         if not more:
             break
-        roots = components(found).withColumnRenamed("node", "key")
-        whole = inside.where(F.col("rows") > SMALL_NODE).select(*by, "key", "n", "rows").join(roots, "key", "left")
-        whole = steps.keep(whole.withColumn("root", F.coalesce("root", "key")), "whole")
+        roots = components(_all(found)).withColumnRenamed("node", "c")
+        whole = inside.where(F.col("rows") > SMALL_NODE).select(*by, "c", "n").join(roots, "c", "left")
+        whole = steps.keep(whole.withColumn("root", F.coalesce("root", "c")), "whole")
         apart = whole.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*by)
         apart = steps.keep(apart, "apart")
         if not apart.take(1):
             break
-        rest = steps.keep(whole.join(apart, by).select(*by, "key", "n", "rows").join(sketches, "key"), "rest")
+        rest = steps.keep(whole.join(apart, by), "rest")
         steps.drop("inside", "whole", "apart")
         if level == LEVELS - 1:
-            blocks = _blocks(rest, by)
-            found = stored(found.unionByName(_links_in_groups(blocks, [*by, "i", "j"], _likely_in(percent))), "cps-likely")
+            blocks = _blocks(rest.join(signatures, "c"), by)
+            found.append(stored(_links_in_groups(blocks, [*by, "i", "j"], _likely_in(percent)), "cps-likely"))
             break
         low = F.substring(F.col("minima"), (F.col("tree") * LEVELS + level + 1) * 4 + 1, F.lit(4))
-        inside = _in_nodes(steps, rest.select("tree", F.xxhash64("node", low).alias("node"), "key", "n"), by)
+        branched = rest.join(classes.select("c", "minima"), "c").select("tree", F.xxhash64("node", low).alias("node"), "c", "n")
+        inside = _in_nodes(steps, branched, by)
         steps.drop("rest")
-    steps.drop("inside", "whole", "apart", "rest", "sketches")
-    return found
+    steps.drop("inside", "whole", "apart", "rest")
+    return _all(found)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def _pivot_links(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the links of the classes of each cluster ``root`` with its pivots, confirmed on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            columns = [batch.column(c).to_pylist() for c in ("c", "members", "pivot", "pivot_members")]
+            for c, members, pivot, pivot_members in zip(*columns, strict=True):
+                x, y = np.frombuffer(members, np.uint64), np.frombuffer(pivot_members, np.uint64)
+                # Both are sorted sets: every place of x in y that holds the same hash is a shared one.
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(c)
+                    b.append(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rank = F.struct(F.xxhash64("c").alias("h"), F.col("c"))
+    tops = rows.groupBy("root").agg(F.min(rank).alias("p0"))
+    for k in range(1, PIVOTS):
+        names = [f"p{i}" for i in range(k)]
+        later = rows.join(tops, "root").where(rank > F.col(f"p{k - 1}")).groupBy("root").agg(F.min(rank).alias(f"p{k}"))
+        tops = tops.join(later, "root", "left").select("root", *names, f"p{k}")
+    picked = tops.select("root", F.explode(F.array(*[F.col(f"p{k}.c") for k in range(PIVOTS)])).alias("pivot")).where("pivot IS NOT NULL")
+    sets = rows.select(F.col("c").alias("pivot"), F.col("members").alias("pivot_members"))
+    steps = Steps(rows.sparkSession)
+    picked = steps.keep(sets.join(picked, "pivot"), "pivots")
+    size = picked.agg(F.sum(F.length("pivot_members"))).first()[0] or 0
+    met = rows.join(F.broadcast(picked) if size <= PIVOT_BYTES else picked, "root").where("c <> pivot")
+    links = stored(met.select("c", "members", "pivot", "pivot_members").mapInArrow(run, "a bigint, b bigint"), "cps-pivot-links")
+    steps.drop("pivots")
+    return links
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, likely: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: a forest of the links that the full sets confirm, inside the clusters of likely ones."""
+    """``a, b``: a forest of the links that the full sets confirm, inside the clusters of likely ones.
+
+    Classes of a large cluster are compared with its pivots first; what these do not join up
+    meets all others of its cluster in blocks."""
     steps = Steps(docs.sparkSession)
-    clusters = components(likely).withColumnRenamed("node", "key")
-    wanted = steps.keep(clusters.join(classes.select("key", "id"), "key"), "wanted")
+    clusters = components(likely).withColumnRenamed("node", "c")
+    wanted = steps.keep(clusters.join(classes.select("c", "key", "id"), "c"), "wanted")
     ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
     sets = _sets(docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi"), size)
     counts = steps.keep(wanted.groupBy("root").agg(F.count(F.lit(1)).alias("rows")), "counts")
-    sized = steps.keep(wanted.select("key", "root").join(counts, "root"), "sized")
-    rows = steps.keep(sets.join(sized, "key").dropDuplicates(["key"]), "members")
-    small = rows.where(F.col("rows") <= SMALL_NODE)
-    links = _links_in_groups(small, ["root"], _similar_in(percent))
-    if rows.where(F.col("rows") > SMALL_NODE).take(1):
-        blocks = _blocks(rows.where(F.col("rows") > SMALL_NODE), ["root"])
-        links = links.unionByName(_links_in_groups(blocks, ["root", "i", "j"], _similar_in(percent)))
-    links = stored(links, "cps-links")
+    sized = steps.keep(wanted.select("key", "c", "root").join(counts, "root"), "sized")
+    rows = steps.keep(sets.join(sized, "key").dropDuplicates(["key"]).drop("key"), "members")
+    found = [stored(_links_in_groups(rows.where(F.col("rows") <= SMALL_NODE), ["root"], _similar_in(percent)), "cps-links")]
+    large = rows.where(F.col("rows") > SMALL_NODE).drop("rows")
+    if large.take(1):
+        found.append(_pivot_links(large, percent))
+        joined = components(found[-1]).toDF("c", "joined")
+        spread = large.withColumnRenamed("root", "cluster").join(joined, "c", "left")
+        spread = spread.withColumn("root", F.coalesce("joined", "c")).drop("joined")
+        blocks = _blocks(spread, ["cluster"])
+        found.append(stored(_links_in_groups(blocks, ["cluster", "i", "j"], _similar_in(percent)), "cps-links"))
     steps.drop("wanted", "counts", "sized", "members")
-    return links
+    return _all(found)
 
 
 def _blocks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of groups of ``by`` dealt into pairs of blocks ``i, j`` of bounded size: each block
-    meets itself and every other block of its group in a group of its own."""
-    blocks = F.ceil(F.col("rows") * 2 / SMALL_NODE).cast("int")
-    block = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    spread = rows.withColumn("block", block).select("*", other)
-    return spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "rows")
+    """The rows of groups of ``by`` dealt into pairs of blocks ``i, j`` of bounded size.
+
+    ``root`` says what is joined up already. The rows of the largest root of a group do not meet
+    each other again; each block of the others meets itself and every other block of its group in a
+    group of its own. Groups that are one root give no rows."""
+    of_root = rows.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("n_root"))
+    held = of_root.groupBy(*by).agg(F.max(F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("n_all"))
+    per_block = lambda n: F.ceil(n * 2 / SMALL_NODE).cast("int")
+    held = held.select(
+        *by, F.col("main.root").alias("main"), per_block(F.col("n_all") - F.col("main.n_root")).alias("loose"),
+        per_block(F.col("main.n_root")).alias("firm"),
+    ).where("loose > 0")
+    hashed, is_main = F.xxhash64("c"), F.col("root") == F.col("main")
+    block = F.when(is_main, F.col("loose") + F.pmod(hashed, F.col("firm"))).otherwise(F.pmod(hashed, F.col("loose")))
+    last = F.when(is_main, F.col("loose")).otherwise(F.col("loose") + F.col("firm")) - 1
+    dealt = rows.join(held, by).withColumn("block", block.cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    marked = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return marked.drop("block", "other", "root", "main", "loose", "firm")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,16 +392,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     steps = Steps(docs.sparkSession)
     sketch = steps.keep(_sketch(docs, size, percent), "sketch")
-    classes = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
-    classes = steps.keep(classes, "classes")
+    same = [F.first(c).alias(c) for c in ("n", "minima", "nodes", "signature")]
+    classes = sketch.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), *same)
+    # The numbers of classes are those in the table that is written.
+    classes = steps.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     rows = stored(sketch.select("id", "key", "n"), "cps-rows")
-    likely = likely_links(sketch.where("n > 0"), classes, percent)
-    roots = components(confirmed_links(docs, classes, likely, size, percent))
-    owned = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    steps.drop("sketch")
+    roots = components(confirmed_links(docs, classes, likely_links(classes, percent), size, percent))
+    owned = classes.select("c", "key", "id").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     owned = steps.keep(owned, "owned")
     smallest = steps.keep(owned.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     named = stored(owned.join(smallest, "root").select("key", "component_id"), "cps-named")
-    steps.drop("sketch", "classes", "owned", "smallest")
+    steps.drop("classes", "owned", "smallest")
     with_set = rows.where("n > 0").join(named, "key").select("id", "n", "component_id")
     without = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return with_set.unionByName(without).select(

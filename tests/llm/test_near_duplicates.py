@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetwitness.llm import embed_dedup, minhash
 
@@ -165,3 +166,20 @@ def test_passes_grow_slowly():
     assert embed_dedup.passes_for(100, 0.9, 0.99)[0] <= 3
     few, many = embed_dedup.passes_for(10**5, 0.9, 0.99), embed_dedup.passes_for(10**7, 0.9, 0.99)
     assert few[0] < many[0] < 20 * few[0] and many[1] == few[1] + 7
+
+
+@pytest.mark.parametrize("strangers", [0, 5])
+def test_dealt_rows_grow_with_the_crowd(spark, strangers):
+    """What a pivot has joined up does not meet itself again: rows dealt are in proportion to the crowd."""
+    dealt = []
+    for crowd in (1000, 2000, 4000):
+        rows = spark.range(crowd + strangers).select(
+            F.lit(0).alias("cluster"), F.col("id").alias("c"), F.when(F.col("id") < crowd, F.lit(0)).otherwise(F.col("id")).alias("root")
+        )
+        blocks = minhash._blocks(rows, ["cluster"])
+        dealt.append(blocks.count())
+        if strangers:
+            meet = blocks.alias("x").join(blocks.alias("y"), ["cluster", "i", "j"]).where(f"x.c >= {crowd} AND x.c <> y.c")
+            assert meet.select("x.c", "y.c").distinct().count() == strangers * (crowd + strangers - 1)
+    assert dealt[2] <= 4.2 * dealt[0]
+    assert bool(dealt[0]) == bool(strangers)
