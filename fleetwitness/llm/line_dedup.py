@@ -2,8 +2,9 @@
 
 A line is the set of its tokens, put in order of rarity. Two similar sets share a token in
 their first few places (prefix filter), have sizes that allow the similarity (length filter),
-and enough places behind the shared token (positional filter). What passes, and whose 128 bits leave room for
-the overlap, is verified on the full sets. Rarity comes from counts over all lines, by hash of the token; any fixed order gives
+and enough places behind the shared token (positional filter). Lines are named by 128 bits of their text and collapsed
+to one row each, which is numbered, before their tokens are spread. What passes, and whose bits leave
+room for the overlap, is verified on the full sets. Rarity comes from counts over all lines, by hash of the token; any fixed order gives
 right results, a good one gives few candidates. All of it is column expressions and joins.
 """
 
@@ -24,9 +25,10 @@ FEW_LINES = 500_000
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, line, text, sid``: the lines between U+000A, numbered from 0, with their hash."""
+    """``id, line, text, sid, sid2``: the lines between U+000A, numbered from 0, with 128 bits of hash."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(whole_text(text_col), "\n")).alias("line", "text"))
-    return lines.withColumn("sid", F.xxhash64("text"))
+    # The second hash starts from another seed, so it does not follow from the first.
+    return lines.withColumns({"sid": F.xxhash64("text"), "sid2": F.xxhash64(F.lit("line"), F.col("text"))})
 
 
 def token_hashes(text: Column) -> Column:
@@ -45,16 +47,14 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def bits_of(part: int) -> Column:
-    """64 of the 128 bits that the tokens of a line set, by their hashes."""
-    return F.expr(
-        f"aggregate(tokens, 0L, (a, h) -> a | CASE WHEN (h & 64) = {64 * part} THEN shiftleft(1L, cast(h & 63 AS INT)) ELSE 0L END)"
-    )
+def bits_of(tokens: str) -> Column:
+    """The 64 bits that the tokens of a line set, by their hashes."""
+    return F.expr(f"aggregate({tokens}, 0L, (a, h) -> a | shiftleft(1L, cast(h & 63 AS INT)))")
 
 
 def _missing(a: str, b: str) -> Column:
     """At least so many tokens of a are not in b: the bits that b has not set."""
-    return sum((F.bit_count(F.expr(f"{a}_bits{k} & ~{b}_bits{k}")) for k in (0, 1)), F.lit(0))
+    return F.bit_count(F.expr(f"{a}_bits & ~{b}_bits"))
 
 
 def _needed(n: Column, share: str) -> Column:
@@ -74,57 +74,59 @@ def near_lines(
     Lines without tokens are linked with nothing and kept. Null text is one empty line. Null ids
     come after all others; equal rows are in an order of no consequence, as they hold the same
     lines: all but one of them are removed where the ids differ, none where id and line number
-    are the same. An empty table gives an empty result. Copies of a line are collapsed before the
-    join: the most frequent ones in the scan, the others behind the shuffle.
+    are the same. An empty table gives an empty result. Columns other than these two are not
+    read, whatever their names. Copies of a line are collapsed before the join, by partial aggregation.
     """
+    steps = Steps(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
     at = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("line"))
-    firsts = stored(lines.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("at")), "line-firsts")
-    total = firsts.agg(F.sum("copies")).first()[0] or 0
-    hot = firsts.where(F.col("copies") * HOT_SHARE > total).select(F.col("sid").alias("hot_sid"), F.col("at").alias("hot_at"))
-    one_each = lines.join(F.broadcast(hot), F.col("sid") == F.col("hot_sid"), "left").where(
-        F.col("hot_sid").isNull() | F.col("hot_at").eqNullSafe(at)
-    )
+    named = lines.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("at"), F.first("text").alias("text"))
+    tokens = token_hashes(F.col("text"))
+    # The numbers of lines are those in the table that is written.
+    firsts = steps.keep(named.select(F.monotonically_increasing_id().alias("c"), "sid", "sid2", "copies", "at", tokens.alias("tokens")), "line-firsts")
     table = rarity(lines)
     # Rare first; the low bits of the hash order tokens of equal rarity.
     key = lambda h: F.shiftleft(F.element_at(table, (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    sets = one_each.select("sid", token_hashes(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    ordered = sets.select("sid", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"))
+    sets = firsts.where("size(tokens) > 0")
+    ordered = sets.select("c", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"), bits_of("tokens").alias("bits"))
     probe = _needed(F.col("n"), f"ceil(n * {percent} / 100)")
-    rows = ordered.select("sid", "n", F.posexplode(F.slice("keys", 1, probe)).alias("place", "key"))
-    rows = rows.repartition("key").dropDuplicates(["key", "sid"])
-    x = rows.select("key", F.col("sid").alias("x"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
-    # The smaller set of a pair is found by a shorter prefix.
-    index = _needed(F.col("n"), f"ceil(n * {2 * percent} / {100 + percent})")
-    y = rows.where(F.col("place") < index).select("key", F.col("sid").alias("y"), F.col("n").alias("y_n"), F.col("place").alias("y_place"))
+    rows = ordered.select("c", "n", "bits", F.posexplode(F.slice("keys", 1, probe)).alias("place", "key"))
+    # A token that was counted once is in no other line.
+    rows = rows.where(F.shiftright("key", 56) > 1)
+    # Both sides are the same rows, dealt once; the positional filter leaves the smaller set its shorter prefix.
+    side = lambda s: rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("c", "n", "place", "bits")])
     overlap = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))  # at most, from here on
     enough = lambda o: o * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") > F.col("y")))
-    pairs = x.join(y, "key").where(larger & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap))
-    # Bits of the sets bound the overlap from above; what passes is fetched in full.
-    steps = Steps(docs.sparkSession)
-    pairs = steps.keep(pairs.select("x", "y", "x_n", "y_n").distinct(), "pairs")
-    bits = steps.keep(sets.select("sid", bits_of(0).alias("bits0"), bits_of(1).alias("bits1")).dropDuplicates(["sid"]), "bits")
-    named = lambda side: bits.select(F.col("sid").alias(side), *[F.col(f"bits{k}").alias(f"{side}_bits{k}") for k in (0, 1)])
+    larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_c") > F.col("y_c")))
     most = F.least(F.col("x_n") - _missing("x", "y"), F.col("y_n") - _missing("y", "x"))
-    pairs = stored(pairs.join(named("x"), "x").join(named("y"), "y").where(enough(most)).select("x", "y", "x_n", "y_n"), "line-pairs")
-    steps.drop("pairs", "bits")
-    wanted = stored(pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct(), "line-wanted")
-    if wanted.count() <= FEW_LINES:
-        wanted = F.broadcast(wanted)
-    full = stored(
-        one_each.join(wanted, "sid").select("sid", token_hashes(F.col("text")).alias("tokens")).dropDuplicates(["sid"]), "line-sets"
+    met = side("x").join(side("y"), "key").where(
+        larger & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap) & enough(most)
     )
-    checked = pairs.join(full.select(F.col("sid").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
-        full.select(F.col("sid").alias("y"), F.col("tokens").alias("y_tokens")), "y"
+    pairs = steps.keep(met.select(F.col("x_c").alias("x"), F.col("y_c").alias("y"), "x_n", "y_n").distinct(), "line-pairs")
+    wanted = steps.keep(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct(), "line-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
+    full = steps.keep(sets.join(few, "c").select("c", "tokens"), "line-sets")
+    checked = pairs.join(full.select(F.col("c").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
+        full.select(F.col("c").alias("y"), F.col("tokens").alias("y_tokens")), "y"
     )
-    links = stored(checked.where(enough(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("x", "y"), "line-links")
+    links = steps.keep(checked.where(enough(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("x", "y"), "line-links")
+    steps.drop("line-pairs", "line-wanted", "line-sets")
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    nearest = both.join(firsts.select(F.col("sid").alias("y"), "at"), "y").groupBy("x").agg(F.min("at").alias("other"))
-    earliest = firsts.join(nearest.withColumnRenamed("x", "sid"), "sid", "left").select("sid", F.least("at", "other").alias("first"))
-    earliest = stored(earliest, "line-earliest")
+    nearest = both.join(firsts.select(F.col("c").alias("y"), "at"), "y").groupBy("x").agg(F.min("at").alias("other"))
+    earliest = firsts.select("c", "sid", "sid2", "copies", "at").join(nearest.withColumnRenamed("x", "c"), "c", "left")
+    earliest = stored(earliest.select("sid", "sid2", "copies", F.least("at", "other").alias("first")), "line-earliest")
+    steps.drop("line-firsts", "line-links")
+    # The most frequent lines are answered where they are read; their rows carry keys that nothing meets.
+    total = earliest.agg(F.sum("copies")).first()[0] or 0
+    hot = earliest.where(F.col("copies") * HOT_SHARE > total).select("sid", "sid2", F.col("first").alias("hot_first"))
     blank = F.col("text").rlike("^ *$")
-    placed = lines.select("id", "line", "sid", blank.alias("blank")).join(earliest, "sid")
+    placed = lines.select("id", "line", "sid", "sid2", blank.alias("blank")).join(F.broadcast(hot), ["sid", "sid2"], "left")
+    is_hot = F.col("hot_first").isNotNull()
+    placed = placed.select(
+        "id", "line", "blank", "hot_first", F.when(is_hot, F.xxhash64("id", "line")).otherwise(F.col("sid")).alias("sid"),
+        F.when(~is_hot, F.col("sid2")).alias("sid2"),
+    )
+    placed = placed.join(earliest.select("sid", "sid2", "first"), ["sid", "sid2"], "left").withColumn("first", F.coalesce("hot_first", "first"))
     own = F.struct(F.col("id").alias("id"), F.col("line").alias("line"))
     first = F.when(F.col("blank"), own).otherwise(F.struct(F.col("first.id").alias("id"), F.col("first.line").alias("line")))
     return placed.select("id", "line", first.alias("f")).select(
