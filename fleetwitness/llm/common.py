@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -53,6 +54,12 @@ class Steps:
                 folder = jvm.org.apache.hadoop.fs.Path(path)
                 folder.getFileSystem(conf).delete(folder, True)
 
+    def tidy(self) -> None:
+        """Let Spark remove the shuffles of steps that are written: it does so when the driver has
+        collected their plans, which may otherwise take until the end of the operator."""
+        gc.collect()
+        self.spark.sparkContext._jvm.java.lang.System.gc()
+
 
 def whole_text(name: str) -> Column:
     """A text column with null read as empty."""

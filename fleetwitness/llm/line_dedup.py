@@ -47,14 +47,16 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
-def bits_of(tokens: str) -> Column:
-    """The 64 bits that the tokens of a line set, by their hashes."""
-    return F.expr(f"aggregate({tokens}, 0L, (a, h) -> a | shiftleft(1L, cast(h & 63 AS INT)))")
+def bits_of(part: int) -> Column:
+    """64 of the 128 bits that the tokens of a line set, by their hashes."""
+    return F.expr(
+        f"aggregate(tokens, 0L, (a, h) -> a | CASE WHEN (h & 64) = {64 * part} THEN shiftleft(1L, cast(h & 63 AS INT)) ELSE 0L END)"
+    )
 
 
 def _missing(a: str, b: str) -> Column:
     """At least so many tokens of a are not in b: the bits that b has not set."""
-    return F.bit_count(F.expr(f"{a}_bits & ~{b}_bits"))
+    return sum((F.bit_count(F.expr(f"{a}_bits{k} & ~{b}_bits{k}")) for k in (0, 1)), F.lit(0))
 
 
 def _needed(n: Column, share: str) -> Column:
@@ -84,17 +86,18 @@ def near_lines(
     tokens = token_hashes(F.col("text"))
     # The numbers of lines are those in the table that is written.
     firsts = steps.keep(named.select(F.monotonically_increasing_id().alias("c"), "sid", "sid2", "copies", "at", tokens.alias("tokens")), "line-firsts")
+    steps.tidy()
     table = rarity(lines)
     # Rare first; the low bits of the hash order tokens of equal rarity.
     key = lambda h: F.shiftleft(F.element_at(table, (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     sets = firsts.where("size(tokens) > 0")
-    ordered = sets.select("c", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"), bits_of("tokens").alias("bits"))
+    ordered = sets.select("c", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"), *[bits_of(k).alias(f"bits{k}") for k in (0, 1)])
     probe = _needed(F.col("n"), f"ceil(n * {percent} / 100)")
-    rows = ordered.select("c", "n", "bits", F.posexplode(F.slice("keys", 1, probe)).alias("place", "key"))
+    rows = ordered.select("c", "n", "bits0", "bits1", F.posexplode(F.slice("keys", 1, probe)).alias("place", "key"))
     # A token that was counted once is in no other line.
     rows = rows.where(F.shiftright("key", 56) > 1)
     # Both sides are the same rows, dealt once; the positional filter leaves the smaller set its shorter prefix.
-    side = lambda s: rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("c", "n", "place", "bits")])
+    side = lambda s: rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("c", "n", "place", "bits0", "bits1")])
     overlap = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))  # at most, from here on
     enough = lambda o: o * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_c") > F.col("y_c")))
@@ -103,6 +106,7 @@ def near_lines(
         larger & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap) & enough(most)
     )
     pairs = steps.keep(met.select(F.col("x_c").alias("x"), F.col("y_c").alias("y"), "x_n", "y_n").distinct(), "line-pairs")
+    steps.tidy()
     wanted = steps.keep(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct(), "line-wanted")
     few = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
     full = steps.keep(sets.join(few, "c").select("c", "tokens"), "line-sets")
@@ -111,11 +115,13 @@ def near_lines(
     )
     links = steps.keep(checked.where(enough(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("x", "y"), "line-links")
     steps.drop("line-pairs", "line-wanted", "line-sets")
+    steps.tidy()
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     nearest = both.join(firsts.select(F.col("c").alias("y"), "at"), "y").groupBy("x").agg(F.min("at").alias("other"))
     earliest = firsts.select("c", "sid", "sid2", "copies", "at").join(nearest.withColumnRenamed("x", "c"), "c", "left")
     earliest = stored(earliest.select("sid", "sid2", "copies", F.least("at", "other").alias("first")), "line-earliest")
     steps.drop("line-firsts", "line-links")
+    steps.tidy()
     # The most frequent lines are answered where they are read; their rows carry keys that nothing meets.
     total = earliest.agg(F.sum("copies")).first()[0] or 0
     hot = earliest.where(F.col("copies") * HOT_SHARE > total).select("sid", "sid2", F.col("first").alias("hot_first"))
