@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -31,19 +30,31 @@ def reach_package(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+#: Spark's setting that removes the shuffles of an execution at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Steps:
     """Tables between the steps of one operator, dropped when nothing to come reads them.
 
     ``keep`` writes a table like ``stored``; ``drop`` deletes tables whose every reader has been
-    written itself by then.
+    written itself by then. With ``tidy`` Spark removes the shuffles of a step when its table is
+    written, which otherwise happens when the driver collects its plans.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, tidy: bool = False) -> None:
+        self.spark, self.paths, self.tidy = spark, {}, tidy
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        if self.tidy:
+            self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(CLEAN_UP, before)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -54,12 +65,6 @@ class Steps:
                 folder = jvm.org.apache.hadoop.fs.Path(path)
                 folder.getFileSystem(conf).delete(folder, True)
 
-    def tidy(self) -> None:
-        """Let Spark remove the shuffles of steps that are written: it does so when the driver has
-        collected their plans, which may otherwise take until the end of the operator."""
-        gc.collect()
-        self.spark.sparkContext._jvm.java.lang.System.gc()
-
 
 def whole_text(name: str) -> Column:
     """A text column with null read as empty."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwitness.llm.common import Steps, stored, whole_text
+from fleetwitness.llm.common import Steps, whole_text
 
 #: Counters of token hashes; the rarity table has this many entries however many tokens there are.
 COUNTERS = 1 << 16
@@ -79,18 +79,16 @@ def near_lines(
     are the same. An empty table gives an empty result. Columns other than these two are not
     read, whatever their names. Copies of a line are collapsed before the join, by partial aggregation.
     """
-    steps = Steps(docs.sparkSession)
+    steps = Steps(docs.sparkSession, tidy=True)
     lines = lines_of(docs, id_col, text_col)
     at = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("line"))
     named = lines.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("at"), F.first("text").alias("text"))
-    tokens = token_hashes(F.col("text"))
     # The numbers of lines are those in the table that is written.
-    firsts = steps.keep(named.select(F.monotonically_increasing_id().alias("c"), "sid", "sid2", "copies", "at", tokens.alias("tokens")), "line-firsts")
-    steps.tidy()
+    firsts = steps.keep(named.select(F.monotonically_increasing_id().alias("c"), "sid", "sid2", "copies", "at", "text"), "line-firsts")
     table = rarity(lines)
     # Rare first; the low bits of the hash order tokens of equal rarity.
     key = lambda h: F.shiftleft(F.element_at(table, (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    sets = firsts.where("size(tokens) > 0")
+    sets = firsts.select("c", token_hashes(F.col("text")).alias("tokens")).where("size(tokens) > 0")
     ordered = sets.select("c", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"), *[bits_of(k).alias(f"bits{k}") for k in (0, 1)])
     probe = _needed(F.col("n"), f"ceil(n * {percent} / 100)")
     rows = ordered.select("c", "n", "bits0", "bits1", F.posexplode(F.slice("keys", 1, probe)).alias("place", "key"))
@@ -106,22 +104,20 @@ def near_lines(
         larger & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap) & enough(most)
     )
     pairs = steps.keep(met.select(F.col("x_c").alias("x"), F.col("y_c").alias("y"), "x_n", "y_n").distinct(), "line-pairs")
-    steps.tidy()
     wanted = steps.keep(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct(), "line-wanted")
     few = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
-    full = steps.keep(sets.join(few, "c").select("c", "tokens"), "line-sets")
+    full = firsts.select("c", "text").join(few, "c").select("c", token_hashes(F.col("text")).alias("tokens"))
+    full = steps.keep(full, "line-sets")
     checked = pairs.join(full.select(F.col("c").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
         full.select(F.col("c").alias("y"), F.col("tokens").alias("y_tokens")), "y"
     )
     links = steps.keep(checked.where(enough(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("x", "y"), "line-links")
     steps.drop("line-pairs", "line-wanted", "line-sets")
-    steps.tidy()
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     nearest = both.join(firsts.select(F.col("c").alias("y"), "at"), "y").groupBy("x").agg(F.min("at").alias("other"))
     earliest = firsts.select("c", "sid", "sid2", "copies", "at").join(nearest.withColumnRenamed("x", "c"), "c", "left")
-    earliest = stored(earliest.select("sid", "sid2", "copies", F.least("at", "other").alias("first")), "line-earliest")
+    earliest = steps.keep(earliest.select("sid", "sid2", "copies", F.least("at", "other").alias("first")), "line-earliest")
     steps.drop("line-firsts", "line-links")
-    steps.tidy()
     # The most frequent lines are answered where they are read; their rows carry keys that nothing meets.
     total = earliest.agg(F.sum("copies")).first()[0] or 0
     hot = earliest.where(F.col("copies") * HOT_SHARE > total).select("sid", "sid2", F.col("first").alias("hot_first"))
