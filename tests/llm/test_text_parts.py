@@ -2,10 +2,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from docs_fixture import DOCS, words
 
 from fleetwitness.llm import line_dedup, substring_dedup
+from fleetwitness.llm.words import shingles, word_hashes
 
 
 def plan_of(frame):
@@ -78,6 +80,27 @@ def test_passages_like_brute_force(passages):
     assert not flagged[70] and not flagged[71] and not flagged[72]
 
 
+def test_windows_of_texts_in_a_row():
+    """Many texts at a time give the tokens of each alone, with one border behind each."""
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, n, 40)) for n in (3, 50, 49, 300, 51, 0, 1000, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc", "text"])
+    seen = {}
+    for docs, begins, tokens, border in substring_dedup._texts_in_a_row(batch, 50):
+        assert border.sum() == len(docs) and border[-1]
+        for doc, begin, end in zip(docs.tolist(), begins.tolist(), np.nonzero(border)[0].tolist(), strict=True):
+            seen[doc] = tokens[begin:end].tolist()
+    assert seen == {i: shingles(word_hashes(t), 5).tolist() for i, t in enumerate(texts) if len(t.split()) >= 50}
+
+
+def test_crowds_in_blocks_like_brute_force(passages, monkeypatch):
+    """Tokens of many classes: the first class, then blocks, cover what brute force does."""
+    monkeypatch.setattr(substring_dedup, "FEW_CLASSES", 1)
+    monkeypatch.setattr(substring_dedup, "CROWD", 4)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    test_passages_like_brute_force(passages)
+
+
 def test_one_copy_of_each_passage_stays(passages):
     cut = substring_dedup.remove_repeats(passages)
     assert cut.columns == passages.columns and cut.count() == passages.count()
