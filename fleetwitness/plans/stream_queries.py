@@ -2,7 +2,8 @@
 
 The stateful ones read the events in four rolled files, one per micro-batch, in which rows come up to
 fifty minutes out of order; the allowed delay is an hour, so none is too late. Their SQL twins see
-what the last watermark has passed.
+what the last watermark has passed; r4_stream_confirm and r8_late_reports close the stream, so that it
+passes everything.
 """
 
 from __future__ import annotations
@@ -50,19 +51,37 @@ DELAY = "1 hour"
 MARK_SQL = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {HOUR_US} FROM events)"
 
 
-def rolled_events(t):
-    """The events as a stream of rolled files, one per micro-batch, out of order within the delay."""
+#: Rows of a rolled file; a roll of more rows is several files, which make one micro-batch.
+FILE_ROWS = 500_000
+
+
+def rolled_events(t, close_after_us=None):
+    """The events as a stream of rolls, one per micro-batch, out of order within the delay.
+
+    With ``close_after_us`` the stream ends with a mark so long behind the last event: a command of no
+    device, which the watermark never passes, so that it passes all else.
+    """
     late = F.pmod(F.xxhash64("event_id"), F.lit(3000)) * 1_000_000
     arrival = micros(F.col("ts")) + late
     rows = t.events.withColumn("_arrival", arrival)
-    first, last = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+    first, last, n_rows, end = rows.agg(F.min("_arrival"), F.max("_arrival"), F.count(F.lit(1)), F.max(micros(F.col("ts")))).first()
     folder = scratch_path(t.spark, "rolled-events")
     width = ((last or 0) - (first or 0)) // ROLLED + 1
+    files = max(1, -(-n_rows // (ROLLED * FILE_ROWS)))
     for n in range(ROLLED):
         part = F.floor((F.col("_arrival") - F.lit(first)) / width) == n
+        roll = rows.where(part).drop("_arrival")
         # A file takes its place in the stream by its time of writing.
-        rows.where(part).drop("_arrival").coalesce(1).write.mode("append").parquet(folder)
-    return read_stream(t.spark, folder, t.events.schema, maxFilesPerTrigger=1)
+        (roll.coalesce(1) if files == 1 else roll.repartition(files, "event_id")).write.mode("append").parquet(folder)
+        # Parts without rows write no file; empty ones stand in, so that a micro-batch ends with its roll.
+        missing = files * (n + 1) - len(t.spark.read.schema(t.events.schema).parquet(folder).inputFiles())
+        for _ in range(missing):
+            t.events.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    if close_after_us is not None and end is not None:
+        mark = {"ts": F.timestamp_micros(F.lit(end + close_after_us)), "event_type": F.lit("click")}
+        columns = [mark.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in t.events.schema.fields]
+        t.spark.range(1).select(*columns).coalesce(1).write.mode("append").parquet(folder)
+    return read_stream(t.spark, folder, t.events.schema, maxFilesPerTrigger=files)
 
 
 def passed(sql):
@@ -171,7 +190,8 @@ def stream_verdicts(t):
         *[(s, *f) for s in ("weekday", "weekend") for f in ((0, "error:", "signup:"), (1, '"k": 13', None))],
     )
     rows = live.stream_verdicts(day_lines(rolled_events(t)), day_expectations(t, (":", ["k"])), DELAY, rules, keep="3 days")
-    return run_to_table(rows.select("run_id", "status", "reason", "failed_i", "forbidden_idx", "decided_after_us"), "r3v")
+    written = run_to_table(rows.select("run_id", "status", "reason", "failed_i", "forbidden_idx", "decided_after_us", "revision"), "r3v")
+    return live.last_revisions(written)
 
 
 #: Commands and reports share one watermark, which sees the events of these two types.

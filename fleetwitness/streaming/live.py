@@ -81,8 +81,14 @@ def tag_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     ).drop("exps", "forbs")
 
 
-def _keyed(rows: DataFrame, keys: Sequence[str], processor: InOrder, out: str | StructType, event_time: str = "") -> DataFrame:
-    return rows.groupBy(*keys).transformWithState(processor, out, "append", "eventTime", eventTimeColumnName=event_time)
+#: Keys are dealt into so many buckets; a checkpoint holds them, so the number stays.
+BUCKETS = 2048
+
+
+def _keyed(rows: DataFrame, processor: InOrder, out: str | StructType, event_time: str = "") -> DataFrame:
+    bucket = F.pmod(F.xxhash64(*processor.keys), F.lit(BUCKETS)).cast("int")
+    buckets = rows.withColumn("_bucket", bucket).groupBy("_bucket")
+    return buckets.transformWithState(processor, out, "append", "eventTime", eventTimeColumnName=event_time)
 
 
 def _fields(rows: DataFrame, *names: str) -> StructType:
@@ -119,8 +125,8 @@ def stream_anchored(
         F.to_json(F.struct("hits", "bad")).alias("what"),
     )
     kind = rows.schema["run_id"].dataType.simpleString()
-    processor = AnchoredHits(_fields(rows, "us", "seq", "plan", "what"), _interval_us(lines, keep))
-    return _keyed(rows, ["run_id"], processor, f"run_id {kind}, j int, token string, idx bigint")
+    processor = AnchoredHits(_fields(rows, "run_id", "us", "seq", "plan", "what"), ["run_id"], _interval_us(lines, keep))
+    return _keyed(rows, processor, f"run_id {kind}, j int, token string, idx bigint")
 
 
 def _interval_us(df: DataFrame, interval: str) -> int:
@@ -146,7 +152,9 @@ def stream_verdicts(
     has passed it the run fails without another line. Rows may come out of order within ``delay``.
     A verdict does not depend on how the rows are cut into micro-batches. It is that of the batch
     ``adjudicate`` with file order in the order of time; ``last_idx`` is the last line that counted
-    before the verdict. A decided run is remembered for ``keep``.
+    before the verdict. A decided run is remembered for ``keep``. A run that a forbidden line fails is
+    told at once with ``revision`` 0; where an earlier line proves forbidden when its anchor's turn
+    comes, a row with the next ``revision`` takes its place (see ``last_revisions``).
     """
     catalogue = catalogue_rows(expectations, forbidden)
     tagged = tag_lines(lines.withWatermark("ts", delay).where("ts IS NOT NULL"), catalogue)
@@ -165,9 +173,15 @@ def stream_verdicts(
         )
         rows = rows.unionByName(polled)
     kind = rows.schema["run_id"].dataType.simpleString()
-    fields = _fields(rows, "scenario", "us", "t0_us", "plan", "side", "seq", "what")
-    out = f"run_id {kind}, scenario string, status string, reason string, failed_i int, forbidden_idx bigint, last_idx bigint, decided_after_us bigint"
-    return _keyed(rows, ["run_id"], Runs(fields, int(grace_s * 1_000_000), _interval_us(lines, keep)), out)
+    fields = _fields(rows, "run_id", "scenario", "us", "t0_us", "plan", "side", "seq", "what")
+    out = f"run_id {kind}, scenario string, status string, reason string, failed_i int, forbidden_idx bigint, last_idx bigint, decided_after_us bigint, revision int"
+    return _keyed(rows, Runs(fields, ["run_id"], int(grace_s * 1_000_000), _interval_us(lines, keep)), out)
+
+
+def last_revisions(verdicts: DataFrame) -> DataFrame:
+    """Of every run the verdict with the highest ``revision``; for a table that the stream has written."""
+    own = [c for c in verdicts.columns if c not in ("run_id", "revision")]
+    return verdicts.groupBy("run_id").agg(F.max_by(F.struct(*own), "revision").alias("_last")).select("run_id", "_last.*")
 
 
 def stream_confirm(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], delay: str | None = None) -> DataFrame:
@@ -224,7 +238,7 @@ def _owned(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequen
     a = timed.select(*keys, "ts", F.lit(CMD_SIDE).alias("side"), F.col("cmd_id").alias("id"), (F.col("timeout_ms") * 1000).alias("timeout_us"))
     b = reports.select(*keys, "ts", F.lit(REPORT_SIDE).alias("side"), F.col("report_id").alias("id"), F.lit(None).cast("bigint").alias("timeout_us"))
     rows = a.unionByName(b).where("ts IS NOT NULL").withColumn("us", micros(F.col("ts")))
-    return rows, Owners(_fields(rows, "us", "side", "id", "timeout_us"))
+    return rows, Owners(_fields(rows, *keys, "us", "side", "id", "timeout_us"), keys)
 
 
 OWNED = "cmd_id bigint, cmd_us bigint, timeout_us bigint, report_id bigint, after_us bigint"
@@ -238,7 +252,7 @@ def late_reports(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys:
     Per attribute the newest command is kept, which owns what comes next, however late.
     """
     rows, processor = _owned(cmds, reports, profile, keys, delay)
-    owned = _keyed(rows, keys, processor, OWNED).where("report_id IS NOT NULL AND timeout_us IS NOT NULL")
+    owned = _keyed(rows, processor, OWNED).where("report_id IS NOT NULL AND timeout_us IS NOT NULL")
     return owned.select("cmd_id", "report_id", "after_us", (F.col("after_us") > F.col("timeout_us")).alias("late"))
 
 
@@ -253,8 +267,8 @@ def command_outcomes(
     ``late_reports``.
     """
     rows, processor = _owned(cmds, reports, profile, keys, delay)
-    processor = OwnersUntil(processor.fields, _interval_us(cmds, horizon))
-    owned = _keyed(rows, keys, processor, f"{OWNED}, closes_at timestamp", "closes_at").where("timeout_us IS NOT NULL")
+    processor = OwnersUntil(processor.fields, keys, _interval_us(cmds, horizon))
+    owned = _keyed(rows, processor, f"{OWNED}, closes_at timestamp", "closes_at").where("timeout_us IS NOT NULL")
     per = owned.groupBy("closes_at", "cmd_id").agg(
         F.count("report_id").alias("n_reports"), F.min("after_us").alias("first_after_us"), F.max("timeout_us").alias("timeout_us")
     )
@@ -273,8 +287,8 @@ def stream_drop_twins(events: DataFrame, keys: Sequence[str], order: Sequence[st
     stamps = [f.name for f in events.schema.fields if f.dataType.typeName() == "timestamp" and f.name != "ts"]
     rows = events.withWatermark("ts", delay).where("ts IS NOT NULL").withColumns({"us": micros(F.col("ts")), **{s: micros(F.col(s)) for s in stamps}})
     names = ["us", *[c for c in events.columns if c != "ts"]]
-    processor = Twins(_fields(rows, *names), ["us", *[o for o in order if o != "ts"]], int(max_gap_s * 1_000_000))
-    out = _keyed(rows, keys, processor, _fields(rows, *names))
+    processor = Twins(_fields(rows, *names), keys, ["us", *[o for o in order if o != "ts"]], int(max_gap_s * 1_000_000))
+    out = _keyed(rows, processor, _fields(rows, *names))
     back = {"ts": F.timestamp_micros("us"), **{s: F.timestamp_micros(s) for s in stamps}}
     return out.withColumns(back).select(*events.columns)
 
