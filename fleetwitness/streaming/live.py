@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetwitness.functions.scalars import micros, micros_between, whole_number
-from fleetwitness.operators.commands import report_tests
+from fleetwitness.functions.scalars import micros, whole_number
 from fleetwitness.operators.logs import captured
 from fleetwitness.operators.ordered import small_side
 from fleetwitness.sources.logs import parse_log_line
 from fleetwitness.sources.sinks import append_digest
-from fleetwitness.streaming.keyed import AnchoredHits, InOrder, Owners, OwnersUntil, Runs, Twins
+from fleetwitness.streaming.keyed import AnchoredHits, Confirmed, InOrder, Owners, OwnersUntil, Runs, Twins
 
 CMD_SIDE, REPORT_SIDE = 0, 1
 OPEN, LINE, READ = range(3)
@@ -185,50 +184,27 @@ def last_revisions(verdicts: DataFrame) -> DataFrame:
 
 
 def stream_confirm(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], delay: str | None = None) -> DataFrame:
-    """R4: one verdict per command when its longest timeout has passed the watermark.
+    """R4: one verdict per command as soon as the watermark has passed what decides it.
 
-    A left outer interval join of commands with what follows them inside the timeout (agreeing
-    reports and newer commands), and behind it an aggregation that takes the first of them: a report
-    confirms, a command supersedes, nothing times out. The join forgets a command, and emits it
-    without a partner, when the largest timeout of the profile has passed; so the state holds one
-    timeout and one delay. Streams that have a watermark already are given without ``delay``.
+    That is the agreeing report, the newer command, or the end of its timeout; a command that cannot
+    be confirmed, or has no profile row, is told at once. Per attribute one open command is kept, and
+    its rows of one delay. Streams that have a watermark already are given without ``delay``.
     """
     if delay is not None:
         cmds, reports = cmds.withWatermark("ts", delay), reports.withWatermark("ts", delay)
-    longest = profile.agg(F.max("timeout_ms")).first()[0] or 0
-    left = cmds.select(
-        F.col("cmd_id").alias("_cmd"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("ts").alias("_ts"),
-        F.col("target").cast("double").alias("_target"), "capability",
-    ).join(small_side(profile), "capability", "left")
-    newer = cmds.select(*keys, "ts", F.lit(CMD_SIDE).alias("_side"), F.col("cmd_id").alias("_id"), F.lit(None).cast("double").alias("value"))
-    follows = newer.unionByName(
-        reports.select(*keys, "ts", F.lit(REPORT_SIDE).alias("_side"), F.col("report_id").alias("_id"), F.col("value").cast("double"))
-    )
-    _, agrees = report_tests(F.col("_target"), F.col("value"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"_k_{k}").eqNullSafe(F.col(k))
-    after = micros_between(F.col("_ts"), F.col("ts"))
-    behind = (F.col("ts") > F.col("_ts")) | (F.col("_side") == REPORT_SIDE) | (F.col("_id") > F.col("_cmd"))
-    counts = behind & (after <= F.col("timeout_ms") * 1000) & ((F.col("_side") == CMD_SIDE) | agrees)
-    open_ = F.coalesce(F.col("confirmability") != "UNCONFIRMABLE", F.lit(False))
-    inside = (F.col("ts") >= F.col("_ts")) & (F.col("ts") <= F.col("_ts") + F.expr(f"INTERVAL '{longest / 1000:.3f}' SECOND"))
-    pairs = left.join(follows, same & inside & counts & open_, "leftOuter")
-    first = F.min(F.when(F.col("_id").isNotNull(), F.struct(after.alias("us"), "_side", "_id")))
-    verdicts = pairs.groupBy("_cmd", "_ts", *[f"_k_{k}" for k in keys], "capability", "confirmability").agg(first.alias("first"))
-    confirmed = F.col("first._side") == REPORT_SIDE
-    verdict = (
-        F.when(F.col("confirmability").isNull(), "REFUSED")
-        .when(F.col("confirmability") == "UNCONFIRMABLE", "UNCONFIRMED")
-        .when(confirmed, "CONFIRMED")
-        .when(F.col("first").isNotNull(), "SUPERSEDED")
-        .otherwise("TIMED_OUT")
-    )
-    return verdicts.select(
-        F.col("_cmd").alias("cmd_id"), *[F.col(f"_k_{k}").alias(k) for k in keys], F.col("_ts").alias("ts"), "capability",
-        verdict.alias("verdict"), F.when(confirmed, F.col("first.us")).alias("latency_us"),
-        F.when(confirmed, F.col("first._id")).alias("confirmed_by"),
+    terms = profile.select("capability", "confirmability", "mode", F.col("tolerance").cast("double"), "unit", (F.col("timeout_ms") * 1000).alias("timeout_us"))
+    a = cmds.join(small_side(terms), "capability", "left").select(
+        *keys, "ts", F.lit(CMD_SIDE).alias("side"), F.col("cmd_id").alias("id"), F.col("target").cast("double").alias("value"),
+        "capability", "confirmability", "mode", "tolerance", "unit", "timeout_us",
     )
+    none = [F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ("capability", "confirmability", "mode", "tolerance", "unit", "timeout_us")]
+    b = reports.select(*keys, "ts", F.lit(REPORT_SIDE).alias("side"), F.col("report_id").alias("id"), F.col("value").cast("double"), *none)
+    rows = a.unionByName(b).where("ts IS NOT NULL").withColumn("us", micros(F.col("ts")))
+    fields = _fields(rows, *keys, "us", "side", "id", "value", "capability", "confirmability", "mode", "tolerance", "unit", "timeout_us")
+    own = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    out = f"cmd_id bigint, {own}, us bigint, capability string, verdict string, latency_us bigint, confirmed_by bigint"
+    verdicts = _keyed(rows, Confirmed(fields, keys), out)
+    return verdicts.select("cmd_id", *keys, F.timestamp_micros("us").alias("ts"), "capability", "verdict", "latency_us", "confirmed_by")
 
 
 def _owned(cmds: DataFrame, reports: DataFrame, profile: DataFrame, keys: Sequence[str], delay: str | None) -> tuple[DataFrame, Owners]:
