@@ -269,10 +269,11 @@ OWNED_SQL = f"""{COMMAND_TABLES},
 @query(
     "r8_late_reports",
     f"""WITH {OWNED_SQL}
-    SELECT cmd_id, report_id, after_us, after_us > timeout_ms * 1000 AS late FROM owned JOIN profile USING (capability) WHERE report_us <= {COMMAND_MARK}""",
+    SELECT cmd_id, report_id, after_us, after_us > timeout_ms * 1000 AS late FROM owned JOIN profile USING (capability)""",
 )
 def late_reports(t):
-    return run_to_table(live.late_reports(*live_commands(t), profile(t), KEYS), "r8")
+    """Every report that has a command; the stream is closed behind the last event."""
+    return run_to_table(live.late_reports(*live_commands(t, CLOSED_US), profile(t), KEYS), "r8")
 
 
 @query(
