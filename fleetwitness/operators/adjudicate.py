@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetwitness.functions.scalars import micros, whole_number
 from fleetwitness.operators.liveness import read_states
-from fleetwitness.operators.logs import captured, keep_mentioned, match_tokens, needs, nth_match
+from fleetwitness.operators.logs import captured, keep_mentioned, lines_by_token, match_tokens, needs, nth_match
 from fleetwitness.operators.ordered import small_side
 
 
@@ -104,7 +104,11 @@ def active_forbidden(judged: DataFrame, forbidden: DataFrame, expectations: Data
 
 
 def forbidden_lines(lines: DataFrame, specs: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Lines that a forbidden line of their run names; no text is shuffled unless the catalogue is large."""
     below = F.col("anchor_idx").isNull() | (F.col("idx") > F.col("anchor_idx"))
+    held = lines_by_token(lines, forbidden.select("token"))
+    if held is not None:
+        return held.join(specs, ["run_id", "token"]).where(below)
     mentioned = keep_mentioned(lines, forbidden.select("token"))
     return mentioned.join(specs, "run_id").where(F.contains("text", F.col("token")) & below)
 
@@ -203,12 +207,17 @@ def adjudicate(
 
 
 def count_lines(runs: DataFrame, expectations: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per run and line: matches, deciding index, and whether the line is satisfied."""
+    """Per run and line: matches, deciding index, and whether the line is satisfied.
+
+    Of what ``extract`` captures a row carries the number and whether there is a text, not the text: buffers
+    of fixed length are hashed where lines are read, texts would have a task sort all its lines.
+    """
     matches = match_tokens(lines, runs, expectations)
     value = captured(F.col("text"), F.col("extract"))
-    rows = matches.select(
+    rows = matches.withColumn("_value", value).select(
         "run_id", "scenario", "i", "idx", F.lit(1).cast("bigint").alias("one"),
-        F.when(F.col("need") == 1, F.col("idx")).alias("nth"), value.alias("value"),
+        F.when(F.col("need") == 1, F.col("idx")).alias("nth"),
+        F.col("_value").isNotNull().alias("captured"), whole_number(F.col("_value")).alias("number"),
     )
     max_need, _ = needs(expectations)
     if max_need > 1:
@@ -221,11 +230,11 @@ def count_lines(runs: DataFrame, expectations: DataFrame, lines: DataFrame) -> D
     per_line = rows.unionByName(expected, allowMissingColumns=True).groupBy("run_id", "scenario", "i").agg(
         F.max("need").alias("need"), F.max("numbered").alias("numbered"),
         F.max("min_value").alias("min_value"), F.coalesce(F.sum("one"), F.lit(0)).alias("seen"),
-        F.min("nth").alias("nth"), F.max("idx").alias("last"), F.max_by("value", "idx").alias("value"),
+        F.min("nth").alias("nth"), F.max("idx").alias("last"),
+        F.max_by("captured", "idx").alias("captured"), F.max_by("number", "idx").alias("number"),
     )
-    number = whole_number(F.col("value"))
-    reaches = F.col("value").isNotNull() & (
-        F.col("min_value").isNull() | F.coalesce(number >= F.col("min_value"), F.lit(False))
+    reaches = F.coalesce(F.col("captured"), F.lit(False)) & (
+        F.col("min_value").isNull() | F.coalesce(F.col("number") >= F.col("min_value"), F.lit(False))
     )
     return per_line.withColumns(
         {
