@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetwitness.functions.scalars import micros
 from fleetwitness.plans.registry import query
 from fleetwitness.plans.standins import k_of
-from fleetwitness.session import scratch_path
+from fleetwitness.session import scratch_path, written
 from fleetwitness.sources import captures
 from fleetwitness.sources.logs import read_log_lines
 from fleetwitness.sources.sinks import evidence_manifest, evidence_records, publish_evidence, read_evidence, resolved_values, write_evidence
@@ -222,7 +222,7 @@ def evidence_published(t):
     resolved = resolved_values(value("state", F.col("o_orderstatus")), value("customer", F.col("o_custkey")), value("total", F.col("o_totalprice").cast("decimal(20,2)")))
     lines = t.lineitem.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("idx"), F.col("l_linestatus").alias("text"))
     parts = {"log_lines": lines, "resolved": resolved}
-    whole = evidence_manifest(verdicts, parts)
+    whole = written(evidence_manifest(verdicts, parts), "evidence-manifest")
     publish_evidence(whole.withColumn("edition", F.lit("first")), parts, folder)
     publish_evidence(whole.where("scenario = '1-URGENT'").withColumn("edition", F.lit("second")), parts, folder)
     manifest, log_lines, values = (read_evidence(t.spark, folder, name) for name in ("manifest", "log_lines", "resolved"))

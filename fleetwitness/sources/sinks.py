@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwitness.operators.ordered import small_side
+from fleetwitness.session import written
 
 
 def evidence_records(verdicts: DataFrame, slices: DataFrame, captures: DataFrame, markers: DataFrame) -> DataFrame:
@@ -17,16 +18,13 @@ def evidence_records(verdicts: DataFrame, slices: DataFrame, captures: DataFrame
     The manifest counts the parts; the parts themselves are written beside it as
     rows keyed by run (see ``write_evidence``), so no run is ever one huge value.
     """
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    return evidence_manifest(verdicts, {"log_lines": slices, "api_reads": captures, "markers": markers})
 
-    out = verdicts
-    parts = {"log_lines": slices, "api_reads": captures, "markers": markers}
-    for name, df in parts.items():
-        out = out.join(counted(df, name), "run_id", "left")
-    zero = {name: F.coalesce(F.col(name), F.lit(0)).cast("bigint") for name in parts}
-    absent = F.array_join(F.filter(F.array(*[F.when(F.col(n) == 0, F.lit(n)) for n in parts]), lambda n: n.isNotNull()), ",")
-    return out.withColumns(zero).withColumn("absent", absent)
+
+def _places(manifest: DataFrame) -> DataFrame:
+    """Scenario and night of every run, written once for all the parts that follow them."""
+    # By run, as the parts are joined: distinct rows need no other exchange.
+    return written(manifest.select("run_id", "scenario", "night").repartition("run_id").distinct(), "evidence-places")
 
 
 def write_evidence(manifest: DataFrame, slices: DataFrame, captures: DataFrame, markers: DataFrame, folder: str) -> None:
@@ -37,7 +35,7 @@ def write_evidence(manifest: DataFrame, slices: DataFrame, captures: DataFrame,
     without its parts. The rebalance brings a night's rows together and splits a large night
     again.
     """
-    where = manifest.select("run_id", "scenario", "night").distinct()
+    where = _places(manifest)
 
     def put(rows: DataFrame, name: str) -> None:
         writer = rows.hint("rebalance", "scenario", "night").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -66,11 +64,12 @@ def evidence_manifest(verdicts: DataFrame, parts: dict[str, DataFrame]) -> DataF
 
     ``verdicts``: run_id, scenario, night and more; every part has a run_id.
     """
-    counted = [df.groupBy("run_id").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name, df in parts.items()]
-    rows = counted[0]
-    for more in counted[1:]:
-        rows = rows.unionByName(more)
-    wide = rows.groupBy("run_id").pivot("part", list(parts)).agg(F.max("n"))
+    rows = None
+    for n, df in enumerate(parts.values()):
+        own = df.select("run_id", F.lit(n).alias("_part"))
+        rows = own if rows is None else rows.unionByName(own)
+    # One aggregation of counters for all parts, combined before its shuffle.
+    wide = rows.groupBy("run_id").agg(*[F.count(F.when(F.col("_part") == n, 1)).alias(name) for n, name in enumerate(parts)])
     zero = {name: F.coalesce(F.col(name), F.lit(0)).cast("bigint") for name in parts}
     absent = F.array_join(F.array_compact(F.array(*[F.when(F.col(n) == 0, F.lit(n)) for n in parts])), ",")
     return verdicts.join(wide, "run_id", "left").withColumns(zero).withColumn("absent", absent)
@@ -101,7 +100,7 @@ def publish_evidence(manifest: DataFrame, parts: dict[str, DataFrame], folder: s
     spark = manifest.sparkSession
     version = uuid.uuid4().hex
     at = f"{folder}/{VERSIONS}/{version}"
-    where = manifest.select("run_id", "scenario", "night").distinct()
+    where = _places(manifest)
     for name, df in parts.items():
         rows = df.join(where, "run_id").hint("rebalance", "scenario", "night")
         rows.write.partitionBy("scenario", "night").parquet(f"{at}/{name}")
