@@ -192,8 +192,9 @@ def evidence_written(t):
         rows.where(F.col("l_returnflag") == "R"),
         rows.where(F.col("l_linestatus") == "F"),
     )
+    records = written(evidence_records(verdicts, *parts), "evidence-records")
     for _ in range(2):
-        write_evidence(evidence_records(verdicts, *parts), *parts, folder)
+        write_evidence(records, *parts, folder)
     manifest, logs, reads = (t.spark.read.parquet(f"{folder}/{name}") for name in ("manifest", "log_lines", "api_reads"))
     counted = logs.select("run_id").unionByName(reads.select("run_id")).groupBy("run_id").agg(F.count(F.lit(1)).alias("part_rows"))
     return manifest.join(counted, "run_id", "left").groupBy("scenario", F.col("day").alias("night")).agg(
