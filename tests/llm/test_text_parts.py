@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from docs_fixture import DOCS, words
+from pyspark.sql import functions as F
 
 from fleetwitness.llm import line_dedup, substring_dedup
 from fleetwitness.llm.words import shingles, word_hashes
@@ -256,3 +257,16 @@ def test_passages_with_edits_are_found(spark):
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
     hit = {min(r["id"], r["other_id"]) // 2 for r in found if abs(r["id"] - r["other_id"]) == 1 and min(r["id"], r["other_id"]) % 2 == 0}
     assert len(hit) >= 247 and all(r["id"] // 2 == r["other_id"] // 2 for r in found)
+
+
+def test_crowds_of_near_copies_give_few_pairs(spark, monkeypatch):
+    """A copy is paired with others until they hold what it shares, under all of its tokens together."""
+    monkeypatch.setattr(substring_dedup, "FEW_CLASSES", 2)
+    rng = random.Random(31)
+    base, rows = words(rng, 300, 10**7), []
+    for i in range(60):
+        rows.append((i, " ".join(w if rng.random() > 0.02 else f"changed{i}" for w in base), "en", "a", 1))
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text", substring_dedup.document_key(F.col("doc_id"), F.col("text")).alias("doc"))
+    pairs = substring_dedup._candidates(docs, substring_dedup._windows(docs, 50), 50, 0.8)
+    assert 59 <= pairs.count() <= 2000
+    assert pairs.select("x").distinct().count() == 59
