@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from fleetwitness.llm.common import Steps, whole_text
 
@@ -22,6 +23,9 @@ COUNTERS = 1 << 16
 HOT_SHARE = 1000
 #: Up to so many hashes of lines (a few megabytes) are sent to all tasks, so that the texts need not move.
 FEW_LINES = 500_000
+#: Tokens at the end of a prefix whose earliest line is tried first.
+TRIED = 3
+LAST = (1 << 63) - 1
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,6 +68,31 @@ def _needed(n: Column, share: str) -> Column:
     return (n - F.expr(share) + 1).cast("int")
 
 
+def _order(id_col: Column, kind: DataType) -> Column:
+    """A number that never falls in the order of ids; the same for all where there is no cheap one."""
+    number = id_col.cast("bigint") if isinstance(kind, IntegralType) else F.lit(0).cast("bigint")
+    return F.coalesce(number, F.lit(LAST))
+
+
+def _with_best(steps: Steps, rows: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with ``best``: the order of a similar line that is not later, or the last number.
+
+    The earliest line of each of the commonest tokens of a prefix, which edits seldom touch, is
+    tried; whatever this misses costs more pairs, never a link.
+    """
+    some = rows.where(F.col("place") >= F.col("probe") - TRIED)
+    lead = some.groupBy("key").agg(F.min_by("c", "p").alias("y"), F.min("p").alias("y_p"), F.min_by("n", "p").alias("y_n"))
+    fits = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent) & (F.col("c") != F.col("y"))
+    tried = some.join(lead, "key").where(fits).select(F.col("c").alias("x"), "y", "y_p").distinct()
+    tokens = lambda s: firsts.select(F.col("c").alias(s), token_hashes(F.col("text")).alias(f"{s}_tokens"))
+    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    close = both * (100 + percent) >= (F.size("x_tokens") + F.size("y_tokens")) * percent
+    found = tried.join(tokens("x"), "x").join(tokens("y"), "y").where(close)
+    best = steps.keep(found.groupBy(F.col("x").alias("c")).agg(F.min("y_p").alias("best")), "line-best")
+    few = F.broadcast(best) if best.count() <= FEW_LINES else best
+    return rows.join(few, "c", "left").withColumn("best", F.coalesce("best", F.lit(LAST)))
+
+
 def near_lines(
     docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -88,20 +117,24 @@ def near_lines(
     table = rarity(lines)
     # Rare first; the low bits of the hash order tokens of equal rarity.
     key = lambda h: F.shiftleft(F.element_at(table, (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    sets = firsts.select("c", token_hashes(F.col("text")).alias("tokens")).where("size(tokens) > 0")
-    ordered = sets.select("c", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"), *[bits_of(k).alias(f"bits{k}") for k in (0, 1)])
+    sets = firsts.select("c", _order(F.col("at.id"), docs.schema[id_col].dataType).alias("p"), token_hashes(F.col("text")).alias("tokens")).where("size(tokens) > 0")
+    ordered = sets.select("c", "p", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"), *[bits_of(k).alias(f"bits{k}") for k in (0, 1)])
     probe = _needed(F.col("n"), f"ceil(n * {percent} / 100)")
-    rows = ordered.select("c", "n", "bits0", "bits1", F.posexplode(F.slice("keys", 1, probe)).alias("place", "key"))
+    prefixes = steps.keep(ordered.withColumn("keys", F.slice("keys", 1, probe)), "line-prefixes")
+    rows = prefixes.select("c", "p", "n", "bits0", "bits1", F.size("keys").alias("probe"), F.posexplode("keys").alias("place", "key"))
     # A token that was counted once is in no other line.
     rows = rows.where(F.shiftright("key", 56) > 1)
+    rows = _with_best(steps, rows, firsts, percent)
     # Both sides are the same rows, dealt once; the positional filter leaves the smaller set its shorter prefix.
-    side = lambda s: rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("c", "n", "place", "bits0", "bits1")])
+    side = lambda s: rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("c", "p", "best", "n", "place", "bits0", "bits1")])
     overlap = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))  # at most, from here on
     enough = lambda o: o * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
     larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_c") > F.col("y_c")))
     most = F.least(F.col("x_n") - _missing("x", "y"), F.col("y_n") - _missing("y", "x"))
+    # Of two lines the later one needs the other only if that isn't behind its best one.
+    early = F.least("x_p", "y_p") <= F.when(F.col("x_p") >= F.col("y_p"), F.col("x_best")).otherwise(F.col("y_best"))
     met = side("x").join(side("y"), "key").where(
-        larger & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap) & enough(most)
+        larger & early & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap) & enough(most)
     )
     pairs = steps.keep(met.select(F.col("x_c").alias("x"), F.col("y_c").alias("y"), "x_n", "y_n").distinct(), "line-pairs")
     wanted = steps.keep(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct(), "line-wanted")
@@ -112,7 +145,7 @@ def near_lines(
         full.select(F.col("c").alias("y"), F.col("tokens").alias("y_tokens")), "y"
     )
     links = steps.keep(checked.where(enough(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("x", "y"), "line-links")
-    steps.drop("line-pairs", "line-wanted", "line-sets")
+    steps.drop("line-prefixes", "line-best", "line-pairs", "line-wanted", "line-sets")
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     nearest = both.join(firsts.select(F.col("c").alias("y"), "at"), "y").groupBy("x").agg(F.min("at").alias("other"))
     earliest = firsts.select("c", "sid", "sid2", "copies", "at").join(nearest.withColumnRenamed("x", "c"), "c", "left")

@@ -270,3 +270,22 @@ def test_crowds_of_near_copies_give_few_pairs(spark, monkeypatch):
     pairs = substring_dedup._candidates(docs, substring_dedup._windows(docs, 50), 50, 0.8)
     assert 59 <= pairs.count() <= 2000
     assert pairs.select("x").distinct().count() == 59
+
+
+def test_crowds_of_lines_give_few_links(spark, monkeypatch):
+    """Near copies of one line are linked with early ones; what is earliest stays that of brute force."""
+    links, keep = [], line_dedup.Steps.keep
+
+    def counted(self, frame, name):
+        out = keep(self, frame, name)
+        if name == "line-links":
+            links.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup.Steps, "keep", counted)
+    rng = random.Random(37)
+    base = words(rng, 40, 10**7)
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"changed{i}" for w in base), "en", "a", 1) for i in range(150)]
+    got = line_dedup.near_lines(spark.createDataFrame(rows, DOCS))
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == brute_lines([r[:2] for r in rows], 80)
+    assert links[0] < 10 * len(rows)
