@@ -74,6 +74,19 @@ def _order(id_col: Column, kind: DataType) -> Column:
     return F.coalesce(number, F.lit(LAST))
 
 
+def _similar(steps: Steps, pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``x, y`` of lines, with their sizes, that are similar by their full sets."""
+    wanted = steps.keep(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct(), "line-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
+    full = firsts.select("c", "text").join(few, "c").select("c", token_hashes(F.col("text")).alias("tokens"))
+    full = steps.keep(full, "line-sets")
+    checked = pairs.join(full.select(F.col("c").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
+        full.select(F.col("c").alias("y"), F.col("tokens").alias("y_tokens")), "y"
+    )
+    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    return checked.where(both * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
+
+
 def _with_best(steps: Steps, rows: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """``rows`` with ``best``: the order of a similar line that is not later, or the last number.
 
@@ -83,12 +96,10 @@ def _with_best(steps: Steps, rows: DataFrame, firsts: DataFrame, percent: int) -
     some = rows.where(F.col("place") >= F.col("probe") - TRIED)
     lead = some.groupBy("key").agg(F.min_by("c", "p").alias("y"), F.min("p").alias("y_p"), F.min_by("n", "p").alias("y_n"))
     fits = (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent) & (F.col("c") != F.col("y"))
-    tried = some.join(lead, "key").where(fits).select(F.col("c").alias("x"), "y", "y_p").distinct()
-    tokens = lambda s: firsts.select(F.col("c").alias(s), token_hashes(F.col("text")).alias(f"{s}_tokens"))
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    close = both * (100 + percent) >= (F.size("x_tokens") + F.size("y_tokens")) * percent
-    found = tried.join(tokens("x"), "x").join(tokens("y"), "y").where(close)
+    tried = some.join(lead, "key").where(fits).select(F.col("c").alias("x"), "y", F.col("n").alias("x_n"), "y_n", "y_p").distinct()
+    found = _similar(steps, steps.keep(tried, "line-pairs"), firsts, percent)
     best = steps.keep(found.groupBy(F.col("x").alias("c")).agg(F.min("y_p").alias("best")), "line-best")
+    steps.drop("line-pairs", "line-wanted", "line-sets")
     few = F.broadcast(best) if best.count() <= FEW_LINES else best
     return rows.join(few, "c", "left").withColumn("best", F.coalesce("best", F.lit(LAST)))
 
@@ -137,14 +148,7 @@ def near_lines(
         larger & early & (F.col("y_n") * 100 >= F.col("x_n") * percent) & enough(overlap) & enough(most)
     )
     pairs = steps.keep(met.select(F.col("x_c").alias("x"), F.col("y_c").alias("y"), "x_n", "y_n").distinct(), "line-pairs")
-    wanted = steps.keep(pairs.select(F.col("x").alias("c")).unionByName(pairs.select(F.col("y").alias("c"))).distinct(), "line-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
-    full = firsts.select("c", "text").join(few, "c").select("c", token_hashes(F.col("text")).alias("tokens"))
-    full = steps.keep(full, "line-sets")
-    checked = pairs.join(full.select(F.col("c").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
-        full.select(F.col("c").alias("y"), F.col("tokens").alias("y_tokens")), "y"
-    )
-    links = steps.keep(checked.where(enough(F.size(F.array_intersect("x_tokens", "y_tokens")))).select("x", "y"), "line-links")
+    links = steps.keep(_similar(steps, pairs, firsts, percent).select("x", "y"), "line-links")
     steps.drop("line-prefixes", "line-best", "line-pairs", "line-wanted", "line-sets")
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     nearest = both.join(firsts.select(F.col("c").alias("y"), "at"), "y").groupBy("x").agg(F.min("at").alias("other"))
