@@ -5,7 +5,8 @@ their first few places (prefix filter), have sizes that allow the similarity (le
 and enough places behind the shared token (positional filter). Lines are named by 128 bits of their text and collapsed
 to one row each, which is numbered, before their tokens are spread. What passes, and whose bits leave
 room for the overlap, is verified on the full sets. Rarity comes from counts over all lines, by hash of the token; any fixed order gives
-right results, a good one gives few candidates. All of it is column expressions and joins.
+right results, a good one gives few candidates. The earliest lines of common tokens
+of prefixes are tried first; after that only lines that are earlier than the best one can matter. All of it is column expressions and joins.
 """
 
 from __future__ import annotations
