@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -272,6 +273,47 @@ def test_crowds_of_near_copies_give_few_pairs(spark, monkeypatch):
     assert pairs.select("x").distinct().count() == 59
 
 
+def kept_tables(monkeypatch):
+    """(name, rows, documents, path) of every table that the passages keep between their steps."""
+    seen, keep = [], substring_dedup.Steps.keep
+
+    def noted(self, frame, name):
+        out = keep(self, frame, name)
+        docs = out.select("doc").distinct().count() if "doc" in out.columns else None
+        seen.append((name, out.count(), docs, self.paths[name][-1]))
+        return out
+
+    monkeypatch.setattr(substring_dedup.Steps, "keep", noted)
+    return seen
+
+
+def test_a_large_crowd_sends_on_what_can_have_a_partner(spark, monkeypatch):
+    """A common line in 150 different texts and in 20 pairs of passages: the documents of the pairs alone
+    are compared, however many others hold the line, and every pair is found."""
+    for name, value in (("FEW_CLASSES", 2), ("CROWD", 8), ("COUNTED", 50)):
+        monkeypatch.setattr(substring_dedup, name, value, raising=False)
+    seen, rng = kept_tables(monkeypatch), random.Random(41)
+    line = words(rng, 30)
+    rows = [(i, " ".join(words(rng, 60, 10**7) + line + words(rng, 60, 10**7)), "en", "a", 1) for i in range(150)]
+    for k in range(20):
+        passage = words(rng, 20, 10**7) + line + words(rng, 20, 10**7)
+        rows += [(i, " ".join(words(rng, 40, 10**7) + passage + words(rng, 40, 10**7)), "en", "a", 1) for i in (1000 + 2 * k, 1001 + 2 * k)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {(min(r["id"], r["other_id"]), max(r["id"], r["other_id"])): r["length"] for r in found} == {(1000 + 2 * k, 1001 + 2 * k): 70 for k in range(20)}
+    assert [docs for name, _, docs, _ in seen if name == "crowds"] == [40]
+
+
+def test_steps_of_passages_leave_no_tables(spark, passages, monkeypatch):
+    """One cut text a pair is kept, texts go in parts, and only the result stays."""
+    monkeypatch.setattr(substring_dedup, "FEW_CLASSES", 1)
+    monkeypatch.setattr(substring_dedup, "FEW_ENDS", 0)
+    seen = kept_tables(monkeypatch)
+    substring_dedup.repeated_passages(passages).collect()
+    hulls, cuts = ([n for name, n, *_ in seen if name == wanted] for wanted in ("hulls", "cuts"))
+    assert len(hulls) == 1 and len(cuts) > 1 and sum(cuts) == hulls[0] > 0
+    assert {name for name, *_, path in seen if os.path.exists(path.removeprefix("file:"))} == {"passages"}
+
+
 def test_crowds_of_lines_give_few_links(spark, monkeypatch):
     """Near copies of one line are linked with early ones; what is earliest stays that of brute force."""
     links, keep = [], line_dedup.Steps.keep
