@@ -120,6 +120,12 @@ def test_one_copy_of_each_passage_stays(passages):
             assert set(text.split()) <= set(before[key].split()) and len(text.split()) <= len(before[key].split()) - 50
 
 
+def test_texts_are_cut_by_one_join(passages):
+    """Every text is shuffled once, whether or not it changes."""
+    cut = substring_dedup.remove_repeats(passages)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_odd_rows_keep_their_texts(odd_docs, no_docs):
     cut = substring_dedup.remove_repeats(odd_docs)
     assert cut.columns == odd_docs.columns
